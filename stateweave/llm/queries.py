@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, language_id, near_dedup, packing, quality_rules, secret_scan, token_counts, toxicity
+from . import byte_bpe, language_id, near_dedup, neighbours, packing, quality_rules, secret_scan, substring_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -26,10 +26,18 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -43,6 +51,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_near_dedup, op3_token_counts, op4_byte_bpe, op6_toxicity, op8_packing, op9_secret_scan, op10_quality_rules)
+    f.__name__: f for f in (op1_language_id, op2_near_dedup, op3_token_counts, op4_byte_bpe, op5_substring_dedup, op6_toxicity, op7_neighbours, op8_packing, op9_secret_scan, op10_quality_rules)
 }
 SQL: dict[str, str] = {}
