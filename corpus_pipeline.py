@@ -1,10 +1,19 @@
-"""A cleaning pipeline over ``documents``: each stage takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""A cleaning pipeline over ``documents``: each stage takes (spark, docs, sf_dir) and returns a DataFrame.
+
+1. quality_rules: rejected documents go, frequent lines leave the rest.
+2. near_dedup: one document of each group of near copies stays.
+3. substring_dedup: passages that an earlier document has are cut out; documents that were nothing else go.
+4. secret_scan: secrets are masked; all documents stay.
+5. packing: the token sequences.
+
+All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stateweave.llm import packing, quality_rules, secret_scan
+from stateweave.llm import near_dedup, packing, quality_rules, secret_scan, substring_dedup
 from stateweave.llm.common import materialize, table
 
 
@@ -12,6 +21,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.apply(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.apply(docs)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return substring_dedup.apply(docs)
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secret_scan.apply(docs)
 
@@ -20,8 +37,10 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("quality_rules", quality), ("secret_scan", secrets), ("packing", pack)]
-#: Tokenizers and compression are beyond SQL.
+STAGES = [
+    ("quality_rules", quality), ("near_dedup", near_duplicates), ("substring_dedup", passages), ("secret_scan", secrets), ("packing", pack),
+]
+#: Chosen paths, compression and tokenizers are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
