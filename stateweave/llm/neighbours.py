@@ -3,8 +3,8 @@
 Centroids come from splitting a bounded sample (``SAMPLE`` vectors) again and again by k-means until no part holds more than
 its share, so that lists are balanced. Every vector is posted to its nearest centroid and, if it lies near a boundary, to
 up to ``COPIES`` centroids whose distance is within ``1 + SPREAD`` of the nearest. Centroids are searched by best-first
-steps over a graph of near centroids, kept in memory (at most ``MAX_LISTS`` of them). A query reads the lists whose
-centroid lies within ``1 + PRUNE`` of its nearest one's distance, at most ``PROBES``; these are scored in double precision.
+steps over a graph of near centroids, kept in memory (at most ``MAX_LISTS`` of them). A query reads all lists whose
+centroid lies within ``1 + PRUNE`` of its nearest one's distance; their vectors are scored in double precision.
 
 Lists are stored in blocks of about ``BLOCK`` vectors, and queries that share a vector are searched once. Of equal vectors
 the ``k + 1`` least ids are posted: no other can be among the ``k`` nearest, as ties go to smaller ids.
@@ -25,12 +25,11 @@ from .common import map_rows, materialize
 EVERY = 50
 NEAREST = 5
 SAMPLE = 50_000
-LIST = 128
+LIST = 256
 MAX_LISTS = 16_384
 COPIES = 4
 SPREAD = 0.12
-PRUNE = 0.6
-PROBES = 64
+PRUNE = 0.25
 BLOCK = 1024
 DEGREE = 16
 
@@ -83,9 +82,12 @@ class Graph:
         self.near = np.hstack([self.near, rng.integers(0, n, (n, min(4, n)))])
         self.start = np.unique(rng.integers(0, n, 64))
 
-    def search(self, x: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and distances (euclidean, on the unit sphere) of the ``want`` nearest points found, nearest first."""
-        n, want = len(x), min(want, len(self.points))
+    def search(self, x: np.ndarray, want: int = 0, spread: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and distances (euclidean, on the unit sphere), nearest first, of the nearest points found.
+
+        At most ``want`` of them; if that is 0, at least all found within ``1 + spread`` of the nearest one's distance.
+        """
+        n = len(x)
         width = min(len(self.points), max(2 * want, 32))
         seen = np.zeros((n, len(self.points)), bool)
         ids = np.broadcast_to(self.start, (n, len(self.start)))
@@ -93,7 +95,11 @@ class Graph:
         seen[:, self.start] = True
         done = np.zeros(ids.shape, bool)
         while True:
-            order = np.argsort(-sims, 1, kind="stable")[:, :width]
+            keep = width
+            if not want:
+                radius = (1 + spread) ** 2 * (2 - 2 * sims.max(1, keepdims=True))
+                keep = max(width, int((2 - 2 * sims <= radius).sum(1).max()))
+            order = np.argsort(-sims, 1, kind="stable")[:, :keep]
             ids, sims, done = (np.take_along_axis(v, order, 1) for v in (ids, sims, done))
             open_ = ~done & np.isfinite(sims)
             if not open_.any():
@@ -117,7 +123,8 @@ class Graph:
             more[rows, slot] = np.einsum("ij,ij->i", x[rows], self.points[new])
             more_ids[rows, slot] = new
             ids, sims, done = np.hstack([ids, more_ids]), np.hstack([sims, more]), np.hstack([done, np.zeros(more.shape, bool)])
-        ids, sims = ids[:, :want], sims[:, :want]
+        if want:
+            ids, sims = ids[:, :want], sims[:, :want]
         return ids, np.sqrt(np.maximum(0, 2 - 2 * sims))
 
 
@@ -145,7 +152,7 @@ def _vectors(rows: DataFrame) -> DataFrame:
     return materialize(found.where(F.length("v") == size).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(7), "v")}), "vectors")
 
 
-def _posted(vectors: DataFrame, index: np.ndarray, copies: int, spread: float) -> DataFrame:
+def _posted(vectors: DataFrame, index: np.ndarray, spread: float, copies: int = 0) -> DataFrame:
     """(list, vec_id or h1/h2, v): each row with the lists it belongs to, as array ``lists``."""
 
     def make():
@@ -153,8 +160,8 @@ def _posted(vectors: DataFrame, index: np.ndarray, copies: int, spread: float) -
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             x = unit(np.frombuffer(b"".join(batch.column("v").to_pylist()), np.float64).reshape(batch.num_rows, -1)).astype(np.float32)
-            ids, far = graph.search(x, copies)
-            near = far <= (1 + spread) * np.maximum(far[:, :1], 1e-6)
+            ids, far = graph.search(x, copies, spread)
+            near = np.isfinite(far) & (far <= (1 + spread) * np.maximum(far[:, :1], 1e-6))
             ends = np.concatenate(([0], np.cumsum(near.sum(1))))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids[near], pa.int64()))
             return pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "lists"])
@@ -174,7 +181,7 @@ def _blocks(posted: DataFrame, key: list[str], size: int, name: str) -> DataFram
     return chosen.select("list", block, F.struct(*key, "v").alias("r")).groupBy("list", "block").agg(F.collect_list("r").alias(name))
 
 
-def search(rows: DataFrame, every: int = EVERY, nearest: int = NEAREST, sample: int = SAMPLE, prune: float = PRUNE, probes: int = PROBES) -> DataFrame:
+def search(rows: DataFrame, every: int = EVERY, nearest: int = NEAREST, sample: int = SAMPLE, prune: float = PRUNE) -> DataFrame:
     """The ``nearest`` vectors found for each row whose id is divisible by ``every``: query_id, rank, vec_id and score."""
     vectors = _vectors(rows)
     number = vectors.count()
@@ -189,9 +196,9 @@ def search(rows: DataFrame, every: int = EVERY, nearest: int = NEAREST, sample:
     index = centroids(x, min(MAX_LISTS, max(1, number // LIST)))
     if not len(index):
         index = np.ones((1, 1), np.float32)
-    posts = _blocks(_posted(kept.select("vec_id", "v"), index, COPIES, SPREAD), ["vec_id"], BLOCK, "posts")
+    posts = _blocks(_posted(kept.select("vec_id", "v"), index, SPREAD, COPIES), ["vec_id"], BLOCK, "posts")
     asked = queries.dropDuplicates(["h1", "h2"]).select("h1", "h2", "v")
-    asks = _blocks(_posted(asked, index, probes, prune), ["h1", "h2"], BLOCK, "asks")
+    asks = _blocks(_posted(asked, index, prune), ["h1", "h2"], BLOCK, "asks")
     both = posts.select("list", "posts").join(asks.select("list", "asks"), "list").select("posts", "asks")
 
     def make():
