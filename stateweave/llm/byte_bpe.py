@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from .common import map_rows
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-BUCKETS = (4, 7, 10, 13, 16, 24, 32, 48, 64)
-LONG = 64
+BUCKETS = (*range(1, 17), 20, 24, 32, 48, 64)
+LONG = BUCKETS[-1]
+#: The bucket of each length.
+BUCKET_OF = [next(b for b in BUCKETS if n <= b) for n in range(LONG + 1)]
 NONE = np.int32(2**31 - 1)
 #: Every white-space character followed by a space: only there a space may belong to the match before it.
 DOUBLE = tuple(c + " " for c in map(chr, range(0x3001)) if c.isspace())
@@ -133,7 +135,10 @@ class Codec:
     def merge_bucket(self, pieces: list[bytes], width: int) -> list[bytes]:
         """Ids of pieces of at most ``width`` bytes."""
         n = len(pieces)
-        raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(n, width)
+        joined = b"".join(pieces)
+        if len(joined) < n * width:
+            joined = b"".join([p.ljust(width, b"\0") for p in pieces])
+        raw = np.frombuffer(joined, np.uint8).reshape(n, width)
         size = np.fromiter(map(len, pieces), np.int64, n)
         column = np.arange(width)
         ids = np.where(column < size[:, None], self.of_byte[raw], -1).astype(np.int32)
@@ -176,7 +181,7 @@ class Codec:
             if len(p) > LONG:
                 out[i] = self.merge_long(p)
             elif p:
-                buckets.setdefault(next(b for b in BUCKETS if len(p) <= b), []).append(i)
+                buckets.setdefault(BUCKET_OF[len(p)], []).append(i)
         for width, members in buckets.items():
             step = max(1, 400_000 // width)
             for at in range(0, len(members), step):
@@ -217,7 +222,7 @@ class Codec:
         pieces = {u: self.matches_of(u) for u in new}
         fresh = list(set().union(*pieces.values()).difference(matches))
         matches.update(zip(fresh, self.merge_all([p.encode() for p in fresh]), strict=True))
-        units.update((u, b"".join(map(matches.__getitem__, p))) for u, p in pieces.items())
+        units.update((u, matches[p[0]] if len(p) == 1 else b"".join(map(matches.__getitem__, p))) for u, p in pieces.items())
         return [b"".join(map(units.__getitem__, parts)) for parts in cut]
 
     def decode(self, ids: np.ndarray) -> bytes:

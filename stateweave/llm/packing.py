@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .byte_bpe import Codec, MARKS, PairTable
+from .byte_bpe import Codec, PairTable
 from .common import map_rows, materialize
 
 VOCABULARY = "word_bpe_49k.json"
@@ -31,6 +32,8 @@ WINDOW = 2048
 END_ID = 1
 COLUMNS = 12_000
 DEPTH = 8
+#: Latin letters whose lower case is one letter, and a mark.
+PLAIN = re.compile("([A-Za-zªµºÀ-ÖØ-öø-įı-ɏ]{1,30})([.,;:!?]?)").fullmatch
 
 
 class WordCodec:
@@ -64,25 +67,23 @@ class WordCodec:
     @staticmethod
     def plain(chunk: str) -> list[bytes] | None:
         """The pieces of a Latin word with or without a mark after it; None for any other chunk."""
-        body = chunk[:-1] if chunk[-1] in MARKS else chunk
-        if len(chunk) <= 20 and body.isalpha() and max(body) < "ɐ":
-            low = body.lower().encode()
-            if len(low) <= 60:
-                return [low] if len(body) == len(chunk) else [low, chunk[-1].encode()]
+        if m := PLAIN(chunk):
+            return [m[1].lower().encode(), m[2].encode()] if m[2] else [chunk.lower().encode()]
         return None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         memo = self.memo
         if len(memo) > self.limit:
             memo.clear()
-        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        # str.split also cuts at four control characters that the library keeps
+        cut = [t.split() if not any(c in t for c in "\x1c\x1d\x1e\x1f") else t.replace("\n", " ").split(" ") for t in texts]
         new = set().union(*cut).difference(memo)
         new.discard("")
         memo[""] = b""
         pieces = {c: p for c in new if (p := self.plain(c))}
         fresh = list(set().union(*pieces.values()))
         known = dict(zip(fresh, self.merger.merge_all(fresh), strict=True))
-        memo.update((c, b"".join(map(known.__getitem__, p))) for c, p in pieces.items())
+        memo.update((c, known[p[0]] if len(p) == 1 else b"".join(map(known.__getitem__, p))) for c, p in pieces.items())
         odd = list(new.difference(pieces))
         if odd:
             coded = self.library.encode_batch_fast(odd, add_special_tokens=False)
@@ -115,7 +116,7 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW)
 
         return work
 
-    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), make, PIECES)
+    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), make, PIECES, 1024)
 
 
 def combinations(histogram: np.ndarray, window: int, columns: int = COLUMNS, depth: int = DEPTH) -> np.ndarray:
