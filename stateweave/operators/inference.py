@@ -21,6 +21,8 @@ from ..functions.random import generator
 from . import kernels
 from .models import Matrices, Spec
 
+#: Chains that step together in one task.
+BATCH = 256
 CHAIN = "series_id string, chain_id int, block int, count int, weight double, log_posterior double, approx double, theta array<double>, names array<string>"
 
 
@@ -171,12 +173,15 @@ def summarised(pf: dict, n: int, smoothed: bool) -> pd.DataFrame:
 
 
 def run_mcmc(series: DataFrame, spec: Spec, iterations: int, burnin: int | None = None, chains: int = 1, method: str = "is2", sampling: str = "psi", count: int = 10, seed: int = 1, target: float = 0.234, gamma: float = 2 / 3, adapt_after: bool = True) -> DataFrame:
-    """Jump chains (see ``posterior``) of adaptive Metropolis, a task per series and chain.
+    """Jump chains (see ``posterior``) of adaptive Metropolis.
 
-    Gaussian models use their likelihood. Others: ``approx`` (the approximation's), ``pm`` (pseudo-marginal), ``da`` (delayed
+    Chains of Gaussian models with one variable step together, ``BATCH`` chains to a task; others have a task per series
+    and chain. Gaussian models use their likelihood. Others: ``approx`` (the approximation's), ``pm`` (pseudo-marginal), ``da`` (delayed
     acceptance), or ``is1``/``is2``/``is3`` (approximate chains whose blocks ``correct`` then weights in parallel).
     """
     burn = iterations // 2 if burnin is None else burnin
+    if kernels.batchable(spec.build(spec.start())) and dict(series.dtypes)["y"] == "double":
+        return _together(series, spec, iterations, burn, chains, seed, target, gamma, adapt_after)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         sid, chain = frame["series_id"].iloc[0], int(frame["chain_id"].iloc[0])
@@ -216,6 +221,34 @@ def run_mcmc(series: DataFrame, spec: Spec, iterations: int, burnin: int | None
     return correct(chain, series, spec, count, sampling, method, seed) if method in ("is1", "is2", "is3") else chain
 
 
+def _together(series: DataFrame, spec: Spec, iterations: int, burn: int, chains: int, seed: int, target: float, gamma: float, adapt_after: bool) -> DataFrame:
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        groups = [(sid, _arrays(g)[0][:, 0]) for sid, g in frame.groupby("series_id", sort=True)]
+        keys = [(sid, c, y) for sid, y in groups for c in range(1, chains + 1)]
+        data = np.full((len(keys), max(len(y) for _, _, y in keys)), np.nan)
+        for k, (_, _, y) in enumerate(keys):
+            data[k, : len(y)] = y
+
+        def log_target(theta: np.ndarray) -> np.ndarray:
+            out = np.array([spec.log_prior(th) for th in theta])
+            ok = np.flatnonzero(np.isfinite(out))
+            if len(ok):
+                with np.errstate(all="ignore"):
+                    out[ok] += kernels.batched_loglik([spec.build(theta[k]) for k in ok], data[ok])
+            return np.where(np.isnan(out), -np.inf, out)
+
+        found = kernels.batched_metropolis(spec.start(), log_target, iterations, burn, [generator(seed, sid, c) for sid, c, _ in keys], target, gamma, adapt_after)
+        return pd.DataFrame([
+            {"series_id": sid, "chain_id": c, "block": k, "count": n, "weight": 1.0, "log_posterior": lp, "approx": lp, "theta": th.tolist(), "names": list(spec.names)}
+            for (sid, c, _), blocks in zip(keys, found, strict=True) for k, (th, n, lp) in enumerate(blocks, 1)
+        ])
+
+    number = series.select("series_id").distinct().count()
+    cores = series.sparkSession.sparkContext.defaultParallelism
+    buckets = max(1, min(number, max(cores, -(-number * chains // BATCH))))
+    return series.groupBy(F.pmod(F.xxhash64("series_id"), F.lit(buckets)).alias("bucket")).applyInPandas(run, CHAIN)
+
+
 def _per_block(chain: DataFrame, series: DataFrame, work: Callable[[pd.Series, np.ndarray, np.ndarray], dict], columns: str, keep: list[str]) -> DataFrame:
     """``work(block, y, u)`` for every block of a chain, in whatever task it lies; its values follow the columns ``keep``."""
     fields = ["t", "y"] + (["u"] if "u" in series.columns else [])

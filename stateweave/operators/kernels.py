@@ -386,3 +386,66 @@ def metropolis(start: np.ndarray, log_target, iterations: int, burnin: int, rng:
         if i <= burnin or adapt_after:
             S = adapt(S, z, accept, target, i, gamma)
     return [tuple(c) for c in chain]
+
+
+def batchable(model: Matrices) -> bool:
+    """Whether ``batched_loglik`` can take it: one Gaussian variable and no matrix but D over time."""
+    return not model.dist and model.Z.shape == (1, len(model.a1)) and model.T.ndim == model.R.ndim == model.H.ndim == 2 and model.C.ndim == 1
+
+
+def batched_loglik(built: list[Matrices], y: np.ndarray) -> np.ndarray:
+    """Log-likelihoods of many series (rows of y, NaN if missing or past their end), each under its own model, in one pass."""
+    stack = lambda f: np.stack([f(x) for x in built])
+    Z, T, C, a, P = stack(lambda x: x.Z[0]), stack(lambda x: x.T), stack(lambda x: x.C), stack(lambda x: x.a1), stack(lambda x: x.P1)
+    RR, h = stack(lambda x: x.R @ x.R.T), np.array([x.H[0, 0] ** 2 for x in built])
+    n = y.shape[1]
+    moving = any(x.D.ndim == 2 for x in built)
+    D = np.stack([np.resize(x.D[:, 0], n) if x.D.ndim == 2 else np.full(n, x.D[0]) for x in built]) if moving else np.array([[x.D[0]] for x in built])
+    data = y - D
+    seen = np.isfinite(data)
+    Tt, loglik = T.transpose(0, 2, 1), np.zeros(len(built))
+    for t in range(n):
+        pz = (P @ Z[:, :, None])[:, :, 0]
+        f = (pz * Z).sum(1) + h
+        ok = seen[:, t] & (f > TOLERANCE)
+        f = np.where(ok, f, 1.0)
+        v = np.where(ok, data[:, t] - (a * Z).sum(1), 0.0)
+        g = ok / f
+        loglik -= np.where(ok, 0.5 * (LOG_2PI + np.log(f) + v * v * g), 0.0)
+        a = C + (T @ (a + pz * (v * g)[:, None])[:, :, None])[:, :, 0]
+        P = T @ (P - pz[:, :, None] * (pz * g[:, None])[:, None, :]) @ Tt + RR
+    return loglik
+
+
+def batched_metropolis(start: np.ndarray, log_target, iterations: int, burnin: int, rngs: list[np.random.Generator], target: float = 0.234, gamma: float = 2 / 3, adapt_after: bool = True) -> list[list[list]]:
+    """Jump chains [theta, count, log target] of many chains that step together; each draws from its own generator."""
+    B, d = len(rngs), len(start)
+    theta = np.tile(start, (B, 1))
+    S = np.tile(np.diag(0.1 * np.maximum(0.1, np.abs(start))), (B, 1, 1))
+    current = log_target(theta)
+    if not np.isfinite(current).all():
+        raise ValueError("the posterior is not finite at the starting values")
+    chains: list[list[list]] = [[] for _ in rngs]
+    moved = np.ones(B, bool)
+    block = 512
+    for i in range(1, iterations + 1):
+        if (i - 1) % block == 0:
+            z_all = np.stack([r.standard_normal((block, d)) for r in rngs])
+            u_all = np.stack([r.random(block) for r in rngs])
+        z, u = z_all[:, (i - 1) % block], u_all[:, (i - 1) % block]
+        proposal = theta + (S @ z[:, :, None])[:, :, 0]
+        value = log_target(proposal)
+        accept = np.exp(np.minimum(0.0, np.where(np.isfinite(value), value - current, -np.inf)))
+        yes = u < accept
+        theta, current, moved = np.where(yes[:, None], proposal, theta), np.where(yes, value, current), moved | yes
+        if i > burnin:
+            for b in range(B):
+                if moved[b] or not chains[b]:
+                    chains[b].append([theta[b].copy(), 0, float(current[b])])
+                chains[b][-1][1] += 1
+            moved[:] = False
+        if i <= burnin or adapt_after:
+            eta = min(1.0, d * i**-gamma)
+            inner = np.eye(d) + (eta * (accept - target) / (z * z).sum(1))[:, None, None] * z[:, :, None] * z[:, None, :]
+            S = np.linalg.cholesky(S @ inner @ S.transpose(0, 2, 1))
+    return chains
