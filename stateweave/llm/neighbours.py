@@ -52,6 +52,8 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
 
 def centroids(x: np.ndarray, lists: int) -> np.ndarray:
     """About ``lists`` unit centroids, each of about the same number of the unit rows ``x``."""
+    if not len(x):
+        return np.ones((1, 1), np.float32)
     rng = np.random.default_rng(3)
     most = max(1, -(-len(x) // max(1, lists)))
     todo, out = [np.arange(len(x))], []
@@ -194,8 +196,6 @@ def search(rows: DataFrame, every: int = EVERY, nearest: int = NEAREST, sample:
     x = np.frombuffer(b"".join(bytes(r.v) for r in got), np.float64)
     x = unit(x.reshape(len(got), -1)).astype(np.float32) if got else np.zeros((0, 1), np.float32)
     index = centroids(x, min(MAX_LISTS, max(1, number // LIST)))
-    if not len(index):
-        index = np.ones((1, 1), np.float32)
     posts = _blocks(_posted(kept.select("vec_id", "v"), index, SPREAD, COPIES), ["vec_id"], BLOCK, "posts")
     asked = queries.dropDuplicates(["h1", "h2"]).select("h1", "h2", "v")
     asks = _blocks(_posted(asked, index, prune), ["h1", "h2"], BLOCK, "asks")
