@@ -314,18 +314,22 @@ def bootstrap(model: Matrices, y: np.ndarray, u: np.ndarray, count: int, rng: np
     return out | {"loglik": out["loglik"] + const}
 
 
-def guided(approx: Approximation, count: int, rng: np.random.Generator) -> dict:
-    """Particle filter that proposes from the approximating model's smoothing distribution (exact if that is the model)."""
-    s = smoother(approx.model, approx.y)
-    n = len(approx.y)
+def smoothing_moves(s: dict) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Regressions of each smoothed state on the one before, and factors of what they leave; first the first state's own."""
     gains, roots = [], [root(s["variances"][0])]
-    for t in range(n):
-        V = s["variances"][t]
-        G = s["lag"][t].T @ np.linalg.pinv(V, hermitian=True)
+    for t in range(len(s["lag"])):
+        G = s["lag"][t].T @ np.linalg.pinv(s["variances"][t], hermitian=True)
         gains.append(G)
         C = s["variances"][t + 1] - G @ s["lag"][t]
         vals, vecs = np.linalg.eigh((C + C.T) / 2)
         roots.append(vecs * np.sqrt(np.maximum(vals, 0)))
+    return gains, roots
+
+
+def guided(approx: Approximation, count: int, rng: np.random.Generator) -> dict:
+    """Particle filter that proposes from the approximating model's smoothing distribution (exact if that is the model)."""
+    s = smoother(approx.model, approx.y)
+    gains, roots = smoothing_moves(s)
     m = len(approx.model.a1)
 
     def weight(t, x, _):
@@ -340,7 +344,7 @@ def guided(approx: Approximation, count: int, rng: np.random.Generator) -> dict:
     def move(t, x):
         return s["means"][t + 1] + (x - s["means"][t]) @ gains[t].T + rng.standard_normal((count, m)) @ roots[t + 1].T
 
-    out = particles(n, count, lambda: s["means"][0] + rng.standard_normal((count, m)) @ roots[0].T, move, weight, rng)
+    out = particles(len(approx.y), count, lambda: s["means"][0] + rng.standard_normal((count, m)) @ roots[0].T, move, weight, rng)
     return out | {"loglik": approx.loglik + out["loglik"]}
 
 

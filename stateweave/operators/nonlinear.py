@@ -16,6 +16,7 @@ from ..functions.priors import Prior
 from ..functions.random import generator, normal
 from . import kernels
 from .inference import per_series, summarised
+from .models import Matrices
 
 
 @dataclass(frozen=True)
@@ -167,6 +168,66 @@ def extended_particles(model: NonLinear, y: np.ndarray, th: np.ndarray, count: i
     )
 
 
+def linearised(model: NonLinear, th: np.ndarray, mode: np.ndarray) -> Matrices:
+    """The Gaussian model that touches the non-linear one along a path of n + 1 states."""
+    n, m = len(mode) - 1, mode.shape[1]
+    Z = np.stack([np.atleast_2d(model.Z_gradient(x, th)) for x in mode[:n]])
+    T = np.stack([np.atleast_2d(model.T_gradient(x, th)) for x in mode[:n]])
+    D = model.Z(mode[:n], th) - np.einsum("tpm,tm->tp", Z, mode[:n])
+    C = model.T(mode[:n], th) - np.einsum("tij,tj->ti", T, mode[:n])
+    return Matrices(Z, T, model.R(th), np.asarray(model.a1(th), float), np.asarray(model.P1(th), float).reshape(m, m), model.H(th), D, C)
+
+
+def log_joint(model: NonLinear, th: np.ndarray, x: np.ndarray, y: np.ndarray) -> float:
+    """log p(states) + log p(y | states) of one path of n + 1 states."""
+    total = _log_normal((x[0] - np.asarray(model.a1(th)))[None], np.asarray(model.P1(th), float))[0]
+    total += _log_normal(x[1:] - model.T(x[:-1], th), model.R(th) @ model.R(th).T).sum()
+    return float(total + sum(_observed(model, th, x[t : t + 1], y[t])[0] for t in range(len(y))))
+
+
+def approximation(model: NonLinear, th: np.ndarray, y: np.ndarray, rounds: int = 100, tolerance: float = 1e-8, iterations: int = 0) -> tuple[Matrices, np.ndarray]:
+    """The linearisation at the states' mode, found from the extended smoother by Taylor steps that are halved if they overshoot."""
+    mode = extended_smoother(model, y, th, iterations)[0]
+    value = log_joint(model, th, mode, y)
+    for _ in range(rounds):
+        approx = linearised(model, th, mode)
+        step = kernels.fast_means(approx, y[None], kernels.kalman(approx, y))[0] - mode
+        for _ in range(15):
+            new = log_joint(model, th, mode + step, y)
+            if new >= value - 1e-9:
+                break
+            step = step / 2
+        mode, change, value = mode + step, float(np.mean(step**2)), new
+        if change < tolerance or not math.isfinite(value):
+            break
+    return linearised(model, th, mode), mode
+
+
+def guided(model: NonLinear, y: np.ndarray, th: np.ndarray, count: int, rng: np.random.Generator) -> dict:
+    """Particle filter that proposes from the linearisation's smoothing distribution; weights correct both densities."""
+    approx, _ = approximation(model, th, y)
+    s = kernels.smoother(approx, y)
+    gains, roots = kernels.smoothing_moves(s)
+    m, a1, P1 = len(approx.a1), approx.a1, approx.P1
+    RR, HH = model.R(th) @ model.R(th).T, model.H(th) @ model.H(th).T
+
+    def weight(t, x, before):
+        seen = np.isfinite(y[t])
+        out = _observed(model, th, x, y[t])
+        if seen.any():
+            out = out - _log_normal((y[t] - approx.at("D", t) - x @ approx.at("Z", t).T)[:, seen], HH[np.ix_(seen, seen)])
+        if before is not None:
+            d = x - model.T(before, th)
+            out = out + _log_normal(d, RR) - _log_normal(x - approx.at("C", t - 1) - before @ approx.at("T", t - 1).T, RR)
+        return out
+
+    def move(t, x):
+        return s["means"][t + 1] + (x - s["means"][t]) @ gains[t].T + rng.standard_normal((count, m)) @ roots[t + 1].T
+
+    out = kernels.particles(len(y), count, lambda: s["means"][0] + rng.standard_normal((count, m)) @ roots[0].T, move, weight, rng)
+    return out | {"loglik": out["loglik"] + s["loglik"]}
+
+
 @dataclass(frozen=True)
 class Diffusion:
     """dx = drift dt + diffusion dB between unit times; y has log density ``log_obs(y, x, theta)``."""
@@ -206,7 +267,7 @@ def log_posterior(model: NonLinear | Diffusion, theta: np.ndarray, loglik: float
 
 
 def filter_series(series: DataFrame, model: NonLinear | Diffusion, theta, method: str = "ekf", count: int = 100, level: int = 4, iterations: int = 0, smoothed: bool = False, seed: int = 1) -> DataFrame:
-    """t, mean, cov (flattened) and loglik of each series by ``ekf``, ``ukf``, ``bsf``, ``ekpf`` or, for a diffusion, ``sde``."""
+    """t, mean, cov (flattened) and loglik of each series by ``ekf``, ``ukf``, ``bsf``, ``ekpf``, ``psi`` or, for a diffusion, ``sde``."""
     th = np.asarray(theta, float)
 
     def work(sid, y, u):
@@ -219,7 +280,7 @@ def filter_series(series: DataFrame, model: NonLinear | Diffusion, theta, method
                 mean, cov, ll = f["att"], f["Ptt"], f["loglik"]
             n = len(y)
             return pd.DataFrame({"t": range(1, n + 1), "mean": mean[:n].tolist(), "cov": [c.ravel().tolist() for c in cov[:n]], "loglik": ll})
-        pf = {"bsf": bootstrap, "ekpf": extended_particles}[method](model, y, th, count, rng) if method != "sde" else diffusion_particles(model, y, th, count, level, rng)
+        pf = {"bsf": bootstrap, "ekpf": extended_particles, "psi": guided}[method](model, y, th, count, rng) if method != "sde" else diffusion_particles(model, y, th, count, level, rng)
         return summarised(pf, len(y), smoothed)
 
     return per_series(series, work, "t int, mean array<double>, cov array<double>, loglik double")
@@ -263,6 +324,40 @@ def run_mcmc(series: DataFrame, model: NonLinear | Diffusion, start, iterations:
     return keyed.groupBy("series_id", "chain_id").applyInPandas(run, CHAIN)
 
 
+def correct(chain: DataFrame, series: DataFrame, model: NonLinear | Diffusion, count: int = 50, sampling: str = "bsf", level: int = 4, seed: int = 1) -> DataFrame:
+    """Importance weights exp(unbiased - cheap log-likelihood) for each block of an ``ekf`` (or coarse) chain."""
+    from .inference import _per_block
+
+    def work(block, y, u):
+        th, rng = np.array(block.theta), generator(seed, block.series_id, block.chain_id, block.block, "is")
+        if isinstance(model, Diffusion):
+            value = diffusion_particles(model, y, th, count, level, rng)["loglik"]
+        else:
+            value = {"bsf": bootstrap, "ekpf": extended_particles, "psi": guided}[sampling](model, y, th, count, rng)["loglik"]
+        return {"log_weight": value - block.approx, "log_posterior": block.log_posterior + value - block.approx}
+
+    keep = ["series_id", "chain_id", "block", "count", "log_posterior", "approx", "theta", "names"]
+    rows = _per_block(chain, series, work, "log_weight double", keep)
+    return rows.withColumn("weight", F.exp("log_weight")).select("series_id", "chain_id", "block", "count", "weight", "log_posterior", "approx", "theta", "names")
+
+
+def predict(chain: DataFrame, series: DataFrame, model: NonLinear, horizon: int, count: int = 50, seed: int = 1, kind: str = "response") -> DataFrame:
+    """t, variable, value and weight of ``horizon`` future steps from each block, from a particle drawn at n + 1."""
+    from .inference import _long_path, _per_block
+
+    def work(block, y, u):
+        th, rng = np.array(block.theta), generator(seed, block.series_id, block.chain_id, block.block, "predict")
+        x = bootstrap(model, y, th, count, rng)["states"][-1][rng.integers(count)][None]
+        H, R, out = model.H(th), model.R(th), []
+        for _ in range(horizon):
+            z = model.Z(x, th)
+            out.append((x if kind == "state" else z if kind == "mean" else z + rng.standard_normal((1, H.shape[1])) @ H.T)[0].tolist())
+            x = model.T(x, th) + rng.standard_normal((1, R.shape[1])) @ R.T
+        return {"first": len(y) + 1, "path": out}
+
+    return _long_path(_per_block(chain, series, work, "first int, path array<array<double>>", ["series_id", "chain_id", "block", "count", "weight"]))
+
+
 def milstein_column(x0: float, drift, diffusion, gradient, steps: Column, dt: float, seed: Column) -> Column:
     """A Milstein path as a column fold: the state after each of ``steps`` steps, with hash random numbers."""
 

@@ -76,7 +76,7 @@ def autocovariances(draws: DataFrame, by: list[str], max_lag: int) -> DataFrame:
     lags = behind.select(*by, "n", "d", F.posexplode("behind").alias("lag", "e"))
     products = lags.groupBy(*by, "lag").agg(F.first("n").alias("n"), F.sum(F.col("d") * F.col("e")).alias("c"))
     c0 = F.max(F.when(F.col("lag") == 0, F.col("c"))).over(Window.partitionBy(*by))
-    return products.select(*by, "lag", "n", (F.col("c") / c0).alias("rho"))
+    return products.select(*by, "lag", "n", F.try_divide("c", c0).alias("rho"))
 
 
 def iact(draws: DataFrame, by: list[str], max_lag: int = 100) -> DataFrame:
@@ -99,7 +99,7 @@ def effective_size(draws: DataFrame, by: list[str], max_lag: int = 100) -> DataF
     times = iact(z.select(*by, "iter", F.col("z").alias("value")), by, max_lag)
     joined = moments.join(times, by)
     var = F.col("vz") * F.col("iact") / (F.col("w") * F.col("w")) / F.col("n")
-    return joined.select(*by, var.alias("asymptotic_var"), (F.col("v") / var).alias("ess"))
+    return joined.select(*by, var.alias("asymptotic_var"), F.try_divide(F.col("v"), var).alias("ess"))
 
 
 def rhat(draws: DataFrame, by: list[str]) -> DataFrame:
@@ -107,7 +107,39 @@ def rhat(draws: DataFrame, by: list[str]) -> DataFrame:
     half = F.ntile(2).over(Window.partitionBy(*by, "chain_id").orderBy("iter"))
     parts = draws.withColumn("half", half).groupBy(*by, "chain_id", "half").agg(F.avg("value").alias("m"), F.var_samp("value").alias("v"), F.count("*").alias("n"))
     pooled = parts.groupBy(*by).agg(F.avg("v").alias("w"), F.var_samp("m").alias("b"), F.avg("n").alias("n"))
-    return pooled.select(*by, F.sqrt(((F.col("n") - 1) / F.col("n") * F.col("w") + F.col("b")) / F.col("w")).alias("rhat"))
+    return pooled.select(*by, F.sqrt(F.try_divide((F.col("n") - 1) / F.col("n") * F.col("w") + F.col("b"), F.col("w"))).alias("rhat"))
+
+
+def rank_normal(draws: DataFrame, by: list[str]) -> DataFrame:
+    """``value`` replaced by normal scores of its ranks over all chains: (r - 3/8) / (n + 1/4)."""
+    every = Window.partitionBy(*by)
+    r = F.rank().over(every.orderBy("value")) + (F.count("*").over(Window.partitionBy(*by, "value")) - 1) / 2
+    return draws.withColumn("p", (r - 0.375) / (F.count("*").over(every) + 0.25)).withColumn("value", normal_quantile(F.col("p"))).drop("p")
+
+
+def normal_quantile(p: Column) -> Column:
+    """Inverse normal distribution by Hastings' rational approximation (error under 5e-4)."""
+    tail = F.least(p, 1 - p)
+    t = F.sqrt(-2 * F.log(tail))
+    z = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t)
+    return F.when(p < 0.5, -z).otherwise(z)
+
+
+def diagnostics(draws: DataFrame, by: list[str], max_lag: int = 100) -> DataFrame:
+    """For each of ``by``: R-hat of ranks, bulk size (of normal scores) and tail size (the lesser of both 5 % tails'), summed over chains."""
+    scores = rank_normal(draws, by)
+    keys = [*by, "chain_id"]
+    every = Window.partitionBy(*by)
+    tails = draws.withColumns({"low": F.percentile("value", F.lit(0.05)).over(every), "high": F.percentile("value", F.lit(0.95)).over(every)})
+
+    def size(d: DataFrame, name: str) -> DataFrame:
+        e = iact(d.select(*keys, "iter", "value"), keys, max_lag)
+        return e.groupBy(*by).agg(F.sum(F.col("n") / F.greatest("iact", F.lit(1e-9))).alias(name))
+
+    low = size(tails.withColumn("value", (F.col("value") <= F.col("low")).cast("double")), "low_size")
+    high = size(tails.withColumn("value", (F.col("value") >= F.col("high")).cast("double")), "high_size")
+    out = rhat(scores, by).join(size(scores, "bulk_size"), by).join(low, by).join(high, by)
+    return out.select(*by, "rhat", "bulk_size", F.least("low_size", "high_size").alias("tail_size"))
 
 
 def stratified(particles: DataFrame, by: list[str], uniform: Column) -> DataFrame:

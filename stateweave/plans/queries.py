@@ -508,6 +508,23 @@ def extended_particles(spark, sf_dir):
     return nonlinear.filter_series(_scaled(spark, sf_dir), nonlinear.example("nlg_ar_exp"), [0.0, 0.6, -1.5, -1.0], "ekpf", count=50)
 
 
+@query()
+def nonlinear_guided(spark, sf_dir):
+    return nonlinear.filter_series(_scaled(spark, sf_dir), nonlinear.example("nlg_ar_exp"), [0.0, 0.6, -1.5, -1.0], "psi", count=50)
+
+
+@query()
+def nonlinear_importance(spark, sf_dir):
+    s, model = _scaled(spark, sf_dir), nonlinear.example("nlg_ar_exp")
+    chain = nonlinear.run_mcmc(s, model, [0.0, 0.6, -1.5, -1.0], 60)
+    return posterior.weighted_summary(posterior.long_draws(nonlinear.correct(chain, s, model), expand=False), ["series_id", "variable"])
+
+
+@query()
+def mcmc_diagnostics(spark, sf_dir):
+    return posterior.diagnostics(posterior.long_draws(inference.run_mcmc(src.daily_counts(spark, sf_dir), TREND_SPEC, 400, chains=2)), ["series_id", "variable"], 50)
+
+
 @query()
 def diffusion_filter(spark, sf_dir):
     logs = _scaled(spark, sf_dir).withColumn("y", F.log("y"))

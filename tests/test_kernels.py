@@ -136,6 +136,20 @@ def test_extended_and_unscented_filters_are_kalman_for_a_linear_model():
     assert abs(nonlinear.extended_particles(model, y, th, 500, r)["loglik"] - k["loglik"]) < 0.3
 
 
+def test_guided_particles_of_nonlinear_models():
+    linear, y, r = nonlinear.example("nlg_linear_gaussian"), rng.normal(size=(10, 1)), np.random.default_rng(7)
+    th = np.array([math.log(0.5)])
+    want = nonlinear.extended_filter(linear, y, th)["loglik"]
+    assert abs(nonlinear.guided(linear, y, th, 20, r)["loglik"] - want) < 1e-6  # the proposal is exact
+    model, th = nonlinear.example("nlg_ar_exp"), np.array([0.0, 0.6, -1.5, -1.0])
+    y = np.exp(0.2 * rng.normal(size=(15, 1))) + 0.3 * rng.normal(size=(15, 1))
+    y[6] = np.nan
+    approx, mode = nonlinear.approximation(model, th, y)
+    again = kernels.fast_means(approx, y[None], kernels.kalman(approx, y))[0]
+    assert np.abs(again - mode).max() < 1e-3
+    assert abs(nonlinear.guided(model, y, th, 2000, r)["loglik"] - nonlinear.bootstrap(model, y, th, 20000, r)["loglik"]) < 0.1
+
+
 def test_gradients_of_the_growth_model():
     model, x, th = nonlinear.example("nlg_growth"), np.array([0.3, 80.0]), np.zeros(3)
     h = 1e-6
