@@ -41,6 +41,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The most rows of a table of ids (and a few small columns) that is broadcast: some 10 to 40 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a written table, marked for broadcast if its counted rows are few; joins shuffle it otherwise."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, rows: int = 512) -> DataFrame:
     """``mapInArrow`` in slices of at most ``rows`` rows; ``make`` runs once per task and returns the slice function."""
 

@@ -3,10 +3,11 @@
 A document's set is its distinct 5-word shingles (A-Z in lower case), as 64-bit hashes. Equal sets are one class. Each of
 ``TREES`` trees branches the classes by selected minwise tokens: a node chooses ``BRANCHES`` of the ``K`` min-hash functions
 by its path, and a class goes to the children of its tokens. Nodes of at most ``LEAF`` classes (and ``LEAF_SHINGLES``
-shingles) are compared exhaustively in one task: sketches rank the pairs and full sets confirm them, until everything left
-is connected or fails. A larger node first compares all members with its pivots on full sets; if these links, with all
-found so far, connect the whole node it is done, else it branches. Nodes still larger at ``DEPTH`` are compared in blocks:
-all members outside the node's main component against all members. Nothing is capped.
+shingles) are compared exhaustively in one task: sketches find the members that may have a partner, and full sets of
+these confirm links, until everything left is connected or fails. The first tree is linked first; the others then skip nodes
+whose members are connected already. A larger node compares all members with its pivots on full sets; if these links, with
+all found so far, connect the whole node it is done, else it branches. Nodes still larger at ``DEPTH`` are compared in
+blocks: all members outside the node's main component against all members. Nothing is capped.
 
 With trees x branches root tokens a pair of similarity 0.85 shares none with probability 0.15^8.
 
@@ -21,20 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, map_rows, materialize, mix, shingles
-from .components import components
+from .common import WordHasher, map_rows, materialize, mix, shingles, small
+from .components import extended
 
 WIDTH = 5
 PERCENT = 85
 K = 128
 TREES = 4
 BRANCHES = 2
-LEAF = 512
-LEAF_SHINGLES = 4_000_000
+LEAF = 8192
+LEAF_SHINGLES = 2_000_000
 DEPTH = 5
 PIVOTS = 2
 SKETCH = 0.65
-BROADCAST_IDS = 1_000_000
 
 _SEEDS = np.random.default_rng(11).integers(1, 2**32, (2, K), np.uint64).astype(np.uint32) | np.uint32(1)
 
@@ -84,8 +84,8 @@ def _signatures():
             for text in batch.column("text").to_pylist():
                 values = shingle_set(text, hasher)
                 n.append(len(values))
-                low.append(np.add.reduce(mix(values)).astype(np.int64))
-                high.append(np.bitwise_xor.reduce(mix(values + np.uint64(77))).astype(np.int64))
+                d = digest(values)
+                low.append(d[0]), high.append(d[1])
                 sigs.append(signature(values))
             s = np.array(sigs)
             paths = np.column_stack([children(np.full(len(s), r), s) for r in roots])
@@ -100,21 +100,45 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, set) of the documents in ``ids`` (column id, distinct), made anew from their texts."""
+def packed(values: np.ndarray) -> bytes:
+    """A set's hashes cut to 40 bits, sorted, 5 bytes each: two sets of 10,000 confuse a shingle once in 10,000 pairs."""
+    return np.unique(values & np.uint64(2**40 - 1)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpacked(raw) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.view(np.uint64).ravel()
+
+
+def digest(values: np.ndarray) -> tuple[int, int]:
+    """Two signed 64-bit hashes of a set."""
+    with np.errstate(over="ignore"):
+        return int(np.add.reduce(mix(values)).astype(np.int64)), int(np.bitwise_xor.reduce(mix(values + np.uint64(77))).astype(np.int64))
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (one row per id: id, low, high and more) with ``set``, made anew from the texts of that digest."""
     texts = _rows(docs).withColumnRenamed("doc_id", "id")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids  # 8 MB at most
+    wanted = small(wanted)
+    joined = texts.join(wanted, "id")
+    names = [c for c in joined.columns if c != "text"]
+    schema = ", ".join(f"{c} {t}" for c, t in joined.dtypes if c != "text")
 
     def make():
         hasher = WordHasher()
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingle_set(t, hasher).tobytes() for t in batch.column("text").to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "set"])
+            sets, ok = [], []
+            for text, low, high in zip(*(batch.column(c).to_pylist() for c in ("text", "low", "high")), strict=True):
+                values = shingle_set(text, hasher)
+                ok.append(digest(values) == (low, high))
+                sets.append(packed(values))
+            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sets, pa.binary())], [*names, "set"]).filter(pa.array(ok, pa.bool_()))
 
         return work
 
-    return map_rows(texts.join(ids, "id", "left_semi"), make, "id long, set binary", 128)
+    return map_rows(joined, make, f"{schema}, set binary", 128)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -127,67 +151,111 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
-def link_leaf(ids: list[int], sigs: list[bytes], sets: list[bytes]) -> list[tuple[int, int]]:
-    """Links (id, least id) that connect a leaf's classes as all its confirmed pairs would."""
-    m = len(ids)
-    s = np.frombuffer(b"".join(sigs), np.uint32).reshape(m, K)
-    arrays = [np.frombuffer(x, np.uint64) for x in sets]
-    size = np.fromiter(map(len, arrays), np.int64, m)
-    root = list(range(m))
+def partners(sigs: np.ndarray, sizes: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """Which members have, by sketches and sizes, a possible partner in another part."""
+    found = np.zeros(len(sizes), bool)
+    for i in range(len(sizes) - 1):
+        rest = np.flatnonzero((100 * np.minimum(sizes[i + 1 :], sizes[i]) >= PERCENT * np.maximum(sizes[i + 1 :], sizes[i])) & (parts[i + 1 :] != parts[i])) + i + 1
+        if len(rest):
+            near = rest[(sigs[rest] == sigs[i]).mean(1) >= SKETCH]
+            found[near] = True
+            found[i] |= len(near) > 0
+    return found
 
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = i = root[root[i]]
-        return i
 
-    pairs = []
-    for i in range(m - 1):
+def sketch(values: np.ndarray) -> np.ndarray:
+    """Least value of each of 128 ranges of the 40-bit hashes; all ones where there is none."""
+    out = np.full(128, 2**64 - 1, np.uint64)
+    place, first = np.unique(values >> np.uint64(33), return_index=True)
+    out[place.astype(int)] = values[first]
+    return out
+
+
+def link_leaf(ids: np.ndarray, parts: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links (id, least id of its group) that connect a leaf's classes as all its confirmed pairs would.
+
+    ``parts`` are components known before. Sets of 400 and more are ranked by sketches; smaller ones are compared as they are.
+    """
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    s = np.array([sketch(x) for x in sets])
+    full = s != np.uint64(2**64 - 1)
+    part = np.unique(parts, return_inverse=True)[1]
+    before = part.copy()
+    for i in range(len(ids) - 1):
         rest = size[i + 1 :]
-        fits = np.flatnonzero(100 * np.minimum(rest, size[i]) >= PERCENT * np.maximum(rest, size[i])) + i + 1
-        share = (s[fits] == s[i]).mean(1)
-        near = share >= SKETCH
-        pairs += zip((-share[near]).tolist(), [i] * int(near.sum()), fits[near].tolist(), strict=True)
-    for _, i, j in sorted(pairs):
-        a, b = find(i), find(j)
-        if a != b and similar(arrays[i], arrays[j]):
-            root[max(a, b, key=ids.__getitem__)] = min(a, b, key=ids.__getitem__)
-    return [(ids[i], ids[r]) for i in range(m) if (r := find(i)) != i]
-
-
-def _leaf_links(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
-    """Links within leaves; ``members`` has (path, id). Leaves of the same members are compared once."""
+        other = np.flatnonzero((part[i + 1 :] != part[i]) & (100 * np.minimum(rest, size[i]) >= PERCENT * np.maximum(rest, size[i]))) + i + 1
+        if not len(other):
+            continue
+        share = ((s[other] == s[i]) & full[i]).sum(1) / np.maximum(1, (full[other] | full[i]).sum(1))
+        keep = (share >= SKETCH) | (size[i] < 400)
+        for j in other[keep][np.argsort(-share[keep], kind="stable")]:
+            if part[i] != part[j] and similar(sets[i], sets[j]):
+                part[part == part[j]] = part[i]
+    least: dict[int, int] = {}
+    for k, i in zip(part.tolist(), ids.tolist(), strict=True):
+        least[k] = min(i, least.get(k, i))
+    return [(i, least[k]) for i, k, b in zip(ids.tolist(), part.tolist(), before.tolist(), strict=True) if i != least[k]]
+
+
+def _leaf_links(docs: DataFrame, classes: DataFrame, members: DataFrame, comps: DataFrame | None, unique: bool) -> DataFrame:
+    """Links within leaves; ``members`` has (path, id). Leaves of the same members, or of one component, are left out."""
     leaves = members.groupBy("path").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # at most LEAF each
     leaves = leaves.groupBy(F.xxhash64("ids").alias("leaf"), F.size("ids").alias("size")).agg(F.first("ids").alias("ids"))
     inside = materialize(leaves.select("leaf", F.explode("ids").alias("id")), "leaves")
-    needed = materialize(inside.select("id").distinct(), "leaf-ids")
-    full = materialize(_sets(docs, needed), "leaf-sets")
-    full = full.groupBy("id").agg(F.first("set").alias("set")).join(classes.select("id", "sig"), "id")
-    groups = inside.join(full, "id").groupBy("leaf").agg(F.collect_list(F.struct("id", "sig", "set")).alias("g"))
+    if comps is None:
+        inside = inside.withColumn("c", F.col("id"))
+    else:
+        placed = inside.join(comps.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+        placed = materialize(placed, "placed")
+        mixed = placed.groupBy("leaf").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("leaf")
+        inside = placed.join(mixed, "leaf")
+    known = inside.join(classes.select("id", "n", "low", "high", "sig"), "id")
+    groups = known.groupBy("leaf").agg(F.collect_list(F.struct("id", "c", "n", "low", "high", "sig")).alias("g"))
+
+    def select():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            cols: list[list[np.ndarray]] = [[] for _ in range(5)]
+            for leaf, g in zip(batch.column("leaf").to_pylist(), batch.column("g"), strict=True):
+                v = g.values
+                ids, c, n, low, high = (np.asarray(v.field(k)) for k in range(5))
+                at = np.flatnonzero(partners(np.frombuffer(b"".join(v.field(5).to_pylist()), np.uint32).reshape(-1, K), n, c))
+                for col, x in zip(cols, (np.full(len(at), leaf), ids[at], c[at], low[at], high[at]), strict=True):
+                    col.append(x)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["leaf", "id", "c", "low", "high"])
+
+        return work
+
+    wanted = materialize(map_rows(groups, select, "leaf long, id long, c long, low long, high long", 64), "wanted")
+    by_id = wanted.groupBy("id", "low", "high").agg(F.collect_list(F.struct("leaf", "c")).alias("at"))
+    full = _sets(docs, materialize(by_id, "wanted-ids"))
+    full = full.select("id", "set", "at") if unique else full.groupBy("id").agg(F.first("set").alias("set"), F.first("at").alias("at"))
+    full = full.select("id", "set", F.explode("at").alias("x")).select("x.leaf", F.struct("id", "x.c", "set").alias("m"))
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = []
             for g in batch.column("g"):
                 v = g.values
-                found += link_leaf(*(v.field(k).to_pylist() for k in range(3)))
+                found += link_leaf(np.asarray(v.field(0)), np.asarray(v.field(1)), [unpacked(x) for x in v.field(2).to_pylist()])
             return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(2)], ["a", "b"])
 
         return work
 
-    return materialize(map_rows(groups.select("g"), make, "a long, b long", 64), "leaf-links")
+    return materialize(map_rows(full.groupBy("leaf").agg(F.collect_list("m").alias("g")).select("g"), make, "a long, b long", 64), "leaf-links")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets are similar."""
     pairs = materialize(pairs.distinct(), "pairs")
     ids = materialize(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "pair-ids")
-    sets = materialize(_sets(docs, ids).groupBy("id").agg(F.first("set").alias("set")), "pair-sets")
+    wanted = materialize(classes.join(ids, "id").select("id", "low", "high"), "pair-classes")
+    sets = materialize(_sets(docs, wanted).groupBy("id").agg(F.first("set").alias("set")), "pair-sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             x, y = batch.column("x"), batch.column("y")
-            ok = [similar(np.frombuffer(x[k].as_buffer(), np.uint64), np.frombuffer(y[k].as_buffer(), np.uint64)) for k in range(batch.num_rows)]
+            ok = [similar(unpacked(x[k].as_buffer()), unpacked(y[k].as_buffer())) for k in range(batch.num_rows)]
             return batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
         return work
@@ -199,8 +267,8 @@ def _counted(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members (path, id, n) of leaves and of larger nodes; nodes of one member go."""
     sizes = materialize(members.groupBy("path").agg(F.count("*").alias("c"), F.sum("n").alias("w")).where("c > 1"), "nodes")
     known = materialize(members.join(sizes, "path"), "members")
-    small = (F.col("c") <= LEAF) & (F.col("w") <= LEAF_SHINGLES)
-    return known.where(small).select("path", "id", "n"), known.where(~small).select("path", "id", "n")
+    is_leaf = (F.col("c") <= LEAF) & (F.col("w") <= LEAF_SHINGLES)
+    return known.where(is_leaf).select("path", "id", "n"), known.where(~is_leaf).select("path", "id", "n")
 
 
 def _branched(members: DataFrame, classes: DataFrame) -> DataFrame:
@@ -216,12 +284,11 @@ def _branched(members: DataFrame, classes: DataFrame) -> DataFrame:
     return map_rows(members.join(classes.select("id", "sig"), "id"), make, "id long, n long, paths array<long>", 4096).select(F.explode("paths").alias("path"), "id", "n")
 
 
-def _open_nodes(large: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members of large nodes that the links don't connect, with their component ``c``; and those nodes' main components."""
-    comps = components(links).withColumnRenamed("component", "c")
-    placed = materialize(large.join(comps, "id", "left").withColumn("c", F.coalesce("c", "id")), "placed")
+def _open_nodes(large: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members of large nodes that no links connect so far, with their component ``c``."""
+    placed = materialize(large.join(comps.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id")), "placed")
     nodes = placed.groupBy("path").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("path")
-    return materialize(placed.join(materialize(nodes, "open-nodes"), "path"), "open"), placed
+    return materialize(placed.join(materialize(nodes, "open-nodes"), "path"), "open")
 
 
 def _pivot_pairs(large: DataFrame) -> DataFrame:
@@ -250,27 +317,30 @@ def _block_links(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataF
         return work
 
     near = map_rows(both, make, "a long, b long", 4096)
-    return _confirmed(docs, near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
-
-
-def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links (a, b) between classes that connect them as all pairs of similar sets would."""
-    level = classes.select(F.explode("paths").alias("path"), "id", "n")
-    leaves, found = [], []
-    for depth in range(DEPTH + 1):
-        small, large = _counted(level)
-        leaves.append(small)
-        if large.isEmpty():
-            break
-        found.append(_confirmed(docs, _pivot_pairs(large)))
-        open_, _ = _open_nodes(large, _union(found))
-        if open_.isEmpty():
-            break
-        if depth == DEPTH:
-            found.append(_block_links(docs, classes, open_))
-        else:
-            level = _branched(open_.select("path", "id", "n"), classes)
-    return _union([*found, _leaf_links(docs, classes, _union(leaves))])
+    return _confirmed(docs, classes, near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+
+
+def linked(docs: DataFrame, classes: DataFrame, unique: bool) -> DataFrame:
+    """(id, component) of the classes with a link; components are those of all pairs of similar sets."""
+    roots = classes.select(F.posexplode("paths").alias("root", "path"), "id", "n")
+    comps = None
+    for level in (roots.where(F.col("root") < BRANCHES), roots.where(F.col("root") >= BRANCHES)):
+        leaves, level = [], level.select("path", "id", "n")
+        for depth in range(DEPTH + 1):
+            few, large = _counted(level)
+            leaves.append(few)
+            if large.isEmpty():
+                break
+            comps = extended(comps, _confirmed(docs, classes, _pivot_pairs(large)))
+            open_ = _open_nodes(large, comps)
+            if open_.isEmpty():
+                break
+            if depth == DEPTH:
+                comps = extended(comps, _block_links(docs, classes, open_))
+            else:
+                level = _branched(open_.select("path", "id", "n"), classes)
+        comps = extended(comps, _leaf_links(docs, classes, _union(leaves), comps, unique))
+    return comps
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -285,7 +355,8 @@ def group(docs: DataFrame) -> DataFrame:
     rows = materialize(map_rows(_rows(docs), _signatures, "doc_id long, n long, low long, high long, sig binary, paths array<long>", 256), "signatures")
     classes = rows.where("n > 0 and doc_id is not null").groupBy("low", "high").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("paths").alias("paths"))
     classes = materialize(classes, "classes")
-    comps = components(links(docs, classes))
+    ids = rows.where("doc_id is not null").select("doc_id")
+    comps = linked(docs, classes, ids.count() == ids.distinct().count())
     named = classes.join(comps, "id", "left").select("low", "high", F.coalesce("component", "id").alias("component_id"))
     named = materialize(named, "components")
     full, alone = rows.where("n > 0 and doc_id is not null"), rows.where("n = 0 or doc_id is null")
@@ -295,6 +366,8 @@ def group(docs: DataFrame) -> DataFrame:
 
 
 def apply(docs: DataFrame) -> DataFrame:
-    """The kept document of each group, in the columns of ``docs``."""
-    gone = group(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone.withColumnRenamed("doc_id", "gone_id"), F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    """The kept document of each group, in the columns of ``docs``; rows that repeat an id and text leave one."""
+    gone = small(materialize(group(docs).where("not kept").select(F.col("doc_id").alias("_sw_id")).distinct(), "gone"))
+    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("_sw_id"), "left_anti")
+    ids = docs.where("doc_id is not null").select("doc_id")
+    return left if ids.count() == ids.distinct().count() else left.dropDuplicates(["doc_id", "text"])
