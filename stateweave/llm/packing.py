@@ -12,6 +12,7 @@ an empty table gives no piece.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -91,6 +92,12 @@ class WordCodec:
         return [b"".join(map(memo.__getitem__, chunks)) for chunks in cut]
 
 
+@functools.cache
+def word_codec(path: str) -> WordCodec:
+    """One codec, with its bounded memo, for all tasks of a Python worker."""
+    return WordCodec(path)
+
+
 PIECES = "part int, doc_id long, doc_tokens long, start long, length int, ids_crc32 long, rank long"
 
 
@@ -98,7 +105,7 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW)
     """Pieces of each document, numbered within (task, length)."""
 
     def make():
-        codec = WordCodec(public_tokenizers.path(vocabulary))
+        codec = word_codec(public_tokenizers.path(vocabulary))
         part, seen = TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
         end = np.array([END_ID], "<u4").tobytes()
 
