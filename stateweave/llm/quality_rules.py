@@ -1,10 +1,9 @@
 """Quality rules: per-document base rules and cross-document line frequency.
 
 Every document's lines are normalised (A-Z in lower case, runs of white space as one space) and hashed. Per host
-(``source``) and line the documents that hold it are counted; documents are told apart by their longest word, which
-copies of one text share, so that a group of copies counts about once and isn't taken for boilerplate. A line over
-``max_docs`` such documents, which are at least a third of its rows, is removed. A document that loses more than
-``max_removed`` of its words so is depleted and rejected.
+(``source``) and line the distinct documents that hold it are counted; documents are told apart by a hash of their whole
+text, so that a group of exact copies counts once and isn't taken for boilerplate. A line over ``max_docs`` documents is
+removed. A document that loses more than ``max_removed`` of its words so is depleted and rejected.
 
 Defined results: null or empty text has no words (so it fails the base rules); a null host is one host of its own;
 rows that repeat give repeated results; an empty table gives none; other columns of the input are ignored.
@@ -88,11 +87,9 @@ def _profile():
             flat_hash += distinct.keys()
             flat_words += distinct.values()
             ends.append(len(flat_hash))
-            most = max(map(len, words), default=0)
-            longest = max((w.lower() for w in words if len(w) == most), default=b"")
             out.append((
                 len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), dup, repeated_words(words),
-                int.from_bytes(xxhash.xxh3_64_digest(longest), "little", signed=True),
+                int.from_bytes(xxhash.xxh3_64_digest(text.encode()), "little", signed=True),
             ))
         cols = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
         pairs = pa.StructArray.from_arrays([pa.array(flat_hash, pa.int64()), pa.array(flat_words, pa.int32())], ["line", "words"])
@@ -118,11 +115,10 @@ def profile(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(profiles: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """(host, line) over the limit. Both groupings add up within tasks first, so a line in all documents costs no more."""
+    """(host, line) over the limit. Both groupings reduce within tasks first, so a line in all documents costs no more."""
     lines = profiles.select("host", "doc_key", F.explode("lines.line").alias("line"))
-    per_doc = lines.groupBy("host", "line", "doc_key").agg(F.count("*").alias("rows"))
-    per_line = per_doc.groupBy("host", "line").agg(F.count("*").alias("docs"), F.sum("rows").alias("rows"))
-    return per_line.where((F.col("docs") > max_docs) & (3 * F.col("docs") >= F.col("rows"))).select("host", "line")
+    per_line = lines.distinct().groupBy("host", "line").agg(F.count("*").alias("docs"))
+    return per_line.where(F.col("docs") > max_docs).select("host", "line")
 
 
 def judge(docs: DataFrame, max_docs: int = MAX_DOCS, max_removed_percent: int = MAX_REMOVED_PERCENT) -> DataFrame:

@@ -191,3 +191,16 @@ def test_frequent_lines_go_but_copies_stay(spark):
     assert not got[17].kept
     out = {x.doc_id: x for x in quality_rules.apply(docs, max_docs=5).collect()}
     assert set(out) == set(range(17)) and "RIGHTS" not in out[0].text and out[8].text == copy and out[0].n_chars == len(out[0].text)
+
+
+def test_documents_of_one_longest_word_are_counted_apart(spark):
+    """A line that holds the longest word of all its documents, and a line in documents that share a longest word and have copies."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(4, 9)))
+    body = lambda: " ".join(word() for _ in range(60))
+    link, footer = "see https://example.org/a-very-long-address-of-this-site for more", "all rights reserved by the owner"
+    shared = ["\n".join([body() + " incomprehensibilities", footer]) for _ in range(8)]
+    rows = [(f"{body()}\n{link}", "h") for _ in range(8)] + [(t, "g") for t in shared for _ in range(4)] + [(f"{body()}\n{footer}", "few") for _ in range(5)]
+    docs = spark.createDataFrame([(k, t, h) for k, (t, h) in enumerate(rows)], "doc_id long, text string, source string")
+    got = {x.doc_id: x.removed_words for x in quality_rules.judge(docs, max_docs=5).collect()}
+    assert [got[k] for k in range(len(rows))] == [4] * 8 + [6] * 32 + [0] * 5
