@@ -3,13 +3,17 @@
 A text's tokens are its 5-word shingles (A-Z in lower case). For each of ``HASHES`` hash functions the compact windows are
 the nodes of the Cartesian tree over the tokens' min-hashes that span ``SPAN`` tokens or more: all subsequences around a
 node inside its span share its minimum as signature. Only positions that are the minimum of some ``SPAN`` tokens can be
-such nodes, so the tree is built over these alone. A window's key is its minimum with the token ``ASIDE`` places to one
-side of it (the minimum says which), so that a shared short line doesn't bring unlike passages together. The document of
-least id with a key is the key's first; every other window with the key points to it. Windows of the same two documents
-are joined into the interval that they cover, and the passages in it are verified on all their tokens: runs of tokens that
-the first document has too, with Jaccard similarity ``SIMILARITY`` or more to the part that they match.
-
-A passage without an edit has its minimum as a window in both documents for every hash function.
+such nodes, so the tree is built over these alone. A window has a key for each side on which the token ``ASIDE`` places from
+its minimum lies in its span: the minimum with that token, so that a shared short line doesn't bring unlike passages
+together. The document of least id with a key is the key's first; every other window with the key points to it. Windows of
+the same two documents are joined into the interval within ``REACH`` of their minima, and the passages in it are verified on
+all their tokens: runs of tokens that the first document has too, with Jaccard similarity ``SIMILARITY`` or more to the part
+that they match. Windows that lie in no passage found go on to the key's next documents (2, then 4, then 8, in order of ids)
+until they lie in one or no earlier document is left.
+
+A passage without an edit has its minimum as a window, and a key of it, in both documents for every hash function: a span of
+``SPAN`` tokens reaches ``ASIDE`` places to one side at least. A key that very many documents share without sharing a
+passage (a line of 17 to 49 words) costs a comparison for each two of them.
 
 ``repeats`` gives a row per repeated passage: doc_id, start_word, end_word (exclusive), n_words, first_doc_id and similarity.
 ``apply`` removes them and leaves first occurrences.
@@ -24,7 +28,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHasher, map_rows, materialize, mix, shingles, small
@@ -68,7 +72,7 @@ def spans(values: list[int], at: list[int], n: int) -> tuple[list[int], list[int
 
 
 def compact_windows(seq: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each hash function: keys, and positions, firsts and lasts of the compact windows of a token sequence."""
+    """For each hash function: keys (left, right), and positions, firsts and lasts of the compact windows of a token sequence."""
     n = len(seq)
     if n < SPAN:
         return []
@@ -82,8 +86,8 @@ def compact_windows(seq: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.nd
         first, last = (np.array(x) for x in spans(values[k, at].tolist(), at.tolist(), n))
         wide = last - first + 1 >= SPAN
         at, first, last = at[wide], first[wide], last[wide]
-        right = np.where((values[k, at] & 1 == 1) & (at + ASIDE < n) | (at < ASIDE), at + ASIDE, at - ASIDE)
-        key = mix(mix(seq[at] + np.uint64(k)) + mix(seq[right]) * np.uint64(3))
+        sides = seq[np.stack([at - ASIDE, at + ASIDE]).clip(0, n - 1)]
+        key = mix(mix(seq[at] + np.uint64(k)) + mix(sides) * np.array([[3], [5]], np.uint64))
         out.append((key, at, first, last))
     return out
 
@@ -92,16 +96,16 @@ def _windows():
     hasher = WordHasher()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, docs, lo, hi = [], [], [], []
+        keys, docs, places = [], [], []
         with np.errstate(over="ignore"):
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 for key, at, first, last in compact_windows(tokens(text, hasher)):
-                    keys.append(key.view(np.int64))
-                    docs.append(np.full(len(key), doc))
-                    lo.append(np.maximum(first, at - REACH))
-                    hi.append(np.minimum(last, at + REACH))
+                    for side, inside in zip(key, (at - ASIDE >= first, at + ASIDE <= last), strict=True):
+                        keys.append(side[inside].view(np.int64))
+                        docs.append(np.full(len(keys[-1]), doc))
+                        places.append(at[inside])
         join = lambda x, kind: pa.array(np.concatenate(x).astype(kind) if x else np.zeros(0, kind))
-        return pa.RecordBatch.from_arrays([join(keys, np.int64), join(docs, np.int64), join(lo, np.int32), join(hi, np.int32)], ["key", "doc_id", "lo", "hi"])
+        return pa.RecordBatch.from_arrays([join(keys, np.int64), join(docs, np.int64), join(places, np.int32)], ["key", "doc_id", "at"])
 
     return work
 
@@ -155,16 +159,10 @@ def matched(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, float]]:
     return out
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """One row per repeated passage; see the module."""
-    windows = materialize(map_rows(_rows(docs), _windows, "key long, doc_id long, lo int, hi int"), "windows")
-    shared = windows.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("most")).where("first < most").select("key", "first")
-    shared = materialize(shared, "shared")
-    pairs = windows.join(shared, "key").where("doc_id <> first").groupBy("doc_id", "first").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    pairs = materialize(pairs.where(F.col("hi") - F.col("lo") + 1 >= SPAN), "passage-pairs")
-    ids = materialize(pairs.select("doc_id").unionByName(pairs.select(F.col("first").alias("doc_id"))).distinct(), "passage-ids")
-    seqs = materialize(_sequences(docs, ids), "sequences")
-    seqs = materialize(seqs.groupBy("doc_id").agg(F.max_by("seq", F.length("seq")).alias("seq")), "sequences")
+def _verified(asked: DataFrame, seqs: DataFrame) -> DataFrame:
+    """The passages that windows ``asked`` (doc_id, at, first) share with the documents ``first``."""
+    reach = F.greatest(F.min("at") - REACH, F.lit(0)).alias("lo"), (F.max("at") + REACH).alias("hi")
+    pairs = materialize(asked.groupBy("doc_id", "first").agg(*reach), "passage-pairs")
     cut = F.expr("substring(seq, 4 * lo + 1, 4 * (hi - lo + 1))").alias("mine")
     both = pairs.join(seqs, "doc_id").select("doc_id", "first", "lo", cut)
     both = both.join(seqs.select(F.col("doc_id").alias("first"), F.col("seq").alias("other")), "first")
@@ -182,7 +180,45 @@ def repeats(docs: DataFrame) -> DataFrame:
 
         return work
 
-    return map_rows(both, make, "doc_id long, start_word long, end_word long, n_words long, first_doc_id long, similarity double", 128)
+    return materialize(map_rows(both, make, "doc_id long, start_word long, end_word long, n_words long, first_doc_id long, similarity double", 128), "passages")
+
+
+def _outside(windows: DataFrame, found: DataFrame) -> DataFrame:
+    """The windows whose minimum lies in no passage of ``found``."""
+    f = found.select(F.col("doc_id").alias("d"), "start_word", "end_word").distinct()
+    inside = (F.col("doc_id") == F.col("d")) & (F.col("start_word") <= F.col("at")) & (F.col("at") + WIDTH <= F.col("end_word"))
+    return materialize(windows.join(f, inside, "left_anti"), "open-windows")
+
+
+def _new(more: DataFrame, found: DataFrame) -> DataFrame:
+    """``more`` without passages that lie in a longer one, or in an equal one of an earlier document."""
+    every = found.unionByName(more).select(F.col("doc_id").alias("d"), F.col("start_word").alias("s"), F.col("end_word").alias("e"), F.col("first_doc_id").alias("f")).distinct()
+    around = (F.col("doc_id") == F.col("d")) & (F.col("s") <= F.col("start_word")) & (F.col("e") >= F.col("end_word"))
+    return more.distinct().join(every, around & ((F.col("e") - F.col("s") > F.col("n_words")) | (F.col("f") < F.col("first_doc_id"))), "left_anti")
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """One row per repeated passage; see the module."""
+    windows = materialize(map_rows(_rows(docs), _windows, "key long, doc_id long, at int"), "windows")
+    shared = windows.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("most")).where("first < most").select("key", "first")
+    held = materialize(windows.join(materialize(shared, "shared"), "key"), "held")
+    seqs = materialize(_sequences(docs, materialize(held.select("doc_id").distinct(), "passage-ids")), "sequences")
+    seqs = materialize(seqs.groupBy("doc_id").agg(F.max_by("seq", F.length("seq")).alias("seq")), "sequences")
+    asked = held.where("doc_id <> first")
+    found = _verified(asked, seqs)
+    left = _outside(asked.select("key", "doc_id", "at"), found)
+    holders = held.select("key", "doc_id").distinct().join(left.select("key").distinct(), "key", "left_semi")
+    holders = holders.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("doc_id")) - 1)
+    holders = materialize(holders, "holders")
+    left = left.join(holders, ["key", "doc_id"])
+    done = 1  # holders of each key that its open windows have been compared with
+    while not (left := materialize(left.where(F.col("rank") > done), "open-windows")).isEmpty():
+        upto = 2 * done + 1
+        tried = left.select("key", "doc_id", "at", F.explode(F.sequence(F.lit(done), F.least(F.col("rank"), F.lit(upto)) - 1)).alias("rank"))
+        more = _verified(tried.join(holders.withColumnRenamed("doc_id", "first"), ["key", "rank"]), seqs)
+        found = materialize(found.unionByName(_new(more, found)), "passages")
+        left, done = _outside(left, more), upto
+    return found
 
 
 def without(text: str, cuts: list[tuple[int, int]]) -> str:

@@ -153,3 +153,42 @@ def test_hasher_forgets_but_agrees():
     a, b = WordHasher(2), WordHasher()
     for _ in range(3):
         assert (a([b"x", b"y", b"z", b"x"]) == b([b"x", b"y", b"z", b"x"])).all()
+
+
+def test_passages_go_on_to_the_next_holder(spark):
+    """Document 1 holds only the first 45 words of a passage that documents 2 and 3 hold whole."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8)))
+    words = lambda n: [word() for _ in range(n)]
+    docs = []
+    for k in range(0, 60, 3):
+        whole = words(55)
+        docs += [(k, words(30) + whole[:45] + words(30)), (k + 1, words(20) + whole + words(40)), (k + 2, words(40) + whole + words(20))]
+    table_ = spark.createDataFrame([(k, " ".join(w)) for k, w in docs], "doc_id long, text string")
+    got = sorted((x.doc_id, x.first_doc_id, x.start_word, x.end_word) for x in substring_dedup.repeats(table_).collect())
+    assert got == [(k + 2, k + 1, 40, 95) for k in range(0, 60, 3)]
+
+
+def planted(edits, n, r):
+    """Token sequences of two documents that share a passage of ``n`` words, one copy with changed words."""
+    word = lambda: "%x" % r.getrandbits(40)
+    whole = [word() for _ in range(n)]
+    copy = list(whole)
+    for k in r.sample(range(n), edits):
+        copy[k] = word()
+    hasher = WordHasher()
+    return [substring_dedup.tokens(" ".join([word() for _ in range(r.randint(0, 90))] + w + [word() for _ in range(r.randint(0, 90))]), hasher) for w in (whole, copy)]
+
+
+def common_keys(a, b):
+    """For each hash function, whether the two sequences share a key."""
+    keys = lambda s: [{int(k[side][i]) for side in (0, 1) for i in range(len(at)) if first[i] <= at[i] + (2 * side - 1) * substring_dedup.ASIDE <= last[i]} for k, at, first, last in substring_dedup.compact_windows(s)]
+    with np.errstate(over="ignore"):
+        return [bool(x & y) for x, y in zip(keys(a), keys(b), strict=True)]
+
+
+def test_keys_of_planted_passages():
+    r = random.Random(6)
+    assert all(all(common_keys(*planted(0, 50, r))) for _ in range(200))
+    for edits, n in ((1, 100), (2, 150)):
+        assert np.mean([any(common_keys(*planted(edits, n, r))) for _ in range(200)]) > 0.97
