@@ -273,7 +273,7 @@ CHAINS = f"""
 
 
 def _chains(spark, sf_dir) -> DataFrame:
-    line = src.table(spark, sf_dir, "lineitem").where("l_suppkey < 60")
+    line = src.table(spark, sf_dir, "lineitem")
     order = Window.partitionBy("series_id", "chain_id").orderBy(*LINE)
     return line.withColumns({"series_id": (F.col("l_suppkey") % 7).cast("string"), "chain_id": (F.col("l_suppkey") % 3).cast("int")}).select(
         "series_id", "chain_id", F.row_number().over(order).alias("block"), (1 + F.col("l_quantity").cast("int") % 4).alias("count"), (1 - F.col("l_discount")).alias("weight"),

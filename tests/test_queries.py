@@ -43,3 +43,11 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", ["laplace_poisson", "loglik_poisson", "particle_psi_smoother", "unscented_filter", "diffusion_filter", "importance_poisson"])
 def test_others_run(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_chains_read_every_line(spark, tmp_path):
+    rows = [(k, 1, k, s, 1.0, 100.0 + k, 0.1, 0.02) for k, s in enumerate((1, 59, 60, 61, 500, 100_000))]
+    kinds = ", ".join(f"{c} {'long' if k < 4 else 'double'}" for k, c in enumerate(("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")))
+    spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert sum(r.iterations for r in QUERIES["draws_acceptance"](spark, str(tmp_path)).collect()) == 2 * len(rows)
+    assert QUERIES["draws_long"](spark, str(tmp_path)).count() == 2 * len(rows)
