@@ -9,7 +9,7 @@ whose members are connected already. A larger node compares all members with its
 all found so far, connect the whole node it is done, else it branches. Nodes still larger at ``DEPTH`` are compared in
 blocks: all members outside the node's main component against all members. Nothing is capped.
 
-With trees x branches root tokens a pair of similarity 0.85 shares none with probability 0.15^8.
+With trees x branches root tokens a pair of similarity 0.80 shares none with probability 0.2^8, one of 0.85 with 0.15^8.
 
 Defined results: null and empty texts have an empty set, linked with nothing; a null doc_id has no component and is kept;
 repeated rows form one class; an empty table gives none.
@@ -26,7 +26,9 @@ from .common import WordHasher, map_rows, materialize, mix, shingles, small
 from .components import extended
 
 WIDTH = 5
+#: Least similarity of a link: of ``group`` and op2's query, and of the pipeline's stage.
 PERCENT = 85
+STAGE_PERCENT = 80
 K = 128
 TREES = 4
 BRANCHES = 2
@@ -34,7 +36,8 @@ LEAF = 8192
 LEAF_SHINGLES = 2_000_000
 DEPTH = 5
 PIVOTS = 2
-SKETCH = 0.65
+#: Sketches of a pair may show so much less than its similarity.
+SKETCH_SLACK = 20
 
 _SEEDS = np.random.default_rng(11).integers(1, 2**32, (2, K), np.uint64).astype(np.uint32) | np.uint32(1)
 
@@ -141,23 +144,27 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_rows(joined, make, f"{schema}, set binary", 128)
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether 100 * intersection >= ``PERCENT`` * union, of sorted distinct arrays."""
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= ``percent`` * union, of sorted distinct arrays."""
     if len(a) > len(b):
         a, b = b, a
-    if not len(a) or 100 * len(a) < PERCENT * len(b):
+    if not len(a) or 100 * len(a) < percent * len(b):
         return False
     both = int((b[np.searchsorted(b, a).clip(0, len(b) - 1)] == a).sum())
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def partners(sigs: np.ndarray, sizes: np.ndarray, parts: np.ndarray) -> np.ndarray:
+def sketch_limit(percent: int) -> float:
+    return (percent - SKETCH_SLACK) / 100
+
+
+def partners(sigs: np.ndarray, sizes: np.ndarray, parts: np.ndarray, percent: int) -> np.ndarray:
     """Which members have, by sketches and sizes, a possible partner in another part."""
     found = np.zeros(len(sizes), bool)
     for i in range(len(sizes) - 1):
-        rest = np.flatnonzero((100 * np.minimum(sizes[i + 1 :], sizes[i]) >= PERCENT * np.maximum(sizes[i + 1 :], sizes[i])) & (parts[i + 1 :] != parts[i])) + i + 1
+        rest = np.flatnonzero((100 * np.minimum(sizes[i + 1 :], sizes[i]) >= percent * np.maximum(sizes[i + 1 :], sizes[i])) & (parts[i + 1 :] != parts[i])) + i + 1
         if len(rest):
-            near = rest[(sigs[rest] == sigs[i]).mean(1) >= SKETCH]
+            near = rest[(sigs[rest] == sigs[i]).mean(1) >= sketch_limit(percent)]
             found[near] = True
             found[i] |= len(near) > 0
     return found
@@ -171,7 +178,7 @@ def sketch(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def link_leaf(ids: np.ndarray, parts: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def link_leaf(ids: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links (id, least id of its group) that connect a leaf's classes as all its confirmed pairs would.
 
     ``parts`` are components known before. Sets of 400 and more are ranked by sketches; smaller ones are compared as they are.
@@ -183,13 +190,13 @@ def link_leaf(ids: np.ndarray, parts: np.ndarray, sets: list[np.ndarray]) -> lis
     before = part.copy()
     for i in range(len(ids) - 1):
         rest = size[i + 1 :]
-        other = np.flatnonzero((part[i + 1 :] != part[i]) & (100 * np.minimum(rest, size[i]) >= PERCENT * np.maximum(rest, size[i]))) + i + 1
+        other = np.flatnonzero((part[i + 1 :] != part[i]) & (100 * np.minimum(rest, size[i]) >= percent * np.maximum(rest, size[i]))) + i + 1
         if not len(other):
             continue
         share = ((s[other] == s[i]) & full[i]).sum(1) / np.maximum(1, (full[other] | full[i]).sum(1))
-        keep = (share >= SKETCH) | (size[i] < 400)
+        keep = (share >= sketch_limit(percent)) | (size[i] < 400)
         for j in other[keep][np.argsort(-share[keep], kind="stable")]:
-            if part[i] != part[j] and similar(sets[i], sets[j]):
+            if part[i] != part[j] and similar(sets[i], sets[j], percent):
                 part[part == part[j]] = part[i]
     least: dict[int, int] = {}
     for k, i in zip(part.tolist(), ids.tolist(), strict=True):
@@ -197,7 +204,7 @@ def link_leaf(ids: np.ndarray, parts: np.ndarray, sets: list[np.ndarray]) -> lis
     return [(i, least[k]) for i, k, b in zip(ids.tolist(), part.tolist(), before.tolist(), strict=True) if i != least[k]]
 
 
-def _leaf_links(docs: DataFrame, classes: DataFrame, members: DataFrame, comps: DataFrame | None, unique: bool) -> DataFrame:
+def _leaf_links(docs: DataFrame, classes: DataFrame, members: DataFrame, comps: DataFrame | None, unique: bool, percent: int) -> DataFrame:
     """Links within leaves; ``members`` has (path, id). Leaves of the same members, or of one component, are left out."""
     leaves = members.groupBy("path").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # at most LEAF each
     leaves = leaves.groupBy(F.xxhash64("ids").alias("leaf"), F.size("ids").alias("size")).agg(F.first("ids").alias("ids"))
@@ -218,7 +225,7 @@ def _leaf_links(docs: DataFrame, classes: DataFrame, members: DataFrame, comps:
             for leaf, g in zip(batch.column("leaf").to_pylist(), batch.column("g"), strict=True):
                 v = g.values
                 ids, c, n, low, high = (np.asarray(v.field(k)) for k in range(5))
-                at = np.flatnonzero(partners(np.frombuffer(b"".join(v.field(5).to_pylist()), np.uint32).reshape(-1, K), n, c))
+                at = np.flatnonzero(partners(np.frombuffer(b"".join(v.field(5).to_pylist()), np.uint32).reshape(-1, K), n, c, percent))
                 for col, x in zip(cols, (np.full(len(at), leaf), ids[at], c[at], low[at], high[at]), strict=True):
                     col.append(x)
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["leaf", "id", "c", "low", "high"])
@@ -236,7 +243,7 @@ def _leaf_links(docs: DataFrame, classes: DataFrame, members: DataFrame, comps:
             found = []
             for g in batch.column("g"):
                 v = g.values
-                found += link_leaf(np.asarray(v.field(0)), np.asarray(v.field(1)), [unpacked(x) for x in v.field(2).to_pylist()])
+                found += link_leaf(np.asarray(v.field(0)), np.asarray(v.field(1)), [unpacked(x) for x in v.field(2).to_pylist()], percent)
             return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(2)], ["a", "b"])
 
         return work
@@ -244,7 +251,7 @@ def _leaf_links(docs: DataFrame, classes: DataFrame, members: DataFrame, comps:
     return materialize(map_rows(full.groupBy("leaf").agg(F.collect_list("m").alias("g")).select("g"), make, "a long, b long", 64), "leaf-links")
 
 
-def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets are similar."""
     pairs = materialize(pairs.distinct(), "pairs")
     ids = materialize(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "pair-ids")
@@ -255,7 +262,7 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFra
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             x, y = batch.column("x"), batch.column("y")
-            ok = [similar(unpacked(x[k].as_buffer()), unpacked(y[k].as_buffer())) for k in range(batch.num_rows)]
+            ok = [similar(unpacked(x[k].as_buffer()), unpacked(y[k].as_buffer()), percent) for k in range(batch.num_rows)]
             return batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
         return work
@@ -298,7 +305,7 @@ def _pivot_pairs(large: DataFrame) -> DataFrame:
     return pairs.where("id <> p").select(F.greatest("id", "p").alias("a"), F.least("id", "p").alias("b"))
 
 
-def _block_links(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+def _block_links(docs: DataFrame, classes: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Links in nodes that stay large: members outside the node's main component against all members, in blocks by sketches."""
     sizes = nodes.groupBy("path", "c").agg(F.count("*").alias("k"))
     main = materialize(sizes.groupBy("path").agg(F.max_by("c", "k").alias("main")), "main")
@@ -306,21 +313,21 @@ def _block_links(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataF
     side = materialize(side, "blocks")
     asked = side.where("c <> main").select("path", F.struct("id", "c", "n", "sig").alias("q"))
     every = side.select("path", F.struct("id", "c", "n", "sig").alias("x"))
-    fits = (F.col("q.c") != F.col("x.c")) & (100 * F.least("q.n", "x.n") >= PERCENT * F.greatest("q.n", "x.n"))
+    fits = (F.col("q.c") != F.col("x.c")) & (100 * F.least("q.n", "x.n") >= percent * F.greatest("q.n", "x.n"))
     both = asked.join(every, "path").where(fits).select(F.col("q.id").alias("a"), F.col("x.id").alias("b"), F.col("q.sig").alias("s"), F.col("x.sig").alias("t"))
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             s, t = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, K) for c in "st")
-            return batch.select(["a", "b"]).filter(pa.array((s == t).mean(1) >= SKETCH))
+            return batch.select(["a", "b"]).filter(pa.array((s == t).mean(1) >= sketch_limit(percent)))
 
         return work
 
     near = map_rows(both, make, "a long, b long", 4096)
-    return _confirmed(docs, classes, near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    return _confirmed(docs, classes, near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), percent)
 
 
-def linked(docs: DataFrame, classes: DataFrame, unique: bool) -> DataFrame:
+def linked(docs: DataFrame, classes: DataFrame, unique: bool, percent: int) -> DataFrame:
     """(id, component) of the classes with a link; components are those of all pairs of similar sets."""
     roots = classes.select(F.posexplode("paths").alias("root", "path"), "id", "n")
     comps = None
@@ -331,15 +338,15 @@ def linked(docs: DataFrame, classes: DataFrame, unique: bool) -> DataFrame:
             leaves.append(few)
             if large.isEmpty():
                 break
-            comps = extended(comps, _confirmed(docs, classes, _pivot_pairs(large)))
+            comps = extended(comps, _confirmed(docs, classes, _pivot_pairs(large), percent))
             open_ = _open_nodes(large, comps)
             if open_.isEmpty():
                 break
             if depth == DEPTH:
-                comps = extended(comps, _block_links(docs, classes, open_))
+                comps = extended(comps, _block_links(docs, classes, open_, percent))
             else:
                 level = _branched(open_.select("path", "id", "n"), classes)
-        comps = extended(comps, _leaf_links(docs, classes, _union(leaves), comps, unique))
+        comps = extended(comps, _leaf_links(docs, classes, _union(leaves), comps, unique, percent))
     return comps
 
 
@@ -350,13 +357,13 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def group(docs: DataFrame) -> DataFrame:
+def group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     rows = materialize(map_rows(_rows(docs), _signatures, "doc_id long, n long, low long, high long, sig binary, paths array<long>", 256), "signatures")
     classes = rows.where("n > 0 and doc_id is not null").groupBy("low", "high").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("paths").alias("paths"))
     classes = materialize(classes, "classes")
     ids = rows.where("doc_id is not null").select("doc_id")
-    comps = linked(docs, classes, ids.count() == ids.distinct().count())
+    comps = linked(docs, classes, ids.count() == ids.distinct().count(), percent)
     named = classes.join(comps, "id", "left").select("low", "high", F.coalesce("component", "id").alias("component_id"))
     named = materialize(named, "components")
     full, alone = rows.where("n > 0 and doc_id is not null"), rows.where("n = 0 or doc_id is null")
@@ -365,9 +372,9 @@ def group(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def apply(docs: DataFrame) -> DataFrame:
+def apply(docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
     """The kept document of each group, in the columns of ``docs``; rows that repeat an id and text leave one."""
-    gone = small(materialize(group(docs).where("not kept").select(F.col("doc_id").alias("_sw_id")).distinct(), "gone"))
+    gone = small(materialize(group(docs, percent).where("not kept").select(F.col("doc_id").alias("_sw_id")).distinct(), "gone"))
     left = docs.join(gone, F.col("doc_id").cast("long") == F.col("_sw_id"), "left_anti")
     ids = docs.where("doc_id is not null").select("doc_id")
     return left if ids.count() == ids.distinct().count() else left.dropDuplicates(["doc_id", "text"])

@@ -15,7 +15,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.group(table(spark, sf_dir, "documents"))
+    return near_dedup.group(table(spark, sf_dir, "documents"), 85)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

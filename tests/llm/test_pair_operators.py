@@ -192,3 +192,11 @@ def test_keys_of_planted_passages():
     assert all(all(common_keys(*planted(0, 50, r))) for _ in range(200))
     for edits, n in ((1, 100), (2, 150)):
         assert np.mean([any(common_keys(*planted(edits, n, r))) for _ in range(200)]) > 0.97
+
+
+def test_copies_of_80_percent_go(spark):
+    """One word changed in 55: 46 of 56 shingles are common (0.82)."""
+    words = [f"w{k}" for k in range(55)]
+    table_ = spark.createDataFrame([(0, " ".join(words)), (1, " ".join([*words[:25], "edited", *words[26:]])), (2, " ".join(words[::-1]))], "doc_id long, text string")
+    assert {r.doc_id for r in near_dedup.apply(table_).collect()} == {0, 2}
+    assert {r.component_id for r in near_dedup.group(table_, 85).collect()} == {0, 1, 2}
