@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and strings whose zstandard novelty is high in a sensitive context.
 
 Base spans come from three patterns (assign, access, hex). The method adds spans of kind ``novel``: every run of 16 or
-more characters of a secret's alphabet near a sensitive keyword is a candidate; its marginal cost is the bytes that a
+more characters of a secret's alphabet near a sensitive keyword, on either side, is a candidate, and so is every one that
+adjoins such a run with only a ``JOINT`` between them (lines of one key, dotted parts of one token); its marginal cost is the bytes that a
 zstandard frame, primed with a dictionary of identifiers and usual code words, grows by when the candidate follows the
 text around it. Candidates that cost at least ``MIN_COST`` of their length are incompressible and reported, unless a base
 span touches them. Offsets are code points, ends exclusive.
@@ -55,6 +56,8 @@ IDENTIFIERS = (
 )
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 CONTEXT = 64
+#: What may part candidates of one secret: a dot, or a line's end with its quotes and indent.
+JOINT = re.compile(r"\.|[\x20\t\"',\\+]{0,8}(?:\r?\n|\\n)[\x20\t\"'>#*]{0,24}")
 MIN_COST = 0.7
 
 
@@ -87,14 +90,20 @@ def novel_spans(text: str, base: list[tuple[str, int, int]], novelty: Novelty) -
     low = text.lower() if text.isascii() else "".join(c.lower() if c.isascii() else c for c in text)
     if not any(k in low for k in SENSITIVE):
         return []
+    spans = [m.span() for m in CANDIDATE.finditer(text)]
+    near = [any(k in low[max(0, start - CONTEXT) : start] or k in low[end : end + CONTEXT] for k in SENSITIVE) for start, end in spans]
+    # a context carries on over adjoining candidates, both ways
+    joint = [JOINT.fullmatch(text, e, s) is not None for (_, e), (s, _) in zip(spans, spans[1:], strict=False)]
+    for k in range(1, len(spans)):
+        near[k] |= near[k - 1] and joint[k - 1]
+    for k in range(len(spans) - 1, 0, -1):
+        near[k - 1] |= near[k] and joint[k - 1]
     out = []
-    for m in CANDIDATE.finditer(text):
-        start, end = m.span()
-        body = m[0]
-        if not (re.search(r"[0-9]", body) and re.search(r"[A-Za-z]", body)) or any(s < end and start < e for _, s, e in base):
+    for (start, end), sensitive in zip(spans, near, strict=True):
+        body = text[start:end]
+        if not sensitive or not (re.search(r"[0-9]", body) and re.search(r"[A-Za-z]", body)) or any(s < end and start < e for _, s, e in base):
             continue
-        left = low[max(0, start - CONTEXT) : start]
-        if any(k in left for k in SENSITIVE) and novelty.cost(text[max(0, start - CONTEXT) : start] + text[end : end + CONTEXT], body) >= MIN_COST:
+        if novelty.cost(text[max(0, start - CONTEXT) : start] + text[end : end + CONTEXT], body) >= MIN_COST:
             out.append(("novel", start, end))
     return out
 
