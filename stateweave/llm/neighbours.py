@@ -3,8 +3,9 @@
 Centroids come from splitting a bounded sample (``SAMPLE`` vectors) again and again by k-means until no part holds more than
 its share, so that lists are balanced. Every vector is posted to its nearest centroid and, if it lies near a boundary, to
 up to ``COPIES`` centroids whose distance is within ``1 + SPREAD`` of the nearest. Centroids are searched by best-first
-steps over a graph of near centroids, kept in memory (at most ``MAX_LISTS`` of them). A query reads all lists whose
-centroid lies within ``1 + PRUNE`` of its nearest one's distance; their vectors are scored in double precision.
+steps over a graph of near centroids, kept in memory (at most ``MAX_LISTS`` of them). A query reads the ``LEAST_LISTS``
+nearest lists and all lists whose centroid lies within ``1 + PRUNE`` of its nearest one's distance; their vectors are scored
+in double precision. A query that has found fewer than ``k`` others so is compared with all vectors, in blocks.
 
 Lists are stored in blocks of about ``BLOCK`` vectors, and queries that share a vector are searched once. Of equal vectors
 the ``k + 1`` least ids are posted: no other can be among the ``k`` nearest, as ties go to smaller ids.
@@ -30,6 +31,7 @@ MAX_LISTS = 16_384
 COPIES = 4
 SPREAD = 0.12
 PRUNE = 0.25
+LEAST_LISTS = 4
 BLOCK = 1024
 DEGREE = 16
 
@@ -154,7 +156,7 @@ def _vectors(rows: DataFrame) -> DataFrame:
     return materialize(found.where(F.length("v") == size).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(7), "v")}), "vectors")
 
 
-def _posted(vectors: DataFrame, index: np.ndarray, spread: float, copies: int = 0) -> DataFrame:
+def _posted(vectors: DataFrame, index: np.ndarray, spread: float, copies: int = 0, least: int = 1) -> DataFrame:
     """(list, vec_id or h1/h2, v): each row with the lists it belongs to, as array ``lists``."""
 
     def make():
@@ -164,6 +166,7 @@ def _posted(vectors: DataFrame, index: np.ndarray, spread: float, copies: int =
             x = unit(np.frombuffer(b"".join(batch.column("v").to_pylist()), np.float64).reshape(batch.num_rows, -1)).astype(np.float32)
             ids, far = graph.search(x, copies, spread)
             near = np.isfinite(far) & (far <= (1 + spread) * np.maximum(far[:, :1], 1e-6))
+            near[:, :least] |= np.isfinite(far[:, :least])
             ends = np.concatenate(([0], np.cumsum(near.sum(1))))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids[near], pa.int64()))
             return pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "lists"])
@@ -198,7 +201,7 @@ def search(rows: DataFrame, every: int = EVERY, nearest: int = NEAREST, sample:
     index = centroids(x, min(MAX_LISTS, max(1, number // LIST)))
     posts = _blocks(_posted(kept.select("vec_id", "v"), index, SPREAD, COPIES), ["vec_id"], BLOCK, "posts")
     asked = queries.dropDuplicates(["h1", "h2"]).select("h1", "h2", "v")
-    asks = _blocks(_posted(asked, index, prune), ["h1", "h2"], BLOCK, "asks")
+    asks = _blocks(_posted(asked, index, prune, least=LEAST_LISTS), ["h1", "h2"], BLOCK, "asks")
     both = posts.select("list", "posts").join(asks.select("list", "asks"), "list").select("posts", "asks")
 
     def make():
@@ -222,9 +225,19 @@ def search(rows: DataFrame, every: int = EVERY, nearest: int = NEAREST, sample:
 
         return work
 
-    found = map_rows(both, make, "h1 long, h2 long, vec_id long, score double", 8).dropDuplicates(["h1", "h2", "vec_id"])
     best = Window.partitionBy("h1", "h2").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= nearest + 1).drop("r")
+
+    def nearest_of(pairs: DataFrame) -> DataFrame:
+        found = map_rows(pairs, make, "h1 long, h2 long, vec_id long, score double", 8).dropDuplicates(["h1", "h2", "vec_id"])
+        return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= nearest + 1).drop("r")
+
+    found = materialize(nearest_of(both), "found")
+    full = found.groupBy("h1", "h2").count().where(F.col("count") > nearest).select("h1", "h2")
+    short = materialize(asked.join(full, ["h1", "h2"], "left_anti"), "short")
+    if not short.isEmpty():
+        some = lambda rows, key, name: rows.groupBy(F.pmod(F.xxhash64(*key), F.lit(max(1, rows.count() // BLOCK))).alias("block")).agg(F.collect_list(F.struct(*key, "v")).alias(name)).drop("block")
+        every = materialize(some(kept, ["vec_id"], "posts"), "all-posts").crossJoin(some(short, ["h1", "h2"], "asks")).select("posts", "asks")
+        found = found.join(short, ["h1", "h2"], "left_anti").unionByName(nearest_of(every))
     lists = materialize(found.groupBy("h1", "h2").agg(F.collect_list(F.struct("vec_id", "score")).alias("near")), "found")
     answers = queries.select(F.col("vec_id").alias("query_id"), "h1", "h2").join(lists, ["h1", "h2"])
     others = F.filter("near", lambda n: n["vec_id"] != F.col("query_id"))
