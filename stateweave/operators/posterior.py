@@ -67,26 +67,49 @@ def acceptance(chain: DataFrame) -> DataFrame:
     return chain.groupBy(*KEYS).agg(((F.count("*") - 1) / F.greatest(F.sum("count") - 1, F.lit(1))).alias("acceptance"), F.sum("count").alias("iterations"))
 
 
-def autocovariances(draws: DataFrame, by: list[str], max_lag: int) -> DataFrame:
-    """by, lag, n, rho: autocorrelations of ``value`` in the order of ``iter`` (full-sample mean, divisor n, over lag 0)."""
+def autocovariances(draws: DataFrame, by: list[str], max_lag: int, min_lag: int = 0) -> DataFrame:
+    """by, lag, n, rho: autocorrelations of ``value`` in the order of ``iter`` (full-sample mean, divisor n, over lag 0); lag 0 and ``min_lag`` to ``max_lag``."""
     order = Window.partitionBy(*by).orderBy("iter")
     whole = Window.partitionBy(*by)
     centred = draws.select(*by, "iter", (F.col("value") - F.avg("value").over(whole)).alias("d"), F.count("*").over(whole).alias("n"))
-    behind = centred.withColumn("behind", F.array(*(F.lag("d", k).over(order) for k in range(max_lag + 1))))
-    lags = behind.select(*by, "n", "d", F.posexplode("behind").alias("lag", "e"))
+    wanted = [0, *range(max(1, min_lag), max_lag + 1)]
+    behind = centred.withColumn("behind", F.array(*(F.struct(F.lit(k).alias("lag"), F.lag("d", k).over(order).alias("e")) for k in wanted)))
+    lags = behind.select(*by, "n", "d", F.explode("behind").alias("b")).select(*by, "n", "d", "b.lag", "b.e")
     products = lags.groupBy(*by, "lag").agg(F.first("n").alias("n"), F.sum(F.col("d") * F.col("e")).alias("c"))
     c0 = F.max(F.when(F.col("lag") == 0, F.col("c"))).over(Window.partitionBy(*by))
     return products.select(*by, "lag", "n", F.try_divide("c", c0).alias("rho"))
 
 
 def iact(draws: DataFrame, by: list[str], max_lag: int = 100) -> DataFrame:
-    """Integrated autocorrelation time: 1 + 2 sum of rho up to the first lag over max(5, log10 n) times the sum so far."""
-    rho = autocovariances(draws, by, max_lag)
+    """Integrated autocorrelation time: 1 + 2 sum of rho up to the first lag over max(5, log10 n) times the sum so far.
+
+    Lags come in blocks of ``max_lag``; chains that haven't met the rule go on to the next block, up to lag n - 1.
+    """
+    draws = draws.select(*by, "iter", "value").persist()
     upto = Window.partitionBy(*by).orderBy("lag").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tau = rho.where("lag > 0").withColumn("tau", 1.0 + 2.0 * F.sum("rho").over(upto))
-    over = F.col("lag") > F.greatest(F.lit(5.0), F.log10("n")) * F.col("tau")
-    stop = tau.groupBy(*by).agg(F.min_by("tau", F.when(over, F.col("lag"))).alias("at_stop"), F.max_by("tau", "lag").alias("at_end"), F.first("n").alias("n"))
-    return stop.select(*by, "n", F.greatest(F.coalesce("at_stop", "at_end"), F.lit(0.0)).alias("iact"))
+    open_, parts, low = None, [], 1
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    while True:
+        rows = draws if open_ is None else draws.join(open_, same, "left_semi")
+        rho = autocovariances(rows, by, low + max_lag - 1, low).where((F.col("lag") < F.col("n")) | (F.col("lag") == low))
+        if open_ is not None:
+            rho = rho.join(open_, same).drop(*(f"_{c}" for c in by))
+        else:
+            rho = rho.withColumn("total", F.lit(0.0))
+        tau = rho.where("lag > 0").withColumn("sum", F.col("total") + F.sum("rho").over(upto)).withColumn("tau", 1.0 + 2.0 * F.col("sum"))
+        over = F.col("lag") > F.greatest(F.lit(5.0), F.log10("n")) * F.col("tau")
+        stop = tau.groupBy(*by).agg(F.min_by("tau", F.when(over, F.col("lag"))).alias("at_stop"), F.max_by("tau", "lag").alias("at_end"), F.max_by("sum", "lag").alias("total"), F.first("n").alias("n"))
+        stop = stop.localCheckpoint()
+        more = F.col("at_stop").isNull() & F.col("total").isNotNull() & (F.col("n") > low + max_lag)
+        parts.append(stop.where(~more).select(*by, "n", F.greatest(F.coalesce("at_stop", "at_end"), F.lit(0.0)).alias("iact")))
+        open_, low = stop.where(more).select(*(F.col(c).alias(f"_{c}") for c in by), "total"), low + max_lag
+        if open_.isEmpty():
+            break
+    draws.unpersist()
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def effective_size(draws: DataFrame, by: list[str], max_lag: int = 100) -> DataFrame:

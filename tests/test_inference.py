@@ -103,3 +103,26 @@ def test_online_filter_equals_batch(spark, tmp_path):
     got = spark.table("online").orderBy("ts").toPandas()
     batch = kernels.kalman(models.structural(sd_level=1.0, sd_y=2.0, P1=[[10.0]]).build(np.zeros(0)), np.array([[x[2]] for x in rows]))
     assert len(got) == 12 and np.allclose(got["att"], batch["att"][:, 0]) and abs(got["loglik"].iloc[-1] - batch["loglik"]) < 1e-9
+
+
+def test_slow_chains_need_all_lags(spark):
+    """Autocorrelation times of slowly mixing chains don't depend on the size of a block of lags."""
+    from stateweave.operators import posterior
+
+    rng, n = np.random.default_rng(5), 2000
+    rows, want = [], {}
+    for chain, phi in enumerate((0.0, 0.9, 0.97)):
+        x = [0.0]
+        for e in rng.normal(size=n - 1):
+            x.append(phi * x[-1] + e)
+        d = np.array(x) - np.mean(x)
+        tau = 1.0
+        for lag in range(1, n):
+            tau += 2 * (d[lag:] @ d[:-lag]) / (d @ d)
+            if lag > max(5, np.log10(n)) * tau:
+                break
+        want[chain] = tau
+        rows += [("a", chain, k + 1, float(v)) for k, v in enumerate(x)]
+    draws = spark.createDataFrame(rows, "series_id string, chain_id int, iter long, value double")
+    got = {r.chain_id: r.iact for r in posterior.iact(draws, ["series_id", "chain_id"], 20).collect()}
+    assert want[2] > 10 and all(abs(got[k] - want[k]) < 1e-6 * want[k] for k in want)
