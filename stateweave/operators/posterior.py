@@ -177,5 +177,8 @@ def stratified(particles: DataFrame, by: list[str], uniform: Column) -> DataFram
     low = F.coalesce(F.lag("upto").over(order), F.lit(0.0))
     spans = shares.select(*by, "particle", "n", low.alias("low"), F.when(F.col("particle") == F.col("n"), 1.0).otherwise(F.col("upto")).alias("high"))
     strata = particles.withColumn("n", n).select(*by, F.col("particle").alias("stratum"), ((F.col("particle") - 1 + uniform) / F.col("n")).alias("point"))
+    # a span takes strata near its ends' places only; one more on each side covers rounding
+    first, last = F.greatest(F.lit(1), F.floor(F.col("low") * F.col("n"))), F.least(F.col("n"), F.floor(F.col("high") * F.col("n")) + 2)
+    spans = spans.where(first <= last).withColumn("stratum", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
     inside = (F.col("point") > F.col("low")) & (F.col("point") <= F.col("high"))
-    return strata.join(spans.drop("n"), by).where(inside).select(*by, "stratum", F.col("particle").alias("ancestor"))
+    return strata.withColumn("stratum", F.col("stratum").cast("long")).join(spans.drop("n"), [*by, "stratum"]).where(inside).select(*by, "stratum", F.col("particle").alias("ancestor"))

@@ -126,3 +126,19 @@ def test_slow_chains_need_all_lags(spark):
     draws = spark.createDataFrame(rows, "series_id string, chain_id int, iter long, value double")
     got = {r.chain_id: r.iact for r in posterior.iact(draws, ["series_id", "chain_id"], 20).collect()}
     assert want[2] > 10 and all(abs(got[k] - want[k]) < 1e-6 * want[k] for k in want)
+
+
+def test_stratified_resampling_joins_by_stratum(spark):
+    """One cloud of 30,000 particles: as numpy, without all pairs of a cloud."""
+    from pyspark.sql import functions as F
+    from stateweave.operators import posterior
+
+    n = 30_000
+    p = spark.range(1, n + 1).select(F.lit(1).alias("cloud"), F.col("id").alias("particle"), (1.0 + F.col("id") % 7).alias("weight"))
+    out = posterior.stratified(p, ["cloud"], F.lit(0.37))
+    joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
+    assert joins and all("stratum" in x for x in joins)
+    share = np.cumsum(1.0 + np.arange(1, n + 1) % 7)
+    want = np.searchsorted(share / share[-1], (np.arange(n) + 0.37) / n) + 1
+    got = out.toPandas().sort_values("stratum")
+    assert got.stratum.tolist() == list(range(1, n + 1)) and (got.ancestor.to_numpy() == want).all()
