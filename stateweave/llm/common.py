@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACES = " \t\n\r\x0b\x0c"
@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="stateweave-")
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -41,30 +43,60 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: The most rows of a table of ids (and a few small columns) that is broadcast: some 10 to 40 MB.
-BROADCAST_ROWS = 1_000_000
+#: The most bytes of Parquet of a table that is broadcast.
+BROADCAST_BYTES = 16_000_000
+#: Rows of a key that make it hot: they are dealt out over several tasks.
+HOT_ROWS = 4096
 
 
 def small(df: DataFrame) -> DataFrame:
-    """``df``, a written table, marked for broadcast if its counted rows are few; joins shuffle it otherwise."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """``df``, a written table read whole, marked for broadcast if its files are small; joins shuffle it otherwise."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, rows: DataFrame, by: Column, size: int = HOT_ROWS) -> DataFrame:
+    """Inner join on ``key``; the rows of ``left`` under a hot key go, by a hash of ``by``, to several copies of ``right``'s row.
+
+    ``rows`` has key and n, the rows of ``left`` with it; there are at most (rows of left) / ``size`` hot keys.
+    """
+    hot = materialize(rows.where(F.col("n") > size).select(key, F.ceil(F.col("n") / size).cast("int").alias("_sw_parts")), "hot-keys")
+    if hot.isEmpty():
+        return left.join(right, key)
+    hot = small(hot)
+    parts = F.coalesce("_sw_parts", F.lit(1))
+    dealt = left.join(hot, key, "left").withColumn("_sw_part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("_sw_parts")
+    copied = right.join(hot, key, "left").withColumn("_sw_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_sw_parts")
+    return dealt.join(copied, [key, "_sw_part"]).drop("_sw_part")
+
+
+#: Bytes of a slice that ``map_rows`` hands over; a single larger row goes alone.
+SLICE_BYTES = 8_000_000
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, rows: int = 512) -> DataFrame:
-    """``mapInArrow`` in slices of at most ``rows`` rows; ``make`` runs once per task and returns the slice function."""
+    """``mapInArrow`` in slices of at most ``rows`` rows and ``SLICE_BYTES``; ``make`` runs once per task and returns the slice function."""
+
+    def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if batch.num_rows > 1 and (batch.num_rows > rows or batch.nbytes > SLICE_BYTES):
+            half = batch.num_rows // 2 if batch.num_rows < 2 * rows else batch.num_rows // (2 * rows) * rows
+            yield from slices(batch.slice(0, half))
+            yield from slices(batch.slice(half))
+        elif batch.num_rows:
+            yield batch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                out = work(batch.slice(at, rows))
+            for part in slices(batch):
+                out = work(part)
                 if out is not None and out.num_rows:
                     yield out
 
     return df.mapInArrow(run, schema)
 
 
-def held_out(doc_id: str = "doc_id") -> F.Column:
+def held_out(doc_id: str = "doc_id") -> Column:
     """Whether crc32 of the id as text leaves no remainder by 5; a null id counts as held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, map_rows, materialize, mix, shingles, small
+from .common import HOT_ROWS, WordHasher, map_rows, materialize, mix, shingles, small, spread_join
 from .components import extended
 
 WIDTH = 5
@@ -36,6 +36,7 @@ LEAF = 8192
 LEAF_SHINGLES = 2_000_000
 DEPTH = 5
 PIVOTS = 2
+BLOCK = 2048
 #: Sketches of a pair may show so much less than its similarity.
 SKETCH_SLACK = 20
 
@@ -51,11 +52,13 @@ def signature(values: np.ndarray) -> np.ndarray:
     """``K`` minwise values of a set, over two halves of its hashes; all ones for the empty set."""
     out = np.full(K, 2**32 - 1, np.uint32)
     low, high = (values & np.uint64(0xFFFFFFFF)).astype(np.uint32), (values >> np.uint64(32)).astype(np.uint32)
-    for at in range(0, len(values), 4096):
-        a, b = low[at : at + 4096], high[at : at + 4096]
-        for k in range(K):
-            h = (a ^ _SEEDS[1, k]) * _SEEDS[0, k] + b
-            out[k] = min(out[k], ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)).min())
+    for at in range(0, len(values), 512):
+        h = low[at : at + 512] ^ _SEEDS[1, :, None]
+        h *= _SEEDS[0, :, None]
+        h += high[at : at + 512]
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x2C1B3C6D)
+        np.minimum(out, h.min(1), out=out)
     return out
 
 
@@ -103,17 +106,6 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def packed(values: np.ndarray) -> bytes:
-    """A set's hashes cut to 40 bits, sorted, 5 bytes each: two sets of 10,000 confuse a shingle once in 10,000 pairs."""
-    return np.unique(values & np.uint64(2**40 - 1)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def unpacked(raw) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.view(np.uint64).ravel()
-
-
 def digest(values: np.ndarray) -> tuple[int, int]:
     """Two signed 64-bit hashes of a set."""
     with np.errstate(over="ignore"):
@@ -124,7 +116,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` (one row per id: id, low, high and more) with ``set``, made anew from the texts of that digest."""
     texts = _rows(docs).withColumnRenamed("doc_id", "id")
     wanted = small(wanted)
-    joined = texts.join(wanted, "id")
+    joined = texts.join(wanted, "id")  # ids differ
     names = [c for c in joined.columns if c != "text"]
     schema = ", ".join(f"{c} {t}" for c, t in joined.dtypes if c != "text")
 
@@ -136,7 +128,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for text, low, high in zip(*(batch.column(c).to_pylist() for c in ("text", "low", "high")), strict=True):
                 values = shingle_set(text, hasher)
                 ok.append(digest(values) == (low, high))
-                sets.append(packed(values))
+                sets.append(values.tobytes())
             return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sets, pa.binary())], [*names, "set"]).filter(pa.array(ok, pa.bool_()))
 
         return work
@@ -171,9 +163,9 @@ def partners(sigs: np.ndarray, sizes: np.ndarray, parts: np.ndarray, percent: in
 
 
 def sketch(values: np.ndarray) -> np.ndarray:
-    """Least value of each of 128 ranges of the 40-bit hashes; all ones where there is none."""
+    """Least value of each of 128 ranges of the hashes; all ones where there is none."""
     out = np.full(128, 2**64 - 1, np.uint64)
-    place, first = np.unique(values >> np.uint64(33), return_index=True)
+    place, first = np.unique(values >> np.uint64(57), return_index=True)
     out[place.astype(int)] = values[first]
     return out
 
@@ -243,7 +235,7 @@ def _leaf_links(docs: DataFrame, classes: DataFrame, members: DataFrame, comps:
             found = []
             for g in batch.column("g"):
                 v = g.values
-                found += link_leaf(np.asarray(v.field(0)), np.asarray(v.field(1)), [unpacked(x) for x in v.field(2).to_pylist()], percent)
+                found += link_leaf(np.asarray(v.field(0)), np.asarray(v.field(1)), [np.frombuffer(x, np.uint64) for x in v.field(2).to_pylist()], percent)
             return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(2)], ["a", "b"])
 
         return work
@@ -257,12 +249,14 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: i
     ids = materialize(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "pair-ids")
     wanted = materialize(classes.join(ids, "id").select("id", "low", "high"), "pair-classes")
     sets = materialize(_sets(docs, wanted).groupBy("id").agg(F.first("set").alias("set")), "pair-sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    rows = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS), "pair-counts")
+    both = spread_join(pairs, sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a", rows.withColumnRenamed("id", "a"), F.col("b"))
+    both = spread_join(both, sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b", rows.withColumnRenamed("id", "b"), F.col("a"))
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             x, y = batch.column("x"), batch.column("y")
-            ok = [similar(unpacked(x[k].as_buffer()), unpacked(y[k].as_buffer()), percent) for k in range(batch.num_rows)]
+            ok = [similar(np.frombuffer(x[k].as_buffer(), np.uint64), np.frombuffer(y[k].as_buffer(), np.uint64), percent) for k in range(batch.num_rows)]
             return batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
         return work
@@ -306,15 +300,15 @@ def _pivot_pairs(large: DataFrame) -> DataFrame:
 
 
 def _block_links(docs: DataFrame, classes: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Links in nodes that stay large: members outside the node's main component against all members, in blocks by sketches."""
+    """Links in nodes that stay large: members outside the node's main component, each against every block of ``BLOCK`` members, by sketches."""
     sizes = nodes.groupBy("path", "c").agg(F.count("*").alias("k"))
-    main = materialize(sizes.groupBy("path").agg(F.max_by("c", "k").alias("main")), "main")
-    side = nodes.join(main, "path").join(classes.select("id", "sig"), "id").withColumn("block", F.pmod(F.xxhash64("id", "path"), F.lit(64)))
-    side = materialize(side, "blocks")
-    asked = side.where("c <> main").select("path", F.struct("id", "c", "n", "sig").alias("q"))
-    every = side.select("path", F.struct("id", "c", "n", "sig").alias("x"))
+    parts = F.ceil(F.sum("k") / BLOCK).cast("int").alias("parts")
+    main = small(materialize(sizes.groupBy("path").agg(F.max_by("c", "k").alias("main"), parts), "main"))
+    side = materialize(nodes.join(main, "path").join(classes.select("id", "sig"), "id"), "blocks")
+    asked = side.where("c <> main").select("path", F.struct("id", "c", "n", "sig").alias("q"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"))
+    every = side.select("path", F.struct("id", "c", "n", "sig").alias("x"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("block"))
     fits = (F.col("q.c") != F.col("x.c")) & (100 * F.least("q.n", "x.n") >= percent * F.greatest("q.n", "x.n"))
-    both = asked.join(every, "path").where(fits).select(F.col("q.id").alias("a"), F.col("x.id").alias("b"), F.col("q.sig").alias("s"), F.col("x.sig").alias("t"))
+    both = asked.join(every, ["path", "block"]).where(fits).select(F.col("q.id").alias("a"), F.col("x.id").alias("b"), F.col("q.sig").alias("s"), F.col("x.sig").alias("t"))
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -8,12 +8,18 @@ its minimum lies in its span: the minimum with that token, so that a shared shor
 together. The document of least id with a key is the key's first; every other window with the key points to it. Windows of
 the same two documents are joined into the interval within ``REACH`` of their minima, and the passages in it are verified on
 all their tokens: runs of tokens that the first document has too, with Jaccard similarity ``SIMILARITY`` or more to the part
-that they match. Windows that lie in no passage found go on to the key's next documents (2, then 4, then 8, in order of ids)
-until they lie in one or no earlier document is left.
+that they match.
 
-A passage without an edit has its minimum as a window, and a key of it, in both documents for every hash function: a span of
-``SPAN`` tokens reaches ``ASIDE`` places to one side at least. A key that very many documents share without sharing a
-passage (a line of 17 to 49 words) costs a comparison for each two of them.
+Windows that lie in no passage found get finer keys, and so do all windows that share a key with them: first the tokens at
+both ends of each stretch of ``STRETCH`` tokens around the minimum with the minimum itself, then, for those still open, hashes
+of all runs of ``SPAN`` tokens. Each finer key's windows are compared with its first document in turn. So a line that very
+many documents share costs a comparison for each of its windows and keys, never one for each two documents.
+
+A passage of ``MIN_WORDS`` words or more without an edit is found whatever other documents hold parts of it: its minimum is a
+window, and a key of it, in both documents for every hash function (a span of ``SPAN`` tokens reaches ``ASIDE`` places to one
+side at least), and if the key's first document has only a part, the passage's runs of ``SPAN`` tokens are keys that all
+their holders share whole. An edited passage is found if the first document of one of its keys holds it; the share that is
+found is measured in the README.
 
 ``repeats`` gives a row per repeated passage: doc_id, start_word, end_word (exclusive), n_words, first_doc_id and similarity.
 ``apply`` removes them and leaves first occurrences.
@@ -28,10 +34,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, map_rows, materialize, mix, shingles, small
+from .common import HOT_ROWS, WordHasher, map_rows, materialize, mix, shingles, small, spread_join
 
 WIDTH = 5
 MIN_WORDS = 50
@@ -39,6 +45,8 @@ SPAN = MIN_WORDS - WIDTH + 1
 HASHES = 4
 ASIDE = 12
 REACH = 2 * SPAN
+#: Finer keys: the length of a stretch of tokens around a minimum, and the step between stretches.
+STRETCH, STEP = 41, 5
 SIMILARITY = 0.8
 #: A changed word leaves WIDTH tokens unmatched.
 GAPS = (2 * WIDTH + 1, WIDTH)
@@ -159,13 +167,29 @@ def matched(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, float]]:
     return out
 
 
+def _held(windows: DataFrame) -> DataFrame:
+    """``windows`` (key, doc_id, at) whose key is in two documents or more, with n (the key's windows), the first document and its places."""
+    place = lambda sign: F.struct((sign * F.col("doc_id")).alias("d"), "at")
+    keys = windows.groupBy("key").agg(F.min(place(1)).alias("low"), F.max(place(-1)).alias("high"), F.max("doc_id").alias("most"), F.count("*").alias("n")).where("low.d < most")
+    keys = keys.select("key", "n", F.col("low.d").alias("first"), F.col("low.at").alias("first_lo"), F.col("high.at").alias("first_hi"))
+    keys = materialize(keys, "shared")
+    return materialize(spread_join(windows, keys, "key", keys.select("key", "n"), F.col("doc_id")), "held")
+
+
 def _verified(asked: DataFrame, seqs: DataFrame) -> DataFrame:
-    """The passages that windows ``asked`` (doc_id, at, first) share with the documents ``first``."""
-    reach = F.greatest(F.min("at") - REACH, F.lit(0)).alias("lo"), (F.max("at") + REACH).alias("hi")
+    """The passages that windows ``asked`` share with the first documents of their keys, around the keys' places in both."""
+    reach = (F.min("at").alias("lo"), F.max("at").alias("hi"), F.min("first_lo").alias("other_lo"), F.max("first_hi").alias("other_hi"))
     pairs = materialize(asked.groupBy("doc_id", "first").agg(*reach), "passage-pairs")
-    cut = F.expr("substring(seq, 4 * lo + 1, 4 * (hi - lo + 1))").alias("mine")
-    both = pairs.join(seqs, "doc_id").select("doc_id", "first", "lo", cut)
-    both = both.join(seqs.select(F.col("doc_id").alias("first"), F.col("seq").alias("other")), "first")
+
+    def cut(lo: str, hi: str) -> F.Column:
+        begin = F.greatest(F.col(lo) - REACH, F.lit(0))
+        return F.substring(F.col("seq"), 4 * begin + 1, 4 * (F.col(hi) + REACH - begin + 1))
+
+    begin = F.greatest(F.col("lo") - REACH, F.lit(0))
+    both = pairs.join(seqs, "doc_id").select("doc_id", "first", "other_lo", "other_hi", begin.alias("lo"), cut("lo", "hi").alias("mine"))
+    rows = pairs.groupBy("first").agg(F.count("*").alias("n"))
+    both = spread_join(both, seqs.withColumnRenamed("doc_id", "first"), "first", rows, F.col("doc_id"), 1024)
+    both = both.select("doc_id", "first", "lo", "mine", cut("other_lo", "other_hi").alias("other"))
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -197,27 +221,65 @@ def _new(more: DataFrame, found: DataFrame) -> DataFrame:
     return more.distinct().join(every, around & ((F.col("e") - F.col("s") > F.col("n_words")) | (F.col("f") < F.col("first_doc_id"))), "left_anti")
 
 
+def stretches(seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, and their minima, of the stretches of ``STRETCH`` tokens around the minima ``at``."""
+    shift = np.arange(0, STRETCH, STEP)
+    begin = (at[:, None] - shift).ravel()
+    inside = (begin >= 0) & (begin + STRETCH <= len(seq))
+    middle, shift, begin = np.repeat(at, len(shift))[inside], np.tile(shift, len(at))[inside], begin[inside]
+    s = seq.astype(np.uint64)
+    return mix(mix(mix(s[begin] + shift.astype(np.uint64)) ^ s[middle]) ^ s[begin + STRETCH - 1]).view(np.int64), middle
+
+
+def runs(seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, and begins, of all runs of ``SPAN`` tokens that hold one of the places ``at``."""
+    begin = np.unique((at[:, None] - np.arange(SPAN)).ravel())
+    begin = begin[(begin >= 0) & (begin + SPAN <= len(seq))]
+    key = np.zeros(len(begin), np.uint64)
+    for k in range(SPAN):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + seq[begin + k])
+    return key.view(np.int64), begin
+
+
+def _finer(held: DataFrame, left: DataFrame, seqs: DataFrame, keys) -> DataFrame:
+    """(key, doc_id, at): ``keys`` (``stretches`` or ``runs``) of all windows of ``held`` under a key of an open window in ``left``."""
+    wanted = left.select("key", "n").distinct()
+    some = spread_join(held.select("key", "doc_id", "at"), wanted.select("key"), "key", wanted, F.col("doc_id"))
+    some = some.groupBy("doc_id").agg(F.collect_set("at").alias("ats"))  # places in one text
+
+    def make():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out: list[list[np.ndarray]] = [[], [], []]
+            with np.errstate(over="ignore"):
+                for doc, seq, at in zip(batch.column("doc_id").to_pylist(), batch.column("seq"), batch.column("ats"), strict=True):
+                    key, places = keys(np.frombuffer(seq.as_buffer(), np.uint32), np.asarray(at.values).astype(np.int64))
+                    for col, x in zip(out, (key, np.full(len(key), doc), places), strict=True):
+                        col.append(x)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(k)) for c, k in zip(out, (np.int64, np.int64, np.int32), strict=True)], ["key", "doc_id", "at"])
+
+        return work
+
+    return materialize(map_rows(seqs.join(some, "doc_id"), make, "key long, doc_id long, at int", 256), "finer-windows")
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """One row per repeated passage; see the module."""
-    windows = materialize(map_rows(_rows(docs), _windows, "key long, doc_id long, at int"), "windows")
-    shared = windows.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("most")).where("first < most").select("key", "first")
-    held = materialize(windows.join(materialize(shared, "shared"), "key"), "held")
+    held = _held(materialize(map_rows(_rows(docs), _windows, "key long, doc_id long, at int"), "windows"))
     seqs = materialize(_sequences(docs, materialize(held.select("doc_id").distinct(), "passage-ids")), "sequences")
     seqs = materialize(seqs.groupBy("doc_id").agg(F.max_by("seq", F.length("seq")).alias("seq")), "sequences")
     asked = held.where("doc_id <> first")
     found = _verified(asked, seqs)
-    left = _outside(asked.select("key", "doc_id", "at"), found)
-    holders = held.select("key", "doc_id").distinct().join(left.select("key").distinct(), "key", "left_semi")
-    holders = holders.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("doc_id")) - 1)
-    holders = materialize(holders, "holders")
-    left = left.join(holders, ["key", "doc_id"])
-    done = 1  # holders of each key that its open windows have been compared with
-    while not (left := materialize(left.where(F.col("rank") > done), "open-windows")).isEmpty():
-        upto = 2 * done + 1
-        tried = left.select("key", "doc_id", "at", F.explode(F.sequence(F.lit(done), F.least(F.col("rank"), F.lit(upto)) - 1)).alias("rank"))
-        more = _verified(tried.join(holders.withColumnRenamed("doc_id", "first"), ["key", "rank"]), seqs)
+    left = _outside(asked.select("key", "n", "doc_id", "at"), found)
+    for keys in (stretches, runs):
+        left = left.where("n > 2")  # of two windows with a key, one is the first document's
+        if left.isEmpty():
+            break
+        held = _held(_finer(held, left, seqs, keys))
+        open_ = left.select("doc_id", "at").distinct() if keys is stretches else left.select("doc_id").distinct()
+        asked = held.where("doc_id <> first").join(open_, open_.columns, "left_semi")
+        more = _verified(asked, seqs)
         found = materialize(found.unionByName(_new(more, found)), "passages")
-        left, done = _outside(left, more), upto
+        left = _outside(asked.select("key", "n", "doc_id", "at"), more)
     return found
 
 

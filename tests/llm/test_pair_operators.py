@@ -76,11 +76,6 @@ def test_long_chains_are_one_component(spark):
     assert {r.id: r.component for r in components(links).collect()} == {**dict.fromkeys(range(40), 0), 100: 100, 101: 100}
 
 
-def test_packed_sets_come_back():
-    x = np.unique(np.random.default_rng(0).integers(0, 2**63, 1000, np.uint64))
-    assert (near_dedup.unpacked(near_dedup.packed(x)) == np.unique(x & np.uint64(2**40 - 1))).all()
-
-
 def test_windows_are_those_of_every_subsequence():
     """Each run of SPAN tokens or more lies in exactly one window with its minimum."""
     seq = np.random.default_rng(3).integers(0, 2**63, 140, np.uint64)
@@ -226,3 +221,38 @@ def test_lists_of_one_vector(spark, monkeypatch):
     v = np.random.default_rng(9).normal(size=(40, 24))
     got = neighbours.search(spark.createDataFrame([(50 * k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")).toPandas()
     assert got.groupby("query_id").size().tolist() == [5] * 40
+
+
+def test_hot_keys_are_dealt_out(edited, monkeypatch):
+    """The same components and passages when every key counts as hot."""
+    from stateweave.llm import common
+
+    want = {r.doc_id: r.component_id for r in near_dedup.group(edited).collect()}
+    passages = sorted(map(tuple, substring_dedup.repeats(edited).collect()))
+    monkeypatch.setattr(common.spread_join, "__defaults__", (1,))
+    monkeypatch.setattr(near_dedup, "HOT_ROWS", 1)
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    assert sorted(map(tuple, substring_dedup.repeats(edited).collect())) == passages
+    monkeypatch.setattr(near_dedup, "LEAF", 3)
+    for depth in (0, 1):
+        monkeypatch.setattr(near_dedup, "DEPTH", depth)
+        assert {r.doc_id: r.component_id for r in near_dedup.group(edited).collect()} == want
+
+
+def test_edited_passages_are_found(spark):
+    """Passages of 60 to 200 words with spread edits, 0.8 or more alike, behind a line that every document shares."""
+    r = random.Random(12)
+    word = lambda: "%x" % r.getrandbits(40)
+    words = lambda n: [word() for _ in range(n)]
+    line, docs, want = words(30), [], set()
+    for k in range(60):
+        whole = words(20) + line + words(r.randint(20, 150))
+        copy = list(whole)
+        edits = 1 if len(whole) < 110 else 2
+        for j in range(edits):
+            at = (j + 1) * len(whole) // (edits + 1)
+            copy[at if not 20 <= at < 50 else 51] = word()
+        docs += [(2 * k, " ".join(words(30) + whole + words(20))), (2 * k + 1, " ".join(words(10) + copy + words(40)))]
+        want.add((2 * k + 1, 2 * k, 10, 10 + len(whole)))
+    got = {(x.doc_id, x.first_doc_id, x.start_word, x.end_word) for x in substring_dedup.repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert len(want & got) >= 0.95 * len(want) and {g[:2] for g in got} <= {w[:2] for w in want}
