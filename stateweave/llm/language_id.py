@@ -2,11 +2,11 @@
 
 A text in lower case is turned into hashed counts of byte 1- to 3-grams (marks and digits count as spaces), square roots
 scaled to length 1. One-versus-rest linear SVMs choose the family; squared-hinge SVMs for each pair of languages of that
-family vote. ``fit`` uses at most about ``SAMPLE_ROWS`` labelled rows (shared equally among the languages, chosen by a hash
-of the id) and the ``MAX_LANGUAGES`` most frequent languages; prediction covers every whole text.
+family vote. ``fit`` uses at most about ``SAMPLE_ROWS`` labelled rows, shared equally among all languages and chosen by a hash
+of the id; prediction covers every whole text.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; without any labelled row everything is
-``und``; repeated rows repeat.
+``und``; a null id counts as held out; repeated rows repeat; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -18,10 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_rows
+from .common import held_out, map_rows, materialize, small
 
 SAMPLE_ROWS = 2_000
-MAX_LANGUAGES = 400
 BUCKETS = 4096
 # Families of closely related languages; a language that isn't listed is a family of its own.
 FAMILIES = {
@@ -113,13 +112,10 @@ class Model:
 def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from (text, lang) rows; ``pick`` is a hash that orders the sample."""
     rows = rows.where("lang is not null and text is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    quota = sample_rows / max(1, len(counts))
-    chance = F.lit(0.0)
-    for lang, n in counts:
-        chance = F.when(F.col("lang") == lang, F.lit(quota / n)).otherwise(chance)
+    counts = materialize(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    quota = sample_rows / max(1, counts.count())
     uniform = (F.col("pick").bitwiseAND(F.lit((1 << 30) - 1))) / float(1 << 30)
-    sample = rows.where(uniform < chance).select("text", "lang")
+    sample = rows.where(uniform < quota).join(small(counts), "lang").where(uniform * F.col("n") < quota).select("text", "lang")
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -128,7 +124,7 @@ def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
 
         return work
 
-    got = map_rows(sample, make, "x binary, lang string").collect() if counts else []
+    got = map_rows(sample, make, "x binary, lang string").collect()
     x = np.frombuffer(b"".join(bytes(r.x) for r in got), np.float32).reshape(-1, BUCKETS)
     return Model(x, np.array([r.lang for r in got], object))
 

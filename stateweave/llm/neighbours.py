@@ -4,14 +4,16 @@ Centroids come from splitting a bounded sample (``SAMPLE`` vectors) again and ag
 its share, so that lists are balanced. Every vector is posted to its nearest centroid and, if it lies near a boundary, to
 up to ``COPIES`` centroids whose distance is within ``1 + SPREAD`` of the nearest. Centroids are searched by best-first
 steps over a graph of near centroids, kept in memory (at most ``MAX_LISTS`` of them). A query reads the ``LEAST_LISTS``
-nearest lists and all lists whose centroid lies within ``1 + PRUNE`` of its nearest one's distance; their vectors are scored
-in double precision. A query that has found fewer than ``k`` others so is compared with all vectors, in blocks.
+nearest lists and all lists whose centroid lies within ``1 + PRUNE`` of its nearest one's distance; every vector that a matrix
+product puts within ``SLACK`` of a block's best is scored pair by pair in double precision, so ties are ties. A query that has
+found fewer than ``k`` others so is compared with all vectors, in blocks.
 
 Lists are stored in blocks of about ``BLOCK`` vectors, and queries that share a vector are searched once. Of equal vectors
 the ``k + 1`` least ids are posted: no other can be among the ``k`` nearest, as ties go to smaller ids.
 
-Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do those whose size
-isn't the commonest; a query with fewer candidates gets all; repeated rows with one id count once; an empty table gives none.
+Defined results: vectors that are null, zero, or hold null or non-finite components take no part; vectors are compared with
+those of their own size (the commonest size by lists, others in blocks of all vectors of that size); a query with fewer
+candidates gets all; repeated rows with one id count once; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -30,10 +32,12 @@ LIST = 256
 MAX_LISTS = 16_384
 COPIES = 4
 SPREAD = 0.12
-PRUNE = 0.25
+PRUNE = 0.22
 LEAST_LISTS = 4
 BLOCK = 1024
 DEGREE = 16
+#: More than a matrix product of unit vectors can be off.
+SLACK = 1e-9
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -150,10 +154,8 @@ def _vectors(rows: DataFrame) -> DataFrame:
         return work
 
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    found = materialize(map_rows(rows, make, "vec_id long, v binary"), "vectors").dropDuplicates(["vec_id"])
-    sizes = found.groupBy(F.length("v").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).limit(1).collect()
-    size = sizes[0][0] if sizes else 0
-    return materialize(found.where(F.length("v") == size).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(7), "v")}), "vectors")
+    found = map_rows(rows, make, "vec_id long, v binary").dropDuplicates(["vec_id"])
+    return materialize(found.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(7), "v")}), "vectors")
 
 
 def _posted(vectors: DataFrame, index: np.ndarray, spread: float, copies: int = 0, least: int = 1) -> DataFrame:
@@ -186,58 +188,68 @@ def _blocks(posted: DataFrame, key: list[str], size: int, name: str) -> DataFram
     return chosen.select("list", block, F.struct(*key, "v").alias("r")).groupBy("list", "block").agg(F.collect_list("r").alias(name))
 
 
+def _scored(nearest: int):
+    """For rows of blocks (``posts``, ``asks``): for each ask its ``nearest + 1`` best posts, by exact scores and then ids."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[list[np.ndarray]] = []
+        for p, a in zip(batch.column("posts"), batch.column("asks"), strict=True):
+            ids = np.asarray(p.values.field(0))
+            v = np.frombuffer(b"".join(p.values.field(1).to_pylist()), np.float64).reshape(len(ids), -1)
+            h1, h2 = np.asarray(a.values.field(0)), np.asarray(a.values.field(1))
+            q = np.frombuffer(b"".join(a.values.field(2).to_pylist()), np.float64).reshape(len(h1), -1)
+            sims = unit(q) @ unit(v).T
+            least = np.partition(sims, max(0, len(ids) - nearest - 1), 1)[:, max(0, len(ids) - nearest - 1)]
+            row, col = np.nonzero(sims >= least[:, None] - SLACK)
+            score = np.add.reduce(q[row] * v[col], 1) / np.sqrt(np.add.reduce(q[row] * q[row], 1) * np.add.reduce(v[col] * v[col], 1))
+            order = np.lexsort((ids[col], -score, row))
+            first = np.searchsorted(row[order], np.arange(len(q)))
+            keep = order[np.arange(len(order)) - first[row[order]] < nearest + 1]
+            out.append([h1[row[keep]], h2[row[keep]], ids[col[keep]], score[keep]])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["h1", "h2", "vec_id", "score"])
+
+    return work
+
+
+def _everything(rows: DataFrame, key: list[str], name: str) -> DataFrame:
+    """(size, name): all rows in blocks of about ``BLOCK`` vectors of one size."""
+    block = F.pmod(F.xxhash64(*key), F.lit(max(1, rows.count() // BLOCK))).alias("block")
+    return rows.groupBy(F.length("v").alias("size"), block).agg(F.collect_list(F.struct(*key, "v")).alias(name)).drop("block")
+
+
 def search(rows: DataFrame, every: int = EVERY, nearest: int = NEAREST, sample: int = SAMPLE, prune: float = PRUNE) -> DataFrame:
     """The ``nearest`` vectors found for each row whose id is divisible by ``every``: query_id, rank, vec_id and score."""
     vectors = _vectors(rows)
-    number = vectors.count()
-    queries = materialize(vectors.where(F.col("vec_id") % every == 0), "queries")
     by_vector = Window.partitionBy("h1", "h2").orderBy("vec_id")
     kept = materialize(vectors.withColumn("r", F.row_number().over(by_vector)).where(F.col("r") <= nearest + 1).drop("r"), "kept")
+    sizes = kept.groupBy(F.length("v").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).limit(2).collect()
+    size, number = sizes[0] if sizes else (0, 0)
+    queries = materialize(vectors.where(F.col("vec_id") % every == 0), "queries")
+    asked = materialize(queries.dropDuplicates(["h1", "h2"]).select("h1", "h2", "v"), "asked")
+    common = kept.where(F.length("v") == size)
     uniform = F.xxhash64("vec_id", F.lit(41)).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)
-    got = kept.where(uniform < min(1.0, sample / max(1, number))).select("v").collect()  # about ``sample`` rows
-    got = got or kept.select("v").limit(1).collect()
+    got = common.where(uniform < min(1.0, sample / max(1, number))).select("v").collect()  # about ``sample`` rows
+    got = got or common.select("v").limit(1).collect()
     x = np.frombuffer(b"".join(bytes(r.v) for r in got), np.float64)
     x = unit(x.reshape(len(got), -1)).astype(np.float32) if got else np.zeros((0, 1), np.float32)
     index = centroids(x, min(MAX_LISTS, max(1, number // LIST)))
-    posts = _blocks(_posted(kept.select("vec_id", "v"), index, SPREAD, COPIES), ["vec_id"], BLOCK, "posts")
-    asked = queries.dropDuplicates(["h1", "h2"]).select("h1", "h2", "v")
-    asks = _blocks(_posted(asked, index, prune, least=LEAST_LISTS), ["h1", "h2"], BLOCK, "asks")
-    both = posts.select("list", "posts").join(asks.select("list", "asks"), "list").select("posts", "asks")
-
-    def make():
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out: list[list[np.ndarray]] = []
-            for p, a in zip(batch.column("posts"), batch.column("asks"), strict=True):
-                ids = np.asarray(p.values.field(0))
-                v = np.frombuffer(b"".join(p.values.field(1).to_pylist()), np.float64).reshape(len(ids), -1)
-                h1, h2 = np.asarray(a.values.field(0)), np.asarray(a.values.field(1))
-                q = np.frombuffer(b"".join(a.values.field(2).to_pylist()), np.float64).reshape(len(h1), -1)
-                sims = unit(q) @ unit(v).T
-                top = np.argpartition(-sims, min(2 * nearest + 2, len(ids)) - 1, 1)[:, : 2 * nearest + 2]
-                row, col = np.repeat(np.arange(len(q)), top.shape[1]), top.ravel()
-                # equal vectors must get equal scores: each pair by itself, not as part of a matrix product
-                score = np.add.reduce(q[row] * v[col], 1) / np.sqrt(np.add.reduce(q[row] * q[row], 1) * np.add.reduce(v[col] * v[col], 1))
-                order = np.lexsort((ids[col], -score, row))
-                first = np.searchsorted(row[order], np.arange(len(q)))
-                keep = order[np.arange(len(order)) - first[row[order]] < nearest + 1]
-                out.append([h1[row[keep]], h2[row[keep]], ids[col[keep]], score[keep]])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["h1", "h2", "vec_id", "score"])
-
-        return work
-
+    posted = materialize(_posted(common.select("vec_id", "v"), index, SPREAD, COPIES), "posted")
+    posts = _blocks(posted, ["vec_id"], BLOCK, "posts")
+    wanted = materialize(_posted(asked.where(F.length("v") == size), index, prune, least=LEAST_LISTS), "wanted")
+    asks = _blocks(wanted, ["h1", "h2"], BLOCK, "asks")
     best = Window.partitionBy("h1", "h2").orderBy(F.desc("score"), "vec_id")
 
-    def nearest_of(pairs: DataFrame) -> DataFrame:
-        found = map_rows(pairs, make, "h1 long, h2 long, vec_id long, score double", 8).dropDuplicates(["h1", "h2", "vec_id"])
+    def nearest_of(blocks: DataFrame) -> DataFrame:
+        found = map_rows(blocks.select("posts", "asks"), lambda: _scored(nearest), "h1 long, h2 long, vec_id long, score double", 8).dropDuplicates(["h1", "h2", "vec_id"])
         return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= nearest + 1).drop("r")
 
-    found = materialize(nearest_of(both), "found")
+    found = materialize(nearest_of(posts.join(asks, "list")), "found")
     full = found.groupBy("h1", "h2").count().where(F.col("count") > nearest).select("h1", "h2")
     short = materialize(asked.join(full, ["h1", "h2"], "left_anti"), "short")
     if not short.isEmpty():
-        some = lambda rows, key, name: rows.groupBy(F.pmod(F.xxhash64(*key), F.lit(max(1, rows.count() // BLOCK))).alias("block")).agg(F.collect_list(F.struct(*key, "v")).alias(name)).drop("block")
-        every = materialize(some(kept, ["vec_id"], "posts"), "all-posts").crossJoin(some(short, ["h1", "h2"], "asks")).select("posts", "asks")
-        found = found.join(short, ["h1", "h2"], "left_anti").unionByName(nearest_of(every))
+        own = kept.join(F.broadcast(short.select(F.length("v").alias("s")).distinct()), F.length("v") == F.col("s"), "left_semi")  # a row per size
+        pairs = _everything(materialize(own, "own-size"), ["vec_id"], "posts").join(_everything(short, ["h1", "h2"], "asks"), "size")
+        found = found.join(short, ["h1", "h2"], "left_anti").unionByName(nearest_of(pairs))
     lists = materialize(found.groupBy("h1", "h2").agg(F.collect_list(F.struct("vec_id", "score")).alias("near")), "found")
     answers = queries.select(F.col("vec_id").alias("query_id"), "h1", "h2").join(lists, ["h1", "h2"])
     others = F.filter("near", lambda n: n["vec_id"] != F.col("query_id"))

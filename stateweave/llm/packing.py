@@ -1,9 +1,9 @@
 """Packing: sequences of at most 2048 tokens, planned by non-negative least squares on the length histogram.
 
 Every document's ids (and an end id) are cut into windows of 2048 and a rest; the histogram of rests has at most 2047
-bins whatever the corpus. Shallow combinations of lengths that fill a window are enumerated (seeded draws from the
-histogram, depth 2 to 8); non-negative least squares finds how often to repeat each, counts are rounded down, and what is
-left is packed best fit decreasing, by counts. The plan is a short list of runs: the pieces of a length with ranks
+bins whatever the corpus. Shallow combinations of lengths that fill a window are enumerated: all of 2 and 3 lengths, and of 4
+to 8 those whose lengths but one are among the commonest (about ``COLUMNS`` for each number). Non-negative least squares finds
+how often to repeat each, counts are rounded down, and what is left is packed best fit decreasing, by counts. The plan is a short list of runs: the pieces of a length with ranks
 from..to go to consecutive sequences at one offset. Ranks come from counts by (task, length), so no task sees all pieces.
 
 Defined results: null text is empty and gives its end id alone; a null doc_id stays null; repeated rows are packed each;
@@ -13,7 +13,9 @@ an empty table gives no piece.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
+import math
 import os
 import re
 import zlib
@@ -127,22 +129,29 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW)
 
 
 def combinations(histogram: np.ndarray, window: int, columns: int = COLUMNS, depth: int = DEPTH) -> np.ndarray:
-    """Distinct ascending rows of lengths that fill a window exactly, padded with 0; drawn by a fixed seed."""
-    rng, total = np.random.default_rng(7), histogram.sum()
-    if not total:
-        return np.zeros((0, depth), np.int64)
-    found = [np.zeros((0, depth), np.int64)]
-    for size in range(2, depth + 1):
-        drawn = rng.choice(len(histogram), (4 * columns, size - 1), p=histogram / total)
-        last = window - drawn.sum(1)
-        fits = (last > 0) & (histogram[last.clip(0, window - 1)] > 0)
-        row = np.zeros((fits.sum(), depth), np.int64)
-        row[:, :size] = np.column_stack([drawn[fits], last[fits]])
-        found.append(np.unique(np.sort(row, 1), axis=0)[:: max(1, len(row) * depth // (2 * columns))])
-    return np.unique(np.concatenate(found), axis=0)
-
-
-def least_squares(combos: np.ndarray, histogram: np.ndarray, rounds: int = 400) -> np.ndarray:
+    """Distinct ascending rows of lengths of the histogram that fill a window exactly, padded with 0."""
+    there = np.flatnonzero(histogram[:window] > 0)
+    there = there[there > 0]
+    a, b = np.meshgrid(there, there, indexing="ij")
+    a, b = a[a <= b], b[a <= b]
+    parts = [np.column_stack([a, b])[a + b == window], np.column_stack([a, b, window - a - b])[window - a - b >= b]]
+    common = there[np.argsort(-histogram[there], kind="stable")]
+    for size in range(4, depth + 1):
+        top = 1
+        while top < len(common) and math.comb(top + size - 1, size - 1) <= columns:
+            top += 1
+        chosen = np.array(list(itertools.combinations_with_replacement(common[:top].tolist(), size - 1)), np.int64).reshape(-1, size - 1)
+        parts.append(np.column_stack([chosen, window - chosen.sum(1)]))
+    rows = []
+    for part in parts:
+        part = part[part[:, -1] > 0]
+        part = part[histogram[part[:, -1]] > 0]
+        part = np.sort(part, 1)
+        rows.append(np.hstack([np.zeros((len(part), depth - part.shape[1]), np.int64), part if part.shape[1] < 4 else np.unique(part, axis=0)]))
+    return np.concatenate(rows)
+
+
+def least_squares(combos: np.ndarray, histogram: np.ndarray, rounds: int = 120) -> np.ndarray:
     """x >= 0 that nearly minimises |Ax - histogram|, by accelerated projected gradients; A's columns count lengths."""
     rows, cols = combos.ravel(), np.repeat(np.arange(len(combos)), combos.shape[1])
     rows, cols = rows[rows > 0], cols[rows > 0]

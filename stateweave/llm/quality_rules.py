@@ -53,7 +53,7 @@ def repeated_words(words: list[bytes]) -> int:
 
 
 PROFILE = (
-    "row_id long, key long, doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+    "row_id long, key struct<a:long,b:long>, doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "doc_key long, lines array<struct<line:long,words:int>>"
 )
 
@@ -101,15 +101,16 @@ def _profile():
 
 
 def _key() -> F.Column:
-    """What rows of one id, host and text share; nulls included."""
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
+    """What rows of one id, host and text share, nulls included: two hashes."""
+    parts = (F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(3), *parts).alias("b"))
 
 
 def profile(docs: DataFrame) -> DataFrame:
     """One row per document: base figures and its distinct normalised lines, written to the shared folder."""
     rows = docs.select(
         F.monotonically_increasing_id().alias("row_id"), _key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.col("text").cast("string").alias("text"),
+        F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("host"), F.col("text").cast("string").alias("text"),
     )
     return materialize(map_rows(rows, _profile, PROFILE), "quality")
 

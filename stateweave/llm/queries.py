@@ -57,20 +57,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SQL: dict[str, str] = {
     "op10_quality_rules": rf"""
-    with d as (select doc_id, coalesce(source, '') as host, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{WORD}') as words from documents),
-    base as (select doc_id, host, len(words) as n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
-        list_max(list_transform(words, lambda x: struct_pack(n := strlen(x), w := {LOWER.format("x")}))).w as doc_key from d),
-    lines as (select doc_id, line from (select doc_id, unnest(string_split(text, chr(10))) as line from d) where regexp_matches(line, '{WORD}')),
-    dups as (select doc_id, count(*) - count(distinct line) as n_dup_lines from lines group by 1),
-    places as (select doc_id, words, unnest(generate_series(1, len(words) - 2)) as i from d where len(words) > 2),
-    windows as (select doc_id, i, count(*) over (partition by doc_id, words[i], words[i + 1], words[i + 2]) as c from places),
-    repeated as (select doc_id, count(distinct i + k) as n_repeat_words from windows, unnest([0, 1, 2]) t(k) where c > 1 group by 1),
-    normal as (select doc_id, array_to_string(regexp_extract_all({LOWER.format("line")}, '{WORD}'), ' ') as line, len(regexp_extract_all(line, '{WORD}')) as words from lines),
-    per_doc as (select doc_id, host, doc_key, line, sum(words) as words from normal join base using (doc_id) group by all),
-    frequent as (select host, line from per_doc group by 1, 2 having count(distinct doc_key) > {quality_rules.MAX_DOCS} and 3 * count(distinct doc_key) >= count(*)),
-    removed as (select doc_id, sum(words) as removed_words from per_doc join frequent using (host, line) group by 1),
-    found as (select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, coalesce(n_dup_lines, 0)::bigint as n_dup_lines,
-        coalesce(n_repeat_words, 0)::bigint as n_repeat_words, coalesce(removed_words, 0)::bigint as removed_words from base left join dups using (doc_id) left join repeated using (doc_id) left join removed using (doc_id))
+    with d as (select row_number() over () as r, doc_id, source as host, coalesce(text, '') as text from documents),
+    w as (select r, unnest(regexp_extract_all(text, '{WORD}')) as word, generate_subscripts(regexp_extract_all(text, '{WORD}'), 1) as i from d),
+    per_word as (select r, count(*) as n_words, sum(length(word)) as word_chars from w group by r),
+    three as (select r, i, count(*) over (partition by r, word, w2, w3) as c from (select r, i, word, lead(word) over (partition by r order by i) as w2, lead(word, 2) over (partition by r order by i) as w3 from w) where w3 is not null),
+    again as (select r, count(distinct i + k) as n_repeat_words from three cross join (values (0), (1), (2)) t(k) where c > 1 group by r),
+    lines as (select r, host, text, line, {LOWER.format("line")} as low from (select *, unnest(string_split(text, chr(10))) as line from d) where regexp_matches(line, '{WORD}')),
+    copies as (select r, count(*) - count(distinct line) as n_dup_lines from lines group by r),
+    normal as (select r, host, text, array_to_string(regexp_extract_all(low, '{WORD}'), ' ') as line, len(regexp_extract_all(low, '{WORD}')) as words from lines),
+    boilerplate as (select host, line from normal group by host, line having count(distinct text) > {quality_rules.MAX_DOCS}),
+    gone as (select r, sum(words) as removed_words from normal n join boilerplate b on n.line = b.line and n.host is not distinct from b.host group by r),
+    found as (select doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(word_chars, 0)::bigint as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+        coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words, coalesce(removed_words, 0)::bigint as removed_words
+        from d left join per_word using (r) left join copies using (r) left join again using (r) left join gone using (r))
     select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
         not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and 100 * removed_words <= {quality_rules.MAX_REMOVED_PERCENT} * n_words as kept from found
     """,

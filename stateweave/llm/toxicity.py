@@ -11,8 +11,8 @@ A word is matched by the Levenshtein automata of all terms at once, intersected
 with them. Each hit is scored in a window of words around it: quotation marks or reporting verbs lower it, a second
 person raises it.
 
-Defined results: null and empty texts have no hit and get the score of such texts; without labels the seed terms decide;
-repeated rows repeat; several labels of one document count as toxic if one is.
+Defined results: null and empty texts have no hit and get the score of such texts; a single letter is no term; without labels
+the seed terms decide; a null id counts as held out; an empty table gives none; repeated rows repeat; several labels of one document count as toxic if one is.
 """
 
 from __future__ import annotations
@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from .common import held_out, map_rows, materialize
 
 SAMPLE_ROWS = 10_000
-MAX_TERMS = 4_000
 #: Terms that chance alone may bring into the lexicon.
 FALSE_TERMS = 5
 STEMS = (4, 5, 6)
@@ -143,7 +142,7 @@ class Lexicon:
             memo.clear()
         for chunk in chunks.difference(memo):
             word = normal(chunk)
-            memo[chunk] = self.edits(word) if 3 < len(word) <= 40 else 9
+            memo[chunk] = self.edits(word) if len(word) > 1 else 9
         return {c: e for c in chunks if (e := memo[c]) < 9}
 
 
@@ -217,7 +216,7 @@ def _term_counts(sample: DataFrame) -> DataFrame:
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             counts: tuple[Counter, Counter] = (Counter(), Counter())
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                words = {n for w in set(text.lower().split()) if 3 < len(n := normal(w)) <= 40}
+                words = {n for w in set(text.lower().split()) if len(n := normal(w)) > 1}
                 stems = {w[:k] + "*" for w in words for k in STEMS if len(w) > k}
                 counts[toxic > 0].update(words | stems)
             terms = list(counts[0].keys() | counts[1].keys())
@@ -246,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     if not sizes.get(True) or not sizes.get(False):
         return Model(SEEDS.split(), [])
     counts = materialize(_term_counts(sample), "toxic-terms")
-    found = [r.term for r in significant(counts, sizes[True], sizes[False]).orderBy(F.desc("gain"), "term").limit(MAX_TERMS).collect()]
+    found = [r.term for r in significant(counts, sizes[True], sizes[False]).orderBy(F.desc("gain"), "term").collect()]  # of a bounded sample
     stems = sorted((t[:-1] for t in found if t.endswith("*")), key=len)
     short: list[str] = []
     for s in stems:

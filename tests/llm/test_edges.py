@@ -68,9 +68,13 @@ def test_stages_keep_columns(docs, none):
 
 
 def test_vectors(spark):
+    from pyspark.sql import functions as F
+
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (50, [0.0, 2.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [1.0, None]), (7, [inf, 1.0]), (8, [1.0]), (1, [2.0, 0.0]), (None, [1.0, 1.0])]
     t = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = [tuple(r) for r in neighbours.search(t).orderBy("query_id", "rank").collect()]
     assert [(q, r, v) for q, r, v, _ in got] == [(0, 1, 1), (0, 2, 2), (0, 3, 50), (50, 1, 0), (50, 2, 1), (50, 3, 2)]
+    sizes = t.union(spark.createDataFrame([(100, [3.0]), (150, [1.0, 1.0, 1.0])], t.schema)).withColumns({"h1": F.lit(1), "list": F.lit(2), "v": F.lit(3)})
+    assert [(r.query_id, r.vec_id, r.score) for r in neighbours.search(sizes).where("query_id >= 100").collect()] == [(100, 8, 1.0)]
     assert got[0][3] == 1.0 and neighbours.search(t.where("false")).count() == 0

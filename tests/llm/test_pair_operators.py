@@ -256,3 +256,12 @@ def test_edited_passages_are_found(spark):
         want.add((2 * k + 1, 2 * k, 10, 10 + len(whole)))
     got = {(x.doc_id, x.first_doc_id, x.start_word, x.end_word) for x in substring_dedup.repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert len(want & got) >= 0.95 * len(want) and {g[:2] for g in got} <= {w[:2] for w in want}
+
+
+def test_ties_go_to_smaller_ids(spark):
+    """40 power-of-two multiples of one vector, all of cosine 1, among 200 others."""
+    r = np.random.default_rng(3)
+    base = r.normal(size=16)
+    rows = [(k, (base * 2.0 ** (k % 9 - 4)).tolist()) for k in range(40)] + [(100 + 7 * k, x.tolist()) for k, x in enumerate(r.normal(size=(200, 16)))]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("query_id = 0").orderBy("rank").collect()
+    assert [(x.vec_id, x.score) for x in got] == [(k, 1.0) for k in range(1, 6)]

@@ -213,3 +213,43 @@ def test_secrets_of_many_parts_and_keywords_behind():
     texts = {"-----BEGIN PRIVATE KEY-----\n" + "\n".join(lines) + "\n-----END PRIVATE" + " KEY-----": lines, "Authorization: Bearer " + ".".join(jwt): jwt, f"use {value} as the client secret": [value]}
     for text, parts in texts.items():
         assert [text[s:e] for k, s, e in secret_scan.all_spans(text, novelty) if k == "novel"] == parts
+
+
+def test_combinations_are_all_of_two_and_three():
+    h = np.zeros(65, np.int64)
+    h[[3, 10, 20, 24, 30, 32, 34, 44, 54]] = [9, 5, 4, 3, 2, 2, 1, 1, 7]
+    got = {tuple(x[x > 0].tolist()) for x in packing.combinations(h, 64)}
+    there = np.flatnonzero(h).tolist()
+    want = {tuple(sorted((a, 64 - a))) for a in there if 64 - a in there} | {tuple(sorted((a, b, 64 - a - b))) for a in there for b in there if 64 - a - b in there}
+    assert want <= got and all(sum(x) == 64 and set(x) <= set(there) and len(x) <= 8 for x in got) and any(len(x) > 3 for x in got)
+
+
+def test_packing_of_odd_rows(spark):
+    """Null, empty, very long and repeated texts, a null id and clashing columns: every id once, as the library gives them."""
+    texts = [(1, None), (2, ""), (3, "word " * 9000), (4, "a" * 30000), (5, "same text"), (5, "same text"), (None, "no id"), (6, "\n\t")]
+    table_ = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "1 as part", "2 as length", "3 as rank", "4 as first").repartition(3)
+    got = packing.pack(table_).toPandas()
+    ids = {d: [*WORDS.library.encode(t or "", add_special_tokens=False).ids, 1] for d, t in texts}
+    assert got[got.doc_id.isin([1, 2, 6])].doc_tokens.tolist() == [1, 1, 1] and got.length.sum() == sum(len(ids[d]) for d, _ in texts)
+    for r in got.dropna().itertuples():
+        assert zlib.crc32(np.array(ids[int(r.doc_id)][r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32 and r.doc_tokens == len(ids[int(r.doc_id)])
+    assert (got.groupby("sequence_id").length.sum() <= 2048).all() and len(got[got.doc_id == 5]) == 2
+
+
+def test_suffix_sums_of_odd_rows(spark):
+    table_ = spark.createDataFrame([(1, None), (2, ""), (3, "a b"), (3, "a b")], "doc_id long, text string").selectExpr("*", "1 as n_tokens", "2 as docs")
+    got = {r.n_tokens: r for r in token_counts.histogram(table_).collect()}
+    assert set(got) == {0, 2} and got[0].docs_at_least == 4 and got[2].tokens_at_least == 4 and got[0].docs == 2
+
+
+def test_any_number_of_languages(spark, monkeypatch):
+    """500 languages, each a word of its own: none is left out of the sample."""
+    rows = [(k, f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + k % 7)} " * 12, f"l{k % 500}") for k in range(3000)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("text", "lang", "xxhash64(doc_id) as pick")
+    monkeypatch.setattr(language_id, "svm", lambda x, y: np.zeros(x.shape[1] + 1, np.float32))
+    assert len(language_id.fit(labelled, 100_000).families) == 500
+
+
+def test_toxic_terms_of_any_length():
+    lexicon = toxicity.Lexicon(["sod", "x" * 45], [])
+    assert set(lexicon.hits({"sod", "x" * 45, "x" * 44, "so", "s"})) == {"sod", "x" * 45, "x" * 44}
