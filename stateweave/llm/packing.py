@@ -146,8 +146,8 @@ def combinations(histogram: np.ndarray, window: int, columns: int = COLUMNS, dep
     for part in parts:
         part = part[part[:, -1] > 0]
         part = part[histogram[part[:, -1]] > 0]
-        part = np.sort(part, 1)
-        rows.append(np.hstack([np.zeros((len(part), depth - part.shape[1]), np.int64), part if part.shape[1] < 4 else np.unique(part, axis=0)]))
+        part = np.sort(part, 1) if part.shape[1] < 4 else np.unique(np.sort(part, 1), axis=0)
+        rows.append(np.hstack([np.zeros((len(part), depth - part.shape[1]), np.int64), part]))
     return np.concatenate(rows)
 
 

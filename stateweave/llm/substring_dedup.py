@@ -11,7 +11,7 @@ all their tokens: runs of tokens that the first document has too, with Jaccard s
 that they match.
 
 Windows that lie in no passage found get finer keys, and so do all windows that share a key with them: first the tokens at
-both ends of each stretch of ``STRETCH`` tokens around the minimum with the minimum itself, then, for those still open, hashes
+both ends of stretches of ``STRETCH`` tokens around the minimum with the minimum itself, then, for those still open, hashes
 of all runs of ``SPAN`` tokens. Each finer key's windows are compared with its first document in turn. So a line that very
 many documents share costs a comparison for each of its windows and keys, never one for each two documents.
 
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_ROWS, WordHasher, map_rows, materialize, mix, shingles, small, spread_join
+from .common import WordHasher, map_rows, materialize, mix, shingles, small, spread_join
 
 WIDTH = 5
 MIN_WORDS = 50
@@ -45,8 +45,8 @@ SPAN = MIN_WORDS - WIDTH + 1
 HASHES = 4
 ASIDE = 12
 REACH = 2 * SPAN
-#: Finer keys: the length of a stretch of tokens around a minimum, and the step between stretches.
-STRETCH, STEP = 41, 5
+#: Finer keys: the length of a stretch of tokens around a minimum, and places of the minimum in it; a run of SPAN tokens holds one of them.
+STRETCH, PLACES = 36, (0, 10, 20, 30, 35)
 SIMILARITY = 0.8
 #: A changed word leaves WIDTH tokens unmatched.
 GAPS = (2 * WIDTH + 1, WIDTH)
@@ -79,41 +79,43 @@ def spans(values: list[int], at: list[int], n: int) -> tuple[list[int], list[int
     return first, last
 
 
-def compact_windows(seq: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each hash function: keys (left, right), and positions, firsts and lasts of the compact windows of a token sequence."""
+def compact_windows(seq: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of all hash functions' compact windows of a token sequence: function, keys (left, right), place, first and last."""
     n = len(seq)
     if n < SPAN:
-        return []
+        return np.zeros(0, int), np.zeros((2, 0), np.uint64), *(np.zeros(0, int),) * 3
     values = (mix(seq[None, :] ^ _SALT[:, None]) >> np.uint64(32)).astype(np.uint32)
     least = sliding(values, SPAN, np.minimum)
     pad = np.zeros((HASHES, SPAN - 1), np.uint32)
-    node = sliding(np.hstack([pad, least, pad]), SPAN, np.maximum) == values
-    out = []
-    for k in range(HASHES):
-        at = np.flatnonzero(node[k])
-        first, last = (np.array(x) for x in spans(values[k, at].tolist(), at.tolist(), n))
-        wide = last - first + 1 >= SPAN
-        at, first, last = at[wide], first[wide], last[wide]
-        sides = seq[np.stack([at - ASIDE, at + ASIDE]).clip(0, n - 1)]
-        key = mix(mix(seq[at] + np.uint64(k)) + mix(sides) * np.array([[3], [5]], np.uint64))
-        out.append((key, at, first, last))
-    return out
+    k, at = np.nonzero(sliding(np.hstack([pad, least, pad]), SPAN, np.maximum) == values)
+    ends, heights, places = np.searchsorted(k, np.arange(HASHES + 1)).tolist(), values[k, at].tolist(), at.tolist()
+    first, last = [], []
+    for a, b in zip(ends, ends[1:], strict=False):
+        lows, highs = spans(heights[a:b], places[a:b], n)
+        first += lows
+        last += highs
+    first, last = np.array(first), np.array(last)
+    wide = np.flatnonzero(last - first >= SPAN - 1)
+    k, at, first, last = k[wide], at[wide], first[wide], last[wide]
+    sides = seq[np.stack([at - ASIDE, at + ASIDE]).clip(0, n - 1)]
+    return k, mix(mix(seq[at] + k.astype(np.uint64)) + mix(sides) * np.array([[3], [5]], np.uint64)), at, first, last
 
 
 def _windows():
     hasher = WordHasher()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, docs, places = [], [], []
+        keys, docs, places, counts = [], [], [], []
         with np.errstate(over="ignore"):
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for key, at, first, last in compact_windows(tokens(text, hasher)):
-                    for side, inside in zip(key, (at - ASIDE >= first, at + ASIDE <= last), strict=True):
-                        keys.append(side[inside].view(np.int64))
-                        docs.append(np.full(len(keys[-1]), doc))
-                        places.append(at[inside])
+                _, key, at, first, last = compact_windows(tokens(text, hasher))
+                for side, inside in zip(key, (at - ASIDE >= first, at + ASIDE <= last), strict=True):
+                    keys.append(side[inside])
+                    places.append(at[inside])
+                docs.append(doc)
+                counts.append(len(keys[-1]) + len(keys[-2]))
         join = lambda x, kind: pa.array(np.concatenate(x).astype(kind) if x else np.zeros(0, kind))
-        return pa.RecordBatch.from_arrays([join(keys, np.int64), join(docs, np.int64), join(places, np.int32)], ["key", "doc_id", "at"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(docs, np.int64), counts)), join(places, np.int32)], ["key", "doc_id", "at"])
 
     return work
 
@@ -168,28 +170,20 @@ def matched(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def _held(windows: DataFrame) -> DataFrame:
-    """``windows`` (key, doc_id, at) whose key is in two documents or more, with n (the key's windows), the first document and its places."""
-    place = lambda sign: F.struct((sign * F.col("doc_id")).alias("d"), "at")
-    keys = windows.groupBy("key").agg(F.min(place(1)).alias("low"), F.max(place(-1)).alias("high"), F.max("doc_id").alias("most"), F.count("*").alias("n")).where("low.d < most")
-    keys = keys.select("key", "n", F.col("low.d").alias("first"), F.col("low.at").alias("first_lo"), F.col("high.at").alias("first_hi"))
-    keys = materialize(keys, "shared")
+    """``windows`` (key, doc_id, at) whose key is in two documents or more, with n (the key's windows) and its first document."""
+    keys = windows.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("most"), F.count("*").alias("n")).where("first < most")
+    keys = materialize(keys.drop("most"), "shared")
     return materialize(spread_join(windows, keys, "key", keys.select("key", "n"), F.col("doc_id")), "held")
 
 
 def _verified(asked: DataFrame, seqs: DataFrame) -> DataFrame:
-    """The passages that windows ``asked`` share with the first documents of their keys, around the keys' places in both."""
-    reach = (F.min("at").alias("lo"), F.max("at").alias("hi"), F.min("first_lo").alias("other_lo"), F.max("first_hi").alias("other_hi"))
+    """The passages that windows ``asked`` share with the first documents of their keys."""
+    reach = F.greatest(F.min("at") - REACH, F.lit(0)).alias("lo"), (F.max("at") + REACH).alias("hi")
     pairs = materialize(asked.groupBy("doc_id", "first").agg(*reach), "passage-pairs")
-
-    def cut(lo: str, hi: str) -> F.Column:
-        begin = F.greatest(F.col(lo) - REACH, F.lit(0))
-        return F.substring(F.col("seq"), 4 * begin + 1, 4 * (F.col(hi) + REACH - begin + 1))
-
-    begin = F.greatest(F.col("lo") - REACH, F.lit(0))
-    both = pairs.join(seqs, "doc_id").select("doc_id", "first", "other_lo", "other_hi", begin.alias("lo"), cut("lo", "hi").alias("mine"))
+    cut = F.expr("substring(seq, 4 * lo + 1, 4 * (hi - lo + 1))").alias("mine")
+    both = pairs.join(seqs, "doc_id").select("doc_id", "first", "lo", cut)
     rows = pairs.groupBy("first").agg(F.count("*").alias("n"))
-    both = spread_join(both, seqs.withColumnRenamed("doc_id", "first"), "first", rows, F.col("doc_id"), 1024)
-    both = both.select("doc_id", "first", "lo", "mine", cut("other_lo", "other_hi").alias("other"))
+    both = spread_join(both, seqs.select(F.col("doc_id").alias("first"), F.col("seq").alias("other")), "first", rows, F.col("doc_id"), 1024)
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -223,7 +217,7 @@ def _new(more: DataFrame, found: DataFrame) -> DataFrame:
 
 def stretches(seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys, and their minima, of the stretches of ``STRETCH`` tokens around the minima ``at``."""
-    shift = np.arange(0, STRETCH, STEP)
+    shift = np.array(PLACES)
     begin = (at[:, None] - shift).ravel()
     inside = (begin >= 0) & (begin + STRETCH <= len(seq))
     middle, shift, begin = np.repeat(at, len(shift))[inside], np.tile(shift, len(at))[inside], begin[inside]
@@ -279,7 +273,8 @@ def repeats(docs: DataFrame) -> DataFrame:
         asked = held.where("doc_id <> first").join(open_, open_.columns, "left_semi")
         more = _verified(asked, seqs)
         found = materialize(found.unionByName(_new(more, found)), "passages")
-        left = _outside(asked.select("key", "n", "doc_id", "at"), more)
+        if keys is stretches:
+            left = _outside(asked.select("key", "n", "doc_id", "at"), more)
     return found
 
 

@@ -82,7 +82,8 @@ def test_windows_are_those_of_every_subsequence():
     seq[90:95] = seq[10:15]
     with np.errstate(over="ignore"):
         windows = substring_dedup.compact_windows(seq)
-        for k, (_, at, first, last) in enumerate(windows):
+        for k in range(substring_dedup.HASHES):
+            at, first, last = (x[windows[0] == k] for x in windows[2:])
             values = substring_dedup.mix(seq ^ substring_dedup._SALT[k]) >> np.uint64(32)
             for i in range(len(seq)):
                 for j in range(i + substring_dedup.SPAN - 1, len(seq)):
@@ -177,7 +178,12 @@ def planted(edits, n, r):
 
 def common_keys(a, b):
     """For each hash function, whether the two sequences share a key."""
-    keys = lambda s: [{int(k[side][i]) for side in (0, 1) for i in range(len(at)) if first[i] <= at[i] + (2 * side - 1) * substring_dedup.ASIDE <= last[i]} for k, at, first, last in substring_dedup.compact_windows(s)]
+    def keys(s):
+        out = [set() for _ in range(substring_dedup.HASHES)]
+        for f, left, right, at, first, last in zip(*(lambda k, key, *rest: (k, *key, *rest))(*substring_dedup.compact_windows(s)), strict=True):
+            out[f] |= {int(key) for key, aside in ((left, at - substring_dedup.ASIDE), (right, at + substring_dedup.ASIDE)) if first <= aside <= last}
+        return out
+
     with np.errstate(over="ignore"):
         return [bool(x & y) for x, y in zip(keys(a), keys(b), strict=True)]
 
