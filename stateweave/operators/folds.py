@@ -21,6 +21,44 @@ def _lit(x) -> Column:
     return x if isinstance(x, Column) else F.lit(float(x))
 
 
+#: Steps of an inner fold. An array that grows is copied each step, so a series is folded in chunks: time is linear in its length.
+CHUNK = 64
+
+
+def fold_rows(steps: Column, start: dict[str, Column], kind: str, move, last=None) -> Column:
+    """The rows that ``move(state, step)`` gives, as (new state, row), over an array ``steps``; ``last(state)`` may add one.
+
+    ``start`` is the state, a struct by name; ``kind`` is the type of a row.
+    """
+    names = list(start)
+    state = lambda x, out: F.struct(*(x[n].alias(n) for n in names), out.alias("out"))
+
+    def inner(acc: Column, x: Column) -> Column:
+        new, row = move(acc, x)
+        return state(new, F.concat(acc["out"], F.array(row)))
+
+    def outer(acc: Column, k: Column) -> Column:
+        part = F.slice(steps, k * CHUNK + 1, CHUNK)
+        return F.aggregate(part, state(acc, F.array().cast(f"array<{kind}>")), inner, lambda done: state(done, F.concat(acc["out"], F.array(done["out"]))))
+
+    def end(acc: Column) -> Column:
+        rows = F.flatten(acc["out"])
+        return rows if last is None else F.concat(rows, F.array(last(acc)))
+
+    chunks = F.when(F.size(steps) > 0, F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / CHUNK).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(chunks, state(start, F.array().cast(f"array<array<{kind}>>")), outer, end)
+
+
+def walk(start: Column, steps: Column, move) -> Column:
+    """start, and ``move(x, step)`` after each of ``steps``, as an array of doubles."""
+
+    def step(acc: Column, k: Column) -> tuple[dict[str, Column], Column]:
+        x = move(acc["x"], k)
+        return {"x": x}, x
+
+    return F.concat(F.array(start), fold_rows(steps, {"x": start}, "double", step))
+
+
 def scalar_filter(series: DataFrame, a1=0.0, p1=1.0, transition=1.0, sd_state=1.0, sd_y=1.0, constant=0.0) -> DataFrame:
     """One-state filter: y = alpha + noise, alpha' = constant + transition * alpha + noise.
 
@@ -28,9 +66,9 @@ def scalar_filter(series: DataFrame, a1=0.0, p1=1.0, transition=1.0, sd_state=1.
     """
     tr, q, h, c = _lit(transition), _lit(sd_state) * _lit(sd_state), _lit(sd_y) * _lit(sd_y), _lit(constant)
     step = "struct<t:int,y:double,a:double,p:double,att:double,ptt:double,v:double,f:double,loglik:double>"
-    start = F.struct(_lit(a1).alias("a"), _lit(p1).alias("p"), F.lit(0.0).alias("loglik"), F.array().cast(f"array<{step}>").alias("out"))
+    start = {"a": _lit(a1), "p": _lit(p1), "loglik": F.lit(0.0), "t": F.lit(0)}
 
-    def move(acc: Column, x: Column) -> Column:
+    def move(acc: Column, x: Column) -> tuple[dict[str, Column], Column]:
         f = acc["p"] + h
         used = x["y"].isNotNull() & (f > TOLERANCE)
         v = F.when(used, x["y"] - acc["a"])
@@ -42,18 +80,30 @@ def scalar_filter(series: DataFrame, a1=0.0, p1=1.0, transition=1.0, sd_state=1.
             x["t"].alias("t"), x["y"].alias("y"), acc["a"].alias("a"), acc["p"].alias("p"), att.alias("att"), ptt.alias("ptt"), v.alias("v"),
             F.when(used, f).alias("f"), loglik.alias("loglik"),
         )
-        return F.struct((c + tr * att).alias("a"), (tr * ptt * tr + q).alias("p"), loglik.alias("loglik"), F.concat(acc["out"], F.array(row)).alias("out"))
+        return {"a": c + tr * att, "p": tr * ptt * tr + q, "loglik": loglik, "t": acc["t"] + 1}, row
 
-    last = lambda acc: F.concat(acc["out"], F.array(F.struct(
-        (F.size(acc["out"]) + 1).alias("t"), F.lit(None).cast("double").alias("y"), acc["a"].alias("a"), acc["p"].alias("p"), *(F.lit(None).cast("double").alias(x) for x in ("att", "ptt", "v", "f")),
+    last = lambda acc: F.struct(
+        (acc["t"] + 1).alias("t"), F.lit(None).cast("double").alias("y"), acc["a"].alias("a"), acc["p"].alias("p"), *(F.lit(None).cast("double").alias(x) for x in ("att", "ptt", "v", "f")),
         acc["loglik"].alias("loglik"),
-    )))
-    return packed(series).select("series_id", F.aggregate("steps", start, move, last).alias("rows")).select("series_id", F.inline("rows"))
+    )
+    return packed(series).select("series_id", fold_rows(F.col("steps"), start, step, move, last).alias("rows")).select("series_id", F.inline("rows"))
 
 
-def scalar_loglik(series: DataFrame, **model) -> DataFrame:
-    """series_id and loglik."""
-    return scalar_filter(series, **model).groupBy("series_id").agg(F.max_by("loglik", "t").alias("loglik"))
+def scalar_loglik(series: DataFrame, a1=0.0, p1=1.0, transition=1.0, sd_state=1.0, sd_y=1.0, constant=0.0) -> DataFrame:
+    """series_id and loglik: a fold that keeps three numbers."""
+    tr, q, h, c = _lit(transition), _lit(sd_state) * _lit(sd_state), _lit(sd_y) * _lit(sd_y), _lit(constant)
+
+    def move(acc: Column, x: Column) -> Column:
+        f = acc["p"] + h
+        used = x["y"].isNotNull() & (f > TOLERANCE)
+        v = F.when(used, x["y"] - acc["a"]).otherwise(0.0)
+        k = F.when(used, acc["p"] / f).otherwise(0.0)
+        ptt = (1.0 - k) * acc["p"] * (1.0 - k) + k * h * k
+        loglik = acc["loglik"] - F.when(used, 0.5 * (LOG_2PI + F.log(f) + v * v / f)).otherwise(0.0)
+        return F.struct((c + tr * (acc["a"] + k * v)).alias("a"), (tr * ptt * tr + q).alias("p"), loglik.alias("loglik"))
+
+    start = F.struct(_lit(a1).alias("a"), _lit(p1).alias("p"), F.lit(0.0).alias("loglik"))
+    return packed(series).select("series_id", F.aggregate("steps", start, move, lambda acc: acc["loglik"]).alias("loglik"))
 
 
 def scalar_smoother(series: DataFrame, transition=1.0, **model) -> DataFrame:
@@ -62,18 +112,18 @@ def scalar_smoother(series: DataFrame, transition=1.0, **model) -> DataFrame:
     rows = scalar_filter(series, transition=transition, **model)
     back = rows.where("att is not null").groupBy("series_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("t", "a", "p", "v", "f")))).alias("steps"))
     step = "struct<t:int,alphahat:double,vt:double>"
-    start = F.struct(F.lit(0.0).alias("r"), F.lit(0.0).alias("n"), F.array().cast(f"array<{step}>").alias("out"))
+    start = {"r": F.lit(0.0), "n": F.lit(0.0)}
 
-    def move(acc: Column, x: Column) -> Column:
+    def move(acc: Column, x: Column) -> tuple[dict[str, Column], Column]:
         used = x["f"].isNotNull()
         k = F.when(used, x["p"] / x["f"]).otherwise(0.0)
         carry = tr * (1.0 - k)
         r = F.when(used, x["v"] / x["f"]).otherwise(0.0) + carry * acc["r"]
         n = F.when(used, 1.0 / x["f"]).otherwise(0.0) + carry * acc["n"] * carry
         row = F.struct(x["t"].alias("t"), (x["a"] + x["p"] * r).alias("alphahat"), (x["p"] - x["p"] * n * x["p"]).alias("vt"))
-        return F.struct(r.alias("r"), n.alias("n"), F.concat(acc["out"], F.array(row)).alias("out"))
+        return {"r": r, "n": n}, row
 
-    return back.select("series_id", F.aggregate("steps", start, move, lambda acc: acc["out"]).alias("rows")).select("series_id", F.inline("rows"))
+    return back.select("series_id", fold_rows(F.col("steps"), start, step, move).alias("rows")).select("series_id", F.inline("rows"))
 
 
 def trend_filter(series: DataFrame, p1=100.0, sd_level=1.0, sd_slope=1.0, sd_y=1.0) -> DataFrame:
@@ -82,9 +132,9 @@ def trend_filter(series: DataFrame, p1=100.0, sd_level=1.0, sd_slope=1.0, sd_y=1
     step = "struct<t:int,a1:double,a2:double,p11:double,p12:double,p22:double,loglik:double>"
     names = ("a1", "a2", "p11", "p12", "p22", "loglik")
     zero = {"a1": 0.0, "a2": 0.0, "p11": p1, "p12": 0.0, "p22": p1, "loglik": 0.0}
-    start = F.struct(*(_lit(zero[x]).alias(x) for x in names), F.array().cast(f"array<{step}>").alias("out"))
+    start = {x: _lit(zero[x]) for x in names} | {"t": F.lit(0)}
 
-    def move(acc: Column, x: Column) -> Column:
+    def move(acc: Column, x: Column) -> tuple[dict[str, Column], Column]:
         f = acc["p11"] + h
         used = x["y"].isNotNull() & (f > TOLERANCE)
         v = F.when(used, x["y"] - acc["a1"]).otherwise(0.0)
@@ -98,9 +148,9 @@ def trend_filter(series: DataFrame, p1=100.0, sd_level=1.0, sd_slope=1.0, sd_y=1
         row = F.struct(x["t"].alias("t"), *(acc[n].alias(n) for n in names[:-1]), acc["loglik"].alias("loglik"))
         new = {
             "a1": m1 + m2, "a2": m2, "p11": c11 + 2.0 * c12 + c22 + ql, "p12": c12 + c22, "p22": c22 + qs,
-            "loglik": acc["loglik"] - F.when(used, 0.5 * (LOG_2PI + F.log(f) + v * v / f)).otherwise(0.0),
+            "loglik": acc["loglik"] - F.when(used, 0.5 * (LOG_2PI + F.log(f) + v * v / f)).otherwise(0.0), "t": acc["t"] + 1,
         }
-        return F.struct(*(new[n].alias(n) for n in names), F.concat(acc["out"], F.array(row)).alias("out"))
+        return new, row
 
-    last = lambda acc: F.concat(acc["out"], F.array(F.struct((F.size(acc["out"]) + 1).alias("t"), *(acc[n].alias(n) for n in names))))
-    return packed(series).select("series_id", F.aggregate("steps", start, move, last).alias("rows")).select("series_id", F.inline("rows"))
+    last = lambda acc: F.struct((acc["t"] + 1).alias("t"), *(acc[n].alias(n) for n in names))
+    return packed(series).select("series_id", fold_rows(F.col("steps"), start, step, move, last).alias("rows")).select("series_id", F.inline("rows"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import priors as pr
 from ..functions.priors import Prior
 from ..functions.random import generator, normal
-from . import kernels
+from . import folds, kernels
 from .inference import per_series, summarised
 from .models import Matrices
 
@@ -361,13 +361,12 @@ def predict(chain: DataFrame, series: DataFrame, model: NonLinear, horizon: int,
 def milstein_column(x0: float, drift, diffusion, gradient, steps: Column, dt: float, seed: Column) -> Column:
     """A Milstein path as a column fold: the state after each of ``steps`` steps, with hash random numbers."""
 
-    def move(acc: Column, k: Column) -> Column:
-        x = F.element_at(acc, -1)
+    def move(x: Column, k: Column) -> Column:
         db = math.sqrt(dt) * normal(seed, k)
         s = diffusion(x)
-        return F.concat(acc, F.array(x + drift(x) * dt + s * db + 0.5 * s * gradient(x) * (db * db - dt)))
+        return x + drift(x) * dt + s * db + 0.5 * s * gradient(x) * (db * db - dt)
 
-    return F.aggregate(F.sequence(F.lit(1), steps), F.array(F.lit(float(x0))), move)
+    return folds.walk(F.lit(float(x0)), F.sequence(F.lit(1), steps), move)
 
 
 def example(name: str):

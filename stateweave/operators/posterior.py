@@ -7,6 +7,10 @@ Weighted moments are sums of w x / sums of w; a weighted quantile is the least v
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,64 +71,88 @@ def acceptance(chain: DataFrame) -> DataFrame:
     return chain.groupBy(*KEYS).agg(((F.count("*") - 1) / F.greatest(F.sum("count") - 1, F.lit(1))).alias("acceptance"), F.sum("count").alias("iterations"))
 
 
-def autocovariances(draws: DataFrame, by: list[str], max_lag: int, min_lag: int = 0) -> DataFrame:
-    """by, lag, n, rho: autocorrelations of ``value`` in the order of ``iter`` (full-sample mean, divisor n, over lag 0); lag 0 and ``min_lag`` to ``max_lag``."""
-    order = Window.partitionBy(*by).orderBy("iter")
-    whole = Window.partitionBy(*by)
-    centred = draws.select(*by, "iter", (F.col("value") - F.avg("value").over(whole)).alias("d"), F.count("*").over(whole).alias("n"))
-    wanted = [0, *range(max(1, min_lag), max_lag + 1)]
-    behind = centred.withColumn("behind", F.array(*(F.struct(F.lit(k).alias("lag"), F.lag("d", k).over(order).alias("e")) for k in wanted)))
-    lags = behind.select(*by, "n", "d", F.explode("behind").alias("b")).select(*by, "n", "d", "b.lag", "b.e")
-    products = lags.groupBy(*by, "lag").agg(F.first("n").alias("n"), F.sum(F.col("d") * F.col("e")).alias("c"))
-    c0 = F.max(F.when(F.col("lag") == 0, F.col("c"))).over(Window.partitionBy(*by))
-    return products.select(*by, "lag", "n", F.try_divide("c", c0).alias("rho"))
+def per_chain(draws: DataFrame, by: list[str], work, schema: str) -> DataFrame:
+    """``work(values)`` of the values of each of ``by``, in the order of ``iter``; a chain's draws (8 bytes each) fit a task."""
 
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        found = work(frame.sort_values("iter")["value"].to_numpy(float))
+        return pd.DataFrame([(*key, *found)], columns=names)
 
-def iact(draws: DataFrame, by: list[str], max_lag: int = 100) -> DataFrame:
-    """Integrated autocorrelation time: 1 + 2 sum of rho up to the first lag over max(5, log10 n) times the sum so far.
+    types = dict(draws.dtypes)
+    names = [*by, *(c.split()[0] for c in schema.split(", "))]
+    return draws.select(*by, "iter", "value").groupBy(*by).applyInPandas(run, ", ".join(f"{c} {types[c]}" for c in by) + ", " + schema)
+
+
+def lag_products(x: np.ndarray) -> np.ndarray:
+    """Sums of x[i] x[i + k] of the centred values for k from 0 to n - 1, by a fast Fourier transform."""
+    d, n = x - x.mean(), len(x)
+    f = np.fft.rfft(d, 1 << (2 * n - 1).bit_length())
+    return np.fft.irfft(f * f.conj())[:n]
+
+
+def sokal_time(x: np.ndarray) -> float:
+    """1 + 2 sum of autocorrelations up to the first lag over max(5, log10 n) times the sum so far; all lags if need be."""
+    n = len(x)
+    if n < 2 or not np.isfinite(x).all() or np.ptp(x) == 0:
+        return math.nan
+    c = lag_products(x)
+    var = c[0] / (n - 1)
+    tau = 1 + 2 * np.cumsum(c[1:] / (n - np.arange(1, n)) / var)
+    over = np.flatnonzero(np.arange(1, n) > max(5.0, math.log10(n)) * tau)
+    return max(0.0, float(tau[over[0] if len(over) else -1]))
+
+
+def geyer_time(x: np.ndarray) -> float:
+    """By Geyer's initial monotone sequence over both halves of the chain, as for the effective size of a mean."""
+    n = len(x) // 2
+    if n < 3 or not np.isfinite(x).all() or np.ptp(x) == 0:
+        return math.nan
+    halves = np.stack([x[:n], x[-n:]])
+    acov = np.mean([lag_products(h) for h in halves], 0) / n
+    within = acov[0] * n / (n - 1)
+    pooled = acov[0] + halves.mean(1).var(ddof=1)
+    rho = 1 - (within - acov) / pooled
+    rho[0] = 1.0
+    pairs = rho[: n // 2 * 2].reshape(-1, 2).sum(1)
+    stop = int(np.argmax(pairs <= 0)) if (pairs <= 0).any() else len(pairs) - 1
+    last = max(0.0, float(rho[2 * stop])) if stop else 0.0
+    tau = -1 + 2 * np.minimum.accumulate(pairs[: max(1, stop)]).sum() + last
+    return max(float(tau), 1 / math.log10(2 * n))
 
-    Lags come in blocks of ``max_lag``; chains that haven't met the rule go on to the next block, up to lag n - 1.
-    """
-    draws = draws.select(*by, "iter", "value").persist()
-    upto = Window.partitionBy(*by).orderBy("lag").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    open_, parts, low = None, [], 1
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
-    while True:
-        rows = draws if open_ is None else draws.join(open_, same, "left_semi")
-        rho = autocovariances(rows, by, low + max_lag - 1, low).where((F.col("lag") < F.col("n")) | (F.col("lag") == low))
-        if open_ is not None:
-            rho = rho.join(open_, same).drop(*(f"_{c}" for c in by))
-        else:
-            rho = rho.withColumn("total", F.lit(0.0))
-        tau = rho.where("lag > 0").withColumn("sum", F.col("total") + F.sum("rho").over(upto)).withColumn("tau", 1.0 + 2.0 * F.col("sum"))
-        over = F.col("lag") > F.greatest(F.lit(5.0), F.log10("n")) * F.col("tau")
-        stop = tau.groupBy(*by).agg(F.min_by("tau", F.when(over, F.col("lag"))).alias("at_stop"), F.max_by("tau", "lag").alias("at_end"), F.max_by("sum", "lag").alias("total"), F.first("n").alias("n"))
-        stop = stop.localCheckpoint()
-        more = F.col("at_stop").isNull() & F.col("total").isNotNull() & (F.col("n") > low + max_lag)
-        parts.append(stop.where(~more).select(*by, "n", F.greatest(F.coalesce("at_stop", "at_end"), F.lit(0.0)).alias("iact")))
-        open_, low = stop.where(more).select(*(F.col(c).alias(f"_{c}") for c in by), "total"), low + max_lag
-        if open_.isEmpty():
-            break
-    draws.unpersist()
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
 
+def iact(draws: DataFrame, by: list[str], method: str = "sokal") -> DataFrame:
+    """by, n and the integrated autocorrelation time of ``value``: ``sokal`` or ``geyer``; null for constant or non-finite draws."""
+    time = {"sokal": sokal_time, "geyer": geyer_time}[method]
+    found = per_chain(draws, by, lambda x: (len(x), time(x)), "n long, iact double")
+    return found.withColumn("iact", F.nanvl("iact", F.lit(None).cast("double")))
 
-def effective_size(draws: DataFrame, by: list[str], max_lag: int = 100) -> DataFrame:
+
+def effective_size(draws: DataFrame, by: list[str], method: str = "sokal") -> DataFrame:
     """asymptotic variance and effective size of the weighted mean: z = w (x - mean), var(z) iact(z) / mean(w)^2 / n."""
     whole = Window.partitionBy(*by)
     mean = F.sum(F.col("weight") * F.col("value")).over(whole) / F.sum("weight").over(whole)
     z = draws.withColumn("d", F.col("value") - mean).withColumn("z", F.col("weight") * F.col("d"))
     spread = F.sum(F.col("weight") * F.col("d") * F.col("d")) / F.sum("weight")
     moments = z.groupBy(*by).agg(F.var_samp("z").alias("vz"), F.avg("weight").alias("w"), spread.alias("v"))
-    times = iact(z.select(*by, "iter", F.col("z").alias("value")), by, max_lag)
+    times = iact(z.select(*by, "iter", F.col("z").alias("value")), by, method)
     joined = moments.join(times, by)
     var = F.col("vz") * F.col("iact") / (F.col("w") * F.col("w")) / F.col("n")
     return joined.select(*by, var.alias("asymptotic_var"), F.try_divide(F.col("v"), var).alias("ess"))
 
 
+def full_summary(draws: DataFrame, by: list[str], probs: tuple[float, ...] = (0.025, 0.975), method: str = "sokal") -> DataFrame:
+    """Weighted mean, sd and quantiles with the standard error and effective size of the mean (``se``, ``ess``), and those of the
+    weights alone (``se_is``, ``ess_is``). The draws of one of ``by`` are one chain."""
+    w, x = F.col("weight"), F.col("value")
+    sizes = effective_size(draws, by, method).select(*by, F.sqrt("asymptotic_var").alias("se"), "ess")
+    weighted = weighted_summary(draws, by, probs)
+    gap = x - F.col("mean")
+    alone = draws.join(weighted.select(*by, "mean"), by).groupBy(*by).agg(
+        (F.sqrt(F.sum(w * w * gap * gap)) / F.sum(w)).alias("se_is"), (F.sum(w) * F.sum(w) / F.sum(w * w)).alias("ess_is")
+    )
+    return weighted.join(sizes, by).join(alone, by)
+
+
 def rhat(draws: DataFrame, by: list[str]) -> DataFrame:
     """Split R-hat over chains: each chain is halved; between-half and within-half variances of ``value``."""
     half = F.ntile(2).over(Window.partitionBy(*by, "chain_id").orderBy("iter"))
@@ -140,29 +168,56 @@ def rank_normal(draws: DataFrame, by: list[str]) -> DataFrame:
     return draws.withColumn("p", (r - 0.375) / (F.count("*").over(every) + 0.25)).withColumn("value", normal_quantile(F.col("p"))).drop("p")
 
 
+# Acklam's rational approximation of the inverse normal distribution (relative error under 1.2e-9).
+CENTRE = ((-3.969683028665376e1, 2.209460984245205e2, -2.759285104469687e2, 1.383577518672690e2, -3.066479806614716e1, 2.506628277459239),
+          (-5.447609879822406e1, 1.615858368580409e2, -1.556989798598866e2, 6.680131188771972e1, -1.328068155288572e1, 1.0))
+TAIL = ((-7.784894002430293e-3, -3.223964580411365e-1, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783),
+        (7.784695709041462e-3, 3.224671290700398e-1, 2.445134137142996, 3.754408661907416, 1.0))
+TAIL_BELOW = 0.02425
+
+
+def _horner(coefficients: tuple[float, ...], x: Column) -> Column:
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + c
+    return out
+
+
 def normal_quantile(p: Column) -> Column:
-    """Inverse normal distribution by Hastings' rational approximation (error under 5e-4)."""
-    tail = F.least(p, 1 - p)
-    t = F.sqrt(-2 * F.log(tail))
-    z = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t)
-    return F.when(p < 0.5, -z).otherwise(z)
+    """Inverse normal distribution."""
+    q = p - 0.5
+    t = F.sqrt(-2.0 * F.log(F.least(p, 1 - p)))
+    centre, tail = (_horner(num, v) / _horner(den, v) for (num, den), v in ((CENTRE, q * q), (TAIL, t)))
+    return F.when(F.least(p, 1 - p) >= TAIL_BELOW, q * centre).otherwise(F.when(p < 0.5, tail).otherwise(-tail))
 
 
-def diagnostics(draws: DataFrame, by: list[str], max_lag: int = 100) -> DataFrame:
-    """For each of ``by``: R-hat of ranks, bulk size (of normal scores) and tail size (the lesser of both 5 % tails'), summed over chains."""
+def diagnostics(draws: DataFrame, by: list[str]) -> DataFrame:
+    """For each of ``by``: draws that aren't finite, R-hat of ranks, bulk size (of normal scores) and tail size (the lesser of
+    both 5 % tails'), summed over chains."""
+    broken = draws.groupBy(*by).agg(F.sum((F.col("value").isNull() | F.isnan("value") | (F.abs("value") == float("inf"))).cast("long")).alias("not_finite"))
     scores = rank_normal(draws, by)
     keys = [*by, "chain_id"]
     every = Window.partitionBy(*by)
     tails = draws.withColumns({"low": F.percentile("value", F.lit(0.05)).over(every), "high": F.percentile("value", F.lit(0.95)).over(every)})
 
     def size(d: DataFrame, name: str) -> DataFrame:
-        e = iact(d.select(*keys, "iter", "value"), keys, max_lag)
-        return e.groupBy(*by).agg(F.sum(F.col("n") / F.greatest("iact", F.lit(1e-9))).alias(name))
+        return iact(d.select(*keys, "iter", "value"), keys).groupBy(*by).agg(F.sum(F.col("n") / F.greatest("iact", F.lit(1e-9))).alias(name))
 
     low = size(tails.withColumn("value", (F.col("value") <= F.col("low")).cast("double")), "low_size")
     high = size(tails.withColumn("value", (F.col("value") >= F.col("high")).cast("double")), "high_size")
-    out = rhat(scores, by).join(size(scores, "bulk_size"), by).join(low, by).join(high, by)
-    return out.select(*by, "rhat", "bulk_size", F.least("low_size", "high_size").alias("tail_size"))
+    out = broken.join(rhat(scores, by), by, "left").join(size(scores, "bulk_size"), by, "left").join(low, by, "left").join(high, by, "left")
+    return out.select(*by, "not_finite", "rhat", "bulk_size", F.least("low_size", "high_size").alias("tail_size"))
+
+
+def diagnostics_worst(found: DataFrame, chain: DataFrame) -> DataFrame:
+    """One row per series: acceptance (least and most of its chains), draws that aren't finite, the largest R-hat and the smallest sizes, with their variables."""
+    rates = acceptance(chain).groupBy("series_id").agg(F.min("acceptance").alias("least_acceptance"), F.max("acceptance").alias("most_acceptance"))
+    worst = found.groupBy("series_id").agg(
+        F.sum("not_finite").alias("not_finite"), F.max("rhat").alias("worst_rhat"), F.max_by("variable", "rhat").alias("rhat_variable"),
+        F.min("bulk_size").alias("least_bulk"), F.min_by("variable", "bulk_size").alias("bulk_variable"),
+        F.min("tail_size").alias("least_tail"), F.min_by("variable", "tail_size").alias("tail_variable"),
+    )
+    return rates.join(worst, "series_id")
 
 
 def stratified(particles: DataFrame, by: list[str], uniform: Column) -> DataFrame:

@@ -254,7 +254,7 @@ def milstein_path(spark, sf_dir):
 def simulate_local_level(spark, sf_dir):
     paths = src.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("path"))
     start = F.array(10 + 2.0 * random.normal(F.col("path"), F.lit("first")))
-    walk = F.aggregate(F.sequence(F.lit(1), F.lit(19)), start, lambda acc, t: F.concat(acc, F.array(F.element_at(acc, -1) + 0.5 * random.normal(F.col("path"), t))))
+    walk = folds.walk(start[0], F.sequence(F.lit(1), F.lit(19)), lambda x, t: x + 0.5 * random.normal(F.col("path"), t))
     return rounded(paths.select("path", F.posexplode(walk).alias("k", "level")).select("path", (F.col("k") + 1).alias("t"), "level"))
 
 
@@ -265,7 +265,7 @@ LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l
 LINE_ORDER = ", ".join(LINE)
 CHAINS = f"""
     blocks as (select (l_suppkey % 7)::varchar as series_id, (l_suppkey % 3)::int as chain_id, row_number() over (partition by l_suppkey % 7, l_suppkey % 3 order by {LINE_ORDER}) as block,
-        (1 + l_quantity::int % 4)::int as count, 1 - l_discount as weight, l_extendedprice as log_posterior, l_tax as theta_1, l_extendedprice / 1e4 as theta_2 from lineitem where l_suppkey < 60),
+        (1 + l_quantity::int % 4)::int as count, 1 - l_discount as weight, l_extendedprice as log_posterior, l_tax as theta_1, l_extendedprice / 1e4 as theta_2 from lineitem),
     firsts as (select *, 1 + coalesce(sum(count) over (partition by series_id, chain_id order by block rows between unbounded preceding and 1 preceding), 0) as first from blocks),
     pairs as (select series_id, chain_id, block, first, count, weight, 'theta_1' as variable, theta_1 as value from firsts union all select series_id, chain_id, block, first, count, weight, 'theta_2', theta_2 from firsts),
     draws as (select series_id, chain_id, (first + k)::bigint as iter, variable, value, weight from pairs, unnest(generate_series(0, count - 1)) g(k))
@@ -325,21 +325,23 @@ def summary_weighted(spark, sf_dir):
     return rounded(posterior.weighted_summary(posterior.long_draws(_chains(spark, sf_dir), expand=False), ["series_id", "variable"]))
 
 
-LAGS = 20
+#: Lags in the SQL; every chain of these meets its stopping rule before, else the SQL has null.
+LAGS = 150
 IACT = f"""
     {CHAINS}, v as (select series_id, chain_id, variable, iter, {{value}} as value from draws),
     d as (select *, value - avg(value) over (partition by series_id, chain_id, variable) as d, count(*) over (partition by series_id, chain_id, variable) as n from v),
-    c as (select a.series_id, a.chain_id, a.variable, g.k, any_value(a.n) as n, sum(a.d * b.d) as c from d a cross join unnest(generate_series(0, {LAGS})) g(k)
+    z as (select series_id, chain_id, variable, sum(d * d) / (count(*) - 1) as var from d group by 1, 2, 3),
+    c as (select a.series_id, a.chain_id, a.variable, g.k, any_value(a.n) as n, sum(a.d * b.d) / (any_value(a.n) - g.k) as c from d a cross join unnest(generate_series(1, {LAGS})) g(k)
         join d b on b.series_id = a.series_id and b.chain_id = a.chain_id and b.variable = a.variable and b.iter = a.iter - g.k group by 1, 2, 3, 4),
-    r as (select x.*, x.c / z.c as rho from c x join c z on z.series_id = x.series_id and z.chain_id = x.chain_id and z.variable = x.variable and z.k = 0),
-    s as (select series_id, chain_id, variable, k, n, 1 + 2 * sum(rho) over (partition by series_id, chain_id, variable order by k rows between unbounded preceding and current row) as tau from r where k > 0),
-    i as (select series_id, chain_id, variable, any_value(n)::bigint as n, greatest(coalesce(arg_min(tau, k) filter (where k > greatest(5.0, log10(n)) * tau), arg_max(tau, k)), 0.0) as iact from s group by 1, 2, 3)
+    s as (select series_id, chain_id, variable, k, n, 1 + 2 * sum(c / var) over (partition by series_id, chain_id, variable order by k rows between unbounded preceding and current row) as tau
+        from c join z using (series_id, chain_id, variable)),
+    i as (select series_id, chain_id, variable, any_value(n)::bigint as n, greatest(arg_min(tau, k) filter (where k > greatest(5.0, log10(n)) * tau), 0.0) as iact from s group by 1, 2, 3)
 """
 
 
 @query(f"with {IACT.format(value='value')} select series_id, chain_id, variable, n, round(iact, 5) + 0.0 as iact from i")
 def iact(spark, sf_dir):
-    return rounded(posterior.iact(posterior.long_draws(_chains(spark, sf_dir)), ["series_id", "chain_id", "variable"], LAGS), 5)
+    return rounded(posterior.iact(posterior.long_draws(_chains(spark, sf_dir)), ["series_id", "chain_id", "variable"]), 5)
 
 
 @query(f"""
@@ -349,7 +351,7 @@ def iact(spark, sf_dir):
     select series_id, chain_id, variable, round(1e6 * vz * iact / (w * w) / n, 4) + 0.0 as asymptotic_var_ppm, round(v / (vz * iact / (w * w) / n), 4) + 0.0 as ess from m join i using (series_id, chain_id, variable)
 """)
 def effective_size(spark, sf_dir):
-    e = posterior.effective_size(posterior.long_draws(_chains(spark, sf_dir)), ["series_id", "chain_id", "variable"], LAGS)
+    e = posterior.effective_size(posterior.long_draws(_chains(spark, sf_dir)), ["series_id", "chain_id", "variable"])
     return rounded(e.select("series_id", "chain_id", "variable", (1e6 * F.col("asymptotic_var")).alias("asymptotic_var_ppm"), "ess"), 4)
 
 
@@ -522,7 +524,7 @@ def nonlinear_importance(spark, sf_dir):
 
 @query()
 def mcmc_diagnostics(spark, sf_dir):
-    return posterior.diagnostics(posterior.long_draws(inference.run_mcmc(src.daily_counts(spark, sf_dir), TREND_SPEC, 400, chains=2)), ["series_id", "variable"], 50)
+    return posterior.diagnostics(posterior.long_draws(inference.run_mcmc(src.daily_counts(spark, sf_dir), TREND_SPEC, 400, chains=2)), ["series_id", "variable"])
 
 
 @query()

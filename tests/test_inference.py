@@ -106,26 +106,54 @@ def test_online_filter_equals_batch(spark, tmp_path):
 
 
 def test_slow_chains_need_all_lags(spark):
-    """Autocorrelation times of slowly mixing chains don't depend on the size of a block of lags."""
-    from stateweave.operators import posterior
-
-    rng, n = np.random.default_rng(5), 2000
+    """Autocorrelation times up to the stopping rule, and Geyer's, of chains up to AR(1) of 0.99 (time 199)."""
+    rng, n = np.random.default_rng(5), 20_000
     rows, want = [], {}
-    for chain, phi in enumerate((0.0, 0.9, 0.97)):
+    for chain, phi in enumerate((0.0, 0.9, 0.99)):
         x = [0.0]
         for e in rng.normal(size=n - 1):
             x.append(phi * x[-1] + e)
         d = np.array(x) - np.mean(x)
         tau = 1.0
         for lag in range(1, n):
-            tau += 2 * (d[lag:] @ d[:-lag]) / (d @ d)
+            tau += 2 * (d[lag:] @ d[:-lag]) / (n - lag) / (d @ d / (n - 1))
             if lag > max(5, np.log10(n)) * tau:
                 break
         want[chain] = tau
-        rows += [("a", chain, k + 1, float(v)) for k, v in enumerate(x)]
-    draws = spark.createDataFrame(rows, "series_id string, chain_id int, iter long, value double")
-    got = {r.chain_id: r.iact for r in posterior.iact(draws, ["series_id", "chain_id"], 20).collect()}
-    assert want[2] > 10 and all(abs(got[k] - want[k]) < 1e-6 * want[k] for k in want)
+        rows += [("a", chain, k + 1, float(v), 1.0) for k, v in enumerate(x)]
+    draws = spark.createDataFrame(pd.DataFrame(rows, columns=["series_id", "chain_id", "iter", "value", "weight"]))
+    by = ["series_id", "chain_id"]
+    got = {r.chain_id: r.iact for r in posterior.iact(draws, by).collect()}
+    assert want[2] > 120 and all(abs(got[k] - want[k]) < 1e-6 * want[k] for k in want)
+    geyer = {r.chain_id: r.iact for r in posterior.iact(draws, by, "geyer").collect()}
+    assert all(abs(geyer[k] / t - 1) < 0.35 for k, t in enumerate((1, 19, 199)))
+    full = {r.chain_id: r for r in posterior.full_summary(draws, by).collect()}
+    assert abs(full[1].ess - n / want[1]) < 1 and abs(full[1].ess_is - n) < 1e-6 and abs(full[0].se - full[0].sd / np.sqrt(full[0].ess)) < 1e-4
+    broken = spark.createDataFrame([("a", 1, k, v, 1.0) for k, v in enumerate([1.0, 1.0, float("nan"), 1.0])], draws.schema)
+    assert [r.iact for r in posterior.iact(broken, by).collect()] == [None]
+
+
+def test_normal_scores(spark):
+    from statistics import NormalDist
+
+    p = [1e-9, 0.001, 0.02424, 0.02426, 0.3, 0.5, 0.9, 0.99999]
+    got = spark.createDataFrame([(x,) for x in p], "p double").select(posterior.normal_quantile(F.col("p")).alias("z")).collect()
+    assert all(abs(g.z - NormalDist().inv_cdf(x)) < 1e-7 for g, x in zip(got, p, strict=True))
+
+
+def test_folds_of_any_length(spark):
+    """Series around the length of a chunk, and an empty fold, as the kernels have them."""
+    r = np.random.default_rng(2)
+    rows = [(f"n{n}", t + 1, None if t % 9 == 4 else float(v)) for n in (1, 63, 64, 65, 200) for t, v in enumerate(np.cumsum(r.normal(size=n)))]
+    s = spark.createDataFrame(rows, "series_id string, t int, y double").cache()
+    spec = models.structural(sd_level=0.5, sd_y=1.0, P1=[[10.0]])
+    a = frame(folds.scalar_filter(s, p1=10.0, sd_state=0.5, sd_y=1.0), "series_id", "t")
+    b = frame(inference.kalman_filter(s, spec), "series_id", "t")
+    assert a["t"].tolist() == b["t"].tolist() and np.allclose(a["a"], b["a"].str[0]) and np.allclose(a["loglik"][a["t"] == 201], b["loglik"][b["t"] == 201])
+    ll = {x.series_id: x.loglik for x in folds.scalar_loglik(s, p1=10.0, sd_state=0.5, sd_y=1.0).collect()}
+    assert all(abs(ll[x.series_id] - x.loglik) < 1e-8 for x in inference.loglik(s, spec).collect())
+    assert np.allclose(frame(folds.scalar_smoother(s, p1=10.0, sd_state=0.5, sd_y=1.0), "series_id", "t")["vt"], frame(inference.smooth(s, spec), "series_id", "t")["vt"].str[0])
+    assert spark.range(1).select(folds.walk(F.lit(1.0), F.array().cast("array<int>"), lambda x, k: x + 1).alias("w")).first().w == [1.0]
 
 
 def test_stratified_resampling_joins_by_stratum(spark):
