@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+
 
 @dataclass(frozen=True)
 class Prior:
@@ -25,6 +27,21 @@ class Prior:
         return (a[0] - 1) * math.log(x) - a[1] * x if x > 0 else -math.inf
 
 
+    def log_densities(self, x: np.ndarray) -> np.ndarray:
+        """``log_density`` of each value."""
+        a, out = self.params, -np.inf
+        with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+            if self.kind == "uniform":
+                return np.where((a[0] <= x) & (x <= a[1]), 0.0, out)
+            if self.kind == "halfnormal":
+                return np.where(x >= 0, -0.5 * (x / a[0]) ** 2, out)
+            if self.kind == "normal":
+                return -0.5 * ((x - a[0]) / a[1]) ** 2
+            if self.kind == "tnormal":
+                return np.where((a[2] <= x) & (x <= a[3]), -0.5 * ((x - a[0]) / a[1]) ** 2, out)
+            return np.where(x > 0, (a[0] - 1) * np.log(x) - a[1] * x, out)
+
+
 def _checked(kind: str, init: float, params: tuple[float, ...], positive: tuple[float, ...], inside: bool = True) -> Prior:
     if not all(map(math.isfinite, (init, *positive))) or any(p <= 0 for p in positive) or not inside:
         raise ValueError(f"invalid {kind} prior: init {init}, parameters {params}")

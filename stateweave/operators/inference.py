@@ -1,7 +1,7 @@
 """Filters, smoothers, approximations, particle filters, MCMC and prediction over many series, chains and draws.
 
 ``series`` has series_id, t (from 1), y (double, or array of doubles for several variables; null if missing) and, if
-needed, u (exposure or trials, default 1). A recursion over time needs its series in one task: series are grouped by id,
+needed, u (exposure or trials, default 1) and x (array of the model's covariates). A recursion over time needs its series in one task: series are grouped by id,
 work spreads over series x chains, and what follows a chain (importance corrections, states, predictions) spreads over its
 blocks without a grouping: blocks are joined with their packed series. Random numbers depend on (seed, series, chain,
 block) alone, not on the partitioning.
@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.random import generator
@@ -31,15 +31,16 @@ def _matrix(values) -> np.ndarray:
     return np.array([[np.nan if x is None else x for x in r] for r in rows], float)
 
 
-def _arrays(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _arrays(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """y, u and covariates (None without), in the order of t."""
     frame = frame.sort_values("t")
     y = _matrix(frame["y"].tolist())
     u = _matrix(frame["u"].tolist()) if "u" in frame else np.ones((len(y), 1))
-    return y, np.broadcast_to(u, y.shape)
+    return y, np.broadcast_to(u, y.shape), _matrix(frame["x"].tolist()) if "x" in frame else None
 
 
-def per_series(series: DataFrame, work: Callable[[str, np.ndarray, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
-    """``work(series_id, y, u)`` gives rows without series_id."""
+def per_series(series: DataFrame, work: Callable[..., pd.DataFrame], schema: str) -> DataFrame:
+    """``work(series_id, y, u, x)`` gives rows without series_id."""
     names = [x.strip().split(" ")[0] for x in schema.split(", ")]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -63,7 +64,8 @@ def _gaussian(spec: Spec, theta: np.ndarray, y: np.ndarray, u: np.ndarray) -> tu
 def kalman_filter(series: DataFrame, spec: Spec, theta=None) -> DataFrame:
     """t, a, p (flattened), att, ptt, loglik; row n + 1 has only predictions. Other distributions: of the approximation."""
 
-    def work(sid, y, u):
+    def work(sid, y, u, x, spec=spec):
+        spec = spec.bind(x)
         f = kernels.kalman(*_gaussian(spec, spec.start() if theta is None else np.asarray(theta), y, u))
         n = len(y)
         flat = lambda x, k: [x[t].ravel().tolist() if t < k else None for t in range(n + 1)]
@@ -75,7 +77,8 @@ def kalman_filter(series: DataFrame, spec: Spec, theta=None) -> DataFrame:
 def smooth(series: DataFrame, spec: Spec, theta=None) -> DataFrame:
     """t, alphahat and vt (flattened) of the n observed times."""
 
-    def work(sid, y, u):
+    def work(sid, y, u, x, spec=spec):
+        spec = spec.bind(x)
         s = kernels.smoother(*_gaussian(spec, spec.start() if theta is None else np.asarray(theta), y, u))
         n = len(y)
         return pd.DataFrame({"t": range(1, n + 1), "alphahat": [x.tolist() for x in s["means"][:n]], "vt": [x.ravel().tolist() for x in s["variances"][:n]]})
@@ -86,7 +89,8 @@ def smooth(series: DataFrame, spec: Spec, theta=None) -> DataFrame:
 def fast_smooth(series: DataFrame, spec: Spec, theta=None) -> DataFrame:
     """Smoothed means only."""
 
-    def work(sid, y, u):
+    def work(sid, y, u, x, spec=spec):
+        spec = spec.bind(x)
         model, data = _gaussian(spec, spec.start() if theta is None else np.asarray(theta), y, u)
         means = kernels.fast_means(model, data[None], kernels.kalman(model, data))[0][: len(y)]
         return pd.DataFrame({"t": range(1, len(y) + 1), "alphahat": [x.tolist() for x in means]})
@@ -97,7 +101,8 @@ def fast_smooth(series: DataFrame, spec: Spec, theta=None) -> DataFrame:
 def approximate(series: DataFrame, spec: Spec, theta=None, rounds: int = 100, tolerance: float = 1e-8) -> DataFrame:
     """Pseudo-observations, pseudo-variances and signal modes of the approximating Gaussian model."""
 
-    def work(sid, y, u):
+    def work(sid, y, u, x, spec=spec):
+        spec = spec.bind(x)
         a = kernels.Approximation(spec.build(spec.start() if theta is None else np.asarray(theta)), y, u, rounds, tolerance)
         h = [(np.diag(x) ** 2).tolist() for x in a.model.H]
         return pd.DataFrame({"t": range(1, len(y) + 1), "pseudo_y": a.y.tolist(), "pseudo_h": h, "mode": a.mode.tolist(), "loglik": a.loglik})
@@ -118,7 +123,8 @@ def _estimate(spec: Spec, theta, y, u, method: str, count: int, rng) -> float:
 def loglik(series: DataFrame, spec: Spec, theta=None, method: str = "psi", count: int = 0, seed: int = 1) -> DataFrame:
     """Exact (Gaussian), approximate (count 0) or unbiased (psi, spdk, bsf) log-likelihood of each series."""
 
-    def work(sid, y, u):
+    def work(sid, y, u, x, spec=spec):
+        spec = spec.bind(x)
         th = spec.start() if theta is None else np.asarray(theta)
         return pd.DataFrame({"loglik": [_estimate(spec, th, y, u, method, count, generator(seed, sid))]})
 
@@ -128,7 +134,8 @@ def loglik(series: DataFrame, spec: Spec, theta=None, method: str = "psi", count
 def simulate_states(series: DataFrame, spec: Spec, draws: int, theta=None, seed: int = 1, antithetic: bool = True) -> DataFrame:
     """draw, t, state: paths given the data (of the approximation for other distributions)."""
 
-    def work(sid, y, u):
+    def work(sid, y, u, x, spec=spec):
+        spec = spec.bind(x)
         model, data = _gaussian(spec, spec.start() if theta is None else np.asarray(theta), y, u)
         x = kernels.simulation_smoother(model, data, draws, generator(seed, sid), antithetic)[:, : len(y)]
         return pd.DataFrame({"draw": np.repeat(np.arange(1, draws + 1), len(y)), "t": np.tile(np.arange(1, len(y) + 1), draws), "state": x.reshape(-1, x.shape[2]).tolist()})
@@ -139,7 +146,8 @@ def simulate_states(series: DataFrame, spec: Spec, draws: int, theta=None, seed:
 def importance_sample(series: DataFrame, spec: Spec, draws: int, theta=None, seed: int = 1, antithetic: bool = True) -> DataFrame:
     """draw, weight (over the largest) and signal path of draws from the approximation."""
 
-    def work(sid, y, u):
+    def work(sid, y, u, x, spec=spec):
+        spec = spec.bind(x)
         a = kernels.Approximation(spec.build(spec.start() if theta is None else np.asarray(theta)), y, u)
         x, w, _ = a.importance(draws, generator(seed, sid), antithetic)
         return pd.DataFrame({"draw": range(1, draws + 1), "weight": np.exp(w - w.max()), "states": x.reshape(draws, -1).tolist()})
@@ -150,7 +158,8 @@ def importance_sample(series: DataFrame, spec: Spec, draws: int, theta=None, see
 def particle_filter(series: DataFrame, spec: Spec, count: int, theta=None, method: str = "bsf", seed: int = 1, smoothed: bool = False) -> DataFrame:
     """Means and variances (flattened) of filtered particles, or of their ancestral paths if ``smoothed``; with the log-likelihood."""
 
-    def work(sid, y, u):
+    def work(sid, y, u, x, spec=spec):
+        spec = spec.bind(x)
         model, rng = spec.build(spec.start() if theta is None else np.asarray(theta)), generator(seed, sid)
         if method == "bsf" or not model.dist:
             pf = kernels.bootstrap(model, y, u, count, rng)
@@ -172,45 +181,49 @@ def summarised(pf: dict, n: int, smoothed: bool) -> pd.DataFrame:
     return pd.DataFrame({"t": range(1, n + 1), "mean": mean[:n].tolist(), "cov": [c.ravel().tolist() for c in cov[:n]], "loglik": pf["loglik"]})
 
 
-def run_mcmc(series: DataFrame, spec: Spec, iterations: int, burnin: int | None = None, chains: int = 1, method: str = "is2", sampling: str = "psi", count: int = 10, seed: int = 1, target: float = 0.234, gamma: float = 2 / 3, adapt_after: bool = True) -> DataFrame:
-    """Jump chains (see ``posterior``) of adaptive Metropolis.
+def run_mcmc(series: DataFrame, spec: Spec, iterations: int, burnin: int | None = None, chains: int = 1, method: str = "is2", sampling: str = "psi", count: int = 10, seed: int = 1, target: float = 0.234, gamma: float = 2 / 3, adapt_after: bool = True, thin: int = 1, S: np.ndarray | None = None) -> DataFrame:
+    """Jump chains (see ``posterior``) of adaptive Metropolis; every ``thin``-th iteration counts, ``S`` is the first proposal's factor.
 
-    Chains of Gaussian models with one variable step together, ``BATCH`` chains to a task; others have a task per series
-    and chain. Gaussian models use their likelihood. Others: ``approx`` (the approximation's), ``pm`` (pseudo-marginal), ``da`` (delayed
-    acceptance), or ``is1``/``is2``/``is3`` (approximate chains whose blocks ``correct`` then weights in parallel).
+    Chains of one variable step together, ``BATCH`` chains to a task, unless each step needs particles; others have a task per
+    series and chain. Gaussian models use their likelihood. Others: ``approx`` (the approximation's), ``pm`` (pseudo-marginal),
+    ``da`` (delayed acceptance), or ``is1``/``is2``/``is3`` (approximate chains whose blocks ``correct`` then weights in parallel).
     """
     burn = iterations // 2 if burnin is None else burnin
-    if kernels.batchable(spec.build(spec.start())) and dict(series.dtypes)["y"] == "double":
-        return _together(series, spec, iterations, burn, chains, seed, target, gamma, adapt_after)
+    corrected = method in ("is1", "is2", "is3")
+    first = spec.build(spec.start())
+    if kernels.batchable(first) and dict(series.dtypes)["y"] == "double" and (not first.dist or corrected or method == "approx"):
+        chain = _together(series, spec, iterations, burn, chains, seed, target, gamma, adapt_after, thin, S)
+        return correct(chain, series, spec, count, sampling, method, seed) if first.dist and corrected else chain
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         sid, chain = frame["series_id"].iloc[0], int(frame["chain_id"].iloc[0])
-        y, u = _arrays(frame)
+        y, u, x = _arrays(frame)
+        bound = spec.bind(x)
         rng = generator(seed, sid, chain)
 
         def target_density(theta):
-            prior = spec.log_prior(theta)
+            prior = bound.log_prior(theta)
             if not math.isfinite(prior):
                 return -math.inf, 0.0
             try:
-                model = spec.build(theta)
+                model = bound.build(theta)
                 if not model.dist:
                     value = kernels.kalman(model, y)["loglik"]
                 elif method == "pm":
-                    value = _estimate(spec, theta, y, u, sampling, count, rng)
+                    value = _estimate(bound, theta, y, u, sampling, count, rng)
                 else:
                     value = kernels.Approximation(model, y, u).loglik
-            except (np.linalg.LinAlgError, OverflowError, ValueError):
+            except (np.linalg.LinAlgError, OverflowError):
                 return -math.inf, 0.0
             return (prior + value, value) if not math.isnan(value) else (-math.inf, 0.0)
 
         def second(theta, approx):
             try:
-                return _estimate(spec, theta, y, u, sampling, count, rng) - approx
-            except (np.linalg.LinAlgError, OverflowError, ValueError):
+                return _estimate(bound, theta, y, u, sampling, count, rng) - approx
+            except (np.linalg.LinAlgError, OverflowError):
                 return -math.inf
 
-        blocks = kernels.metropolis(spec.start(), target_density, iterations, burn, rng, None, target, gamma, adapt_after, second if method == "da" else None)
+        blocks = kernels.metropolis(bound.start(), target_density, iterations, burn, rng, S, target, gamma, adapt_after, second if method == "da" else None, thin)
         return pd.DataFrame({
             "series_id": sid, "chain_id": chain, "block": range(1, len(blocks) + 1), "count": [b[1] for b in blocks], "weight": 1.0, "log_posterior": [b[2] for b in blocks],
             "approx": [b[3] for b in blocks], "theta": [b[0].tolist() for b in blocks], "names": [list(spec.names)] * len(blocks),
@@ -218,30 +231,52 @@ def run_mcmc(series: DataFrame, spec: Spec, iterations: int, burnin: int | None
 
     keyed = series.withColumn("chain_id", F.explode(F.array(*(F.lit(k) for k in range(1, chains + 1)))))
     chain = keyed.groupBy("series_id", "chain_id").applyInPandas(run, CHAIN)
-    return correct(chain, series, spec, count, sampling, method, seed) if method in ("is1", "is2", "is3") else chain
+    return correct(chain, series, spec, count, sampling, method, seed) if corrected else chain
 
 
-def _together(series: DataFrame, spec: Spec, iterations: int, burn: int, chains: int, seed: int, target: float, gamma: float, adapt_after: bool) -> DataFrame:
+def _together(series: DataFrame, spec: Spec, iterations: int, burn: int, chains: int, seed: int, target: float, gamma: float, adapt_after: bool, thin: int, S: np.ndarray | None) -> DataFrame:
+    """Chains that step together: priors, models and filters (and approximations) of a batch are array work."""
+    dist = (spec.build(spec.start()).dist or ("",))[0]
+
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        groups = [(sid, _arrays(g)[0][:, 0]) for sid, g in frame.groupby("series_id", sort=True)]
-        keys = [(sid, c, y) for sid, y in groups for c in range(1, chains + 1)]
-        data = np.full((len(keys), max(len(y) for _, _, y in keys)), np.nan)
-        for k, (_, _, y) in enumerate(keys):
-            data[k, : len(y)] = y
+        groups = [(sid, *_arrays(g)) for sid, g in frame.groupby("series_id", sort=True)]
+        keys = [(sid, c, k) for k, (sid, *_) in enumerate(groups) for c in range(1, chains + 1)]
+        length = max(len(g[1]) for g in groups)
+        padded = lambda column, fill: np.stack([np.concatenate([g[column][:, 0], np.full(length - len(g[1]), fill)]) for g in groups])
+        of = np.array([k for _, _, k in keys])
+        data, u = padded(1, np.nan)[of], padded(2, 1.0)[of]
+        bound = [spec.bind(g[3]) for g in groups]
+        x = None
+        if spec.betas is not None:
+            x = np.zeros((len(groups), length, bound[0].xreg.shape[1]))
+            for k, (g, b) in enumerate(zip(groups, bound, strict=True)):
+                if len(b.xreg) < len(g[1]):
+                    raise ValueError(f"covariates of {g[0]} end before the series")
+                x[k, : len(g[1])] = b.xreg[: len(g[1])]
+            x = x[of]
 
         def log_target(theta: np.ndarray) -> np.ndarray:
-            out = np.array([spec.log_prior(th) for th in theta])
+            out = spec.log_priors(theta)
             ok = np.flatnonzero(np.isfinite(out))
             if len(ok):
                 with np.errstate(all="ignore"):
-                    out[ok] += kernels.batched_loglik([spec.build(theta[k]) for k in ok], data[ok])
+                    if spec.stack is not None:
+                        models = spec.stack(theta[ok])
+                        D = np.zeros((len(ok), 1)) if x is None else (x[ok] @ np.array([spec.betas(theta[k]) for k in ok])[:, :, None])[:, :, 0]
+                    else:
+                        built = [bound[of[k]].build(theta[k]) for k in ok]
+                        models, D = kernels.stacked(built), kernels.offsets(built, length)
+                    if dist:
+                        out[ok] += kernels.batched_approximate_loglik(models, dist, data[ok], u[ok], np.broadcast_to(D, data[ok].shape))
+                    else:
+                        out[ok] += kernels.forward(models, data[ok] - D, models["h"][:, None])[0]
             return np.where(np.isnan(out), -np.inf, out)
 
-        found = kernels.batched_metropolis(spec.start(), log_target, iterations, burn, [generator(seed, sid, c) for sid, c, _ in keys], target, gamma, adapt_after)
-        return pd.DataFrame([
-            {"series_id": sid, "chain_id": c, "block": k, "count": n, "weight": 1.0, "log_posterior": lp, "approx": lp, "theta": th.tolist(), "names": list(spec.names)}
-            for (sid, c, _), blocks in zip(keys, found, strict=True) for k, (th, n, lp) in enumerate(blocks, 1)
-        ])
+        found = kernels.batched_metropolis(spec.start(), log_target, iterations, burn, [generator(seed, sid, c) for sid, c, _ in keys], target, gamma, adapt_after, thin, S)
+        flat = [(sid, c, k, n, lp, th) for (sid, c, _), blocks in zip(keys, found, strict=True) for k, (th, n, lp) in enumerate(blocks, 1)]
+        sid, c, k, n, lp, th = zip(*flat, strict=True) if flat else ((),) * 6
+        prior = spec.log_priors(np.array(th).reshape(len(flat), -1)) if flat else []
+        return pd.DataFrame({"series_id": sid, "chain_id": c, "block": k, "count": n, "weight": 1.0, "log_posterior": lp, "approx": np.array(lp) - prior, "theta": [t.tolist() for t in th], "names": [list(spec.names)] * len(flat)})
 
     number = series.select("series_id").distinct().count()
     cores = series.sparkSession.sparkContext.defaultParallelism
@@ -249,9 +284,9 @@ def _together(series: DataFrame, spec: Spec, iterations: int, burn: int, chains:
     return series.groupBy(F.pmod(F.xxhash64("series_id"), F.lit(buckets)).alias("bucket")).applyInPandas(run, CHAIN)
 
 
-def _per_block(chain: DataFrame, series: DataFrame, work: Callable[[pd.Series, np.ndarray, np.ndarray], dict], columns: str, keep: list[str]) -> DataFrame:
-    """``work(block, y, u)`` for every block of a chain, in whatever task it lies; its values follow the columns ``keep``."""
-    fields = ["t", "y"] + (["u"] if "u" in series.columns else [])
+def _per_block(chain: DataFrame, series: DataFrame, work: Callable[..., dict], columns: str, keep: list[str]) -> DataFrame:
+    """``work(block, y, u, x)`` for every block of a chain, in whatever task it lies; its values follow the columns ``keep``."""
+    fields = ["t", "y", *(c for c in ("u", "x") if c in series.columns)]
     data = series.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("steps"))
     names = [c.strip().split(" ")[0] for c in columns.split(", ")]
     types = dict(chain.dtypes)
@@ -259,9 +294,11 @@ def _per_block(chain: DataFrame, series: DataFrame, work: Callable[[pd.Series, n
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = {k: [] for k in (*keep, *names)}
+            known = {}  # of this batch: blocks of a series share its arrays
             for row in frame.itertuples(index=False):
-                y, u = _arrays(pd.DataFrame(list(row.steps)))
-                got = work(row, y, u)
+                if row.series_id not in known:
+                    known[row.series_id] = _arrays(pd.DataFrame(list(row.steps)))
+                got = work(row, *known[row.series_id])
                 for k in keep:
                     out[k].append(got[k] if k in got else getattr(row, k))
                 for k in names:
@@ -278,10 +315,12 @@ def correct(chain: DataFrame, series: DataFrame, spec: Spec, count: int = 10, sa
     ``is1`` uses count x block count particles, ``is3`` first repeats blocks so that each has count 1.
     """
     if method == "is3":
-        again = chain.withColumn("k", F.explode(F.sequence(F.lit(1), "count"))).withColumn("count", F.lit(1)).withColumn("block", F.col("block") * 100_000 + F.col("k"))
+        order = Window.partitionBy("series_id", "chain_id").orderBy("block", "k")
+        again = chain.withColumn("k", F.explode(F.sequence(F.lit(1), "count"))).withColumn("count", F.lit(1)).withColumn("block", F.row_number().over(order))
         chain = again.drop("k").select(*chain.columns)
 
-    def work(block, y, u):
+    def work(block, y, u, x, spec=spec):
+        spec = spec.bind(x)
         n = count * block.count if method == "is1" else count
         value = _estimate(spec, np.array(block.theta), y, u, sampling, n, generator(seed, block.series_id, block.chain_id, block.block, "is"))
         gap = value - block.approx
@@ -294,28 +333,61 @@ def correct(chain: DataFrame, series: DataFrame, spec: Spec, count: int = 10, sa
 
 def suggest_count(series: DataFrame, spec: Spec, theta=None, candidates: tuple[int, ...] = tuple(range(10, 101, 10)), replications: int = 100, seed: int = 1) -> DataFrame:
     """Standard deviation of the psi estimate by number of particles; ``suggested`` is the first under 1, for each series."""
-    grid = series.sparkSession.range(replications).withColumnRenamed("id", "r").select("r", F.explode(F.array(*(F.lit(c) for c in candidates))).alias("n"))
-    tasks = series.select("series_id").distinct().join(F.broadcast(grid)).select(
-        "series_id", F.col("n").alias("chain_id"), F.col("r").cast("int").alias("block"), F.lit(0.0).alias("x")
-    )
     th = spec.start() if theta is None else np.asarray(theta)
 
-    def work(block, y, u):
+    def work(block, y, u, x, spec=spec):
+        spec = spec.bind(x)
         return {"loglik": _estimate(spec, th, y, u, "psi", int(block.chain_id), generator(seed, block.series_id, block.chain_id, block.block))}
 
-    rows = _per_block(tasks, series, work, "loglik double", ["series_id", "chain_id", "block"])
+    return _suggested(_per_block(_trials(series, candidates, replications), series, work, "loglik double", ["series_id", "chain_id", "block"]))
+
+
+def _trials(series: DataFrame, candidates: tuple[int, ...], replications: int) -> DataFrame:
+    """A row per series, number of particles (as chain_id) and replication (as block)."""
+    grid = series.sparkSession.range(replications).select(F.col("id").alias("r"), F.explode(F.array(*(F.lit(c) for c in candidates))).alias("n"))
+    return series.select("series_id").distinct().join(F.broadcast(grid)).select("series_id", F.col("n").alias("chain_id"), F.col("r").cast("int").alias("block"), F.lit(0.0).alias("x0"))
+
+
+def _suggested(rows: DataFrame) -> DataFrame:
     sds = rows.groupBy("series_id", F.col("chain_id").alias("particles")).agg(F.stddev_samp("loglik").alias("sd"))
     first = sds.groupBy("series_id").agg(F.min(F.when(F.col("sd") < 1, F.col("particles"))).alias("suggested"))
     return sds.join(first, "series_id")
 
 
-def state_draws(chain: DataFrame, series: DataFrame, spec: Spec, seed: int = 1) -> DataFrame:
-    """A state path per block (t, state k, value, weight = count x weight), as long rows; t runs to n + 1."""
+def _path(spec: Spec, block, y, u, count: int, sampling: str, method: str, seed: int) -> np.ndarray:
+    """A posterior path of n + 1 states at a block's parameters.
+
+    Gaussian models: by the simulation smoother. Others: one of the particles' paths of the run that ``correct`` (with the same
+    arguments) weighted the block by, so path and weight belong together; ``approx`` takes the approximation's instead.
+    """
+    theta = np.array(block.theta)
+    model = spec.build(theta)
+    if not model.dist:
+        return kernels.simulation_smoother(model, y, 1, generator(seed, block.series_id, block.chain_id, block.block, "state"))[0]
+    rng = generator(seed, block.series_id, block.chain_id, block.block, "is")
+    n = count * block.count if method == "is1" else count
+    if sampling == "bsf":
+        paths = kernels.trace(kernels.bootstrap(model, y, u, n, rng))
+    else:
+        approx = kernels.Approximation(model, y, u)
+        if sampling == "approx":
+            return kernels.simulation_smoother(approx.model, approx.y, 1, rng)[0]
+        if sampling == "spdk":
+            states, w, _ = approx.importance(n, rng)
+            w = np.exp(w - w.max())
+            return states[rng.choice(n, p=w / w.sum())]
+        paths = kernels.trace(kernels.guided(approx, n, rng))
+    return paths[rng.integers(len(paths))]
+
+
+def state_draws(chain: DataFrame, series: DataFrame, spec: Spec, seed: int = 1, count: int = 10, sampling: str = "psi", method: str = "is2") -> DataFrame:
+    """A posterior state path per block (t, state k, value, weight = count x weight), as long rows; t runs to n + 1.
 
-    def work(block, y, u):
-        model, data = _gaussian(spec, np.array(block.theta), y, u)
-        x = kernels.simulation_smoother(model, data, 1, generator(seed, block.series_id, block.chain_id, block.block, "state"))[0]
-        return {"path": x.tolist()}
+    ``count``, ``sampling``, ``method`` and ``seed`` are those of ``run_mcmc`` or ``correct``; see ``_path``.
+    """
+
+    def work(block, y, u, x, spec=spec):
+        return {"path": _path(spec.bind(x), block, y, u, count, sampling, method, seed).tolist()}
 
     rows = _per_block(chain, series, work, "path array<array<double>>", ["series_id", "chain_id", "block", "count", "weight"])
     times = rows.select("series_id", "chain_id", F.col("block").alias("iter"), (F.col("count") * F.col("weight")).alias("weight"), F.posexplode("path").alias("t", "x"))
@@ -325,11 +397,15 @@ def state_draws(chain: DataFrame, series: DataFrame, spec: Spec, seed: int = 1)
 def state_summary(chain: DataFrame, series: DataFrame, spec: Spec) -> DataFrame:
     """Posterior mean and variance of each state: mean of variances plus variance of means over blocks, by plain sums."""
 
-    def work(block, y, u):
+    def work(block, y, u, x, spec=spec):
+        spec = spec.bind(x)
         s = kernels.smoother(*_gaussian(spec, np.array(block.theta), y, u))
         return {"mean": s["means"].tolist(), "var": [np.diag(v).tolist() for v in s["variances"]]}
 
-    rows = _per_block(chain, series, work, "mean array<array<double>>, var array<array<double>>", ["series_id", "chain_id", "block", "count", "weight"])
+    return _state_moments(_per_block(chain, series, work, "mean array<array<double>>, var array<array<double>>", ["series_id", "chain_id", "block", "count", "weight"]))
+
+
+def _state_moments(rows: DataFrame) -> DataFrame:
     times = rows.select("series_id", (F.col("count") * F.col("weight")).alias("w"), F.posexplode(F.arrays_zip("mean", "var")).alias("t", "x"))
     flat = times.select("series_id", "w", (F.col("t") + 1).alias("t"), F.posexplode(F.arrays_zip(F.col("x.mean").alias("m"), F.col("x.var").alias("v"))).alias("state", "s"))
     m, v, w = F.col("s.m"), F.col("s.v"), F.col("w")
@@ -363,36 +439,63 @@ def _respond(model: Matrices, s: np.ndarray, kind: str, u: float, t: int, rng: n
     return out
 
 
-def predict(chain: DataFrame, series: DataFrame, spec: Spec, horizon: int, kind: str = "response", seed: int = 1, exposure: float = 1.0) -> DataFrame:
-    """t (n + 1 to n + horizon), variable, value and weight from each block: ``response``, ``mean`` or ``state``."""
+def subsample(chain: DataFrame, draws: int, seed: int = 1) -> DataFrame:
+    """``draws`` iterations of each series without replacement (all, if fewer): the chain with smaller counts."""
+    each = chain.withColumn("k", F.explode(F.sequence(F.lit(1), "count")))
+    order = Window.partitionBy("series_id").orderBy(F.xxhash64(F.lit(seed), "chain_id", "block", "k"), "chain_id", "block", "k")
+    left = each.withColumn("r", F.row_number().over(order)).where(F.col("r") <= draws).groupBy("series_id", "chain_id", "block").agg(F.count("*").cast("int").alias("count"))
+    return chain.drop("count").join(left, ["series_id", "chain_id", "block"]).select(*chain.columns)
+
+
+def predict(chain: DataFrame, series: DataFrame, spec: Spec, horizon: int, kind: str = "response", seed: int = 1, exposure: float = 1.0, future: DataFrame | None = None, draws: int | None = None, count: int = 10, sampling: str = "psi", method: str = "is2") -> DataFrame:
+    """t (n + 1 to n + horizon), variable, value and weight from each block: ``response``, ``mean`` or ``state``.
 
-    def work(block, y, u):
-        theta, n = np.array(block.theta), len(y)
+    ``future`` (series_id, t, x, and u if not ``exposure``) has the covariates of the times ahead; ``draws`` takes so many
+    iterations of each series. Count, sampling and method as in ``state_draws``.
+    """
+    chain = chain if draws is None else subsample(chain, draws, seed)
+    if future is not None:
+        fields = [c for c in ("t", "x", "u") if c in future.columns]
+        chain = chain.join(future.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("ahead")), "series_id")
+
+    known = future is not None
+
+    def work(block, y, u, x, spec=spec):
+        n = len(y)
+        ahead = sorted(block.ahead, key=lambda r: r["t"]) if known else []
+        e = [r["u"] if "u" in r and r["u"] is not None else exposure for r in map(_plain, ahead)] or [exposure] * horizon
+        if ahead and x is not None:
+            x = np.vstack([x, _matrix([_plain(r)["x"] for r in ahead])])
+        if known and len(ahead) < horizon:
+            raise ValueError(f"series {block.series_id} has {len(ahead)} of {horizon} future rows")
+        spec = spec.bind(x)
         rng = generator(seed, block.series_id, block.chain_id, block.block, "predict")
-        source = spec.build(theta)
-        model, data = _gaussian(spec, theta, y, u)
-        x = kernels.simulation_smoother(model, data, 1, rng)[:, n]
+        source = spec.build(np.array(block.theta))
+        state = _path(spec, block, y, u, count, sampling, method, seed)[n][None]
         out = []
         for h in range(horizon):
-            s = source.at("D", n + h) + x @ source.at("Z", n + h).T
-            out.append((x if kind == "state" else _respond(source, s, kind, exposure, n + h, rng))[0].tolist())
+            s = source.at("D", n + h) + state @ source.at("Z", n + h).T
+            out.append((state if kind == "state" else _respond(source, s, kind, e[h], n + h, rng))[0].tolist())
             R = source.at("R", n + h)
-            x = source.at("C", n + h) + x @ source.at("T", n + h).T + rng.standard_normal((1, R.shape[1])) @ R.T
+            state = source.at("C", n + h) + state @ source.at("T", n + h).T + rng.standard_normal((1, R.shape[1])) @ R.T
         return {"first": n + 1, "path": out}
 
     rows = _per_block(chain, series, work, "first int, path array<array<double>>", ["series_id", "chain_id", "block", "count", "weight"])
     return _long_path(rows)
 
 
-def fitted(chain: DataFrame, series: DataFrame, spec: Spec, seed: int = 1, kind: str = "mean") -> DataFrame:
+def _plain(row) -> dict:
+    return row if isinstance(row, dict) else row.asDict()
+
+
+def fitted(chain: DataFrame, series: DataFrame, spec: Spec, seed: int = 1, kind: str = "mean", count: int = 10, sampling: str = "psi", method: str = "is2") -> DataFrame:
     """t (1 to n), variable, value and weight from each block: the mean (or a response) at the observed times."""
 
-    def work(block, y, u):
-        theta = np.array(block.theta)
+    def work(block, y, u, x, spec=spec):
+        spec = spec.bind(x)
         rng = generator(seed, block.series_id, block.chain_id, block.block, "fitted")
-        source = spec.build(theta)
-        model, data = _gaussian(spec, theta, y, u)
-        s = kernels.signals(source, kernels.simulation_smoother(model, data, 1, rng))[0]
+        source = spec.build(np.array(block.theta))
+        s = kernels.signals(source, _path(spec, block, y, u, count, sampling, method, seed)[None])[0]
         return {"first": 1, "path": [_respond(source, s[t : t + 1], kind, float(u[t, 0]), t, rng)[0].tolist() for t in range(len(y))]}
 
     return _long_path(_per_block(chain, series, work, "first int, path array<array<double>>", ["series_id", "chain_id", "block", "count", "weight"]))

@@ -190,7 +190,7 @@ def signals(model: Matrices, states: np.ndarray) -> np.ndarray:
     """D + Z alpha for states with times on the last axis but one; the last time (n + 1) is left out."""
     n = states.shape[-2] - 1
     Z = model.Z if model.Z.ndim == 3 else np.broadcast_to(model.Z, (n, *model.Z.shape))
-    return model.D[-n:] + np.einsum("tpm,...tm->...tp", Z[:n], states[..., :n, :]) if model.D.ndim == 2 else model.D + np.einsum("tpm,...tm->...tp", Z[:n], states[..., :n, :])
+    return (model.D[:n] if model.D.ndim == 2 else model.D) + np.einsum("tpm,...tm->...tp", Z[:n], states[..., :n, :])
 
 
 class Approximation:
@@ -201,7 +201,10 @@ class Approximation:
         n, p = y.shape
         self.source, self.data, self.u = model, y, u
         s = np.column_stack([start_signal(d, y[:, j], u[:, j]) for j, d in enumerate(model.dist)]) if mode is None else mode
-        for _ in range(max(1, rounds)):
+        if mode is None and rounds > 1 and batchable(model):
+            s = find_modes(stacked([model]), model.dist[0], y.T, u.T, offsets([model], n), rounds, tolerance)[0].T
+            rounds = 0
+        for _ in range(rounds):
             self.step(s)
             new = signals(self.model, fast_means(self.model, self.y[None], kalman(self.model, self.y))[0])
             change = float(np.mean((new - s) ** 2))
@@ -209,9 +212,13 @@ class Approximation:
             if not math.isfinite(change) or change < tolerance:
                 break
         self.mode = s
-        if mode is None:
+        if mode is None or rounds == 0:
             self.step(s)
-        g = kalman(self.model, self.y)["loglik"]
+        if rounds == 0 and batchable(model):
+            models = stacked([model])
+            g = float(forward(models, self.y.T - offsets([model], n), self.model.H[:, 0, 0][None] ** 2)[0][0])
+        else:
+            g = kalman(self.model, self.y)["loglik"]
         seen = np.isfinite(y)
         const = sum(float(obs_const(d, y[seen[:, j], j], u[seen[:, j], j], model.phi[j]).sum()) for j, d in enumerate(model.dist))
         var = np.stack([np.diag(h) ** 2 for h in self.model.H])
@@ -316,14 +323,11 @@ def bootstrap(model: Matrices, y: np.ndarray, u: np.ndarray, count: int, rng: np
 
 def smoothing_moves(s: dict) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Regressions of each smoothed state on the one before, and factors of what they leave; first the first state's own."""
-    gains, roots = [], [root(s["variances"][0])]
-    for t in range(len(s["lag"])):
-        G = s["lag"][t].T @ np.linalg.pinv(s["variances"][t], hermitian=True)
-        gains.append(G)
-        C = s["variances"][t + 1] - G @ s["lag"][t]
-        vals, vecs = np.linalg.eigh((C + C.T) / 2)
-        roots.append(vecs * np.sqrt(np.maximum(vals, 0)))
-    return gains, roots
+    V, lag = s["variances"], s["lag"]
+    gains = lag.transpose(0, 2, 1) @ np.linalg.pinv(V[:-1], hermitian=True)
+    C = V[1:] - gains @ lag
+    vals, vecs = np.linalg.eigh((C + C.transpose(0, 2, 1)) / 2)
+    return list(gains), [root(V[0]), *(vecs * np.sqrt(np.maximum(vals, 0))[:, None, :])]
 
 
 def guided(approx: Approximation, count: int, rng: np.random.Generator) -> dict:
@@ -358,8 +362,8 @@ def adapt(S: np.ndarray, z: np.ndarray, accept: float, target: float, step: int,
     return np.linalg.cholesky(S @ inner @ S.T)
 
 
-def metropolis(start: np.ndarray, log_target, iterations: int, burnin: int, rng: np.random.Generator, S: np.ndarray | None = None, target: float = 0.234, gamma: float = 2 / 3, adapt_after: bool = True, second_stage=None) -> list[tuple]:
-    """A jump chain [theta, count, log target, extra] after burn-in.
+def metropolis(start: np.ndarray, log_target, iterations: int, burnin: int, rng: np.random.Generator, S: np.ndarray | None = None, target: float = 0.234, gamma: float = 2 / 3, adapt_after: bool = True, second_stage=None, thin: int = 1) -> list[tuple]:
+    """A jump chain [theta, count, log target, extra] of every ``thin``-th iteration after burn-in.
 
     ``log_target(theta)`` gives (log density, extra). With ``second_stage(theta, extra)`` (a log correction) acceptance is
     delayed: the correction is computed only for proposals that pass the first test.
@@ -382,7 +386,7 @@ def metropolis(start: np.ndarray, log_target, iterations: int, burnin: int, rng:
             new = second_stage(proposal, info) if second_stage else 0.0
             if not second_stage or (math.isfinite(new) and rng.random() < math.exp(min(0.0, new - fix))):
                 theta, current, extra, fix, moved = proposal, value, info, new, True
-        if i > burnin:
+        if i > burnin and (i - burnin) % thin == 0:
             if moved or not chain:
                 chain.append([theta, 0, current + fix, extra])
                 moved = False
@@ -393,44 +397,137 @@ def metropolis(start: np.ndarray, log_target, iterations: int, burnin: int, rng:
 
 
 def batchable(model: Matrices) -> bool:
-    """Whether ``batched_loglik`` can take it: one Gaussian variable and no matrix but D over time."""
-    return not model.dist and model.Z.shape == (1, len(model.a1)) and model.T.ndim == model.R.ndim == model.H.ndim == 2 and model.C.ndim == 1
+    """Whether the batched recursions can take it: one variable and no matrix but D over time."""
+    return len(model.dist) < 2 and model.Z.shape == (1, len(model.a1)) and model.T.ndim == model.R.ndim == 2 and (model.H.ndim == 2 or bool(model.dist)) and model.C.ndim == 1
 
 
-def batched_loglik(built: list[Matrices], y: np.ndarray) -> np.ndarray:
-    """Log-likelihoods of many series (rows of y, NaN if missing or past their end), each under its own model, in one pass."""
+def stacked(built: list[Matrices]) -> dict[str, np.ndarray]:
+    """Many models of one shape as arrays with a row for each; Z and T stay single if all share them."""
     stack = lambda f: np.stack([f(x) for x in built])
-    Z, T, C, a, P = stack(lambda x: x.Z[0]), stack(lambda x: x.T), stack(lambda x: x.C), stack(lambda x: x.a1), stack(lambda x: x.P1)
-    RR, h = stack(lambda x: x.R @ x.R.T), np.array([x.H[0, 0] ** 2 for x in built])
-    n = y.shape[1]
-    moving = any(x.D.ndim == 2 for x in built)
-    D = np.stack([np.resize(x.D[:, 0], n) if x.D.ndim == 2 else np.full(n, x.D[0]) for x in built]) if moving else np.array([[x.D[0]] for x in built])
-    data = y - D
+    same = all(np.array_equal(x.Z, built[0].Z) and np.array_equal(x.T, built[0].T) for x in built)
+    Z, T = (built[0].Z[0], built[0].T) if same else (stack(lambda x: x.Z[0]), stack(lambda x: x.T))
+    return {
+        "Z": Z, "T": T, "C": stack(lambda x: x.C), "a1": stack(lambda x: x.a1), "P1": stack(lambda x: x.P1), "RR": stack(lambda x: x.R @ x.R.T),
+        "h": np.array([x.H[..., 0, 0].max() ** 2 for x in built]), "phi": np.array([x.phi[0] for x in built]),
+    }
+
+
+def offsets(built: list[Matrices], n: int) -> np.ndarray:
+    """D of many models at n times; past the end of a shorter series it is 0."""
+    out = np.zeros((len(built), n))
+    for k, x in enumerate(built):
+        if x.D.ndim == 2:
+            out[k, : min(n, len(x.D))] = x.D[:n, 0]
+        else:
+            out[k] = x.D[0]
+    return out
+
+
+def some(models: dict[str, np.ndarray], rows: np.ndarray) -> dict[str, np.ndarray]:
+    shared = {"Z": 1, "T": 2}
+    return {k: v if v.ndim == shared.get(k) else v[rows] for k, v in models.items()}
+
+
+def forward(models: dict[str, np.ndarray], data: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
+    """Log-likelihoods of many series (rows of data, NaN if missing or past their end), each under its own model; ``h`` are
+    observation variances (rows x times, or x 1). With ``keep``, also (a Z, P Z, P Z / f, v / f) of each time."""
+    Z, T, C, RR = models["Z"], models["T"], models["C"], models["RR"]
+    B, m = models["a1"].shape
+    shared = T.ndim == 2
+    a, P, n = models["a1"], models["P1"].reshape(B, m * m), data.shape[1]
+    RR = RR.reshape(B, m * m)
     seen = np.isfinite(data)
-    Tt, loglik = T.transpose(0, 2, 1), np.zeros(len(built))
+    weight, y = seen.astype(float), np.where(seen, data, 0.0)
+    every = seen.all(0)
+    h = np.broadcast_to(h, data.shape)
+    if shared:
+        both, Tt = np.kron(T, T).T.copy(), T.T.copy()
+        pick = np.kron(np.eye(m), Z[:, None])  # vec(P) to P Z
+    loglik, steps = np.zeros(B), []
     for t in range(n):
-        pz = (P @ Z[:, :, None])[:, :, 0]
-        f = (pz * Z).sum(1) + h
-        ok = seen[:, t] & (f > TOLERANCE)
-        f = np.where(ok, f, 1.0)
-        v = np.where(ok, data[:, t] - (a * Z).sum(1), 0.0)
-        g = ok / f
-        loglik -= np.where(ok, 0.5 * (LOG_2PI + np.log(f) + v * v * g), 0.0)
-        a = C + (T @ (a + pz * (v * g)[:, None])[:, :, None])[:, :, 0]
-        P = T @ (P - pz[:, :, None] * (pz * g[:, None])[:, None, :]) @ Tt + RR
-    return loglik
-
-
-def batched_metropolis(start: np.ndarray, log_target, iterations: int, burnin: int, rngs: list[np.random.Generator], target: float = 0.234, gamma: float = 2 / 3, adapt_after: bool = True) -> list[list[list]]:
+        if shared:
+            pz, mean = P @ pick, a @ Z
+            f = pz @ Z + h[:, t]
+        else:
+            pz, mean = (P.reshape(B, m, m) @ Z[:, :, None])[:, :, 0], (a * Z).sum(1)
+            f = (pz * Z).sum(1) + h[:, t]
+        ok = f > TOLERANCE
+        g = (1.0 / f) * weight[:, t] if ok.all() else np.where(ok, weight[:, t] / np.where(ok, f, 1.0), 0.0)
+        v = y[:, t] - mean
+        w = v * g
+        bits = LOG_2PI + np.log(np.where(ok, f, 1.0)) + v * w
+        loglik -= 0.5 * (bits if every[t] and ok.all() else np.where(g > 0, bits, 0.0))
+        gain = pz * g[:, None]
+        if keep:
+            steps.append((mean, pz, gain, w, a))
+        a = a + pz * w[:, None]
+        P = P - (pz[:, :, None] * gain[:, None, :]).reshape(B, m * m)
+        if shared:
+            a, P = C + a @ Tt, P @ both + RR
+        else:
+            a, P = C + (T @ a[:, :, None])[:, :, 0], (T @ P.reshape(B, m, m) @ T.transpose(0, 2, 1)).reshape(B, m * m) + RR
+    return loglik, steps
+
+
+def batched_loglik(built: list[Matrices], y: np.ndarray) -> np.ndarray:
+    """Log-likelihoods of many Gaussian series (rows of y, NaN if missing or past their end), each under its own model."""
+    models = stacked(built)
+    return forward(models, y - offsets(built, y.shape[1]), models["h"][:, None])[0]
+
+
+def signal_means(models: dict[str, np.ndarray], steps: list) -> np.ndarray:
+    """Smoothed means of Z alpha (rows x times) from the steps of ``forward``."""
+    Z, T = models["Z"], models["T"]
+    r = np.zeros(models["a1"].shape)
+    out = np.empty((len(r), len(steps)))
+    for t in range(len(steps) - 1, -1, -1):
+        mean, pz, gain, w, _ = steps[t]
+        r = r @ T if T.ndim == 2 else (T.transpose(0, 2, 1) @ r[:, :, None])[:, :, 0]
+        r = r + Z * (w - (gain * r).sum(1))[:, None]
+        out[:, t] = mean + (pz * r).sum(1)
+    return out
+
+
+def find_modes(models: dict[str, np.ndarray], dist: str, y: np.ndarray, u: np.ndarray, D: np.ndarray, rounds: int = 100, tolerance: float = 1e-8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signals at the posterior modes of many series of one distribution (rows), with the pseudo-observations and variances there."""
+    s, phi = start_signal(dist, y, u), models["phi"][:, None]
+    todo = np.arange(len(y))
+    for _ in range(rounds):
+        m = some(models, todo)
+        py, h = laplace_step(dist, y[todo], s[todo], u[todo], phi[todo])
+        h = np.where(np.isfinite(h), h, 1.0)
+        data = np.where(np.isfinite(y[todo]), py, np.nan) - D[todo]
+        new = signal_means(m, forward(m, data, h, True)[1]) + D[todo]
+        change = np.where(np.isnan(y[todo]).all(1), 0.0, ((new - s[todo]) ** 2).mean(1))
+        s[todo] = new
+        todo = todo[np.isfinite(change) & (change >= tolerance)]
+        if not len(todo):
+            break
+    py, h = laplace_step(dist, y, s, u, phi)
+    return s, np.where(np.isfinite(y), py, np.nan), np.where(np.isfinite(h), h, 1.0)
+
+
+def batched_approximate_loglik(models: dict[str, np.ndarray], dist: str, y: np.ndarray, u: np.ndarray, D: np.ndarray) -> np.ndarray:
+    """``Approximation(...).loglik`` of many series."""
+    s, py, h = find_modes(models, dist, y, u, D)
+    phi, seen = models["phi"][:, None], np.isfinite(y)
+    g = forward(models, py - D, h)[0]
+    full = np.where(seen, y, 1.0)
+    const = np.stack([obs_const(dist, row, e, float(p)) for row, e, p in zip(full, u, models["phi"], strict=True)])
+    ratio = obs_kernel(dist, full, s, u, phi) + 0.5 * (np.where(seen, py, 0.0) - s) ** 2 / h + 0.5 * (LOG_2PI + np.log(h))
+    return g + np.where(seen, const + ratio, 0.0).sum(1)
+
+
+def batched_metropolis(start: np.ndarray, log_target, iterations: int, burnin: int, rngs: list[np.random.Generator], target: float = 0.234, gamma: float = 2 / 3, adapt_after: bool = True, thin: int = 1, S: np.ndarray | None = None) -> list[list[list]]:
     """Jump chains [theta, count, log target] of many chains that step together; each draws from its own generator."""
     B, d = len(rngs), len(start)
     theta = np.tile(start, (B, 1))
-    S = np.tile(np.diag(0.1 * np.maximum(0.1, np.abs(start))), (B, 1, 1))
+    S = np.tile(np.diag(0.1 * np.maximum(0.1, np.abs(start))) if S is None else S, (B, 1, 1))
     current = log_target(theta)
     if not np.isfinite(current).all():
         raise ValueError("the posterior is not finite at the starting values")
     chains: list[list[list]] = [[] for _ in rngs]
-    moved = np.ones(B, bool)
+    moved, count = np.ones(B, bool), np.zeros(B, int)
     block = 512
     for i in range(1, iterations + 1):
         if (i - 1) % block == 0:
@@ -442,14 +539,19 @@ def batched_metropolis(start: np.ndarray, log_target, iterations: int, burnin: i
         accept = np.exp(np.minimum(0.0, np.where(np.isfinite(value), value - current, -np.inf)))
         yes = u < accept
         theta, current, moved = np.where(yes[:, None], proposal, theta), np.where(yes, value, current), moved | yes
-        if i > burnin:
-            for b in range(B):
-                if moved[b] or not chains[b]:
-                    chains[b].append([theta[b].copy(), 0, float(current[b])])
-                chains[b][-1][1] += 1
+        if i > burnin and (i - burnin) % thin == 0:
+            count += 1
+            for b in np.flatnonzero(moved | (count == 1)):
+                if chains[b]:
+                    chains[b][-1][1] = int(count[b]) - 1
+                chains[b].append([theta[b].copy(), 0, float(current[b])])
+                count[b] = 1
             moved[:] = False
         if i <= burnin or adapt_after:
             eta = min(1.0, d * i**-gamma)
             inner = np.eye(d) + (eta * (accept - target) / (z * z).sum(1))[:, None, None] * z[:, :, None] * z[:, None, :]
             S = np.linalg.cholesky(S @ inner @ S.transpose(0, 2, 1))
+    for b, chain in enumerate(chains):
+        if chain:
+            chain[-1][1] = int(count[b])
     return chains

@@ -33,7 +33,11 @@ class Matrices:
 
     def at(self, name: str, t: int) -> np.ndarray:
         x = getattr(self, name)
-        return x[min(t, len(x) - 1)] if x.ndim == {"Z": 3, "H": 3, "T": 3, "R": 3, "D": 2, "C": 2}[name] else x
+        if x.ndim != {"Z": 3, "H": 3, "T": 3, "R": 3, "D": 2, "C": 2}[name]:
+            return x
+        if t >= len(x):
+            raise ValueError(f"{name} has {len(x)} times, but time {t + 1} is needed")
+        return x[t]
 
     def __post_init__(self):
         m, p = self.T.shape[-1], self.Z.shape[-2]
@@ -50,12 +54,38 @@ class Matrices:
 
 @dataclass(frozen=True)
 class Spec:
-    """A model: ``build(theta)`` on the internal scale gives Matrices; ``logs`` marks parameters kept as logarithms."""
+    """A model: ``build(theta)`` on the internal scale gives Matrices; ``logs`` marks parameters kept as logarithms.
+
+    With ``betas(theta)``, the coefficients of covariates, the series has them in a column ``x`` (array of doubles, one for
+    each coefficient, at every t), or the model in ``xreg``. ``stack(thetas)`` builds many models at once, if given.
+    """
 
     names: tuple[str, ...]
     priors: tuple[Prior, ...]
     logs: tuple[bool, ...]
     build: Callable[[np.ndarray], Matrices] = field(repr=False)
+    betas: Callable[[np.ndarray], np.ndarray] | None = field(default=None, repr=False)
+    xreg: np.ndarray | None = field(default=None, repr=False)
+    stack: Callable[[np.ndarray], dict[str, np.ndarray]] | None = field(default=None, repr=False)
+
+    def bind(self, x: np.ndarray | None) -> Spec:
+        """The model of one series with its covariates (times x coefficients)."""
+        x = self.xreg if self.xreg is not None else x
+        if self.betas is None or x is None:
+            if self.betas is not None:
+                raise ValueError("the model has covariates: the series needs a column x, or the model xreg")
+            return self
+        build, betas, x = self.build, self.betas, np.asarray(x, float)
+        if x.ndim != 2 or x.shape[1] != len(betas(self.start())) or not np.isfinite(x).all():
+            raise ValueError("x needs a finite value for each coefficient at every time")
+        return replace(self, build=lambda theta: replace(build(theta), D=(x @ betas(theta))[:, None]), xreg=x)
+
+    def log_priors(self, thetas: np.ndarray) -> np.ndarray:
+        """``log_prior`` of each row."""
+        logs = np.array(self.logs, bool)
+        with np.errstate(over="ignore"):
+            x = np.where(logs, np.exp(thetas), thetas)
+        return sum((p.log_densities(x[:, k]) for k, p in enumerate(self.priors)), np.zeros(len(thetas))) + thetas[:, logs].sum(1)
 
     def start(self) -> np.ndarray:
         return np.array([math.log(max(1e-3, p.init)) if lg else p.init for p, lg in zip(self.priors, self.logs, strict=True)])
@@ -93,8 +123,20 @@ class _Parameters:
 
         return read
 
-    def spec(self, build) -> Spec:
-        return Spec(tuple(self.names), tuple(self.priors), tuple(self.logs), build)
+    def spec(self, build, betas=None, xreg=None, stack=None) -> Spec:
+        return Spec(tuple(self.names), tuple(self.priors), tuple(self.logs), build, betas, None if xreg is None else np.asarray(xreg, float), stack)
+
+    def columns(self):
+        """Like ``reader``, for rows of parameters: a value for each."""
+        slots, logs = self.slots, self.logs
+
+        def read(thetas: np.ndarray, name: str) -> np.ndarray:
+            slot = slots[name]
+            if not isinstance(slot, int):
+                return np.full(len(thetas), np.nan if slot is None else slot)
+            return np.exp(thetas[:, slot]) if logs[slot] else thetas[:, slot]
+
+        return read
 
 
 def structural(sd_level, sd_slope=None, sd_seasonal=None, period: int = 0, sd_y=None, beta=(), xreg: np.ndarray | None = None, a1=None, P1=None, dist: str = "", phi=1.0, sd_noise=None) -> Spec:
@@ -132,11 +174,23 @@ def structural(sd_level, sd_slope=None, sd_seasonal=None, period: int = 0, sd_y=
         first = P.copy()
         if noise:
             first[m - 1, m - 1] = read(theta, "sd_noise") ** 2
-        D = None if xreg is None else (np.asarray(xreg) @ np.array([read(theta, f"beta_{k + 1}") for k in range(len(beta))]))[:, None]
         H = None if dist else np.array([[read(theta, "sd_y")]])
-        return Matrices(Z, T, R, a, first, H, D, None, (dist,) if dist else (), (read(theta, "phi"),))
+        return Matrices(Z, T, R, a, first, H, None, None, (dist,) if dist else (), (read(theta, "phi"),))
 
-    return ps.spec(build)
+    column = ps.columns()
+
+    def stack(thetas: np.ndarray) -> dict[str, np.ndarray]:
+        B = len(thetas)
+        RR, first = np.zeros((B, m, m)), np.tile(P, (B, 1, 1))
+        for row, name, used in ((0, "sd_level", True), (1, "sd_slope", slope), (at, "sd_seasonal", bool(season)), (m - 1, "sd_noise", noise)):
+            if used:
+                RR[:, row, row] = column(thetas, name) ** 2
+        if noise:
+            first[:, m - 1, m - 1] = column(thetas, "sd_noise") ** 2
+        return {"Z": Z[0], "T": T, "C": np.zeros((B, m)), "a1": np.tile(a, (B, 1)), "P1": first, "RR": RR, "h": column(thetas, "sd_y") ** 2, "phi": column(thetas, "phi")}
+
+    betas = (lambda theta: np.array([read(theta, f"beta_{k + 1}") for k in range(len(beta))])) if beta else None
+    return ps.spec(build, betas, xreg, stack)
 
 
 def ar1(rho, sigma, mu=0.0, sd_y=None, beta=(), xreg: np.ndarray | None = None, dist: str = "", phi=1.0) -> Spec:
@@ -150,12 +204,12 @@ def ar1(rho, sigma, mu=0.0, sd_y=None, beta=(), xreg: np.ndarray | None = None,
 
     def build(theta: np.ndarray) -> Matrices:
         r, s, mean = read(theta, "rho"), read(theta, "sigma"), read(theta, "mu")
-        D = None if xreg is None else (np.asarray(xreg) @ np.array([read(theta, f"beta_{k + 1}") for k in range(len(beta))]))[:, None]
         one = np.ones((1, 1))
         var = s * s / (1 - r * r) if abs(r) < 1 else np.inf
-        return Matrices(one, r * one, s * one, np.array([mean]), var * one, None if dist else read(theta, "sd_y") * one, D, np.array([mean * (1 - r)]), (dist,) if dist else (), (read(theta, "phi"),))
+        return Matrices(one, r * one, s * one, np.array([mean]), var * one, None if dist else read(theta, "sd_y") * one, None, np.array([mean * (1 - r)]), (dist,) if dist else (), (read(theta, "phi"),))
 
-    return ps.spec(build)
+    betas = (lambda theta: np.array([read(theta, f"beta_{k + 1}") for k in range(len(beta))])) if beta else None
+    return ps.spec(build, betas, xreg)
 
 
 def volatility(rho, sd_ar, sigma=None, mu=None) -> Spec:

@@ -270,7 +270,7 @@ def filter_series(series: DataFrame, model: NonLinear | Diffusion, theta, method
     """t, mean, cov (flattened) and loglik of each series by ``ekf``, ``ukf``, ``bsf``, ``ekpf``, ``psi`` or, for a diffusion, ``sde``."""
     th = np.asarray(theta, float)
 
-    def work(sid, y, u):
+    def work(sid, y, u, x):
         rng = generator(seed, sid)
         if method in ("ekf", "ukf"):
             if smoothed:
@@ -294,7 +294,7 @@ def run_mcmc(series: DataFrame, model: NonLinear | Diffusion, start, iterations:
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         sid, chain = frame["series_id"].iloc[0], int(frame["chain_id"].iloc[0])
-        y, _ = _arrays(frame)
+        y, _, _ = _arrays(frame)
         rng = generator(seed, sid, chain)
         sde = isinstance(model, Diffusion)
 
@@ -328,7 +328,7 @@ def correct(chain: DataFrame, series: DataFrame, model: NonLinear | Diffusion, c
     """Importance weights exp(unbiased - cheap log-likelihood) for each block of an ``ekf`` (or coarse) chain."""
     from .inference import _per_block
 
-    def work(block, y, u):
+    def work(block, y, u, x):
         th, rng = np.array(block.theta), generator(seed, block.series_id, block.chain_id, block.block, "is")
         if isinstance(model, Diffusion):
             value = diffusion_particles(model, y, th, count, level, rng)["loglik"]
@@ -341,11 +341,86 @@ def correct(chain: DataFrame, series: DataFrame, model: NonLinear | Diffusion, c
     return rows.withColumn("weight", F.exp("log_weight")).select("series_id", "chain_id", "block", "count", "weight", "log_posterior", "approx", "theta", "names")
 
 
+def _path(model: NonLinear | Diffusion, block, y, count: int, sampling: str, level: int, seed: int) -> np.ndarray:
+    """A path of n + 1 states from the particles by which ``correct``, with the same arguments, weighted the block; ``ekf``: of the linearisation at the mode."""
+    th, rng = np.array(block.theta), generator(seed, block.series_id, block.chain_id, block.block, "is")
+    if isinstance(model, Diffusion):
+        pf = diffusion_particles(model, y, th, count, level, rng)
+    elif sampling == "ekf":
+        approx, _ = approximation(model, th, y)
+        return kernels.simulation_smoother(approx, y, 1, rng)[0]
+    else:
+        pf = {"bsf": bootstrap, "ekpf": extended_particles, "psi": guided}[sampling](model, y, th, count, rng)
+    paths = kernels.trace(pf)
+    return paths[rng.integers(len(paths))]
+
+
+BLOCK = ["series_id", "chain_id", "block", "count", "weight"]
+
+
+def state_draws(chain: DataFrame, series: DataFrame, model: NonLinear | Diffusion, count: int = 50, sampling: str = "bsf", level: int = 4, seed: int = 1) -> DataFrame:
+    """t (1 to n + 1), variable, value and weight: a posterior state path of each block, of non-linear models and diffusions."""
+    from .inference import _long_path, _per_block
+
+    def work(block, y, u, x):
+        return {"first": 1, "path": _path(model, block, y, count, sampling, level, seed).tolist()}
+
+    return _long_path(_per_block(chain, series, work, "first int, path array<array<double>>", BLOCK))
+
+
+def state_summary(chain: DataFrame, series: DataFrame, model: NonLinear, iterations: int = 0) -> DataFrame:
+    """Posterior mean and variance of each state of an ``ekf`` chain, by the extended smoother at every block."""
+    from .inference import _per_block, _state_moments
+
+    def work(block, y, u, x):
+        means, variances, _ = extended_smoother(model, y, np.array(block.theta), iterations)
+        return {"mean": means.tolist(), "var": [np.diag(v).tolist() for v in variances]}
+
+    return _state_moments(_per_block(chain, series, work, "mean array<array<double>>, var array<array<double>>", BLOCK))
+
+
+def fitted(chain: DataFrame, series: DataFrame, model: NonLinear, kind: str = "mean", count: int = 50, sampling: str = "bsf", seed: int = 1) -> DataFrame:
+    """t (1 to n), variable, value and weight from each block: the mean Z(state), or a response, at the observed times."""
+    from .inference import _long_path, _per_block
+
+    def work(block, y, u, x):
+        th, rng = np.array(block.theta), generator(seed, block.series_id, block.chain_id, block.block, "fitted")
+        z = model.Z(_path(model, block, y, count, sampling, 0, seed)[: len(y)], th)
+        return {"first": 1, "path": (z if kind == "mean" else z + rng.standard_normal(z.shape) @ model.H(th).T).tolist()}
+
+    return _long_path(_per_block(chain, series, work, "first int, path array<array<double>>", BLOCK))
+
+
+def approximate(series: DataFrame, model: NonLinear, theta, iterations: int = 0) -> DataFrame:
+    """t, the states' mode and the linearisation's Z, T, D and C (flattened) of each series; n + 1 modes, n matrices."""
+    th = np.asarray(theta, float)
+
+    def work(sid, y, u, x):
+        approx, mode = approximation(model, th, y, iterations=iterations)
+        flat = lambda a: [*(v.ravel().tolist() for v in a), None]
+        return pd.DataFrame({"t": range(1, len(y) + 2), "mode": mode.tolist(), "z": flat(approx.Z), "transition": flat(approx.T), "d": flat(approx.D), "c": flat(approx.C)})
+
+    return per_series(series, work, "t int, mode array<double>, z array<double>, transition array<double>, d array<double>, c array<double>")
+
+
+def suggest_count(series: DataFrame, model: NonLinear, theta, candidates: tuple[int, ...] = (10, 20, 40, 80), replications: int = 100, sampling: str = "psi", seed: int = 1) -> DataFrame:
+    """Standard deviation of the log-likelihood estimate by number of particles; ``suggested`` is the first under 1, for each series."""
+    from .inference import _per_block, _suggested, _trials
+
+    th = np.asarray(theta, float)
+
+    def work(block, y, u, x):
+        run = {"bsf": bootstrap, "ekpf": extended_particles, "psi": guided}[sampling]
+        return {"loglik": run(model, y, th, int(block.chain_id), generator(seed, block.series_id, block.chain_id, block.block))["loglik"]}
+
+    return _suggested(_per_block(_trials(series, candidates, replications), series, work, "loglik double", ["series_id", "chain_id", "block"]))
+
+
 def predict(chain: DataFrame, series: DataFrame, model: NonLinear, horizon: int, count: int = 50, seed: int = 1, kind: str = "response") -> DataFrame:
     """t, variable, value and weight of ``horizon`` future steps from each block, from a particle drawn at n + 1."""
     from .inference import _long_path, _per_block
 
-    def work(block, y, u):
+    def work(block, y, u, x):
         th, rng = np.array(block.theta), generator(seed, block.series_id, block.chain_id, block.block, "predict")
         x = bootstrap(model, y, th, count, rng)["states"][-1][rng.integers(count)][None]
         H, R, out = model.H(th), model.R(th), []

@@ -47,13 +47,12 @@ def summary(draws: DataFrame, by: list[str], probs: tuple[float, ...] = (0.025,
 def weighted_summary(draws: DataFrame, by: list[str], probs: tuple[float, ...] = (0.025, 0.975)) -> DataFrame:
     """Mean, sd and quantiles of weighted draws."""
     w, x = F.col("weight"), F.col("value")
-    moments = draws.groupBy(*by).agg(F.sum(w).alias("sw"), F.sum(w * x).alias("swx"))
-    moments = moments.select(*by, "sw", (F.col("swx") / F.col("sw")).alias("mean"))
-    joined = draws.join(moments, by)
-    upto = Window.partitionBy(*by).orderBy("value").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = joined.withColumn("share", F.sum("weight").over(upto) / F.col("sw"))
+    every = Window.partitionBy(*by)
+    upto = every.orderBy("value").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    sw = F.sum("weight").over(every)
+    ranked = draws.withColumns({"mean": F.sum(w * x).over(every) / sw, "share": F.sum("weight").over(upto) / sw})
     quantiles = [F.min(F.when(F.col("share") >= p - 1e-12, x)).alias(_name(p)) for p in probs]
-    spread = F.sqrt(F.sum(w * (x - F.col("mean")) * (x - F.col("mean"))) / F.first("sw")).alias("sd")
+    spread = F.sqrt(F.sum(w * (x - F.col("mean")) * (x - F.col("mean"))) / F.sum(w)).alias("sd")
     return ranked.groupBy(*by).agg(F.first("mean").alias("mean"), spread, *quantiles)
 
 

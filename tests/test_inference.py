@@ -170,3 +170,80 @@ def test_stratified_resampling_joins_by_stratum(spark):
     want = np.searchsorted(share / share[-1], (np.arange(n) + 0.37) / n) + 1
     got = out.toPandas().sort_values("stratum")
     assert got.stratum.tolist() == list(range(1, n + 1)) and (got.ancestor.to_numpy() == want).all()
+
+
+def test_states_are_those_of_the_posterior(spark):
+    """12 low Poisson counts at a wide level: paths of the weighted particles against a long bootstrap smoother, where the
+    approximation's paths are too high."""
+    y = [0, 0, 1, 0, 0, 2, 0, 0, 0, 1, 0, 0]
+    s = spark.createDataFrame([("a", t + 1, float(v)) for t, v in enumerate(y)], "series_id string, t int, y double")
+    spec = models.structural(sd_level=0.7, dist="poisson", P1=[[1.0]])
+    chain = spark.range(1, 801).selectExpr("'a' as series_id", "1 as chain_id", "cast(id as int) as block", "1 as count", "1.0D as weight", "0.0D as log_posterior", "0.0D as approx", "cast(array() as array<double>) as theta", "cast(array() as array<string>) as names")
+    approx = inference.loglik(s, spec).first().loglik
+    chain = chain.withColumn("approx", F.lit(approx))
+    weighted = inference.correct(chain, s, spec, 10).cache()
+    got = frame(posterior.weighted_summary(inference.state_draws(weighted, s, spec), ["series_id", "t"]), "t")["mean"].to_numpy()[:12]
+    pf = kernels.bootstrap(spec.build(np.zeros(0)), np.array(y, float)[:, None], np.ones((12, 1)), 40_000, np.random.default_rng(1))
+    want = kernels.trace(pf)[:, :12, 0].mean(0)
+    assert np.abs(got - want).max() < 0.17 and abs(got.mean() - want.mean()) < 0.06
+    rates = frame(posterior.weighted_summary(inference.fitted(weighted, s, spec), ["series_id", "t"]), "t")["mean"].mean()
+    assert abs(rates - np.exp(kernels.trace(pf)[:, :12, 0]).mean()) < 0.03
+
+
+def test_covariates_of_each_series(spark):
+    """A known coefficient with covariates per series: likelihood, chain and forecasts follow x; too few future rows are an error."""
+    r = np.random.default_rng(7)
+    rows, ahead = [], []
+    for k in range(2):
+        x = r.normal(size=33)
+        y = 3.0 * x + 0.1 * r.normal(size=33)
+        rows += [(f"s{k}", t + 1, float(y[t]), [float(x[t])]) for t in range(30)]
+        ahead += [(f"s{k}", t + 1, [float(x[t])]) for t in range(30, 33)]
+    s = spark.createDataFrame(rows, "series_id string, t int, y double, x array<double>").cache()
+    future = spark.createDataFrame(ahead, "series_id string, t int, x array<double>")
+    known = models.structural(sd_level=0.01, sd_y=0.2, beta=(3.0,), P1=[[1.0]])
+    plain = s.select("series_id", "t", (F.col("y") - 3.0 * F.col("x")[0]).alias("y"))
+    a, b = (frame(inference.loglik(d, m), "series_id")["loglik"] for d, m in ((s, known), (plain, models.structural(sd_level=0.01, sd_y=0.2, P1=[[1.0]]))))
+    assert np.allclose(a, b)
+    spec = models.structural(sd_level=0.01, sd_y=priors.halfnormal(0.5, 1), beta=(priors.normal(0, 0, 10),), P1=[[1.0]])
+    chain = inference.run_mcmc(s, spec, 1500, 500).cache()
+    got = frame(posterior.summary(posterior.long_draws(chain), ["series_id", "variable"]), "series_id", "variable")
+    assert np.abs(got[got.variable == "beta_1"]["mean"] - 3.0).max() < 0.1
+    paths = frame(posterior.weighted_summary(inference.predict(chain, s, spec, 3, future=future, draws=200), ["series_id", "t"]), "series_id", "t")
+    assert np.abs(paths["mean"].to_numpy() - [3.0 * x[0] for _, _, x in ahead]).max() < 0.35
+    with pytest.raises(Exception, match="future rows|times"):
+        inference.predict(chain, s, spec, 4, future=future).count()
+    with pytest.raises(Exception, match="times"):
+        inference.predict(chain, s, spec, 1).count()
+
+
+def test_thinning_subsamples_and_long_block_numbers(counts):
+    chain = inference.run_mcmc(counts, COUNTS, 300, 100, method="approx", thin=4).cache()
+    assert [r[0] for r in chain.groupBy("series_id").agg(F.sum("count")).select("sum(count)").collect()] == [50, 50]
+    few = inference.subsample(chain, 20)
+    assert few.columns == chain.columns and [r[0] for r in few.groupBy("series_id").agg(F.sum("count")).select("sum(count)").collect()] == [20, 20]
+    far = chain.withColumn("block", F.col("block") + 2_000_000_000)
+    out = inference.correct(far, counts, COUNTS, 3, method="is3")
+    assert out.select("series_id", "chain_id", "block").distinct().count() == 100
+
+
+def test_nonlinear_states_agree_with_the_linear_model(spark):
+    """The linear example: extended states, particle paths, fitted means and the mode equal the Kalman smoother's."""
+    from stateweave.operators import nonlinear
+
+    r = np.random.default_rng(3)
+    y = np.cumsum(r.normal(size=15)) + r.normal(size=15)
+    s = spark.createDataFrame([("a", t + 1, None if t == 4 else float(v)) for t, v in enumerate(y)], "series_id string, t int, y double")
+    model, th = nonlinear.example("nlg_linear_gaussian"), [0.0]
+    exact = kernels.smoother(models.structural(sd_level=1.0, sd_y=1.0, P1=[[1.0]]).build(np.zeros(0)), np.where(np.arange(15) == 4, np.nan, y)[:, None])
+    chain = spark.range(1, 401).selectExpr("'a' as series_id", "1 as chain_id", "cast(id as int) as block", "1 as count", "1.0D as weight", "0.0D as log_posterior", "0.0D as approx", "array(0.0D) as theta", "array('h') as names")
+    got = frame(nonlinear.state_summary(chain, s, model), "t")
+    assert np.allclose(got["mean"], exact["means"][:, 0]) and np.allclose(got["variance"], exact["variances"][:, 0, 0])
+    for sampling in ("bsf", "psi", "ekf"):
+        paths = frame(posterior.weighted_summary(nonlinear.state_draws(chain, s, model, 30, sampling), ["series_id", "t"]), "t")
+        assert len(paths) == 16 and np.abs(paths["mean"] - exact["means"][:, 0]).max() < 0.35, sampling
+    fit = frame(posterior.weighted_summary(nonlinear.fitted(chain, s, model, sampling="psi"), ["series_id", "t"]), "t")
+    assert np.abs(fit["mean"] - exact["means"][:15, 0]).max() < 0.3
+    mode = frame(nonlinear.approximate(s, model, th), "t")
+    assert np.allclose(mode["mode"].str[0], exact["means"][:, 0], atol=1e-6)
+    assert nonlinear.suggest_count(s, model, th, (5, 10), 20).where("particles in (5, 10)").count() == 2

@@ -185,3 +185,46 @@ def test_stratified_counts():
 def test_from_covariances():
     m = models.from_covariances([[1.0, 0.0]], np.eye(2), [[1.0, 0.5], [0.5, 2.0]], [[4.0]], [0.0, 0.0], np.zeros((2, 2)), P1inf=np.eye(2), kappa=10.0)
     assert np.allclose(m.R @ m.R.T, [[1.0, 0.5], [0.5, 2.0]]) and m.H[0, 0] == 2 and np.allclose(m.P1, 10 * np.eye(2))
+
+
+def test_batched_modes_equal_single_ones():
+    """Laplace approximations of many series at once, also with offsets and missing values, against the step-by-step ones."""
+    r = np.random.default_rng(8)
+    for dist in ("poisson", "binomial", "negative binomial", "gamma", "svm"):
+        built, ys, us = [], [], []
+        for k in range(4):
+            spec = models.structural(sd_level=0.1 + 0.1 * k, sd_slope=0.05 if k < 4 else None, dist=dist, phi=2.0, P1=np.diag([1.0, 0.1]))
+            d = 0.1 * r.normal(size=(14, 1))
+            built.append(models.with_constants(spec.build(np.zeros(0)), D=d))
+            us.append(np.full(14, 9.0)), ys.append(r.integers(1, 8, 14).astype(float))
+            ys[-1][[2, 9]] = np.nan
+        y, u = np.array(ys), np.array(us)
+        m = kernels.stacked(built)
+        got = kernels.batched_approximate_loglik(m, dist, y, u, kernels.offsets(built, 14))
+        s = kernels.find_modes(m, dist, y, u, kernels.offsets(built, 14))[0]
+        for k, b in enumerate(built):
+            slow = kernels.Approximation(b, y[k][:, None], u[k][:, None], mode=kernels.start_signal(dist, y[k], u[k])[:, None])
+            assert np.allclose(slow.mode[:, 0], s[k], atol=1e-4) and abs(slow.loglik - got[k]) < 1e-3, dist
+            fast = kernels.Approximation(b, y[k][:, None], u[k][:, None])
+            assert np.allclose(fast.mode[:, 0], s[k]) and abs(fast.loglik - got[k]) < 1e-8
+
+
+def test_stacks_equal_single_models():
+    spec = models.structural(sd_level=priors.halfnormal(1, 1), sd_slope=priors.halfnormal(1, 1), sd_seasonal=priors.gamma(1, 2, 2), period=4, sd_y=priors.halfnormal(1, 1), sd_noise=priors.uniform(0.5, 0, 2))
+    thetas = np.random.default_rng(1).normal(size=(6, 5)) - 0.5
+    a, b = spec.stack(thetas), kernels.stacked([spec.build(t) for t in thetas])
+    assert all(np.allclose(a[k], b[k]) for k in b)
+    want = np.array([spec.log_prior(t) for t in thetas])
+    assert np.allclose(spec.log_priors(thetas), want)
+
+
+def test_covariates_are_read_by_time():
+    x = np.random.default_rng(3).normal(size=(25, 1))
+    y = np.random.default_rng(4).poisson(3, (20, 1)).astype(float)
+    spec = models.structural(sd_level=0.3, dist="poisson", beta=(0.5,), P1=[[1.0]])
+    long, short = (spec.bind(v).build(np.zeros(0)) for v in (x, x[:20]))
+    u = np.ones((20, 1))
+    assert abs(kernels.Approximation(long, y, u).loglik - kernels.Approximation(short, y, u).loglik) < 1e-10
+    for bad in (x[:19], None):
+        with pytest.raises(ValueError):
+            kernels.kalman(models.structural(sd_level=0.3, sd_y=1.0, beta=(0.5,), P1=[[1.0]]).bind(bad).build(np.zeros(0)), y)
