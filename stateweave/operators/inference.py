@@ -39,6 +39,12 @@ def _arrays(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray | N
     return y, np.broadcast_to(u, y.shape), _matrix(frame["x"].tolist()) if "x" in frame else None
 
 
+def _dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over all tasks by ``keys``: the work on a row is long and its bytes few, so partitions mustn't be merged by size."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 def per_series(series: DataFrame, work: Callable[..., pd.DataFrame], schema: str) -> DataFrame:
     """``work(series_id, y, u, x)`` gives rows without series_id."""
     names = [x.strip().split(" ")[0] for x in schema.split(", ")]
@@ -49,7 +55,7 @@ def per_series(series: DataFrame, work: Callable[..., pd.DataFrame], schema: str
         out.insert(0, "series_id", sid)
         return out[["series_id", *names]]
 
-    return series.groupBy("series_id").applyInPandas(run, f"series_id string, {schema}")
+    return _dealt(series, "series_id").groupBy("series_id").applyInPandas(run, f"series_id string, {schema}")
 
 
 def _gaussian(spec: Spec, theta: np.ndarray, y: np.ndarray, u: np.ndarray) -> tuple[Matrices, np.ndarray]:
@@ -230,7 +236,7 @@ def run_mcmc(series: DataFrame, spec: Spec, iterations: int, burnin: int | None
         })
 
     keyed = series.withColumn("chain_id", F.explode(F.array(*(F.lit(k) for k in range(1, chains + 1)))))
-    chain = keyed.groupBy("series_id", "chain_id").applyInPandas(run, CHAIN)
+    chain = _dealt(keyed, "series_id", "chain_id").groupBy("series_id", "chain_id").applyInPandas(run, CHAIN)
     return correct(chain, series, spec, count, sampling, method, seed) if corrected else chain
 
 
@@ -281,7 +287,8 @@ def _together(series: DataFrame, spec: Spec, iterations: int, burn: int, chains:
     number = series.select("series_id").distinct().count()
     cores = series.sparkSession.sparkContext.defaultParallelism
     buckets = max(1, min(number, max(cores, -(-number * chains // BATCH))))
-    return series.groupBy(F.pmod(F.xxhash64("series_id"), F.lit(buckets)).alias("bucket")).applyInPandas(run, CHAIN)
+    bucketed = series.withColumn("bucket", F.pmod(F.xxhash64("series_id"), F.lit(buckets)))
+    return bucketed.repartitionByRange(buckets, "bucket").groupBy("bucket").applyInPandas(run, CHAIN)
 
 
 def _per_block(chain: DataFrame, series: DataFrame, work: Callable[..., dict], columns: str, keep: list[str]) -> DataFrame:
@@ -306,7 +313,7 @@ def _per_block(chain: DataFrame, series: DataFrame, work: Callable[..., dict], c
             yield pd.DataFrame(out)
 
     schema = ", ".join([f"{k} {types[k]}" for k in keep] + [columns])
-    return chain.join(data, "series_id").mapInPandas(run, schema)
+    return _dealt(chain.join(data, "series_id"), "series_id", "chain_id", "block").mapInPandas(run, schema)
 
 
 def correct(chain: DataFrame, series: DataFrame, spec: Spec, count: int = 10, sampling: str = "psi", method: str = "is2", seed: int = 1) -> DataFrame:

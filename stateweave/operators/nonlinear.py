@@ -288,7 +288,7 @@ def filter_series(series: DataFrame, model: NonLinear | Diffusion, theta, method
 
 def run_mcmc(series: DataFrame, model: NonLinear | Diffusion, start, iterations: int, burnin: int | None = None, method: str = "ekf", count: int = 50, coarse: int = 2, fine: int = 4, chains: int = 1, seed: int = 1) -> DataFrame:
     """Jump chains: ``ekf`` likelihood, ``pm`` (bootstrap, or fine Milstein), or ``da``: ekf or coarse level, then pm."""
-    from .inference import CHAIN, _arrays
+    from .inference import CHAIN, _arrays, _dealt
 
     burn = iterations // 2 if burnin is None else burnin
 
@@ -321,7 +321,7 @@ def run_mcmc(series: DataFrame, model: NonLinear | Diffusion, start, iterations:
         })
 
     keyed = series.withColumn("chain_id", F.explode(F.array(*(F.lit(k) for k in range(1, chains + 1)))))
-    return keyed.groupBy("series_id", "chain_id").applyInPandas(run, CHAIN)
+    return _dealt(keyed, "series_id", "chain_id").groupBy("series_id", "chain_id").applyInPandas(run, CHAIN)
 
 
 def correct(chain: DataFrame, series: DataFrame, model: NonLinear | Diffusion, count: int = 50, sampling: str = "bsf", level: int = 4, seed: int = 1) -> DataFrame:
