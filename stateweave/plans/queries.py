@@ -69,6 +69,17 @@ def series_monthly(spark, sf_dir):
     return rounded(src.monthly_orders(spark, sf_dir).drop("ts"))
 
 
+@query("""
+    with m as (select user_id::varchar as series_id, day(ts)::int as t, value as y from events),
+    c as (select series_id, t, count(*) as n, count(*) filter (where y < 0) as negative, count(*) filter (where y <> floor(y)) as fractional from m group by 1, 2),
+    f as (select series_id, sum(negative) as negative, sum(fractional) as fractional, sum(n - 1) as repeated, max(t) - count(*) as missing, (count(*) < 2)::int as short from c group by 1)
+    select series_id, problem, rows::bigint as rows from (unpivot f on negative, fractional, repeated, missing, short into name problem value rows) where rows > 0
+""")
+def series_problems(spark, sf_dir):
+    events = src.table(spark, sf_dir, "events")
+    return src.problems(events.select(F.col("user_id").cast("string").alias("series_id"), F.dayofmonth("ts").alias("t"), F.col("value").alias("y")), "poisson")
+
+
 # --- densities: y is a daily count, u its trials or exposure, s a signal near its logarithm ---
 
 CELLS = f"{DAILY}, cells as (select series_id, t, y, y + 5 + t % 7 as u, ln(y + 1) - 0.3 + 0.01 * t as s from daily)"
@@ -394,6 +405,14 @@ def kalman_general(spark, sf_dir):
     return rounded(rows.select("series_id", "t", F.col("a")[0].alias("a"), F.col("p")[0].alias("p")))
 
 
+@query("with recursive " + LEVEL_SQL.format(source=DAILY.replace("d.y from", "d.y - 2.0 * (c.t % 5) + 0.5 * (c.t % 3) as y from"), name="daily") + """
+    select series_id, round(case when y is null then ll else ll - 0.5 * (ln(2 * pi()) + ln(p + 64.0) + pow(y - a, 2) / (p + 64.0)) end, 6) + 0.0 as loglik from f where t = (select max(t) from daily)
+""")
+def loglik_regression(spark, sf_dir):
+    series = src.daily_counts(spark, sf_dir).withColumn("x", F.array((F.col("t") % 5).cast("double"), (F.col("t") % 3).cast("double")))
+    return rounded(inference.loglik(series, models.structural(sd_level=3.0, sd_y=8.0, beta=(2.0, -0.5), a1=[50.0], P1=[[400.0]])))
+
+
 @query(SQL["smoother_local_level"])
 def smoother_general(spark, sf_dir):
     rows = inference.smooth(src.daily_counts(spark, sf_dir), LEVEL_SPEC)

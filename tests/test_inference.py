@@ -247,3 +247,15 @@ def test_nonlinear_states_agree_with_the_linear_model(spark):
     mode = frame(nonlinear.approximate(s, model, th), "t")
     assert np.allclose(mode["mode"].str[0], exact["means"][:, 0], atol=1e-6)
     assert nonlinear.suggest_count(s, model, th, (5, 10), 20).where("particles in (5, 10)").count() == 2
+
+
+def test_problems_of_series(spark):
+    from stateweave.sources import series as src
+
+    inf = float("inf")
+    rows = [("good", 1, 2.0, 3.0), ("good", 2, None, 3.0), ("bad", 1, -1.5, 1.0), ("bad", 1, inf, 1.0), ("bad", 4, 5.0, 2.0), ("one", 1, None, 0.0)]
+    got = {(r.series_id, r.problem): r.rows for r in src.problems(spark.createDataFrame(rows, "series_id string, t int, y double, u double"), "binomial").collect()}
+    assert got == {
+        ("bad", "infinite"): 1, ("bad", "negative"): 1, ("bad", "fractional"): 1, ("bad", "over trials"): 1, ("bad", "repeated"): 1, ("bad", "missing"): 2,
+        ("one", "bad exposure"): 1, ("one", "short"): 1, ("one", "no value"): 1,
+    }
