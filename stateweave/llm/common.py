@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,32 +100,55 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def split_words(text: str | None) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` as UTF-8."""
-    return text.encode().split() if text else []
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser (splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-class WordHasher:
-    """64-bit hashes of words; the memo is dropped when it holds ``limit`` words, so that memory stays bounded."""
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n - 1 of an odd base and of its inverse, by 2^64."""
+    base = 0x9E3779B97F4A7C15
+    return tuple(np.multiply.accumulate(np.append(np.uint64(1), np.full(n - 1, b, np.uint64))) for b in (base, pow(base, -1, 2**64)))
 
-    def __init__(self, limit: int = 250_000):
-        self.memo: dict[bytes, int] = {}
-        self.limit = limit
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        memo = self.memo
-        if len(memo) > self.limit:
-            memo.clear()
-        for w in set(words).difference(memo):
-            memo[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+#: Bytes that are hashed together.
+_BLOCK = 32_768
+_POWERS = _powers(_BLOCK)
+#: A random number for each byte; A-Z have those of a-z.
+_LETTER = np.random.default_rng(17).integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_LETTER[ord("A") : ord("Z") + 1] = _LETTER[ord("a") : ord("z") + 1]
+_WORD = ~np.isin(np.arange(256), list(SPACES.encode()))
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (splitmix64)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of all texts in a row, A-Z as a-z, and each text's number of words.
+
+    A word's hash is a polynomial in its bytes' numbers, from sums over the whole buffer, with no object for a word.
+    """
+    texts = texts.fill_null("").cast(pa.large_string())
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    bounds = bounds - bounds[0]
+    inside = _WORD[data]
+    apart = np.zeros(len(data) + 1, bool)
+    apart[bounds] = True
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1] | apart[1:-1]
+    last[:-1] &= ~inside[1:] | apart[1:-1]
+    begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    out = np.empty(len(begin), np.uint64)
+    a = 0
+    while a < len(begin):
+        b = max(a + 1, int(np.searchsorted(end, begin[a] + _BLOCK, "right")))
+        part = data[begin[a] : end[b - 1]]
+        power, inverse = _POWERS if len(part) <= _BLOCK else _powers(len(part))
+        sums = np.append(np.uint64(0), np.cumsum(_LETTER[part] * power[: len(part)]))
+        at = begin[a:b] - begin[a]
+        out[a:b] = (sums[end[a:b] - begin[a]] - sums[at]) * inverse[at]
+        a = b
+    return mix(out + (end - begin).astype(np.uint64)), np.diff(np.searchsorted(begin, bounds))
 
 
 def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -136,7 +158,7 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
         return hashes
     width = min(width, n)
     out = np.full(n - width + 1, np.uint64(width))
-    with np.errstate(over="ignore"):
-        for k in range(width):
-            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : n - width + 1 + k])
-    return out
+    for k in range(width):
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += hashes[k : n - width + 1 + k]
+    return mix(out)

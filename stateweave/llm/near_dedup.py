@@ -17,12 +17,14 @@ repeated rows form one class; an empty table gives none.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_ROWS, WordHasher, map_rows, materialize, mix, shingles, small, spread_join
+from .common import HOT_ROWS, map_rows, materialize, mix, shingles, small, spread_join, word_hashes
 from .components import extended
 
 WIDTH = 5
@@ -43,9 +45,12 @@ SKETCH_SLACK = 20
 _SEEDS = np.random.default_rng(11).integers(1, 2**32, (2, K), np.uint64).astype(np.uint32) | np.uint32(1)
 
 
-def shingle_set(text: str | None, hasher: WordHasher) -> np.ndarray:
-    """Sorted distinct shingle hashes."""
-    return np.unique(shingles(hasher(text.encode().lower().split()), WIDTH)) if text else np.zeros(0, np.uint64)
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Each text's sorted distinct shingle hashes."""
+    hashes, counts = word_hashes(texts)
+    every, ends = shingles(hashes, WIDTH), np.cumsum(counts)
+    for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True):
+        yield np.unique(every[a : b - WIDTH + 1]) if b - a >= WIDTH else shingles(hashes[a:b], WIDTH)
 
 
 def signature(values: np.ndarray) -> np.ndarray:
@@ -81,14 +86,12 @@ def children(path: np.ndarray, sig: np.ndarray) -> np.ndarray:
 
 
 def _signatures():
-    hasher = WordHasher()
     roots = _hash(np.arange(TREES))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, low, high, sigs, paths = [], [], [], [], []
         with np.errstate(over="ignore"):
-            for text in batch.column("text").to_pylist():
-                values = shingle_set(text, hasher)
+            for values in shingle_sets(batch.column("text")):
                 n.append(len(values))
                 d = digest(values)
                 low.append(d[0]), high.append(d[1])
@@ -121,12 +124,9 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     schema = ", ".join(f"{c} {t}" for c, t in joined.dtypes if c != "text")
 
     def make():
-        hasher = WordHasher()
-
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets, ok = [], []
-            for text, low, high in zip(*(batch.column(c).to_pylist() for c in ("text", "low", "high")), strict=True):
-                values = shingle_set(text, hasher)
+            for values, low, high in zip(shingle_sets(batch.column("text")), batch.column("low").to_pylist(), batch.column("high").to_pylist(), strict=True):
                 ok.append(digest(values) == (low, high))
                 sets.append(values.tobytes())
             return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sets, pa.binary())], [*names, "set"]).filter(pa.array(ok, pa.bool_()))

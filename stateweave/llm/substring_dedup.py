@@ -31,13 +31,14 @@ one document, or between rows of one id, aren't reported; an empty table gives n
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, map_rows, materialize, mix, shingles, small, spread_join
+from .common import map_rows, materialize, mix, shingles, small, spread_join, word_hashes
 
 WIDTH = 5
 MIN_WORDS = 50
@@ -54,9 +55,23 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SALT = np.random.default_rng(5).integers(1, 2**63, HASHES, np.uint64)
 
 
-def tokens(text: str | None, hasher: WordHasher) -> np.ndarray:
-    words = text.encode().lower().split() if text else []
-    return shingles(hasher(words), WIDTH) if len(words) >= MIN_WORDS else np.zeros(0, np.uint64)
+#: Tokens of texts that are worked on together; a longer text goes alone.
+TOGETHER = 16_384
+
+
+def token_runs(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The tokens of many texts: numbers of some texts (those of ``MIN_WORDS`` words), their tokens in a row, and their ends there."""
+    hashes, counts = word_hashes(texts)
+    rows = np.flatnonzero(counts >= MIN_WORDS)
+    every, stops = shingles(hashes, WIDTH), np.cumsum(counts)[rows]
+    begins, stops = stops - counts[rows], stops - WIDTH + 1
+    total = np.cumsum(stops - begins)
+    a = 0
+    while a < len(rows):
+        before = total[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(total, before + TOGETHER, "right")))
+        yield rows[a:b], np.concatenate([every[x:y] for x, y in zip(begins[a:b].tolist(), stops[a:b].tolist(), strict=True)]), total[a:b] - before
+        a = b
 
 
 def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -68,32 +83,39 @@ def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(x[..., : x.shape[-1] - (width - done)], x[..., width - done :]) if done < width else x
 
 
-def spans(values: list[int], at: list[int], n: int) -> tuple[list[int], list[int]]:
-    """The span (first, last) of each node of the Cartesian tree over positions ``at``; the left of equal values is higher."""
-    first, last, stack = [0] * len(at), [n - 1] * len(at), []
+def spans(values: list[int], at: list[int], begin: int, end: int) -> tuple[list[int], list[int]]:
+    """The span (first, last) in [begin, end) of each node of the Cartesian tree over positions ``at``; the left of equal values is higher."""
+    first, last, stack = [begin] * len(at), [end - 1] * len(at), []
     for k, v in enumerate(values):
         while stack and values[stack[-1]] > v:
             last[stack.pop()] = at[k] - 1
-        first[k] = at[stack[-1]] + 1 if stack else 0
+        first[k] = at[stack[-1]] + 1 if stack else begin
         stack.append(k)
     return first, last
 
 
-def compact_windows(seq: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of all hash functions' compact windows of a token sequence: function, keys (left, right), place, first and last."""
+def compact_windows(seq: np.ndarray, ends: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Of all hash functions' compact windows of a token sequence: function, keys (left, right), place, first and last.
+
+    With ``ends`` the sequence is that of several texts, of ``SPAN`` tokens or more each, in a row; windows lie inside a text.
+    """
     n = len(seq)
     if n < SPAN:
         return np.zeros(0, int), np.zeros((2, 0), np.uint64), *(np.zeros(0, int),) * 3
+    ends = np.array([n]) if ends is None else ends
     values = (mix(seq[None, :] ^ _SALT[:, None]) >> np.uint64(32)).astype(np.uint32)
     least = sliding(values, SPAN, np.minimum)
+    least[:, (ends[:-1, None] - np.arange(1, SPAN)).ravel()] = 0  # spans that go on in the next text
     pad = np.zeros((HASHES, SPAN - 1), np.uint32)
     k, at = np.nonzero(sliding(np.hstack([pad, least, pad]), SPAN, np.maximum) == values)
-    ends, heights, places = np.searchsorted(k, np.arange(HASHES + 1)).tolist(), values[k, at].tolist(), at.tolist()
-    first, last = [], []
-    for a, b in zip(ends, ends[1:], strict=False):
-        lows, highs = spans(heights[a:b], places[a:b], n)
+    heights, places = values[k, at].tolist(), at.tolist()
+    cuts = np.searchsorted(k * n + at, (np.arange(HASHES)[:, None] * n + ends).ravel()).tolist()
+    first, last, a = [], [], 0
+    for b, begin, end in zip(cuts, np.tile(np.append(0, ends[:-1]), HASHES).tolist(), np.tile(ends, HASHES).tolist(), strict=True):
+        lows, highs = spans(heights[a:b], places[a:b], begin, end)
         first += lows
         last += highs
+        a = b
     first, last = np.array(first), np.array(last)
     wide = np.flatnonzero(last - first >= SPAN - 1)
     k, at, first, last = k[wide], at[wide], first[wide], last[wide]
@@ -102,20 +124,17 @@ def compact_windows(seq: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _windows():
-    hasher = WordHasher()
-
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, docs, places, counts = [], [], [], []
+        keys, docs, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        ids = np.asarray(batch.column("doc_id"))
         with np.errstate(over="ignore"):
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                _, key, at, first, last = compact_windows(tokens(text, hasher))
+            for rows, seq, ends in token_runs(batch.column("text")):
+                _, key, at, first, last = compact_windows(seq, ends)
+                text = np.searchsorted(ends, at, "right")
+                doc, place = ids[rows[text]], at - np.append(0, ends[:-1])[text]
                 for side, inside in zip(key, (at - ASIDE >= first, at + ASIDE <= last), strict=True):
-                    keys.append(side[inside])
-                    places.append(at[inside])
-                docs.append(doc)
-                counts.append(len(keys[-1]) + len(keys[-2]))
-        join = lambda x, kind: pa.array(np.concatenate(x).astype(kind) if x else np.zeros(0, kind))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(docs, np.int64), counts)), join(places, np.int32)], ["key", "doc_id", "at"])
+                    keys.append(side[inside]), docs.append(doc[inside]), places.append(place[inside])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(places).astype(np.int32))], ["key", "doc_id", "at"])
 
     return work
 
@@ -129,10 +148,11 @@ def _sequences(docs: DataFrame, ids: DataFrame) -> DataFrame:
     ids = small(ids)
 
     def make():
-        hasher = WordHasher()
-
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            seqs = [(tokens(t, hasher) >> np.uint64(32)).astype(np.uint32).tobytes() for t in batch.column("text").to_pylist()]
+            seqs = [b""] * batch.num_rows
+            for rows, seq, ends in token_runs(batch.column("text")):
+                for k, part in zip(rows.tolist(), np.split((seq >> np.uint64(32)).astype(np.uint32), ends[:-1]), strict=True):
+                    seqs[k] = part.tobytes()
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(seqs, pa.binary())], ["doc_id", "seq"])
 
         return work

@@ -4,11 +4,12 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from stateweave.llm import near_dedup, neighbours, substring_dedup
-from stateweave.llm.common import WordHasher, table
+from stateweave.llm import common, near_dedup, neighbours, substring_dedup
+from stateweave.llm.common import table
 from stateweave.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -145,10 +146,34 @@ def test_pipeline(spark):
     assert 0 < rows.doc_id.nunique() < len(ids) and set(rows.doc_id) <= ids
 
 
-def test_hasher_forgets_but_agrees():
-    a, b = WordHasher(2), WordHasher()
-    for _ in range(3):
-        assert (a([b"x", b"y", b"z", b"x"]) == b([b"x", b"y", b"z", b"x"])).all()
+def test_words_are_hashed_alike_wherever_they_stand(monkeypatch):
+    """Nulls, empty and very long texts, all kinds of white space, words over several blocks, slices of an array."""
+    r = random.Random(5)
+    words = ["a", "b", "ab", "ba", "\u00e9", "\u00c9", "\U0001f600", "x" * 300, "\u00a0", "\u2003", "\x1f", "\x85"]
+    spaces = [" ", "\t", "\n\r", " \x0b\x0c ", "  "]
+    texts = [None, "", " ", "A", "B a", *("".join(r.choice(words) + r.choice(spaces) for _ in range(r.randint(0, 40))) for _ in range(60)), "q" * 1000 + " a", "ab", ""]
+    expected = [t.encode().lower().split() if t else [] for t in texts]
+    seen = {}
+    for block in (32_768, 64):
+        monkeypatch.setattr(common, "_BLOCK", block)
+        for a, b in ((0, len(texts)), (3, 50), (40, len(texts)), (0, 3)):
+            hashes, counts = common.word_hashes(pa.array(texts)[a:b])
+            assert counts.tolist() == [len(w) for w in expected[a:b]]
+            for word, h in zip((w for ws in expected[a:b] for w in ws), hashes.tolist(), strict=True):
+                assert seen.setdefault(word, h) == h
+    assert len(set(seen.values())) == len(seen) > 12
+    many = common.word_hashes(pa.array([" ".join(map(str, range(300_000)))]))[0]
+    assert len(np.unique(many)) == 300_000
+
+
+def test_windows_of_texts_in_a_row_are_those_of_each():
+    rng = np.random.default_rng(2)
+    parts = [rng.integers(0, 40 if k % 2 else 2**63, n, np.uint64) for k, n in enumerate((46, 47, 300, 46, 90, 1000, 46))]
+    ends = np.cumsum([len(p) for p in parts])
+    with np.errstate(over="ignore"):
+        f, key, at, first, last = substring_dedup.compact_windows(np.concatenate(parts), ends)
+        got = sorted(zip(f, at, first, last, strict=True))
+        assert got == sorted((k, *(np.array(x) + end - len(p))) for p, end in zip(parts, ends, strict=True) for k, *x in zip(*(lambda k, _, *rest: (k, *rest))(*substring_dedup.compact_windows(p)), strict=True))
 
 
 def test_passages_go_on_to_the_next_holder(spark):
@@ -172,8 +197,8 @@ def planted(edits, n, r):
     copy = list(whole)
     for k in r.sample(range(n), edits):
         copy[k] = word()
-    hasher = WordHasher()
-    return [substring_dedup.tokens(" ".join([word() for _ in range(r.randint(0, 90))] + w + [word() for _ in range(r.randint(0, 90))]), hasher) for w in (whole, copy)]
+    texts = [" ".join([word() for _ in range(r.randint(0, 90))] + w + [word() for _ in range(r.randint(0, 90))]) for w in (whole, copy)]
+    return [next(substring_dedup.token_runs(pa.array([t])))[1] for t in texts]
 
 
 def common_keys(a, b):
