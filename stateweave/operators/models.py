@@ -235,14 +235,21 @@ def general(build: Callable[[np.ndarray], Matrices], priors: dict[str, Prior] |
     return Spec(tuple(priors), tuple(priors.values()), tuple(n in logs for n in priors), build)
 
 
-def from_covariances(Z, T, Q, H, a1, P1, R=None, P1inf=None, kappa: float = 100.0) -> Matrices:
-    """Matrices from state and observation covariances, factored; diffuse parts of P1 get variance ``kappa``."""
+def from_covariances(Z, T, Q, H, a1, P1, R=None, P1inf=None, kappa: float = 100.0, dist: tuple[str, ...] = (), phi: tuple[float, ...] = ()) -> Matrices:
+    """Matrices from state and observation covariances, factored; diffuse parts of P1 get variance ``kappa``.
+
+    With ``dist`` (one for each series observed) H must be None: ``phi`` has the dispersions, for "gaussian" the standard
+    deviation. Exposures or trials stay with the series, in its column u.
+    """
     from .kernels import root
 
-    Q, H, P1 = (np.atleast_2d(np.asarray(x, float)) for x in (Q, H, P1))
+    if (H is None) != bool(dist):
+        raise ValueError("give either H or dist")
+    Q, P1 = (np.atleast_2d(np.asarray(x, float)) for x in (Q, P1))
     R = np.eye(len(Q)) if R is None else np.asarray(R, float)
     P1 = P1 if P1inf is None else P1 + kappa * np.asarray(P1inf, float)
-    return Matrices(np.atleast_2d(np.asarray(Z, float)), np.asarray(T, float), R @ root(Q), np.asarray(a1, float), P1, root(H))
+    root_h = None if H is None else root(np.atleast_2d(np.asarray(H, float)))
+    return Matrices(np.atleast_2d(np.asarray(Z, float)), np.asarray(T, float), R @ root(Q), np.asarray(a1, float), P1, root_h, dist=tuple(dist), phi=tuple(phi))
 
 
 def with_constants(model: Matrices, **changes) -> Matrices:

@@ -93,16 +93,21 @@ def test_multivariate_is_two_univariate(spark, series):
 
 
 def test_online_filter_equals_batch(spark, tmp_path):
+    """Rows out of order by less than the delay are placed rightly; those behind the watermark and without ts are left out."""
     r = np.random.default_rng(9)
-    rows = [("a", datetime(2024, 1, 1, t), float(x)) for t, x in enumerate(np.cumsum(r.normal(size=12)))]
-    for k in range(3):
-        spark.createDataFrame(rows[4 * k : 4 * k + 4], "series_id string, ts timestamp, y double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    rows = [("a", datetime(2024, 1, 1, t), None if t == 5 else float(x)) for t, x in enumerate(np.cumsum(r.normal(size=12)))]
+    rows += [("b", datetime(2024, 1, 1, 6), 1.0), ("b", datetime(2024, 1, 1, 6), 4.0)]
+    parts = [[rows[k] for k in (1, 0, 3, 2)], [rows[k] for k in (6, 4, 8, 12, 13)] + [("a", None, 7.0)], [rows[k] for k in (5, 7, 10)], [rows[k] for k in (9, 11)] + [("a", datetime(2024, 1, 1, 2, 30), 50.0)]]
+    for part in parts:
+        spark.createDataFrame(part, "series_id string, ts timestamp, y double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("series_id string, ts timestamp, y double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = online_filter(stream, 1.0, 2.0, 10.0).writeStream.format("memory").queryName("online").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q = online_filter(stream, 1.0, 2.0, 10.0, "4 hours").writeStream.format("memory").queryName("online").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    got = spark.table("online").orderBy("ts").toPandas()
-    batch = kernels.kalman(models.structural(sd_level=1.0, sd_y=2.0, P1=[[10.0]]).build(np.zeros(0)), np.array([[x[2]] for x in rows]))
-    assert len(got) == 12 and np.allclose(got["att"], batch["att"][:, 0]) and abs(got["loglik"].iloc[-1] - batch["loglik"]) < 1e-9
+    got = spark.table("online").where("series_id = 'a'").orderBy("ts").toPandas()
+    y = np.array([[np.nan if x[2] is None else x[2]] for x in rows[:12]])
+    batch = kernels.kalman(models.structural(sd_level=1.0, sd_y=2.0, P1=[[10.0]]).build(np.zeros(0)), y[:8])
+    assert list(got["ts"].dt.hour) == list(range(8)) and np.allclose(got["att"], batch["att"][:, 0]) and abs(got["loglik"].iloc[-1] - batch["loglik"]) < 1e-9
+    assert np.allclose([x.att for x in spark.table("online").where("series_id = 'b'").collect()], [10 / 14])
 
 
 def test_slow_chains_need_all_lags(spark):

@@ -185,6 +185,14 @@ def test_stratified_counts():
 def test_from_covariances():
     m = models.from_covariances([[1.0, 0.0]], np.eye(2), [[1.0, 0.5], [0.5, 2.0]], [[4.0]], [0.0, 0.0], np.zeros((2, 2)), P1inf=np.eye(2), kappa=10.0)
     assert np.allclose(m.R @ m.R.T, [[1.0, 0.5], [0.5, 2.0]]) and m.H[0, 0] == 2 and np.allclose(m.P1, 10 * np.eye(2))
+    counts = models.from_covariances([[1.0]], np.eye(1), [[0.09]], None, [0.5], [[2.0]], dist=("poisson",))
+    want = models.structural(sd_level=0.3, dist="poisson", a1=[0.5], P1=[[2.0]]).build(np.zeros(0))
+    y = np.array([[3.0], [np.nan], [1.0], [4.0]])
+    u = np.ones((4, 1))
+    got, other = (kernels.Approximation(x, y, u) for x in (counts, want))
+    assert np.allclose(got.mode, other.mode)
+    with pytest.raises(ValueError):
+        models.from_covariances([[1.0]], np.eye(1), [[1.0]], [[1.0]], [0.0], [[1.0]], dist=("poisson",))
 
 
 def test_batched_modes_equal_single_ones():
