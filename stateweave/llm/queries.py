@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, language_id, near_dedup, neighbours, packing, quality_rules, secret_scan, substring_dedup, token_counts, toxicity
+from . import alignment, byte_bpe, language_id, near_dedup, neighbours, packing, prefix_trie, quality_rules, secret_scan, substring_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -50,8 +50,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_near_dedup, op3_token_counts, op4_byte_bpe, op5_substring_dedup, op6_toxicity, op7_neighbours, op8_packing, op9_secret_scan, op10_quality_rules)
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_near_dedup, op3_token_counts, op4_byte_bpe, op5_substring_dedup, op6_toxicity, op7_neighbours, op8_packing, op9_secret_scan, op10_quality_rules,
+        op12_prefix_trie, op13_tokenizer_alignment,
+    )
 }
 WORD = r"[^\x20\x09-\x0D]+"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -73,4 +85,22 @@ SQL: dict[str, str] = {
     select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
         not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and 100 * removed_words <= {quality_rules.MAX_REMOVED_PERCENT} * n_words as kept from found
     """,
+    "op12_prefix_trie": r"""
+    with recursive turns as (select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as i, coalesce(role, '') as role, coalesce(text, '') as text
+        from conversations where conv_id is not null),
+    convs as (select c, n, xor(crc, 4294967295) % 6 as h from (select c, count(*) as n, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(c::varchar, ''), lambda x: ascii(x)::bigint)),
+        lambda acc, b: list_reduce(list_prepend(xor(acc, b), [1::bigint, 2, 3, 4, 5, 6, 7, 8]), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))) as crc from turns group by c)),
+    plans as (select a.c, a.n, a.h, a.c - a.c % 100 as base, least(a.h, coalesce(b.n, 0)) as taken from convs a left join convs b on b.c = a.c - a.c % 100),
+    rebuilt as (select p.c, t.i as d, t.role, t.text from plans p join turns t on t.c = p.base and t.i <= p.taken
+        union all select p.c, p.taken + t.i - p.h, t.role, t.text from plans p join turns t on t.c = p.c and t.i > p.h),
+    members as (select c, d, length(text) as chars, list(struct_pack(r := role, x := text)) over (partition by c order by d) as node from rebuilt union all select c, 0, 0, [] from plans),
+    lengths as (select c, max(d) as len from members group by c),
+    nodes as (select node, d, min(c) as conv_id, count(*) as n_convs, any_value(chars) as chars, string_agg(case when d = len then c::varchar end, ',' order by c) as ends from members join lengths using (c) group by node, d),
+    named as (select *, list_slice(node, 1, d - 1) as parent from nodes),
+    kids as (select parent, d - 1 as d, count(*) as k from named where d > 0 group by parent, d),
+    full_nodes as (select n.*, coalesce(k, 0) as k from named n left join kids on kids.parent = n.node and kids.d = n.d),
+    below as (select m.node, m.d, sum((f.k = 0)::bigint) as n_leaves, sum((f.n_convs - 1) * f.chars) as saved from full_nodes f join members m on m.c = f.conv_id and m.d <= f.d group by m.node, m.d)
+    select f.conv_id, f.d::bigint as depth, p.conv_id as parent_conv_id, f.n_convs::bigint as n_convs, f.k::bigint as n_children, b.n_leaves::bigint as n_leaves, b.saved::bigint as saved_tokens, sha256(coalesce(f.ends, '')) as ends_sha256
+    from full_nodes f join below b on b.node = f.node and b.d = f.d left join full_nodes p on f.d > 0 and p.node = f.parent and p.d = f.d - 1
+    """,
 }
