@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, byte_bpe, language_id, near_dedup, neighbours, packing, prefix_trie, quality_rules, secret_scan, substring_dedup, token_counts, toxicity
+from . import alignment, byte_bpe, jaccard_join, language_id, near_dedup, neighbours, packing, prefix_trie, quality_rules, secret_scan, substring_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
@@ -62,7 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_near_dedup, op3_token_counts, op4_byte_bpe, op5_substring_dedup, op6_toxicity, op7_neighbours, op8_packing, op9_secret_scan, op10_quality_rules,
-        op12_prefix_trie, op13_tokenizer_alignment,
+        op11_jaccard_join, op12_prefix_trie, op13_tokenizer_alignment,
     )
 }
 WORD = r"[^\x20\x09-\x0D]+"
@@ -85,6 +89,17 @@ SQL: dict[str, str] = {
     select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
         not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and 100 * removed_words <= {quality_rules.MAX_REMOVED_PERCENT} * n_words as kept from found
     """,
+    "op11_jaccard_join": rf"""
+    with recursive words as (select row_number() over () as r, doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{WORD}') as w from documents),
+    sets as (select distinct r, doc_id, unnest(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from words),
+    sizes as (select r, doc_id, count(*) as n from sets group by r, doc_id),
+    pairs as (select x.r as a, y.r as b, count(*) as k from sets x join sets y on x.g = y.g and x.r < y.r group by x.r, y.r),
+    links as (select x.doc_id as a, y.doc_id as b from pairs p join sizes x on x.r = p.a join sizes y on y.r = p.b where 100 * k >= {jaccard_join.PERCENT} * (x.n + y.n - k)),
+    edges as (select a, b from links union select b, a from links),
+    reached as (select a as x, a as y from edges union select x, b from reached join edges on a = y),
+    least as (select x, min(y) as component_id from reached group by x)
+    select w.doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(component_id, w.doc_id) as component_id from words w left join sizes s on s.r = w.r left join least on x = w.doc_id
+    """,
     "op12_prefix_trie": r"""
     with recursive turns as (select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as i, coalesce(role, '') as role, coalesce(text, '') as text
         from conversations where conv_id is not null),
