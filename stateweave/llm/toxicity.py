@@ -1,7 +1,8 @@
 """Toxicity: Levenshtein automata over a lexicon trie, and context windows that tell quotation from abuse.
 
-``fit`` learns from at most about ``SAMPLE_ROWS`` labelled rows (chosen by a hash of the id; of documents that share
-their longest word one counts, so groups of copies don't lend weight to their incidental words):
+``fit`` learns from at most about ``SAMPLE_ROWS`` labelled rows (chosen by a hash of the id). All of them count: rows that
+share ``MINIMA`` least hashes of their 5-word shingles, copies and most near copies, share one vote, so that groups of copies
+don't lend weight to their incidental words. From these votes come
 
 * the lexicon: seed terms, and terms and stems whose share of toxic documents beats chance at a level that lets about ``FALSE_TERMS`` pass by luck;
 * a logistic regression over a document's context features.
@@ -11,8 +12,8 @@ A word is matched by the Levenshtein automata of all terms at once, intersected
 with them. Each hit is scored in a window of words around it: quotation marks or reporting verbs lower it, a second
 person raises it.
 
-Defined results: null and empty texts have no hit and get the score of such texts; a single letter is no term; without labels
-the seed terms decide; a null id counts as held out; an empty table gives none; repeated rows repeat; several labels of one document count as toxic if one is.
+Defined results: null and empty texts have no hit and get the score of such texts; a single letter is no term; without labels,
+or without one of the two classes among those that aren't held out, the seed terms decide; a null id counts as held out; an empty table gives none; repeated rows repeat; several labels of one document count as toxic if one is.
 """
 
 from __future__ import annotations
@@ -26,9 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_rows, materialize
+from .common import held_out, map_rows, materialize, mix
+from .near_dedup import shingle_sets
 
 SAMPLE_ROWS = 10_000
+#: Least hashes by which labelled texts count as copies.
+MINIMA = 3
 #: Terms that chance alone may bring into the lexicon.
 FALSE_TERMS = 5
 STEMS = (4, 5, 6)
@@ -185,63 +189,80 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.hstack([x, np.ones((len(x), 1))]) @ self.weights, -50, 50)))
 
 
-def regression(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
-    """Weights (bias last) of a ridge logistic regression, by Newton's steps."""
+def regression(x: np.ndarray, y: np.ndarray, votes: np.ndarray | None = None, ridge: float = 0.1) -> np.ndarray:
+    """Weights (bias last) of a ridge logistic regression, by Newton's steps; rows count by their ``votes``."""
+    votes = np.ones(len(x)) if votes is None else votes
     x = np.hstack([x, np.ones((len(x), 1))])
     w, hold = np.zeros(x.shape[1]), np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + hold, x.T @ (y - p) - hold @ w)
+        step = np.linalg.solve((x * (votes * p * (1 - p))[:, None]).T @ x + hold, x.T @ (votes * (y - p)) - hold @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
+def _classes():
+    """Rows with the key of their class of copies: least hashes of the text's shingles."""
+    seeds = [np.uint64(k * 0x9E3779B97F4A7C15 % 2**64) for k in range(1, MINIMA + 1)]
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys = []
+        for values in shingle_sets(batch.column("text")):
+            keys.append(hash(tuple(int(mix(values ^ s).min()) for s in seeds)) if len(values) else 0)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], [*batch.schema.names, "key"])
+
+    return work
+
+
 def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """(text, toxic) of about ``rows`` labelled documents that aren't held out, one per longest word."""
+    """(text, toxic, vote) of about ``rows`` labelled documents that aren't held out; copies share one vote."""
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out())
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chance = rows / max(1, known.count())
     uniform = F.xxhash64("doc_id", F.lit(29)).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)
     ids = known.where(uniform < chance)  # about ``rows`` rows of two numbers, whatever the tables' size
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = materialize(texts.join(F.broadcast(ids), "doc_id"), "toxic-sample")
-    longest = F.array_max(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
-    return found.withColumn("key", F.xxhash64(longest["w"])).groupBy("key").agg(F.min_by(F.struct("text", "toxic"), "doc_id").alias("s")).select("s.text", "s.toxic")
+    found = texts.join(F.broadcast(ids), "doc_id")
+    found = materialize(map_rows(found.select("text", "toxic"), _classes, "text string, toxic int, key long"), "toxic-sample")
+    sizes = found.groupBy("key", "toxic").agg((1 / F.count("*")).alias("vote"))  # about ``rows`` rows
+    return found.join(F.broadcast(sizes), ["key", "toxic"]).select("text", "toxic", "vote")
 
 
 def _term_counts(sample: DataFrame) -> DataFrame:
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             counts: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            for text, toxic, vote in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "vote")), strict=True):
                 words = {n for w in set(text.lower().split()) if len(n := normal(w)) > 1}
                 stems = {w[:k] + "*" for w in words for k in STEMS if len(w) > k}
-                counts[toxic > 0].update(words | stems)
+                side = counts[toxic > 0]
+                for term in words | stems:
+                    side[term] += vote
             terms = list(counts[0].keys() | counts[1].keys())
-            cols = [pa.array(terms, pa.string()), pa.array([counts[1][t] for t in terms], pa.int64()), pa.array([counts[0][t] for t in terms], pa.int64())]
+            cols = [pa.array(terms, pa.string()), *(pa.array([float(side[t]) for t in terms]) for side in reversed(counts))]
             return pa.RecordBatch.from_arrays(cols, ["term", "bad", "good"])
 
         return work
 
-    return map_rows(sample.select("text", "toxic"), make, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    return map_rows(sample, make, "term string, bad double, good double").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
 
-def significant(counts: DataFrame, bad_docs: int, good_docs: int) -> DataFrame:
-    """Terms whose Chernoff bound beats chance at that level, and that are 50 times likelier in toxic documents."""
-    base = bad_docs / max(1, bad_docs + good_docs)
+def significant(counts: DataFrame, bad_docs: float, good_docs: float) -> DataFrame:
+    """Terms whose Chernoff bound beats chance at that level, and that are 50 times likelier in toxic documents (all by votes)."""
+    base = bad_docs / max(1e-9, bad_docs + good_docs)
     n = F.col("bad") + F.col("good")
     p = F.col("bad") / n
-    gain = n * (p * F.log(p / F.lit(base)) + F.when(p < 1, (1 - p) * F.log((1 - p) / F.lit(1 - base))).otherwise(0.0))
+    gain = n * (p * F.log(p / F.lit(base)) + F.when(p < 1 - 1e-9, (1 - p) * F.log((1 - p) / F.lit(1 - base))).otherwise(0.0))
     rate = (F.col("bad") / max(1, bad_docs)) / F.greatest(F.col("good") / max(1, good_docs), F.lit(0.01 / max(1, good_docs)))
     terms = counts.count()
-    return counts.where("bad > 3").where((p > base) & (gain > math.log(max(3, terms / FALSE_TERMS))) & (rate > 50)).select("term", gain.alias("gain"))
+    return counts.where("bad > 3.5").where((p > base) & (gain > math.log(max(3, terms / FALSE_TERMS))) & (rate > 50)).select("term", gain.alias("gain"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     sample = materialize(_sample(docs, labels, rows), "toxic-docs")
-    sizes = {bool(r.t): r.n for r in sample.groupBy((F.col("toxic") > 0).alias("t")).agg(F.count("*").alias("n")).collect()}
+    sizes = {bool(r.t): r.n for r in sample.groupBy((F.col("toxic") > 0).alias("t")).agg(F.sum("vote").alias("n")).collect()}
     if not sizes.get(True) or not sizes.get(False):
         return Model(SEEDS.split(), [])
     counts = materialize(_term_counts(sample), "toxic-terms")
@@ -259,12 +280,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             x = [context_features(t, lexicon) for t in batch.column("text").to_pylist()]
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("toxic")], ["x", "toxic"])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("toxic"), batch.column("vote")], ["x", "toxic", "vote"])
 
         return work
 
-    got = map_rows(sample.select("text", "toxic"), make, "x array<double>, toxic int").collect()
-    model.weights = regression(np.array([r.x for r in got]), np.array([r.toxic > 0 for r in got], float))
+    got = map_rows(sample, make, "x array<double>, toxic int, vote double").collect()  # about ``rows`` rows
+    model.weights = regression(np.array([r.x for r in got]), np.array([r.toxic > 0 for r in got], float), np.array([r.vote for r in got]))
     return model
 
 
