@@ -49,9 +49,9 @@ def test_texts_that_share_a_footer(spark, tail):
 def test_copies_share_one_vote(spark):
     """Three toxic texts with 200 copies each, that all hold one harmless word: it stays harmless."""
     docs, labels = invented(800, copies=200)
-    docs += [(900_000 + k, "the cellar " + " ".join(np.random.default_rng(k).choice(WORDS, 40))) for k in range(50)]
+    docs += [(50_000_000 + k, "the cellar " + " ".join(np.random.default_rng(k).choice(WORDS, 40))) for k in range(50)]
     got = scores(spark, docs, labels)
-    assert sum(got[900_000 + k].predicted for k in range(50)) == 0
+    assert sum(got[50_000_000 + k].predicted for k in range(50)) == 0
     toxic = {i for i, _, t in labels if t and i < 100_000}
     assert all(got[i].predicted for i in held_out(labels) if i in toxic)
 
