@@ -249,6 +249,7 @@ def test_lone_vectors_get_neighbours(spark):
 def test_lists_of_one_vector(spark, monkeypatch):
     """Far vectors that are lists of their own get 5 rows too."""
     monkeypatch.setattr(neighbours, "LIST", 1)
+    monkeypatch.setattr(neighbours, "RARE", 0)
     v = np.random.default_rng(9).normal(size=(40, 24))
     got = neighbours.search(spark.createDataFrame([(50 * k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")).toPandas()
     assert got.groupby("query_id").size().tolist() == [5] * 40
