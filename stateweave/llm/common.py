@@ -48,10 +48,14 @@ BROADCAST_BYTES = 16_000_000
 HOT_ROWS = 4096
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether the files of ``df``, a written table read whole, are few enough bytes for a broadcast."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= BROADCAST_BYTES
+
+
 def small(df: DataFrame) -> DataFrame:
     """``df``, a written table read whole, marked for broadcast if its files are small; joins shuffle it otherwise."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+    return F.broadcast(df) if is_small(df) else df
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, rows: DataFrame, by: Column, size: int = HOT_ROWS) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, map_rows, materialize, small
+from .common import SPACES, is_small, map_rows, materialize, small, spread_join
 
 MAX_DOCS = 100
 MAX_REMOVED_PERCENT = 70
@@ -116,21 +116,20 @@ def profile(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(profiles: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """(host, line) over the limit. Both groupings reduce within tasks first, so a line in all documents costs no more."""
+    """Lines (``at``: host and line) over the limit and the rows ``n`` that have them. Both groupings reduce within tasks first, so a line in all documents costs no more."""
     lines = profiles.select("host", "doc_key", F.explode("lines.line").alias("line"))
-    per_line = lines.distinct().groupBy("host", "line").agg(F.count("*").alias("docs"))
-    return per_line.where(F.col("docs") > max_docs).select("host", "line")
+    per_text = lines.groupBy("host", "line", "doc_key").agg(F.count("*").alias("rows"))
+    per_line = per_text.groupBy("host", "line").agg(F.count("*").alias("docs"), F.sum("rows").alias("n"))
+    return per_line.where(F.col("docs") > max_docs).select(F.struct("host", "line").alias("at"), "n")
 
 
 def judge(docs: DataFrame, max_docs: int = MAX_DOCS, max_removed_percent: int = MAX_REMOVED_PERCENT) -> DataFrame:
     """One row per document: base figures, ``removed_words``, ``removed_lines`` (hashes), ``base_failed`` and ``kept``."""
     profiles = profile(docs)
     frequent = materialize(frequent_lines(profiles, max_docs), "frequent-lines")
-    removed = (
-        profiles.select("row_id", "host", F.explode("lines").alias("l")).select("row_id", "host", "l.line", "l.words")
-        .join(frequent, ["host", "line"])
-        .groupBy("row_id").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("removed_lines"))
-    )
+    lines = profiles.select("row_id", "host", F.explode("lines").alias("l")).select("row_id", F.struct("host", "l.line").alias("at"), "l.words")
+    joined = lines.join(F.broadcast(frequent), "at") if is_small(frequent) else spread_join(lines, frequent.select("at"), "at", frequent, F.col("row_id"))
+    removed = joined.groupBy("row_id").agg(F.sum("words").alias("removed_words"), F.collect_list("at.line").alias("removed_lines"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
         profiles.drop("lines", "host", "doc_key").join(removed, "row_id", "left")
