@@ -63,10 +63,10 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, rows: DataFrame, by
 
     ``rows`` has key and n, the rows of ``left`` with it; there are at most (rows of left) / ``size`` hot keys.
     """
-    hot = materialize(rows.where(F.col("n") > size).select(key, F.ceil(F.col("n") / size).cast("int").alias("_sw_parts")), "hot-keys")
+    hot = rows.where(F.col("n") > size).select(key, F.ceil(F.col("n") / size).cast("int").alias("_sw_parts"))
     if hot.isEmpty():
         return left.join(right, key)
-    hot = small(hot)
+    hot = small(materialize(hot, "hot-keys"))
     parts = F.coalesce("_sw_parts", F.lit(1))
     dealt = left.join(hot, key, "left").withColumn("_sw_part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("_sw_parts")
     copied = right.join(hot, key, "left").withColumn("_sw_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_sw_parts")

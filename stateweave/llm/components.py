@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import is_small, materialize, spread_join
 
 
 def is_star(edges: DataFrame) -> bool:
@@ -24,11 +24,11 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     while not is_star(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "large-star")
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "large-star")
+        large = spread_join(both, least.select("u", "m"), "u", least, F.col("v")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialize(large, "large")
-        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "small-star")
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "small-star")
+        small = spread_join(large, least.select("u", "m"), "u", least, F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
         edges = materialize(small.distinct(), "links")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
 
@@ -44,5 +44,11 @@ def extended(comps: DataFrame | None, links: DataFrame) -> DataFrame:
     if between.isEmpty():
         return comps
     merged = materialize(components(between), "merged")
-    moved = comps.join(merged.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    names = merged.select(F.col("id").alias("component"), F.col("component").alias("to"))
+    if is_small(names):
+        moved = comps.join(F.broadcast(names), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    else:  # a component may hold most ids: they meet its new name in several tasks
+        sizes = materialize(comps.groupBy("component").agg(F.count("*").alias("n")), "component-sizes")
+        moved = spread_join(comps, names, "component", sizes, F.col("id")).select("id", F.col("to").alias("component"))
+        moved = moved.unionByName(comps.join(names, "component", "left_anti").select("id", "component"))
     return materialize(moved.unionByName(merged.join(comps.select("id"), "id", "left_anti").select("id", "component")), "components")

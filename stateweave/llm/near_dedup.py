@@ -267,7 +267,7 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: i
 def _counted(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members (path, id, n) of leaves and of larger nodes; nodes of one member go."""
     sizes = materialize(members.groupBy("path").agg(F.count("*").alias("c"), F.sum("n").alias("w")).where("c > 1"), "nodes")
-    known = materialize(members.join(sizes, "path"), "members")
+    known = materialize(spread_join(members, sizes, "path", sizes.select("path", F.col("c").alias("n")), F.col("id")), "members")
     is_leaf = (F.col("c") <= LEAF) & (F.col("w") <= LEAF_SHINGLES)
     return known.where(is_leaf).select("path", "id", "n"), known.where(~is_leaf).select("path", "id", "n")
 
@@ -288,14 +288,14 @@ def _branched(members: DataFrame, classes: DataFrame) -> DataFrame:
 def _open_nodes(large: DataFrame, comps: DataFrame) -> DataFrame:
     """Members of large nodes that no links connect so far, with their component ``c``."""
     placed = materialize(large.join(comps.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id")), "placed")
-    nodes = placed.groupBy("path").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("path")
-    return materialize(placed.join(materialize(nodes, "open-nodes"), "path"), "open")
+    nodes = materialize(placed.groupBy("path").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("n")).where("least <> most").select("path", "n"), "open-nodes")
+    return materialize(spread_join(placed, nodes.select("path"), "path", nodes, F.col("id")), "open")
 
 
 def _pivot_pairs(large: DataFrame) -> DataFrame:
     picks = [F.min_by("id", F.xxhash64("id", F.lit(p))).alias(f"p{p}") for p in range(PIVOTS)]
-    pivots = materialize(large.groupBy("path").agg(*picks), "pivots")
-    pairs = large.join(pivots, "path").select("id", F.explode(F.array(*(f"p{p}" for p in range(PIVOTS)))).alias("p"))
+    pivots = materialize(large.groupBy("path").agg(*picks, F.count("*").alias("n")), "pivots")
+    pairs = spread_join(large, pivots.drop("n"), "path", pivots.select("path", "n"), F.col("id")).select("id", F.explode(F.array(*(f"p{p}" for p in range(PIVOTS)))).alias("p"))
     return pairs.where("id <> p").select(F.greatest("id", "p").alias("a"), F.least("id", "p").alias("b"))
 
 
