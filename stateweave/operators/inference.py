@@ -2,9 +2,13 @@
 
 ``series`` has series_id, t (from 1), y (double, or array of doubles for several variables; null if missing) and, if
 needed, u (exposure or trials, default 1) and x (array of the model's covariates). A recursion over time needs its series in one task: series are grouped by id,
-work spreads over series x chains, and what follows a chain (importance corrections, states, predictions) spreads over its
-blocks without a grouping: blocks are joined with their packed series. Random numbers depend on (seed, series, chain,
-block) alone, not on the partitioning.
+work spreads over series x chains, and what follows a chain (importance corrections, states, predictions) spreads over slices
+of its blocks: each slice meets its series once, and its blocks step together where the model allows. Random numbers depend
+on (seed, series, chain, block) alone, not on the partitioning.
+
+A series that the model can't take (``kernels.fault``: values out of range, times that aren't 1 to n, unusable covariates), or
+whose posterior isn't finite at the start, gives no rows and doesn't disturb the others; ``left_out`` names it with the reason.
+A block whose correction fails has weight 0, and no path, forecast or fitted values.
 """
 
 from __future__ import annotations
@@ -20,10 +24,18 @@ from pyspark.sql import functions as F
 from ..functions.random import generator
 from . import kernels
 from .models import Matrices, Spec
+from .posterior import matrix_moments
+from .scan import written
 
 #: Chains that step together in one task.
 BATCH = 256
+FULL = 32
+#: Blocks of one series that a task takes at a time, and numbers (times, particles and states) of those that step together.
+SLICE = 256
+STEP_NUMBERS = 4_000_000
 CHAIN = "series_id string, chain_id int, block int, count int, weight double, log_posterior double, approx double, theta array<double>, names array<string>"
+#: What a block may fail of: it then has weight 0.
+FAILURES = (np.linalg.LinAlgError, OverflowError, FloatingPointError, ZeroDivisionError)
 
 
 def _matrix(values) -> np.ndarray:
@@ -45,12 +57,41 @@ def _dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
 
 
-def per_series(series: DataFrame, work: Callable[..., pd.DataFrame], schema: str) -> DataFrame:
-    """``work(series_id, y, u, x)`` gives rows without series_id."""
+def _no_rows(names) -> pd.DataFrame:
+    return pd.DataFrame({c: [] for c in names}, dtype=object)
+
+
+def _fault(frame: pd.DataFrame, spec: Spec | None) -> str:
+    """Why the model can't take the series; empty if it can."""
+    frame = frame.sort_values("t")
+    try:
+        y, u, x = _arrays(frame)
+    except (TypeError, ValueError):
+        return "shape"
+    found = kernels.fault(frame["t"].to_numpy(), y, u, spec.dist if spec is not None else ())
+    if not found and spec is not None and spec.betas is not None and spec.xreg is None:
+        try:
+            if len(spec.bind(x).xreg) < len(y):
+                found = "covariates"
+        except (TypeError, ValueError):
+            found = "covariates"
+    return found
+
+
+def _needs_covariates(series: DataFrame, spec: Spec | None) -> None:
+    if spec is not None and spec.betas is not None and spec.xreg is None and "x" not in series.columns:
+        raise ValueError("the model has covariates: the series needs a column x, or the model xreg")
+
+
+def per_series(series: DataFrame, work: Callable[..., pd.DataFrame], schema: str, spec: Spec | None = None) -> DataFrame:
+    """``work(series_id, y, u, x)`` gives rows without series_id; series that ``spec`` can't take give none."""
     names = [x.strip().split(" ")[0] for x in schema.split(", ")]
+    _needs_covariates(series, spec)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         sid = frame["series_id"].iloc[0]
+        if _fault(frame, spec):
+            return _no_rows(("series_id", *names))
         out = work(sid, *_arrays(frame))
         out.insert(0, "series_id", sid)
         return out[["series_id", *names]]
@@ -58,6 +99,24 @@ def per_series(series: DataFrame, work: Callable[..., pd.DataFrame], schema: str
     return _dealt(series, "series_id").groupBy("series_id").applyInPandas(run, f"series_id string, {schema}")
 
 
+def left_out(series: DataFrame, spec: Spec, theta=None) -> DataFrame:
+    """series_id and problem of the series that give no rows: what ``kernels.fault`` finds, ``covariates``, or ``start``: no finite posterior at theta."""
+    th = spec.start() if theta is None else np.asarray(theta)
+    _needs_covariates(series, spec)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        found = _fault(frame, spec)
+        if not found:
+            y, u, x = _arrays(frame)
+            try:
+                found = "" if math.isfinite(spec.log_prior(th) + _estimate(spec.bind(x), th, y, u, "psi", 0, None)) else "start"
+            except FAILURES:
+                found = "start"
+        return pd.DataFrame({"series_id": [frame["series_id"].iloc[0]], "problem": [found]}) if found else _no_rows(("series_id", "problem"))
+
+    return _dealt(series, "series_id").groupBy("series_id").applyInPandas(run, "series_id string, problem string")
+
+
 def _gaussian(spec: Spec, theta: np.ndarray, y: np.ndarray, u: np.ndarray) -> tuple[Matrices, np.ndarray]:
     """The model and data at theta, or their Gaussian approximation."""
     model = spec.build(theta)
@@ -77,7 +136,7 @@ def kalman_filter(series: DataFrame, spec: Spec, theta=None) -> DataFrame:
         flat = lambda x, k: [x[t].ravel().tolist() if t < k else None for t in range(n + 1)]
         return pd.DataFrame({"t": range(1, n + 2), "a": flat(f["a"], n + 1), "p": flat(f["P"], n + 1), "att": flat(f["att"], n), "ptt": flat(f["Ptt"], n), "loglik": f["loglik"]})
 
-    return per_series(series, work, "t int, a array<double>, p array<double>, att array<double>, ptt array<double>, loglik double")
+    return per_series(series, work, "t int, a array<double>, p array<double>, att array<double>, ptt array<double>, loglik double", spec)
 
 
 def smooth(series: DataFrame, spec: Spec, theta=None) -> DataFrame:
@@ -89,7 +148,7 @@ def smooth(series: DataFrame, spec: Spec, theta=None) -> DataFrame:
         n = len(y)
         return pd.DataFrame({"t": range(1, n + 1), "alphahat": [x.tolist() for x in s["means"][:n]], "vt": [x.ravel().tolist() for x in s["variances"][:n]]})
 
-    return per_series(series, work, "t int, alphahat array<double>, vt array<double>")
+    return per_series(series, work, "t int, alphahat array<double>, vt array<double>", spec)
 
 
 def fast_smooth(series: DataFrame, spec: Spec, theta=None) -> DataFrame:
@@ -101,7 +160,7 @@ def fast_smooth(series: DataFrame, spec: Spec, theta=None) -> DataFrame:
         means = kernels.fast_means(model, data[None], kernels.kalman(model, data))[0][: len(y)]
         return pd.DataFrame({"t": range(1, len(y) + 1), "alphahat": [x.tolist() for x in means]})
 
-    return per_series(series, work, "t int, alphahat array<double>")
+    return per_series(series, work, "t int, alphahat array<double>", spec)
 
 
 def approximate(series: DataFrame, spec: Spec, theta=None, rounds: int = 100, tolerance: float = 1e-8) -> DataFrame:
@@ -113,7 +172,7 @@ def approximate(series: DataFrame, spec: Spec, theta=None, rounds: int = 100, to
         h = [(np.diag(x) ** 2).tolist() for x in a.model.H]
         return pd.DataFrame({"t": range(1, len(y) + 1), "pseudo_y": a.y.tolist(), "pseudo_h": h, "mode": a.mode.tolist(), "loglik": a.loglik})
 
-    return per_series(series, work, "t int, pseudo_y array<double>, pseudo_h array<double>, mode array<double>, loglik double")
+    return per_series(series, work, "t int, pseudo_y array<double>, pseudo_h array<double>, mode array<double>, loglik double", spec)
 
 
 def _estimate(spec: Spec, theta, y, u, method: str, count: int, rng) -> float:
@@ -134,7 +193,7 @@ def loglik(series: DataFrame, spec: Spec, theta=None, method: str = "psi", count
         th = spec.start() if theta is None else np.asarray(theta)
         return pd.DataFrame({"loglik": [_estimate(spec, th, y, u, method, count, generator(seed, sid))]})
 
-    return per_series(series, work, "loglik double")
+    return per_series(series, work, "loglik double", spec)
 
 
 def simulate_states(series: DataFrame, spec: Spec, draws: int, theta=None, seed: int = 1, antithetic: bool = True) -> DataFrame:
@@ -146,7 +205,7 @@ def simulate_states(series: DataFrame, spec: Spec, draws: int, theta=None, seed:
         x = kernels.simulation_smoother(model, data, draws, generator(seed, sid), antithetic)[:, : len(y)]
         return pd.DataFrame({"draw": np.repeat(np.arange(1, draws + 1), len(y)), "t": np.tile(np.arange(1, len(y) + 1), draws), "state": x.reshape(-1, x.shape[2]).tolist()})
 
-    return per_series(series, work, "draw int, t int, state array<double>")
+    return per_series(series, work, "draw int, t int, state array<double>", spec)
 
 
 def importance_sample(series: DataFrame, spec: Spec, draws: int, theta=None, seed: int = 1, antithetic: bool = True) -> DataFrame:
@@ -158,7 +217,7 @@ def importance_sample(series: DataFrame, spec: Spec, draws: int, theta=None, see
         x, w, _ = a.importance(draws, generator(seed, sid), antithetic)
         return pd.DataFrame({"draw": range(1, draws + 1), "weight": np.exp(w - w.max()), "states": x.reshape(draws, -1).tolist()})
 
-    return per_series(series, work, "draw int, weight double, states array<double>")
+    return per_series(series, work, "draw int, weight double, states array<double>", spec)
 
 
 def particle_filter(series: DataFrame, spec: Spec, count: int, theta=None, method: str = "bsf", seed: int = 1, smoothed: bool = False) -> DataFrame:
@@ -173,7 +232,7 @@ def particle_filter(series: DataFrame, spec: Spec, count: int, theta=None, metho
             pf = kernels.guided(kernels.Approximation(model, y, u), count, rng)
         return summarised(pf, len(y), smoothed)
 
-    return per_series(series, work, "t int, mean array<double>, cov array<double>, loglik double")
+    return per_series(series, work, "t int, mean array<double>, cov array<double>, loglik double", spec)
 
 
 def summarised(pf: dict, n: int, smoothed: bool) -> pd.DataFrame:
@@ -187,25 +246,38 @@ def summarised(pf: dict, n: int, smoothed: bool) -> pd.DataFrame:
     return pd.DataFrame({"t": range(1, n + 1), "mean": mean[:n].tolist(), "cov": [c.ravel().tolist() for c in cov[:n]], "loglik": pf["loglik"]})
 
 
-def run_mcmc(series: DataFrame, spec: Spec, iterations: int, burnin: int | None = None, chains: int = 1, method: str = "is2", sampling: str = "psi", count: int = 10, seed: int = 1, target: float = 0.234, gamma: float = 2 / 3, adapt_after: bool = True, thin: int = 1, S: np.ndarray | None = None) -> DataFrame:
+def run_mcmc(series: DataFrame, spec: Spec, iterations: int, burnin: int | None = None, chains: int = 1, method: str = "is2", sampling: str = "psi", count: int = 10, seed: int = 1, target: float = 0.234, gamma: float = 2 / 3, adapt_after: bool = True, thin: int = 1, S: np.ndarray | None = None, local_approx: bool = True) -> DataFrame:
     """Jump chains (see ``posterior``) of adaptive Metropolis; every ``thin``-th iteration counts, ``S`` is the first proposal's factor.
 
     Chains of one variable step together, ``BATCH`` chains to a task, unless each step needs particles; others have a task per
     series and chain. Gaussian models use their likelihood. Others: ``approx`` (the approximation's), ``pm`` (pseudo-marginal),
     ``da`` (delayed acceptance), or ``is1``/``is2``/``is3`` (approximate chains whose blocks ``correct`` then weights in parallel).
+    Blocks of the latter keep the signals' ``mode``, which everything after reads in place of a new search. Without ``local_approx``
+    a series has one mode, that of the starting values. The chain is written to the shared folder once.
     """
+    _needs_covariates(series, spec)
     burn = iterations // 2 if burnin is None else burnin
     corrected = method in ("is1", "is2", "is3")
     first = spec.build(spec.start())
     if kernels.batchable(first) and dict(series.dtypes)["y"] == "double" and (not first.dist or corrected or method == "approx"):
-        chain = _together(series, spec, iterations, burn, chains, seed, target, gamma, adapt_after, thin, S)
+        chain = written(_together(series, spec, iterations, burn, chains, seed, target, gamma, adapt_after, thin, S, local_approx, bool(first.dist) and corrected), "chain")
         return correct(chain, series, spec, count, sampling, method, seed) if first.dist and corrected else chain
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         sid, chain = frame["series_id"].iloc[0], int(frame["chain_id"].iloc[0])
+        if _fault(frame, spec):
+            return _no_rows(c.split()[0] for c in CHAIN.split(", "))
         y, u, x = _arrays(frame)
         bound = spec.bind(x)
         rng = generator(seed, sid, chain)
+        fixed: list[np.ndarray] = []
+
+        def approximation(model):
+            if local_approx:
+                return kernels.Approximation(model, y, u)
+            if not fixed:
+                fixed.append(kernels.Approximation(bound.build(bound.start()), y, u).mode)
+            return kernels.Approximation(model, y, u, 0, mode=fixed[0])
 
         def target_density(theta):
             prior = bound.log_prior(theta)
@@ -218,34 +290,39 @@ def run_mcmc(series: DataFrame, spec: Spec, iterations: int, burnin: int | None
                 elif method == "pm":
                     value = _estimate(bound, theta, y, u, sampling, count, rng)
                 else:
-                    value = kernels.Approximation(model, y, u).loglik
-            except (np.linalg.LinAlgError, OverflowError):
+                    value = approximation(model).loglik
+            except FAILURES:
                 return -math.inf, 0.0
             return (prior + value, value) if not math.isnan(value) else (-math.inf, 0.0)
 
         def second(theta, approx):
             try:
                 return _estimate(bound, theta, y, u, sampling, count, rng) - approx
-            except (np.linalg.LinAlgError, OverflowError):
+            except FAILURES:
                 return -math.inf
 
-        blocks = kernels.metropolis(bound.start(), target_density, iterations, burn, rng, S, target, gamma, adapt_after, second if method == "da" else None, thin)
-        return pd.DataFrame({
+        try:
+            blocks = kernels.metropolis(bound.start(), target_density, iterations, burn, rng, S, target, gamma, adapt_after, second if method == "da" else None, thin)
+        except kernels.NotFinite:
+            blocks = []
+        return _no_rows(c.split()[0] for c in CHAIN.split(", ")) if not blocks else pd.DataFrame({
             "series_id": sid, "chain_id": chain, "block": range(1, len(blocks) + 1), "count": [b[1] for b in blocks], "weight": 1.0, "log_posterior": [b[2] for b in blocks],
             "approx": [b[3] for b in blocks], "theta": [b[0].tolist() for b in blocks], "names": [list(spec.names)] * len(blocks),
         })
 
     keyed = series.withColumn("chain_id", F.explode(F.array(*(F.lit(k) for k in range(1, chains + 1)))))
-    chain = _dealt(keyed, "series_id", "chain_id").groupBy("series_id", "chain_id").applyInPandas(run, CHAIN)
+    chain = written(_dealt(keyed, "series_id", "chain_id").groupBy("series_id", "chain_id").applyInPandas(run, CHAIN), "chain")
     return correct(chain, series, spec, count, sampling, method, seed) if corrected else chain
 
 
-def _together(series: DataFrame, spec: Spec, iterations: int, burn: int, chains: int, seed: int, target: float, gamma: float, adapt_after: bool, thin: int, S: np.ndarray | None) -> DataFrame:
+def _together(series: DataFrame, spec: Spec, iterations: int, burn: int, chains: int, seed: int, target: float, gamma: float, adapt_after: bool, thin: int, S: np.ndarray | None, local_approx: bool = True, modes: bool = False) -> DataFrame:
     """Chains that step together: priors, models and filters (and approximations) of a batch are array work."""
     dist = (spec.build(spec.start()).dist or ("",))[0]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        groups = [(sid, *_arrays(g)) for sid, g in frame.groupby("series_id", sort=True)]
+        groups = [(sid, *_arrays(g)) for sid, g in frame.groupby("series_id", sort=True) if not _fault(g, spec)]
+        if not groups:
+            return _no_rows(c.split()[0] for c in schema.split(", "))
         keys = [(sid, c, k) for k, (sid, *_) in enumerate(groups) for c in range(1, chains + 1)]
         length = max(len(g[1]) for g in groups)
         padded = lambda column, fill: np.stack([np.concatenate([g[column][:, 0], np.full(length - len(g[1]), fill)]) for g in groups])
@@ -261,8 +338,11 @@ def _together(series: DataFrame, spec: Spec, iterations: int, burn: int, chains:
                 x[k, : len(g[1])] = b.xreg[: len(g[1])]
             x = x[of]
 
-        def log_target(theta: np.ndarray) -> np.ndarray:
+        fixed: list[np.ndarray] = []
+
+        def log_target(theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             out = spec.log_priors(theta)
+            kept = np.full((len(theta), length if modes else 0), np.nan)
             ok = np.flatnonzero(np.isfinite(out))
             if len(ok):
                 with np.errstate(all="ignore"):
@@ -273,69 +353,150 @@ def _together(series: DataFrame, spec: Spec, iterations: int, burn: int, chains:
                         built = [bound[of[k]].build(theta[k]) for k in ok]
                         models, D = kernels.stacked(built), kernels.offsets(built, length)
                     if dist:
-                        out[ok] += kernels.batched_approximate_loglik(models, dist, data[ok], u[ok], np.broadcast_to(D, data[ok].shape))
+                        value, (mode, *_) = kernels.batched_approximate_loglik(models, dist, data[ok], u[ok], np.broadcast_to(D, data[ok].shape), None if local_approx or not fixed else fixed[0][ok])
+                        if not fixed and len(ok) == len(theta):
+                            fixed.append(mode)
+                        out[ok] += value
+                        if modes:
+                            kept[ok] = mode
                     else:
                         out[ok] += kernels.forward(models, data[ok] - D, models["h"][:, None])[0]
-            return np.where(np.isnan(out), -np.inf, out)
+            return np.where(np.isnan(out), -np.inf, out), kept
 
         found = kernels.batched_metropolis(spec.start(), log_target, iterations, burn, [generator(seed, sid, c) for sid, c, _ in keys], target, gamma, adapt_after, thin, S)
-        flat = [(sid, c, k, n, lp, th) for (sid, c, _), blocks in zip(keys, found, strict=True) for k, (th, n, lp) in enumerate(blocks, 1)]
-        sid, c, k, n, lp, th = zip(*flat, strict=True) if flat else ((),) * 6
-        prior = spec.log_priors(np.array(th).reshape(len(flat), -1)) if flat else []
-        return pd.DataFrame({"series_id": sid, "chain_id": c, "block": k, "count": n, "weight": 1.0, "log_posterior": lp, "approx": np.array(lp) - prior, "theta": [t.tolist() for t in th], "names": [list(spec.names)] * len(flat)})
-
+        flat = [(sid, c, k, n, lp, th, mode[: len(groups[g][1])].tolist()) for (sid, c, g), blocks in zip(keys, found, strict=True) for k, (th, n, lp, mode) in enumerate(blocks, 1)]
+        if not flat:
+            return _no_rows(c.split()[0] for c in schema.split(", "))
+        sid, c, k, n, lp, th, mode = zip(*flat, strict=True)
+        prior = spec.log_priors(np.array(th).reshape(len(flat), -1))
+        return pd.DataFrame({"series_id": sid, "chain_id": c, "block": k, "count": n, "weight": 1.0, "log_posterior": lp, "approx": np.array(lp) - prior, "theta": [t.tolist() for t in th], "names": [list(spec.names)] * len(flat)} | ({"mode": list(mode)} if modes else {}))
+
+    schema = CHAIN + (", mode array<double>" if modes else "")
     number = series.select("series_id").distinct().count()
     cores = series.sparkSession.sparkContext.defaultParallelism
-    buckets = max(1, min(number, max(cores, -(-number * chains // BATCH))))
+    # a step costs about the same for up to FULL chains, so tasks fill up before all cores have one
+    buckets = max(1, min(number, max(min(cores, -(-number * chains // FULL)), -(-number * chains // BATCH))))
     bucketed = series.withColumn("bucket", F.pmod(F.xxhash64("series_id"), F.lit(buckets)))
-    return bucketed.repartitionByRange(buckets, "bucket").groupBy("bucket").applyInPandas(run, CHAIN)
+    return bucketed.repartitionByRange(buckets, "bucket").groupBy("bucket").applyInPandas(run, schema)
+
 
+def _per_slice(chain: DataFrame, series: DataFrame, work: Callable[..., list[dict | None]], columns: str, keep: list[str]) -> DataFrame:
+    """``work(blocks, y, u, x)`` of slices of each series' blocks: a value for each block, whose items follow the columns ``keep``; None gives no row.
 
-def _per_block(chain: DataFrame, series: DataFrame, work: Callable[..., dict], columns: str, keep: list[str]) -> DataFrame:
-    """``work(block, y, u, x)`` for every block of a chain, in whatever task it lies; its values follow the columns ``keep``."""
+    The chain is written, as it is read twice; a series is copied once for each slice of its blocks, so a series with most
+    blocks is dealt over many tasks and bytes are series x slices.
+    """
+    chain = written(chain, "blocks")
+    spark = chain.sparkSession
+    counts = written(chain.groupBy("series_id").agg(F.count("*").alias("n")), "block-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    slices = F.ceil(F.col("n") / max(1, min(SLICE, -(-total // (2 * tasks))))).cast("int").alias("slices")
+    slices = counts.select("series_id", slices)
+    blocks = chain.join(slices, "series_id").withColumn("slice", F.pmod(F.xxhash64("chain_id", "block"), "slices").cast("int")).drop("slices")
     fields = ["t", "y", *(c for c in ("u", "x") if c in series.columns)]
-    data = series.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("steps"))
+    copies = series.select("series_id", *fields).join(slices, "series_id").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
     names = [c.strip().split(" ")[0] for c in columns.split(", ")]
     types = dict(chain.dtypes)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = {k: [] for k in (*keep, *names)}
-            known = {}  # of this batch: blocks of a series share its arrays
-            for row in frame.itertuples(index=False):
-                if row.series_id not in known:
-                    known[row.series_id] = _arrays(pd.DataFrame(list(row.steps)))
-                got = work(row, *known[row.series_id])
-                for k in keep:
-                    out[k].append(got[k] if k in got else getattr(row, k))
-                for k in names:
-                    out[k].append(got[k])
-            yield pd.DataFrame(out)
+    def run(rows: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
+        out = {k: [] for k in (*keep, *names)}
+        if len(rows) and len(steps):
+            todo = list(rows.itertuples(index=False))
+            for row, got in zip(todo, work(todo, *_arrays(steps)), strict=True):
+                if got is not None:
+                    for k in keep:
+                        out[k].append(got[k] if k in got else getattr(row, k))
+                    for k in names:
+                        out[k].append(got[k])
+        return pd.DataFrame(out, dtype=None if out[keep[0]] else object)
 
     schema = ", ".join([f"{k} {types[k]}" for k in keep] + [columns])
-    return _dealt(chain.join(data, "series_id"), "series_id", "chain_id", "block").mapInPandas(run, schema)
+    left, right = (_dealt(df, "series_id", "slice").groupBy("series_id", "slice") for df in (blocks, copies))
+    return left.cogroup(right).applyInPandas(run, schema)
+
+
+def _per_block(chain: DataFrame, series: DataFrame, work: Callable[..., dict | None], columns: str, keep: list[str]) -> DataFrame:
+    """``work(block, y, u, x)`` for every block of a chain; a block that fails, or gives None, has no row."""
+
+    def each(block, *data):
+        try:
+            return work(block, *data)
+        except FAILURES:
+            return None
+
+    return _per_slice(chain, series, lambda blocks, *data: [each(b, *data) for b in blocks], columns, keep)
+
+
+def _runs(spec: Spec, blocks: list, y: np.ndarray, u: np.ndarray, count: int, method: str, seed: int, paths: bool) -> list[tuple[float, np.ndarray | None]]:
+    """Unbiased log-likelihoods by the guided filter, and one path each if asked, of a series' blocks that step together.
+
+    A block with a ``mode`` is approximated there; others have theirs searched, all at once.
+    """
+    out: list[tuple[float, np.ndarray | None]] = [(-math.inf, None)] * len(blocks)
+    every = [_built(spec, b) for b in blocks]
+    sizes = np.array([count * b.count if method == "is1" else count for b in blocks])
+    states = len(spec.build(spec.start()).a1)
+    for size in np.unique(sizes).tolist():
+        at = np.array([k for k in np.flatnonzero(sizes == size) if every[k] is not None], int)
+        if not len(at):
+            continue
+        step = max(1, STEP_NUMBERS // ((len(y) + 1) * size * states))
+        for some in np.split(at, range(step, len(at), step)):
+            built = [every[k] for k in some]
+            modes = [getattr(blocks[k], "mode", None) for k in some]
+            known = all(m is not None and len(m) == len(y) for m in modes)
+            rngs = [generator(seed, b.series_id, b.chain_id, b.block, "is") for b in (blocks[k] for k in some)]
+            value, path = kernels.batched_guided(
+                kernels.stacked(built), built[0].dist[0], y[:, 0], u[:, 0], kernels.offsets(built, len(y)), size, rngs, np.array(modes, float) if known else None, paths
+            )
+            for k, j in enumerate(some):
+                out[j] = (float(value[k]), path[k] if paths else None)
+    return out
+
+
+def _built(spec: Spec, block) -> Matrices | None:
+    try:
+        return spec.build(np.array(block.theta))
+    except FAILURES:
+        return None
+
+
+def _steps_together(spec: Spec, sampling: str) -> bool:
+    first = spec.build(spec.start())
+    return sampling == "psi" and bool(first.dist) and kernels.batchable(first)
 
 
 def correct(chain: DataFrame, series: DataFrame, spec: Spec, count: int = 10, sampling: str = "psi", method: str = "is2", seed: int = 1) -> DataFrame:
-    """Importance weights exp(unbiased - approximate log-likelihood) for each block of an approximate chain.
+    """Importance weights exp(unbiased - approximate log-likelihood) for each block of an approximate chain; 0 for blocks that fail.
 
-    ``is1`` uses count x block count particles, ``is3`` first repeats blocks so that each has count 1.
+    ``is1`` uses count x block count particles, ``is3`` first repeats blocks so that each has count 1. A chain's ``mode`` is read and kept.
     """
     if method == "is3":
         order = Window.partitionBy("series_id", "chain_id").orderBy("block", "k")
         again = chain.withColumn("k", F.explode(F.sequence(F.lit(1), "count"))).withColumn("count", F.lit(1)).withColumn("block", F.row_number().over(order))
         chain = again.drop("k").select(*chain.columns)
+    together = _steps_together(spec, sampling)
 
-    def work(block, y, u, x, spec=spec):
+    def work(blocks, y, u, x, spec=spec):
         spec = spec.bind(x)
-        n = count * block.count if method == "is1" else count
-        value = _estimate(spec, np.array(block.theta), y, u, sampling, n, generator(seed, block.series_id, block.chain_id, block.block, "is"))
-        gap = value - block.approx
-        return {"log_weight": gap, "log_posterior": block.log_posterior + gap}
+        if together:
+            values = [v for v, _ in _runs(spec, blocks, y, u, count, method, seed, False)]
+        else:
+            values = [_unbiased(spec, b, y, u, count * b.count if method == "is1" else count, sampling, seed) for b in blocks]
+        gaps = [v - b.approx if math.isfinite(v) else -math.inf for v, b in zip(values, blocks, strict=True)]
+        return [{"log_weight": g, "log_posterior": b.log_posterior + g} for g, b in zip(gaps, blocks, strict=True)]
+
+    kept = ["approx", "theta", "names", *(["mode"] if "mode" in chain.columns else [])]
+    rows = _per_slice(chain, series, work, "log_weight double", ["series_id", "chain_id", "block", "count", "log_posterior", *kept])
+    return rows.select("series_id", "chain_id", "block", "count", F.exp("log_weight").alias("weight"), "log_posterior", *kept)
+
 
-    keep = ["series_id", "chain_id", "block", "count", "log_posterior", "approx", "theta", "names"]
-    rows = _per_block(chain, series, work, "log_weight double", keep)
-    return rows.select("series_id", "chain_id", "block", "count", F.exp("log_weight").alias("weight"), "log_posterior", "approx", "theta", "names")
+def _unbiased(spec: Spec, block, y: np.ndarray, u: np.ndarray, count: int, sampling: str, seed: int) -> float:
+    try:
+        return _estimate(spec, np.array(block.theta), y, u, sampling, count, generator(seed, block.series_id, block.chain_id, block.block, "is"))
+    except FAILURES:
+        return -math.inf
 
 
 def suggest_count(series: DataFrame, spec: Spec, theta=None, candidates: tuple[int, ...] = tuple(range(10, 101, 10)), replications: int = 100, seed: int = 1) -> DataFrame:
@@ -361,6 +522,20 @@ def _suggested(rows: DataFrame) -> DataFrame:
     return sds.join(first, "series_id")
 
 
+def _paths(spec: Spec, blocks: list, y, u, count: int, sampling: str, method: str, seed: int) -> list[np.ndarray | None]:
+    """``_path`` of each block; None where its run fails or its weight is 0."""
+    if _steps_together(spec, sampling):
+        found = [p for _, p in _runs(spec, blocks, y, u, count, method, seed, True)]
+    else:
+        found = []
+        for b in blocks:
+            try:
+                found.append(_path(spec, b, y, u, count, sampling, method, seed))
+            except FAILURES:
+                found.append(None)
+    return [p if p is not None and b.weight > 0 and np.isfinite(p).all() else None for p, b in zip(found, blocks, strict=True)]
+
+
 def _path(spec: Spec, block, y, u, count: int, sampling: str, method: str, seed: int) -> np.ndarray:
     """A posterior path of n + 1 states at a block's parameters.
 
@@ -393,32 +568,46 @@ def state_draws(chain: DataFrame, series: DataFrame, spec: Spec, seed: int = 1,
     ``count``, ``sampling``, ``method`` and ``seed`` are those of ``run_mcmc`` or ``correct``; see ``_path``.
     """
 
-    def work(block, y, u, x, spec=spec):
-        return {"path": _path(spec.bind(x), block, y, u, count, sampling, method, seed).tolist()}
+    def work(blocks, y, u, x, spec=spec):
+        return [p if p is None else {"path": p.tolist()} for p in _paths(spec.bind(x), blocks, y, u, count, sampling, method, seed)]
 
-    rows = _per_block(chain, series, work, "path array<array<double>>", ["series_id", "chain_id", "block", "count", "weight"])
+    rows = _per_slice(chain, series, work, "path array<array<double>>", ["series_id", "chain_id", "block", "count", "weight"])
     times = rows.select("series_id", "chain_id", F.col("block").alias("iter"), (F.col("count") * F.col("weight")).alias("weight"), F.posexplode("path").alias("t", "x"))
     return times.select("series_id", "chain_id", "iter", "weight", (F.col("t") + 1).alias("t"), F.posexplode("x").alias("state", "value"))
 
 
-def state_summary(chain: DataFrame, series: DataFrame, spec: Spec) -> DataFrame:
-    """Posterior mean and variance of each state: mean of variances plus variance of means over blocks, by plain sums."""
+def _state_blocks(chain: DataFrame, series: DataFrame, spec: Spec) -> DataFrame:
+    """Smoothed means and covariance matrices (n + 1 times) of each block."""
 
     def work(block, y, u, x, spec=spec):
-        spec = spec.bind(x)
-        s = kernels.smoother(*_gaussian(spec, np.array(block.theta), y, u))
-        return {"mean": s["means"].tolist(), "var": [np.diag(v).tolist() for v in s["variances"]]}
+        s = kernels.smoother(*_gaussian(spec.bind(x), np.array(block.theta), y, u))
+        return {"mean": s["means"].tolist(), "cov": s["variances"].tolist()}
 
-    return _state_moments(_per_block(chain, series, work, "mean array<array<double>>, var array<array<double>>", ["series_id", "chain_id", "block", "count", "weight"]))
+    return _per_block(chain, series, work, STATE_BLOCK, ["series_id", "chain_id", "block", "count", "weight"])
 
 
-def _state_moments(rows: DataFrame) -> DataFrame:
-    times = rows.select("series_id", (F.col("count") * F.col("weight")).alias("w"), F.posexplode(F.arrays_zip("mean", "var")).alias("t", "x"))
-    flat = times.select("series_id", "w", (F.col("t") + 1).alias("t"), F.posexplode(F.arrays_zip(F.col("x.mean").alias("m"), F.col("x.var").alias("v"))).alias("state", "s"))
-    m, v, w = F.col("s.m"), F.col("s.v"), F.col("w")
-    sums = flat.groupBy("series_id", "t", "state").agg(F.sum(w).alias("sw"), F.sum(w * m).alias("sm"), F.sum(w * (v + m * m)).alias("sv"))
-    mean = F.col("sm") / F.col("sw")
-    return sums.select("series_id", "t", "state", mean.alias("mean"), (F.col("sv") / F.col("sw") - mean * mean).alias("variance"))
+STATE_BLOCK = "mean array<array<double>>, cov array<array<array<double>>>"
+
+
+def state_summary(chain: DataFrame, series: DataFrame, spec: Spec) -> DataFrame:
+    """Posterior mean and variance of each state: mean of variances plus variance of means over blocks."""
+    return _variances(state_covariances(chain, series, spec))
+
+
+def state_covariances(chain: DataFrame, series: DataFrame, spec: Spec) -> DataFrame:
+    """Posterior means and covariances of all pairs of states at each time (see ``posterior.matrix_moments``): the mean of the
+    blocks' covariances plus the covariance of their means."""
+    return _mixed_moments(_state_blocks(chain, series, spec))
+
+
+def _mixed_moments(rows: DataFrame) -> DataFrame:
+    times = rows.select("series_id", (F.col("count") * F.col("weight")).alias("weight"), F.posexplode(F.arrays_zip("mean", "cov")).alias("t", "x"))
+    times = times.select("series_id", "weight", (F.col("t") + 1).alias("t"), F.col("x.mean").alias("values"), F.col("x.cov").alias("within"))
+    return matrix_moments(times, ["series_id", "t"], "within")
+
+
+def _variances(moments: DataFrame) -> DataFrame:
+    return moments.where("i = j").select("series_id", "t", F.col("i").alias("state"), F.col("mean_i").alias("mean"), F.col("covariance").alias("variance"))
 
 
 def _respond(model: Matrices, s: np.ndarray, kind: str, u: float, t: int, rng: np.random.Generator) -> np.ndarray:
@@ -467,28 +656,30 @@ def predict(chain: DataFrame, series: DataFrame, spec: Spec, horizon: int, kind:
 
     known = future is not None
 
-    def work(block, y, u, x, spec=spec):
-        n = len(y)
-        ahead = sorted(block.ahead, key=lambda r: r["t"]) if known else []
-        e = [r["u"] if "u" in r and r["u"] is not None else exposure for r in map(_plain, ahead)] or [exposure] * horizon
-        if ahead and x is not None:
-            x = np.vstack([x, _matrix([_plain(r)["x"] for r in ahead])])
-        if known and len(ahead) < horizon:
-            raise ValueError(f"series {block.series_id} has {len(ahead)} of {horizon} future rows")
+    def work(blocks, y, u, x, spec=spec):
+        n, ahead = len(y), []
+        if known:
+            ahead = sorted((_plain(r) for r in blocks[0].ahead), key=lambda r: r["t"])
+            if len(ahead) < horizon:
+                raise ValueError(f"series {blocks[0].series_id} has {len(ahead)} of {horizon} future rows")
+            if x is not None:
+                x = np.vstack([x, _matrix([r["x"] for r in ahead])])
+        e = [r["u"] if r.get("u") is not None else exposure for r in ahead] or [exposure] * horizon
         spec = spec.bind(x)
-        rng = generator(seed, block.series_id, block.chain_id, block.block, "predict")
-        source = spec.build(np.array(block.theta))
-        state = _path(spec, block, y, u, count, sampling, method, seed)[n][None]
-        out = []
-        for h in range(horizon):
-            s = source.at("D", n + h) + state @ source.at("Z", n + h).T
-            out.append((state if kind == "state" else _respond(source, s, kind, e[h], n + h, rng))[0].tolist())
-            R = source.at("R", n + h)
-            state = source.at("C", n + h) + state @ source.at("T", n + h).T + rng.standard_normal((1, R.shape[1])) @ R.T
-        return {"first": n + 1, "path": out}
 
-    rows = _per_block(chain, series, work, "first int, path array<array<double>>", ["series_id", "chain_id", "block", "count", "weight"])
-    return _long_path(rows)
+        def forecast(block, path):
+            rng = generator(seed, block.series_id, block.chain_id, block.block, "predict")
+            source, state, out = spec.build(np.array(block.theta)), path[n][None], []
+            for h in range(horizon):
+                s = source.at("D", n + h) + state @ source.at("Z", n + h).T
+                out.append((state if kind == "state" else _respond(source, s, kind, e[h], n + h, rng))[0].tolist())
+                R = source.at("R", n + h)
+                state = source.at("C", n + h) + state @ source.at("T", n + h).T + rng.standard_normal((1, R.shape[1])) @ R.T
+            return {"first": n + 1, "path": out}
+
+        return [p if p is None else forecast(b, p) for b, p in zip(blocks, _paths(spec, blocks, y, u, count, sampling, method, seed), strict=True)]
+
+    return _long_path(_per_slice(chain, series, work, "first int, path array<array<double>>", ["series_id", "chain_id", "block", "count", "weight"]))
 
 
 def _plain(row) -> dict:
@@ -498,14 +689,18 @@ def _plain(row) -> dict:
 def fitted(chain: DataFrame, series: DataFrame, spec: Spec, seed: int = 1, kind: str = "mean", count: int = 10, sampling: str = "psi", method: str = "is2") -> DataFrame:
     """t (1 to n), variable, value and weight from each block: the mean (or a response) at the observed times."""
 
-    def work(block, y, u, x, spec=spec):
+    def work(blocks, y, u, x, spec=spec):
         spec = spec.bind(x)
-        rng = generator(seed, block.series_id, block.chain_id, block.block, "fitted")
-        source = spec.build(np.array(block.theta))
-        s = kernels.signals(source, _path(spec, block, y, u, count, sampling, method, seed)[None])[0]
-        return {"first": 1, "path": [_respond(source, s[t : t + 1], kind, float(u[t, 0]), t, rng)[0].tolist() for t in range(len(y))]}
 
-    return _long_path(_per_block(chain, series, work, "first int, path array<array<double>>", ["series_id", "chain_id", "block", "count", "weight"]))
+        def means(block, path):
+            rng = generator(seed, block.series_id, block.chain_id, block.block, "fitted")
+            source = spec.build(np.array(block.theta))
+            s = kernels.signals(source, path[None])[0]
+            return {"first": 1, "path": [_respond(source, s[t : t + 1], kind, float(u[t, 0]), t, rng)[0].tolist() for t in range(len(y))]}
+
+        return [p if p is None else means(b, p) for b, p in zip(blocks, _paths(spec, blocks, y, u, count, sampling, method, seed), strict=True)]
+
+    return _long_path(_per_slice(chain, series, work, "first int, path array<array<double>>", ["series_id", "chain_id", "block", "count", "weight"]))
 
 
 def _long_path(rows: DataFrame) -> DataFrame:

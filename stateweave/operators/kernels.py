@@ -261,9 +261,10 @@ def particles(n: int, count: int, first, move, log_weight, rng: np.random.Genera
     """A particle filter: ``first()`` draws count states, ``move(t, x)`` the next ones, ``log_weight(t, x, previous)``.
 
     Resamples every step and moves on to n + 1 with even weights. Returns states ((n + 1) x count x m), weights, ancestors, loglik.
+    If all weights vanish, the log-likelihood is minus infinity and all later states are NaN.
     """
     x = first()
-    states, weights, ancestors = np.empty((n + 1, count, x.shape[1])), np.ones((n + 1, count)) / count, np.zeros((n, count), int)
+    states, weights, ancestors = np.full((n + 1, count, x.shape[1]), np.nan), np.ones((n + 1, count)) / count, np.zeros((n, count), int)
     loglik, before = 0.0, None
     for t in range(n):
         states[t] = x
@@ -352,6 +353,10 @@ def guided(approx: Approximation, count: int, rng: np.random.Generator) -> dict:
     return out | {"loglik": approx.loglik + out["loglik"]}
 
 
+class NotFinite(ValueError):
+    """The posterior is not finite at the starting values."""
+
+
 def adapt(S: np.ndarray, z: np.ndarray, accept: float, target: float, step: int, gamma: float) -> np.ndarray:
     """Robust adaptive Metropolis: the proposal's factor after step ``step`` with acceptance probability ``accept``."""
     eta = min(1.0, len(z) * step**-gamma)
@@ -373,7 +378,7 @@ def metropolis(start: np.ndarray, log_target, iterations: int, burnin: int, rng:
     S = np.diag(0.1 * np.maximum(0.1, np.abs(theta))) if S is None else S.copy()
     current, extra = log_target(theta)
     if not math.isfinite(current):
-        raise ValueError("the posterior is not finite at the starting values")
+        raise NotFinite("the posterior is not finite at the starting values")
     fix = second_stage(theta, extra) if second_stage else 0.0
     chain: list[list] = []
     moved = True
@@ -507,44 +512,157 @@ def find_modes(models: dict[str, np.ndarray], dist: str, y: np.ndarray, u: np.nd
     return s, np.where(np.isfinite(y), py, np.nan), np.where(np.isfinite(h), h, 1.0)
 
 
-def batched_approximate_loglik(models: dict[str, np.ndarray], dist: str, y: np.ndarray, u: np.ndarray, D: np.ndarray) -> np.ndarray:
-    """``Approximation(...).loglik`` of many series."""
-    s, py, h = find_modes(models, dist, y, u, D)
+def fixed_modes(dist: str, s: np.ndarray, y: np.ndarray, u: np.ndarray, phi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``find_modes`` for signals that are taken as the modes, without a search."""
+    py, h = laplace_step(dist, y, s, u, phi)
+    return s, np.where(np.isfinite(y), py, np.nan), np.where(np.isfinite(h), h, 1.0)
+
+
+def batched_approximate_loglik(models: dict[str, np.ndarray], dist: str, y: np.ndarray, u: np.ndarray, D: np.ndarray, modes: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
+    """``Approximation(...).loglik`` of many series, at their modes or at given ones; and modes, pseudo-observations, variances and log ratios at the modes."""
     phi, seen = models["phi"][:, None], np.isfinite(y)
+    s, py, h = find_modes(models, dist, y, u, D) if modes is None else fixed_modes(dist, modes, y, u, phi)
     g = forward(models, py - D, h)[0]
     full = np.where(seen, y, 1.0)
     const = np.stack([obs_const(dist, row, e, float(p)) for row, e, p in zip(full, u, models["phi"], strict=True)])
-    ratio = obs_kernel(dist, full, s, u, phi) + 0.5 * (np.where(seen, py, 0.0) - s) ** 2 / h + 0.5 * (LOG_2PI + np.log(h))
-    return g + np.where(seen, const + ratio, 0.0).sum(1)
+    scales = np.where(seen, obs_kernel(dist, full, s, u, phi) + 0.5 * (np.where(seen, py, 0.0) - s) ** 2 / h, 0.0)
+    rest = np.where(seen, const + 0.5 * (LOG_2PI + np.log(h)), 0.0)
+    return g + (scales + rest).sum(1), (s, py, h, scales)
+
+
+def batched_smoother(models: dict[str, np.ndarray], data: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Smoothed means (times x rows x m), variances and covariances with the next state of many series at once."""
+    B, m = models["a1"].shape
+    n = data.shape[1]
+    Z, T = np.broadcast_to(models["Z"], (B, m)), np.broadcast_to(models["T"], (B, m, m))
+    a, P = np.empty((n + 1, B, m)), np.empty((n + 1, B, m, m))
+    a[0], P[0] = models["a1"], models["P1"]
+    L, score, info = np.empty((n, B, m, m)), np.empty((n, B, m)), np.empty((n, B))
+    seen = np.isfinite(data)
+    y = np.where(seen, data, 0.0)
+    for t in range(n):
+        pz = (P[t] @ Z[:, :, None])[:, :, 0]
+        f = (pz * Z).sum(1) + h[:, t]
+        info[t] = np.where(seen[:, t] & (f > TOLERANCE), 1 / np.maximum(f, TOLERANCE), 0.0)
+        v = (y[:, t] - (a[t] * Z).sum(1)) * info[t]
+        K = (T @ pz[:, :, None])[:, :, 0] * info[t][:, None]
+        L[t] = T - K[:, :, None] * Z[:, None, :]
+        score[t] = Z * v[:, None]
+        a[t + 1] = models["C"] + (T @ a[t][:, :, None])[:, :, 0] + (T @ pz[:, :, None])[:, :, 0] * v[:, None]
+        P[t + 1] = T @ P[t] @ L[t].transpose(0, 2, 1) + models["RR"]
+        P[t + 1] = (P[t + 1] + P[t + 1].transpose(0, 2, 1)) / 2
+    means, V, lag = a.copy(), P.copy(), np.empty((n, B, m, m))
+    r, N = np.zeros((B, m)), np.zeros((B, m, m))
+    for t in range(n - 1, -1, -1):
+        Lt = L[t].transpose(0, 2, 1)
+        lag[t] = P[t] @ Lt @ (np.eye(m) - N @ P[t + 1])
+        r = score[t] + (Lt @ r[:, :, None])[:, :, 0]
+        N = Z[:, :, None] * Z[:, None, :] * info[t][:, None, None] + Lt @ N @ L[t]
+        means[t] = a[t] + (P[t] @ r[:, :, None])[:, :, 0]
+        V[t] = P[t] - P[t] @ N @ P[t]
+    return means, V, lag
+
+
+def batched_roots(V: np.ndarray) -> np.ndarray:
+    vals, vecs = np.linalg.eigh((V + V.swapaxes(-1, -2)) / 2)
+    return vecs * np.sqrt(np.maximum(vals, 0))[..., None, :]
+
+
+def batched_guided(models: dict[str, np.ndarray], dist: str, y: np.ndarray, u: np.ndarray, D: np.ndarray, count: int, rngs: list[np.random.Generator], modes: np.ndarray | None = None, paths: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """``guided`` for many parameters (rows) of one series (y and u over time) that step together.
+
+    Log-likelihoods and, if asked, one of the particles' paths of each row ((n + 1) x m; NaN if its weights vanished). Each row
+    draws from its own generator, so what else is in the batch doesn't matter.
+    """
+    B, m = models["a1"].shape
+    n = len(y)
+    data, e = np.broadcast_to(y, (B, n)), np.broadcast_to(u, (B, n))
+    with np.errstate(all="ignore"):
+        base, (_, py, h, scales) = batched_approximate_loglik(models, dist, data, e, D, modes)
+        fine = np.isfinite(base)
+        if not fine.all():  # rows without an approximation stay out
+            value, found = np.full(B, -np.inf), np.full((B, n + 1, m), np.nan) if paths else None
+            if fine.any():
+                rows = np.flatnonzero(fine)
+                got = batched_guided(some(models, rows), dist, y, u, D[rows], count, [rngs[k] for k in rows], None if modes is None else modes[rows], paths)
+                value[rows] = got[0]
+                if paths:
+                    found[rows] = got[1]
+            return value, found
+        means, V, lag = batched_smoother(models, py - D, h)
+        gains = lag.swapaxes(-1, -2) @ np.linalg.pinv(V[:-1], hermitian=True)
+        roots = np.concatenate([batched_roots(V[:1]), batched_roots(V[1:] - gains @ lag)])
+    z = np.stack([r.standard_normal((n + 1, count, m)) for r in rngs], 1)
+    points = (np.stack([r.random((n, count)) for r in rngs], 1) + np.arange(count)) / count
+    Z, phi = np.broadcast_to(models["Z"], (B, m)), models["phi"][:, None]
+    states, ancestors, loglik = np.empty((n + 1, B, count, m)) if paths else None, np.zeros((n, B, count), int), base.copy()
+    x = means[0][:, None] + z[0] @ roots[0].swapaxes(-1, -2)
+    for t in range(n):
+        if paths:
+            states[t] = x
+        if np.isfinite(y[t]):
+            s = D[:, t][:, None] + (x @ Z[:, :, None])[:, :, 0]
+            lw = obs_kernel(dist, y[t], s, u[t], phi) + 0.5 * (py[:, t][:, None] - s) ** 2 / h[:, t][:, None] - scales[:, t][:, None]
+            top = lw.max(1)
+            top = np.where(np.isnan(top), -np.inf, top)
+            w = np.exp(lw - np.where(np.isfinite(top), top, 0.0)[:, None])
+            total = w.sum(1)
+            dead = ~(np.isfinite(top) & (total > 0))
+            loglik = np.where(dead, -np.inf, loglik + top + np.log(np.where(dead, 1.0, total) / count))
+            w = np.where(dead[:, None], 1.0, w)
+        else:
+            w = np.ones((B, count))
+        upto = np.cumsum(w / w.sum(1, keepdims=True), 1)
+        upto[:, -1] = 1.0
+        ancestors[t] = np.stack([np.searchsorted(upto[b], points[t, b]) for b in range(B)]) if count > 64 else (upto[:, None, :] < points[t][:, :, None]).sum(2)
+        x = np.take_along_axis(x, ancestors[t][:, :, None], 1)
+        x = means[t + 1][:, None] + (x - means[t][:, None]) @ gains[t].swapaxes(-1, -2) + z[t + 1] @ roots[t + 1].swapaxes(-1, -2)
+    if not paths:
+        return loglik, None
+    states[n] = x
+    at = np.array([r.integers(count) for r in rngs])
+    out = np.empty((B, n + 1, m))
+    rows = np.arange(B)
+    out[:, n] = states[n, rows, at]
+    for t in range(n - 1, -1, -1):
+        at = ancestors[t, rows, at]
+        out[:, t] = states[t, rows, at]
+    out[~np.isfinite(loglik)] = np.nan
+    return loglik, out
 
 
 def batched_metropolis(start: np.ndarray, log_target, iterations: int, burnin: int, rngs: list[np.random.Generator], target: float = 0.234, gamma: float = 2 / 3, adapt_after: bool = True, thin: int = 1, S: np.ndarray | None = None) -> list[list[list]]:
-    """Jump chains [theta, count, log target] of many chains that step together; each draws from its own generator."""
+    """Jump chains [theta, count, log target, extra] of many chains that step together; each draws from its own generator.
+
+    ``log_target(thetas)`` gives log densities and, for each row, what is kept with its state. A chain whose start isn't
+    finite has no states.
+    """
     B, d = len(rngs), len(start)
     theta = np.tile(start, (B, 1))
     S = np.tile(np.diag(0.1 * np.maximum(0.1, np.abs(start))) if S is None else S, (B, 1, 1))
-    current = log_target(theta)
-    if not np.isfinite(current).all():
-        raise ValueError("the posterior is not finite at the starting values")
+    current, extra = log_target(theta)
+    alive = np.isfinite(current)
     chains: list[list[list]] = [[] for _ in rngs]
-    moved, count = np.ones(B, bool), np.zeros(B, int)
+    moved, count = alive.copy(), np.zeros(B, int)
     block = 512
-    for i in range(1, iterations + 1):
+    for i in range(1, iterations + 1 if alive.any() else 1):
         if (i - 1) % block == 0:
             z_all = np.stack([r.standard_normal((block, d)) for r in rngs])
             u_all = np.stack([r.random(block) for r in rngs])
         z, u = z_all[:, (i - 1) % block], u_all[:, (i - 1) % block]
         proposal = theta + (S @ z[:, :, None])[:, :, 0]
-        value = log_target(proposal)
-        accept = np.exp(np.minimum(0.0, np.where(np.isfinite(value), value - current, -np.inf)))
+        value, info = log_target(proposal)
+        accept = np.zeros(B)
+        fine = alive & np.isfinite(value)
+        accept[fine] = np.exp(np.minimum(0.0, value[fine] - current[fine]))
         yes = u < accept
-        theta, current, moved = np.where(yes[:, None], proposal, theta), np.where(yes, value, current), moved | yes
+        theta, current, extra, moved = np.where(yes[:, None], proposal, theta), np.where(yes, value, current), np.where(yes[:, None], info, extra), moved | yes
         if i > burnin and (i - burnin) % thin == 0:
             count += 1
-            for b in np.flatnonzero(moved | (count == 1)):
+            for b in np.flatnonzero(alive & (moved | (count == 1))):
                 if chains[b]:
                     chains[b][-1][1] = int(count[b]) - 1
-                chains[b].append([theta[b].copy(), 0, float(current[b])])
+                chains[b].append([theta[b].copy(), 0, float(current[b]), extra[b].copy()])
                 count[b] = 1
             moved[:] = False
         if i <= burnin or adapt_after:
@@ -555,3 +673,25 @@ def batched_metropolis(start: np.ndarray, log_target, iterations: int, burnin: i
         if chain:
             chain[-1][1] = int(count[b])
     return chains
+
+
+def fault(t: np.ndarray, y: np.ndarray, u: np.ndarray, dist: tuple[str, ...]) -> str:
+    """Why a model of these distributions can't take a series (times in order, y and u as times x variables); empty if it can."""
+    seen = np.isfinite(y)
+    if not np.array_equal(np.asarray(t), np.arange(1, len(y) + 1)):
+        return "times"
+    if np.isinf(y).any():
+        return "infinite"
+    if dist and not (np.isfinite(u).all() and (u > 0).all()):
+        return "exposure"
+    for j, d in enumerate(dist):
+        v = y[seen[:, j], j]
+        if d not in ("svm", "gaussian") and (v < 0).any():
+            return "negative"
+        if d == "gamma" and (v == 0).any():
+            return "zero"
+        if d not in ("svm", "gaussian", "gamma") and (v != np.floor(v)).any():
+            return "fractional"
+        if d == "binomial" and (v > u[seen[:, j], j]).any():
+            return "over trials"
+    return ""

@@ -87,6 +87,11 @@ class Spec:
             x = np.where(logs, np.exp(thetas), thetas)
         return sum((p.log_densities(x[:, k]) for k, p in enumerate(self.priors)), np.zeros(len(thetas))) + thetas[:, logs].sum(1)
 
+    @property
+    def dist(self) -> tuple[str, ...]:
+        """Distributions of the variables; none for Gaussian models."""
+        return self.build(self.start()).dist
+
     def start(self) -> np.ndarray:
         return np.array([math.log(max(1e-3, p.init)) if lg else p.init for p, lg in zip(self.priors, self.logs, strict=True)])
 

@@ -286,23 +286,43 @@ def filter_series(series: DataFrame, model: NonLinear | Diffusion, theta, method
     return per_series(series, work, "t int, mean array<double>, cov array<double>, loglik double")
 
 
-def run_mcmc(series: DataFrame, model: NonLinear | Diffusion, start, iterations: int, burnin: int | None = None, method: str = "ekf", count: int = 50, coarse: int = 2, fine: int = 4, chains: int = 1, seed: int = 1) -> DataFrame:
-    """Jump chains: ``ekf`` likelihood, ``pm`` (bootstrap, or fine Milstein), or ``da``: ekf or coarse level, then pm."""
-    from .inference import CHAIN, _arrays, _dealt
+PARTICLES = {"bsf": bootstrap, "ekpf": extended_particles, "psi": guided}
+
+
+def run_mcmc(
+    series: DataFrame, model: NonLinear | Diffusion, start, iterations: int, burnin: int | None = None, method: str = "ekf", count: int = 50, coarse: int = 2, fine: int = 4, chains: int = 1, seed: int = 1,
+    target: float = 0.234, gamma: float = 2 / 3, adapt_after: bool = True, thin: int = 1, S: np.ndarray | None = None, sampling: str = "bsf", extended: int = 0,
+) -> DataFrame:
+    """Jump chains: ``ekf`` likelihood (``extended`` iterations of each update), ``pm`` (particles by ``sampling``: bsf, ekpf or psi, or fine
+    Milstein), or ``da``: ekf or coarse level, then pm. Every ``thin``-th iteration counts, ``S`` is the first proposal's factor, adaptation
+    aims at ``target`` with exponent ``gamma`` and goes on after the burn-in unless ``adapt_after`` is off.
+
+    A series with infinite values, times that aren't 1 to n, or no finite posterior at the start gives no rows.
+    """
+    from .inference import CHAIN, FAILURES, _arrays, _dealt, _fault, _no_rows
+    from .scan import written
 
     burn = iterations // 2 if burnin is None else burnin
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         sid, chain = frame["series_id"].iloc[0], int(frame["chain_id"].iloc[0])
+        if _fault(frame, None):
+            return _no_rows(c.split()[0] for c in CHAIN.split(", "))
         y, _, _ = _arrays(frame)
         rng = generator(seed, sid, chain)
         sde = isinstance(model, Diffusion)
 
         def exact(th):
-            return (diffusion_particles(model, y, th, count, fine, rng) if sde else bootstrap(model, y, th, count, rng))["loglik"]
+            return (diffusion_particles(model, y, th, count, fine, rng) if sde else PARTICLES[sampling](model, y, th, count, rng))["loglik"]
 
         def cheap(th):
-            return diffusion_particles(model, y, th, count, coarse, rng)["loglik"] if sde else extended_filter(model, y, th)["loglik"]
+            return diffusion_particles(model, y, th, count, coarse, rng)["loglik"] if sde else extended_filter(model, y, th, extended)["loglik"]
+
+        def second(th, approx):
+            try:
+                return exact(th) - approx
+            except FAILURES:
+                return -math.inf
 
         def density(th):
             base = log_posterior(model, th, 0.0)
@@ -310,39 +330,49 @@ def run_mcmc(series: DataFrame, model: NonLinear | Diffusion, start, iterations:
                 return -math.inf, 0.0
             try:
                 value = exact(th) if method == "pm" else cheap(th)
-            except np.linalg.LinAlgError:
+            except FAILURES:
                 return -math.inf, 0.0
             return (base + value, value) if math.isfinite(value) else (-math.inf, 0.0)
 
-        blocks = kernels.metropolis(np.asarray(start, float), density, iterations, burn, rng, second_stage=(lambda th, a: exact(th) - a) if method == "da" else None)
-        return pd.DataFrame({
+        try:
+            blocks = kernels.metropolis(np.asarray(start, float), density, iterations, burn, rng, S, target, gamma, adapt_after, second if method == "da" else None, thin)
+        except kernels.NotFinite:
+            blocks = []
+        return _no_rows(c.split()[0] for c in CHAIN.split(", ")) if not blocks else pd.DataFrame({
             "series_id": sid, "chain_id": chain, "block": range(1, len(blocks) + 1), "count": [b[1] for b in blocks], "weight": 1.0, "log_posterior": [b[2] for b in blocks],
             "approx": [b[3] for b in blocks], "theta": [b[0].tolist() for b in blocks], "names": [[f"theta_{k + 1}" for k in range(len(start))]] * len(blocks),
         })
 
     keyed = series.withColumn("chain_id", F.explode(F.array(*(F.lit(k) for k in range(1, chains + 1)))))
-    return _dealt(keyed, "series_id", "chain_id").groupBy("series_id", "chain_id").applyInPandas(run, CHAIN)
+    return written(_dealt(keyed, "series_id", "chain_id").groupBy("series_id", "chain_id").applyInPandas(run, CHAIN), "chain")
 
 
 def correct(chain: DataFrame, series: DataFrame, model: NonLinear | Diffusion, count: int = 50, sampling: str = "bsf", level: int = 4, seed: int = 1) -> DataFrame:
-    """Importance weights exp(unbiased - cheap log-likelihood) for each block of an ``ekf`` (or coarse) chain."""
-    from .inference import _per_block
+    """Importance weights exp(unbiased - cheap log-likelihood) for each block of an ``ekf`` (or coarse) chain; 0 for blocks that fail."""
+    from .inference import FAILURES, _per_block
 
     def work(block, y, u, x):
         th, rng = np.array(block.theta), generator(seed, block.series_id, block.chain_id, block.block, "is")
-        if isinstance(model, Diffusion):
-            value = diffusion_particles(model, y, th, count, level, rng)["loglik"]
-        else:
-            value = {"bsf": bootstrap, "ekpf": extended_particles, "psi": guided}[sampling](model, y, th, count, rng)["loglik"]
-        return {"log_weight": value - block.approx, "log_posterior": block.log_posterior + value - block.approx}
+        try:
+            if isinstance(model, Diffusion):
+                value = diffusion_particles(model, y, th, count, level, rng)["loglik"]
+            else:
+                value = PARTICLES[sampling](model, y, th, count, rng)["loglik"]
+        except FAILURES:
+            value = -math.inf
+        gap = value - block.approx if math.isfinite(value) else -math.inf
+        return {"log_weight": gap, "log_posterior": block.log_posterior + gap}
 
     keep = ["series_id", "chain_id", "block", "count", "log_posterior", "approx", "theta", "names"]
     rows = _per_block(chain, series, work, "log_weight double", keep)
     return rows.withColumn("weight", F.exp("log_weight")).select("series_id", "chain_id", "block", "count", "weight", "log_posterior", "approx", "theta", "names")
 
 
-def _path(model: NonLinear | Diffusion, block, y, count: int, sampling: str, level: int, seed: int) -> np.ndarray:
-    """A path of n + 1 states from the particles by which ``correct``, with the same arguments, weighted the block; ``ekf``: of the linearisation at the mode."""
+def _path(model: NonLinear | Diffusion, block, y, count: int, sampling: str, level: int, seed: int) -> np.ndarray | None:
+    """A path of n + 1 states from the particles by which ``correct``, with the same arguments, weighted the block; ``ekf``: of the
+    linearisation at the mode. None for a block of weight 0 or whose particles all vanished."""
+    if not block.weight > 0:
+        return None
     th, rng = np.array(block.theta), generator(seed, block.series_id, block.chain_id, block.block, "is")
     if isinstance(model, Diffusion):
         pf = diffusion_particles(model, y, th, count, level, rng)
@@ -350,7 +380,9 @@ def _path(model: NonLinear | Diffusion, block, y, count: int, sampling: str, lev
         approx, _ = approximation(model, th, y)
         return kernels.simulation_smoother(approx, y, 1, rng)[0]
     else:
-        pf = {"bsf": bootstrap, "ekpf": extended_particles, "psi": guided}[sampling](model, y, th, count, rng)
+        pf = PARTICLES[sampling](model, y, th, count, rng)
+    if not math.isfinite(pf["loglik"]):
+        return None
     paths = kernels.trace(pf)
     return paths[rng.integers(len(paths))]
 
@@ -363,29 +395,47 @@ def state_draws(chain: DataFrame, series: DataFrame, model: NonLinear | Diffusio
     from .inference import _long_path, _per_block
 
     def work(block, y, u, x):
-        return {"first": 1, "path": _path(model, block, y, count, sampling, level, seed).tolist()}
+        path = _path(model, block, y, count, sampling, level, seed)
+        return None if path is None else {"first": 1, "path": path.tolist()}
 
     return _long_path(_per_block(chain, series, work, "first int, path array<array<double>>", BLOCK))
 
 
 def state_summary(chain: DataFrame, series: DataFrame, model: NonLinear, iterations: int = 0) -> DataFrame:
     """Posterior mean and variance of each state of an ``ekf`` chain, by the extended smoother at every block."""
-    from .inference import _per_block, _state_moments
+    from .inference import _variances
+
+    return _variances(state_covariances(chain, series, model, iterations))
+
+
+def state_covariances(chain: DataFrame, series: DataFrame, model: NonLinear, iterations: int = 0) -> DataFrame:
+    """Posterior means and covariances of all pairs of states at each time, by the extended smoother at every block."""
+    from .inference import STATE_BLOCK, _mixed_moments, _per_block
 
     def work(block, y, u, x):
         means, variances, _ = extended_smoother(model, y, np.array(block.theta), iterations)
-        return {"mean": means.tolist(), "var": [np.diag(v).tolist() for v in variances]}
+        return {"mean": np.asarray(means).tolist(), "cov": np.asarray(variances).tolist()}
+
+    return _mixed_moments(_per_block(chain, series, work, STATE_BLOCK, BLOCK))
 
-    return _state_moments(_per_block(chain, series, work, "mean array<array<double>>, var array<array<double>>", BLOCK))
+
+def _responds(model, what: str) -> None:
+    if isinstance(model, Diffusion):
+        raise TypeError(f"{what} of a diffusion: it has a density of the observations, but nothing to draw them from; see state_draws, and predict with kind='state'")
 
 
 def fitted(chain: DataFrame, series: DataFrame, model: NonLinear, kind: str = "mean", count: int = 50, sampling: str = "bsf", seed: int = 1) -> DataFrame:
     """t (1 to n), variable, value and weight from each block: the mean Z(state), or a response, at the observed times."""
     from .inference import _long_path, _per_block
 
+    _responds(model, "fitted values")
+
     def work(block, y, u, x):
         th, rng = np.array(block.theta), generator(seed, block.series_id, block.chain_id, block.block, "fitted")
-        z = model.Z(_path(model, block, y, count, sampling, 0, seed)[: len(y)], th)
+        path = _path(model, block, y, count, sampling, 0, seed)
+        if path is None:
+            return None
+        z = model.Z(path[: len(y)], th)
         return {"first": 1, "path": (z if kind == "mean" else z + rng.standard_normal(z.shape) @ model.H(th).T).tolist()}
 
     return _long_path(_per_block(chain, series, work, "first int, path array<array<double>>", BLOCK))
@@ -410,27 +460,41 @@ def suggest_count(series: DataFrame, model: NonLinear, theta, candidates: tuple[
     th = np.asarray(theta, float)
 
     def work(block, y, u, x):
-        run = {"bsf": bootstrap, "ekpf": extended_particles, "psi": guided}[sampling]
+        run = PARTICLES[sampling]
         return {"loglik": run(model, y, th, int(block.chain_id), generator(seed, block.series_id, block.chain_id, block.block))["loglik"]}
 
     return _suggested(_per_block(_trials(series, candidates, replications), series, work, "loglik double", ["series_id", "chain_id", "block"]))
 
 
-def predict(chain: DataFrame, series: DataFrame, model: NonLinear, horizon: int, count: int = 50, seed: int = 1, kind: str = "response") -> DataFrame:
-    """t, variable, value and weight of ``horizon`` future steps from each block, from a particle drawn at n + 1."""
+def predict(chain: DataFrame, series: DataFrame, model: NonLinear | Diffusion, horizon: int, count: int = 50, seed: int = 1, kind: str = "response", sampling: str = "bsf", level: int = 4) -> DataFrame:
+    """t, variable, value and weight of ``horizon`` future steps from each block, as ``response``, ``mean`` or ``state``.
+
+    They start from state n + 1 of the path by which ``correct``, with the same count, sampling, level and seed, weighted the
+    block. Diffusions have states only.
+    """
     from .inference import _long_path, _per_block
 
+    sde = isinstance(model, Diffusion)
+    if kind != "state":
+        _responds(model, "responses and means")
+
     def work(block, y, u, x):
         th, rng = np.array(block.theta), generator(seed, block.series_id, block.chain_id, block.block, "predict")
-        x = bootstrap(model, y, th, count, rng)["states"][-1][rng.integers(count)][None]
-        H, R, out = model.H(th), model.R(th), []
+        path, out = _path(model, block, y, count, sampling, level, seed), []
+        if path is None:
+            return None
+        x = path[-1][None]
         for _ in range(horizon):
-            z = model.Z(x, th)
+            if sde:
+                out.append(x[0].tolist())
+                x = milstein(model, x[:, 0], th, level, rng)[:, None]
+                continue
+            z, H, R = model.Z(x, th), model.H(th), model.R(th)
             out.append((x if kind == "state" else z if kind == "mean" else z + rng.standard_normal((1, H.shape[1])) @ H.T)[0].tolist())
             x = model.T(x, th) + rng.standard_normal((1, R.shape[1])) @ R.T
         return {"first": len(y) + 1, "path": out}
 
-    return _long_path(_per_block(chain, series, work, "first int, path array<array<double>>", ["series_id", "chain_id", "block", "count", "weight"]))
+    return _long_path(_per_block(chain, series, work, "first int, path array<array<double>>", BLOCK))
 
 
 def milstein_column(x0: float, drift, diffusion, gradient, steps: Column, dt: float, seed: Column) -> Column:

@@ -60,6 +60,28 @@ def _name(p: float) -> str:
     return f"q{p * 100:g}".replace(".", "_")
 
 
+def matrix_moments(draws: DataFrame, by: list[str], within: str | None = None) -> DataFrame:
+    """i, j (from 0, i <= j), mean_i, mean_j and covariance of weighted vectors ``values`` (weight: ``weight``), for each of ``by``.
+
+    The state of the aggregate is sum w, sum w x and sum w x x', all plain sums, so tasks hold partial ones that add up whatever
+    the partitioning. Vectors are shifted by a vector of their group first, so that large means cost no digits. With ``within`` (a matrix of each vector)
+    its mean is added. Rows of weight 0 or null, and vectors that are null or hold a null, take no part; a group without others gives no row.
+    """
+    fine = draws.where((F.col("weight") > 0) & F.col("values").isNotNull() & ~F.exists("values", lambda v: v.isNull()))
+    shift = fine.groupBy(*by).agg(F.min("values").alias("_shift"))
+    pairs = fine.join(shift, by).select(*by, "weight", *([within] if within else []), "_shift", F.zip_with("values", "_shift", lambda a, b: a - b).alias("d"))
+    pairs = pairs.select("*", F.posexplode("d").alias("i", "di"))
+    extra = F.expr(f"{within}[i][j]") if within else F.lit(0.0)
+    pairs = pairs.select(*by, "weight", "i", "di", "_shift", *([within] if within else []), F.posexplode("d").alias("j", "dj")).where("i <= j")
+    w, a, b = F.col("weight"), F.col("di"), F.col("dj")
+    state = pairs.groupBy(*by, "i", "j").agg(
+        F.sum(w).alias("w"), F.sum(w * a).alias("wa"), F.sum(w * b).alias("wb"), F.sum(w * a * b + w * extra).alias("wab"),
+        F.first(F.expr("_shift[i]")).alias("si"), F.first(F.expr("_shift[j]")).alias("sj"),
+    )
+    ma, mb = F.col("wa") / F.col("w"), F.col("wb") / F.col("w")
+    return state.select(*by, "i", "j", (ma + F.col("si")).alias("mean_i"), (mb + F.col("sj")).alias("mean_j"), (F.col("wab") / F.col("w") - ma * mb).alias("covariance"))
+
+
 def best(chain: DataFrame) -> DataFrame:
     """The state of largest log posterior of each series."""
     return chain.groupBy("series_id").agg(F.max_by("theta", "log_posterior").alias("theta"), F.max("log_posterior").alias("log_posterior"))

@@ -342,8 +342,8 @@ IACT = f"""
     {CHAINS}, v as (select series_id, chain_id, variable, iter, {{value}} as value from draws),
     d as (select *, value - avg(value) over (partition by series_id, chain_id, variable) as d, count(*) over (partition by series_id, chain_id, variable) as n from v),
     z as (select series_id, chain_id, variable, sum(d * d) / (count(*) - 1) as var from d group by 1, 2, 3),
-    c as (select a.series_id, a.chain_id, a.variable, g.k, any_value(a.n) as n, sum(a.d * b.d) / (any_value(a.n) - g.k) as c from d a cross join unnest(generate_series(1, {LAGS})) g(k)
-        join d b on b.series_id = a.series_id and b.chain_id = a.chain_id and b.variable = a.variable and b.iter = a.iter - g.k group by 1, 2, 3, 4),
+    l as (select series_id, chain_id, variable, list(d order by iter) as x, count(*)::bigint as n from d group by 1, 2, 3),
+    c as (select series_id, chain_id, variable, k, n, list_inner_product(x[1:n - k], x[1 + k:n]) / (n - k) as c from l, unnest(generate_series(1, {LAGS})) g(k) where k < n),
     s as (select series_id, chain_id, variable, k, n, 1 + 2 * sum(c / var) over (partition by series_id, chain_id, variable order by k rows between unbounded preceding and current row) as tau
         from c join z using (series_id, chain_id, variable)),
     i as (select series_id, chain_id, variable, any_value(n)::bigint as n, greatest(arg_min(tau, k) filter (where k > greatest(5.0, log10(n)) * tau), 0.0) as iact from s group by 1, 2, 3)

@@ -208,7 +208,7 @@ def test_batched_modes_equal_single_ones():
             ys[-1][[2, 9]] = np.nan
         y, u = np.array(ys), np.array(us)
         m = kernels.stacked(built)
-        got = kernels.batched_approximate_loglik(m, dist, y, u, kernels.offsets(built, 14))
+        got, _ = kernels.batched_approximate_loglik(m, dist, y, u, kernels.offsets(built, 14))
         s = kernels.find_modes(m, dist, y, u, kernels.offsets(built, 14))[0]
         for k, b in enumerate(built):
             slow = kernels.Approximation(b, y[k][:, None], u[k][:, None], mode=kernels.start_signal(dist, y[k], u[k])[:, None])
