@@ -500,24 +500,33 @@ def _unbiased(spec: Spec, block, y: np.ndarray, u: np.ndarray, count: int, sampl
 
 
 def suggest_count(series: DataFrame, spec: Spec, theta=None, candidates: tuple[int, ...] = tuple(range(10, 101, 10)), replications: int = 100, seed: int = 1) -> DataFrame:
-    """Standard deviation of the psi estimate by number of particles; ``suggested`` is the first under 1, for each series."""
+    """Standard deviation of the psi estimate by number of particles, for the candidates a series has tried; ``suggested`` is its first under 1 (null: none)."""
     th = spec.start() if theta is None else np.asarray(theta)
 
     def work(block, y, u, x, spec=spec):
-        spec = spec.bind(x)
-        return {"loglik": _estimate(spec, th, y, u, "psi", int(block.chain_id), generator(seed, block.series_id, block.chain_id, block.block))}
+        return {"loglik": _estimate(spec.bind(x), th, y, u, "psi", int(block.chain_id), generator(seed, block.series_id, block.chain_id, block.block))}
 
-    return _suggested(_per_block(_trials(series, candidates, replications), series, work, "loglik double", ["series_id", "chain_id", "block"]))
+    return in_rounds(series, work, candidates, replications)
 
 
-def _trials(series: DataFrame, candidates: tuple[int, ...], replications: int) -> DataFrame:
-    """A row per series, number of particles (as chain_id) and replication (as block)."""
-    grid = series.sparkSession.range(replications).select(F.col("id").alias("r"), F.explode(F.array(*(F.lit(c) for c in candidates))).alias("n"))
-    return series.select("series_id").distinct().join(F.broadcast(grid)).select("series_id", F.col("n").alias("chain_id"), F.col("r").cast("int").alias("block"), F.lit(0.0).alias("x0"))
+def in_rounds(series: DataFrame, work: Callable[..., dict], candidates: tuple[int, ...], replications: int) -> DataFrame:
+    """A round for each candidate, in which only series that no earlier candidate satisfied are evaluated."""
+    left, rounds = series.select("series_id").distinct(), []
+    for n in candidates:
+        trials = left.join(F.broadcast(series.sparkSession.range(replications).select(F.col("id").cast("int").alias("block"))))  # few numbers
+        trials = trials.select("series_id", F.lit(n).alias("chain_id"), "block", F.lit(0.0).alias("x0"))
+        rows = _per_block(trials, series, work, "loglik double", ["series_id", "chain_id", "block"])
+        rounds.append(written(rows.groupBy("series_id", F.col("chain_id").alias("particles")).agg(F.stddev_samp("loglik").alias("sd")), "round"))
+        left = written(left.join(rounds[-1].where("sd < 1").select("series_id"), "series_id", "left_anti"), "left")
+        if left.isEmpty():
+            break
+    sds = rounds[0]
+    for r in rounds[1:]:
+        sds = sds.unionByName(r)
+    return _suggested(sds)
 
 
-def _suggested(rows: DataFrame) -> DataFrame:
-    sds = rows.groupBy("series_id", F.col("chain_id").alias("particles")).agg(F.stddev_samp("loglik").alias("sd"))
+def _suggested(sds: DataFrame) -> DataFrame:
     first = sds.groupBy("series_id").agg(F.min(F.when(F.col("sd") < 1, F.col("particles"))).alias("suggested"))
     return sds.join(first, "series_id")
 
@@ -562,6 +571,15 @@ def _path(spec: Spec, block, y, u, count: int, sampling: str, method: str, seed:
     return paths[rng.integers(len(paths))]
 
 
+def state_paths(chain: DataFrame, series: DataFrame, spec: Spec, seed: int = 1, count: int = 10, sampling: str = "psi", method: str = "is2") -> DataFrame:
+    """The chain with ``alpha``, a posterior path (n + 1 times of arrays of states) of each block; see ``state_draws`` and ``posterior.wide_states``."""
+
+    def work(blocks, y, u, x, spec=spec):
+        return [p if p is None else {"alpha": p.tolist()} for p in _paths(spec.bind(x), blocks, y, u, count, sampling, method, seed)]
+
+    return _per_slice(chain, series, work, "alpha array<array<double>>", ["series_id", "chain_id", "block", "count", "weight", "theta", "names"])
+
+
 def state_draws(chain: DataFrame, series: DataFrame, spec: Spec, seed: int = 1, count: int = 10, sampling: str = "psi", method: str = "is2") -> DataFrame:
     """A posterior state path per block (t, state k, value, weight = count x weight), as long rows; t runs to n + 1.
 

@@ -454,8 +454,8 @@ def approximate(series: DataFrame, model: NonLinear, theta, iterations: int = 0)
 
 
 def suggest_count(series: DataFrame, model: NonLinear, theta, candidates: tuple[int, ...] = (10, 20, 40, 80), replications: int = 100, sampling: str = "psi", seed: int = 1) -> DataFrame:
-    """Standard deviation of the log-likelihood estimate by number of particles; ``suggested`` is the first under 1, for each series."""
-    from .inference import _per_block, _suggested, _trials
+    """Standard deviation of the log-likelihood estimate by number of particles, for the candidates a series has tried; ``suggested`` is its first under 1."""
+    from .inference import in_rounds
 
     th = np.asarray(theta, float)
 
@@ -463,7 +463,7 @@ def suggest_count(series: DataFrame, model: NonLinear, theta, candidates: tuple[
         run = PARTICLES[sampling]
         return {"loglik": run(model, y, th, int(block.chain_id), generator(seed, block.series_id, block.chain_id, block.block))["loglik"]}
 
-    return _suggested(_per_block(_trials(series, candidates, replications), series, work, "loglik double", ["series_id", "chain_id", "block"]))
+    return in_rounds(series, work, candidates, replications)
 
 
 def predict(chain: DataFrame, series: DataFrame, model: NonLinear | Diffusion, horizon: int, count: int = 50, seed: int = 1, kind: str = "response", sampling: str = "bsf", level: int = 4) -> DataFrame:

@@ -14,17 +14,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import running_sums, written
+
 KEYS = ["series_id", "chain_id"]
 
 
 def long_draws(chain: DataFrame, expand: bool = True, extra: tuple[str, ...] = ()) -> DataFrame:
     """series_id, chain_id, iter, variable, value, weight.
 
-    With ``expand`` a state of count c gives c iterations; else one row whose weight is count x importance weight.
+    With ``expand`` a state of count c gives c iterations; else one row whose weight is count x importance weight. The iterations
+    before a block are a running sum over all tasks, so a chain may be longer than a task.
     """
-    upto = Window.partitionBy(*KEYS).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    first = (F.coalesce(F.sum("count").over(upto), F.lit(0)) + 1).cast("long")
-    rows = chain.withColumn("first", first)
+    rows = running_sums(chain, KEYS, [F.col("block")], {"_upto": F.col("count").cast("long")}).withColumn("first", F.col("_upto") - F.col("count") + 1)
     rows = rows.select(*KEYS, "first", "count", "weight", *extra, F.posexplode(F.arrays_zip("names", "theta")).alias("k", "p"))
     rows = rows.select(*KEYS, "first", "count", "weight", *extra, F.col("p.names").alias("variable"), F.col("p.theta").alias("value"))
     if not expand:
@@ -45,17 +46,47 @@ def summary(draws: DataFrame, by: list[str], probs: tuple[float, ...] = (0.025,
 
 
 def weighted_summary(draws: DataFrame, by: list[str], probs: tuple[float, ...] = (0.025, 0.975)) -> DataFrame:
-    """Mean, sd and quantiles of weighted draws."""
+    """Mean, sd and quantiles of weighted draws.
+
+    Draws are sorted by value over all tasks; shares of weight are running sums over ranges, so no task holds all draws of
+    one of ``by``.
+    """
     w, x = F.col("weight"), F.col("value")
-    every = Window.partitionBy(*by)
-    upto = every.orderBy("value").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    sw = F.sum("weight").over(every)
-    ranked = draws.withColumns({"mean": F.sum(w * x).over(every) / sw, "share": F.sum("weight").over(upto) / sw})
+    ranked = running_sums(draws.select(*by, "value", "weight"), by, [x], {"_upto": w, "_wx": w * x}, totals=True)
+    ranked = ranked.withColumns({"mean": F.col("_wx_total") / F.col("_upto_total"), "share": F.col("_upto") / F.col("_upto_total")})
     quantiles = [F.min(F.when(F.col("share") >= p - 1e-12, x)).alias(_name(p)) for p in probs]
     spread = F.sqrt(F.sum(w * (x - F.col("mean")) * (x - F.col("mean"))) / F.sum(w)).alias("sd")
     return ranked.groupBy(*by).agg(F.first("mean").alias("mean"), spread, *quantiles)
 
 
+def summary_both(draws: DataFrame, probs: tuple[float, ...] = (0.025, 0.975)) -> DataFrame:
+    """Parameters and states in one pass: series_id, variable, time, n, mean, sd and quantiles of unweighted draws.
+
+    ``draws`` has series_id, variable, time (null for parameters) and value. Grouping sets give a row for each variable (time
+    null: all its draws, for a state those of all times) and one for each time of a state.
+    """
+    quantiles = [F.percentile("value", F.lit(p)).alias(_name(p)) for p in probs]
+    sets = [[F.col("series_id"), F.col("variable")], [F.col("series_id"), F.col("variable"), F.col("time")]]
+    found = draws.groupingSets(sets, F.col("series_id"), F.col("variable"), F.col("time")).agg(
+        F.grouping_id().alias("level"), F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), *quantiles
+    )
+    return found.where("level > 0 or time is not null").drop("level")
+
+
+def wide_states(chain: DataFrame, states: dict[str, int], times: list[int], parameters: bool = True) -> DataFrame:
+    """A row per block, with iter (its first iteration), weight (count x weight), the parameters if asked, and a column ``state[time]`` for each chosen state and time.
+
+    ``chain`` has ``alpha``, each block's path (array over times of arrays over states, as of ``inference.state_paths``);
+    ``states`` are names and places from 0, ``times`` count from 1. Columns are picked from the nested array, so nothing is exploded; a
+    time or state that a path lacks is null.
+    """
+    names = [r[0] for r in chain.select(F.explode("names").alias("n")).distinct().orderBy("n").limit(10_000).collect()] if parameters else []
+    rows = running_sums(chain, KEYS, [F.col("block")], {"_upto": F.col("count").cast("long")})
+    theta = [F.try_element_at("theta", F.array_position("names", n).cast("int")).alias(n) for n in names]
+    picked = [F.get(F.get("alpha", F.lit(t - 1)), F.lit(k)).alias(f"{name}[{t}]") for name, k in states.items() for t in times]
+    return rows.select(*KEYS, (F.col("_upto") - F.col("count") + 1).alias("iter"), (F.col("count") * F.col("weight")).alias("weight"), *theta, *picked)
+
+
 def _name(p: float) -> str:
     return f"q{p * 100:g}".replace(".", "_")
 
@@ -141,10 +172,96 @@ def geyer_time(x: np.ndarray) -> float:
     return max(float(tau), 1 / math.log10(2 * n))
 
 
+#: Draws of a chunk, and lags of the first round of chains of several chunks; each round has ``MORE_LAGS`` times as many.
+CHUNK = 65_536
+LAGS = 1024
+MORE_LAGS = 8
+
+
+def lag_sums(draws: DataFrame, by: list[str], lags: int, chunk: int) -> DataFrame:
+    """by and ``c``: the sums of d[i] d[i + k] for k from 0 to ``lags``, of rows with pos (from 0) and the centred values ``d``.
+
+    A chain is cut into chunks; each also gets the first ``lags`` values of what follows, so its products with them are its
+    own, and the chunks' sums add up. A chain needs no task of its own. ``chunk`` is at least ``lags``.
+    """
+    own = F.floor(F.col("pos") / chunk)
+    places = F.when((F.col("pos") % chunk < lags) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    pieces = draws.select(*by, "pos", "d", F.explode(places).alias("chunk"))
+    types = dict(draws.dtypes)
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("pos")
+        x, base = frame["d"].to_numpy(float), int(key[-1]) * chunk
+        mine = np.where(frame["pos"].to_numpy() < base + chunk, x, 0.0)
+        size = 1 << (len(x) + lags).bit_length()
+        c = np.fft.irfft(np.fft.rfft(mine, size).conj() * np.fft.rfft(x, size), size)[: lags + 1]
+        return pd.DataFrame([(*key[:-1], c[: min(lags + 1, size)].tolist())], columns=[*by, "c"])
+
+    parts = pieces.groupBy(*by, "chunk").applyInPandas(run, ", ".join(f"{c} {types[c]}" for c in by) + ", c array<double>")
+    sums = parts.select(*by, F.posexplode("c").alias("k", "v")).groupBy(*by, "k").agg(F.sum("v").alias("v"))
+    return sums.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda p: p["v"]).alias("c"))  # one number a lag
+
+
+def _stopped(c: np.ndarray, n: int) -> float | None:
+    """Sokal's time from lag sums; None if its rule needs more lags. At most n - 1 lags are read."""
+    c = np.asarray(c, float)[:n]
+    if n < 2 or not np.isfinite(c).all() or c[0] <= 0:
+        return math.nan
+    k = np.arange(1, len(c))
+    tau = 1 + 2 * np.cumsum(c[1:] / (n - k) / (c[0] / (n - 1)))
+    over = np.flatnonzero(k > max(5.0, math.log10(n)) * tau)
+    return max(0.0, float(tau[over[0]])) if len(over) else max(0.0, float(tau[-1])) if len(c) == n else None
+
+
+def merged_iact(draws: DataFrame, by: list[str], chunk: int = CHUNK, lags: int = LAGS) -> DataFrame:
+    """by, n and Sokal's autocorrelation time of ``value`` in the order of ``iter``, in rounds of more and more lags.
+
+    Positions are running sums over all tasks, autocovariances add up over chunks (``lag_sums``), and each round goes on with the
+    chains whose stopping rule isn't met. A chain whose rule needs more lags than a chunk has draws gets larger chunks.
+    """
+    value = F.col("value").cast("double")
+    totals = {"pos": F.lit(1).cast("long"), "_s": value, "_bad": (value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))).cast("long")}
+    placed = running_sums(draws.select(*by, "iter", "value"), by, [F.col("iter")], totals, totals=True)
+    placed = placed.select(*by, "value", (F.col("pos") - 1).alias("pos"), F.col("pos_total").alias("n"), F.when(F.col("_bad_total") == 0, value - F.col("_s_total") / F.col("pos_total")).alias("d"))
+    left = written(placed, "centred")
+    broken = left.where("d is null").groupBy(*by).agg(F.first("n").alias("n"), F.lit(None).cast("double").alias("iact"))
+    sizes = left.where("d is not null").groupBy(*by).agg(F.first("n").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+    flat = sizes.where("least = most").select(*by, "n", F.lit(None).cast("double").alias("iact"))
+    found = [broken, flat]
+    left = left.join(sizes.where("least < most").select(*by), by, "left_semi")
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    types = dict(draws.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in by) + ", n long, iact double, open boolean"
+    while True:
+        # short chains are one chunk and have all their lags at once
+        lags = min(lags, max(1, largest - 1)) if largest > chunk else max(1, largest - 1)
+        chunk = max(chunk, lags)
+        sums = lag_sums(left, by, lags, chunk).join(left.where("pos = 0").select(*by, "n"), by)
+
+        def judge(frames):
+            for frame in frames:
+                out = [_stopped(c, int(n)) for c, n in zip(frame["c"], frame["n"], strict=True)]
+                frame["iact"], frame["open"] = [x for x in out], [x is None for x in out]
+                yield frame[[*by, "n", "iact", "open"]]
+
+        judged = written(sums.mapInPandas(judge, schema), "judged")
+        found.append(judged.where("not open").select(*by, "n", "iact"))
+        again = judged.where("open")
+        if again.isEmpty():
+            break
+        left = left.join(again.select(*by), by, "left_semi")
+        lags *= MORE_LAGS
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.withColumn("iact", F.nanvl("iact", F.lit(None).cast("double")))
+
+
 def iact(draws: DataFrame, by: list[str], method: str = "sokal") -> DataFrame:
-    """by, n and the integrated autocorrelation time of ``value``: ``sokal`` or ``geyer``; null for constant or non-finite draws."""
-    time = {"sokal": sokal_time, "geyer": geyer_time}[method]
-    found = per_chain(draws, by, lambda x: (len(x), time(x)), "n long, iact double")
+    """by, n and the integrated autocorrelation time of ``value``: ``sokal`` (merged over chunks) or ``geyer`` (a chain in a task); null for constant or non-finite draws."""
+    if method == "sokal":
+        return merged_iact(draws, by)
+    found = per_chain(draws, by, lambda x: (len(x), geyer_time(x)), "n long, iact double")
     return found.withColumn("iact", F.nanvl("iact", F.lit(None).cast("double")))
 
 
@@ -244,17 +361,17 @@ def diagnostics_worst(found: DataFrame, chain: DataFrame) -> DataFrame:
 def stratified(particles: DataFrame, by: list[str], uniform: Column) -> DataFrame:
     """Stratified resampling: stratum j of N takes the first particle whose cumulative share reaches (j - 1 + u) / N.
 
-    ``particles`` has by, particle (from 1) and weight; ``uniform`` is a column of by and particle in (0, 1).
+    ``particles`` has by, particle (from 1) and weight; ``uniform`` is a column of by and particle in (0, 1). Shares are running
+    sums over all tasks, so a cloud may be larger than a task.
     """
-    order = Window.partitionBy(*by).orderBy("particle")
-    whole = Window.partitionBy(*by)
-    n = F.count("*").over(whole)
-    shares = particles.select(*by, "particle", n.alias("n"), (F.sum("weight").over(order) / F.sum("weight").over(whole)).alias("upto"))
-    low = F.coalesce(F.lag("upto").over(order), F.lit(0.0))
-    spans = shares.select(*by, "particle", "n", low.alias("low"), F.when(F.col("particle") == F.col("n"), 1.0).otherwise(F.col("upto")).alias("high"))
-    strata = particles.withColumn("n", n).select(*by, F.col("particle").alias("stratum"), ((F.col("particle") - 1 + uniform) / F.col("n")).alias("point"))
-    # a span takes strata near its ends' places only; one more on each side covers rounding
+    sums = {"upto": F.col("weight").cast("double"), "n": F.lit(1).cast("long")}
+    shares = written(running_sums(particles, by, [F.col("particle")], sums, totals=True).withColumn("point", (F.col("particle") - 1 + uniform) / F.col("n_total")), "shares")
+    total, n = F.col("upto_total"), F.col("n_total")
+    high = F.when(F.col("particle") == n, 1.0).otherwise(F.col("upto") / total)
+    # sums of neighbours in two ranges may differ by rounding: spans overlap a little, and the first that reaches a point takes it
+    spans = shares.select(*by, "particle", n.alias("n"), ((F.col("upto") - F.col("weight")) / total - 1e-9).alias("low"), high.alias("high"))
+    strata = shares.select(*by, F.col("particle").cast("long").alias("stratum"), "point")
     first, last = F.greatest(F.lit(1), F.floor(F.col("low") * F.col("n"))), F.least(F.col("n"), F.floor(F.col("high") * F.col("n")) + 2)
-    spans = spans.where(first <= last).withColumn("stratum", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+    spans = spans.where(first <= last).withColumn("stratum", F.explode(F.sequence(first.cast("long"), last.cast("long")))).drop("n")
     inside = (F.col("point") > F.col("low")) & (F.col("point") <= F.col("high"))
-    return strata.withColumn("stratum", F.col("stratum").cast("long")).join(spans.drop("n"), [*by, "stratum"]).where(inside).select(*by, "stratum", F.col("particle").alias("ancestor"))
+    return strata.join(spans, [*by, "stratum"]).where(inside).groupBy(*by, "stratum").agg(F.min("particle").alias("ancestor"))

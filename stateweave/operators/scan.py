@@ -44,18 +44,22 @@ def dealt_blocks(df: DataFrame, keys: list[str], order: list[Column], block: str
     return written(df.repartitionByRange(*(F.col(k) for k in keys), *order).withColumn(block, F.spark_partition_id()), "blocks")
 
 
-def running_sums(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
+def running_sums(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column], totals: bool = False) -> DataFrame:
     """``df`` with the inclusive running sums ``sums`` (name to value; null counts as 0) of each key's rows in ``order``.
 
-    ``order`` should be total within a key: rows equal in it are summed in any order. Null keys are a key. No window holds more
-    than one range of one key, or a row for each range of one key. An empty table gives none.
+    With ``totals`` also the whole key's sums, as name_total. ``order`` should be total within a key: rows equal in it are summed in
+    any order. Null keys are a key. No window holds more than one range of one key, or a row for each range of one key. An empty
+    table gives none.
     """
     values = {f"_sw_v{k}": F.coalesce(v, F.lit(0)) for k, v in enumerate(sums.values())}
     placed = dealt_blocks(df.withColumns(values), keys, order)
     by = [*keys, "_sw_block"]
     before = Window.partitionBy(*keys).orderBy("_sw_block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = placed.groupBy(*by).agg(*(F.sum(v).alias(v) for v in values))
-    offsets = totals.select(*by, *(F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"{v}_before") for v in values))
+    blocks = placed.groupBy(*by).agg(*(F.sum(v).alias(v) for v in values))
+    every = [F.sum(v).over(Window.partitionBy(*keys)).alias(f"{v}_total") for v in values] if totals else []
+    offsets = blocks.select(*by, *(F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"{v}_before") for v in values), *every)
     inside = Window.partitionBy(*(placed[c] for c in by)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     both = placed.join(offsets, _same(placed, offsets, by))
-    return both.select(*(placed[c] for c in df.columns), *((F.sum(v).over(inside) + F.col(f"{v}_before")).alias(n) for n, v in zip(sums, values, strict=True)))
+    found = [(F.sum(v).over(inside) + F.col(f"{v}_before")).alias(n) for n, v in zip(sums, values, strict=True)]
+    whole = [F.col(f"{v}_total").alias(f"{n}_total") for n, v in zip(sums, values, strict=True)] if totals else []
+    return both.select(*(placed[c] for c in df.columns), *found, *whole)

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import densities, priors, random
+from ..functions import densities, priors, random, tables
 from ..operators import folds, inference, models, nonlinear, posterior
 from ..sources import series as src
 
@@ -375,6 +375,70 @@ def split_rhat(spark, sf_dir):
     return rounded(posterior.rhat(posterior.long_draws(_chains(spark, sf_dir)), ["series_id", "variable"]))
 
 
+@query(f"""
+    with recursive {LEVEL_DAILY} select series_id, t, round(case when y is null then a else a + p / (p + 64.0) * (y - a) end, 6) + 0.0 as att, round(case when y is null then p else p * 64.0 / (p + 64.0) end, 6) + 0.0 as ptt,
+        round(case when y is null then ll else ll - 0.5 * (ln(2 * pi()) + ln(p + 64.0) + pow(y - a, 2) / (p + 64.0)) end, 6) + 0.0 as loglik from f
+""")
+def table_function_filter(spark, sf_dir):
+    """The level filter as a table function in SQL, row by row."""
+    tables.register(spark)
+    src.daily_counts(spark, sf_dir).createOrReplaceTempView("sw_daily_counts")
+    model = '{"sd_level": 3, "sd_y": 8, "a1": [50], "P1": [[400]]}'
+    found = spark.sql(f"select series_id, t, att[0] as att, ptt[0] as ptt, loglik from state_filter(table(sw_daily_counts) partition by series_id order by t, model => '{model}')")
+    return rounded(found)
+
+
+STATES = f"select (l_suppkey % 7)::varchar as series_id, l_linenumber::int as t, 1 - l_discount as weight, l_tax as x0, l_quantity as x1, l_extendedprice / 1e4 as x2 from lineitem"
+
+
+@query(f"""
+    with v as ({STATES}), p as (select series_id, t, weight, unnest([{{'i': 0, 'j': 0, 'a': x0, 'b': x0}}, {{'i': 0, 'j': 1, 'a': x0, 'b': x1}}, {{'i': 0, 'j': 2, 'a': x0, 'b': x2}}, {{'i': 1, 'j': 1, 'a': x1, 'b': x1}},
+        {{'i': 1, 'j': 2, 'a': x1, 'b': x2}}, {{'i': 2, 'j': 2, 'a': x2, 'b': x2}}]) as e from v),
+    m as (select series_id, t, e.i as i, e.j as j, sum(weight) as w, sum(weight * e.a) / sum(weight) as ma, sum(weight * e.b) / sum(weight) as mb from p group by all)
+    select series_id, t, i, j, round(any_value(ma), 6) + 0.0 as mean_i, round(any_value(mb), 6) + 0.0 as mean_j, round(sum(weight * (e.a - ma) * (e.b - mb)) / any_value(w), 5) + 0.0 as covariance
+    from p join m on m.series_id = p.series_id and m.t = p.t and m.i = p.e.i and m.j = p.e.j group by 1, 2, 3, 4 order by 1, 2, 3, 4
+""".replace("select series_id, t, i, j, round", "select p.series_id, p.t, m.i, m.j, round"))
+def state_covariance(spark, sf_dir):
+    """Weighted means and covariances of vectors of states at each time."""
+    line = src.table(spark, sf_dir, "lineitem")
+    rows = line.select((F.col("l_suppkey") % 7).cast("string").alias("series_id"), F.col("l_linenumber").cast("int").alias("t"), (1 - F.col("l_discount")).alias("weight"), F.array("l_tax", "l_quantity", F.col("l_extendedprice") / 1e4).alias("values"))
+    found = posterior.matrix_moments(rows, ["series_id", "t"])
+    return found.withColumns({"mean_i": F.round("mean_i", 6) + 0.0, "mean_j": F.round("mean_j", 6) + 0.0, "covariance": F.round("covariance", 5) + 0.0})
+
+
+@query(f"""
+    with {CHAINS}, b as (select series_id, variable, null::int as time, value from draws union all select (l_suppkey % 7)::varchar, 'level', l_linenumber::int, l_quantity from lineitem),
+    g as (select series_id, variable, time, grouping(time) as level, count(*) as n, avg(value) as mean, stddev_samp(value) as sd, quantile_cont(value, 0.025) as lo, quantile_cont(value, 0.975) as hi
+        from b group by grouping sets ((series_id, variable), (series_id, variable, time)))
+    select series_id, variable, coalesce(time, 0) as time, n::bigint as n, round(mean, 6) + 0.0 as mean, round(sd, 6) + 0.0 as sd, round(lo, 6) + 0.0 as q2_5, round(hi, 6) + 0.0 as q97_5 from g where level > 0 or time is not null
+""")
+def summary_both(spark, sf_dir):
+    """Parameters, and states at each and over all times (time 0), by grouping sets."""
+    theta = posterior.long_draws(_chains(spark, sf_dir)).select("series_id", "variable", F.lit(None).cast("int").alias("time"), "value")
+    line = src.table(spark, sf_dir, "lineitem")
+    states = line.select((F.col("l_suppkey") % 7).cast("string").alias("series_id"), F.lit("level").alias("variable"), F.col("l_linenumber").cast("int").alias("time"), F.col("l_quantity").cast("double").alias("value"))
+    return rounded(posterior.summary_both(theta.unionByName(states)).withColumn("time", F.coalesce("time", F.lit(0))))
+
+
+@query(f"""
+    with {CHAINS}, l as (select (l_suppkey % 7)::varchar as series_id, (l_suppkey % 3)::int as chain_id, row_number() over (partition by l_suppkey % 7, l_suppkey % 3 order by {LINE_ORDER}) as block, l_tax, l_discount, l_quantity, l_extendedprice from lineitem)
+    select f.series_id, f.chain_id, f.first::bigint as iter, round(f.count * f.weight, 6) + 0.0 as weight, round(theta_1, 6) + 0.0 as theta_1, round(theta_2, 6) + 0.0 as theta_2,
+        round(l_tax, 6) + 0.0 as "level[1]", round(l_quantity, 6) + 0.0 as "level[2]", null::double as "level[3]", round(l_discount, 6) + 0.0 as "slope[1]", round(l_extendedprice / 1e4, 6) + 0.0 as "slope[2]", null::double as "slope[3]"
+    from firsts f join l using (series_id, chain_id, block)
+""")
+def draws_wide_states(spark, sf_dir):
+    """Chosen states at chosen times as columns, picked from nested paths."""
+    line = src.table(spark, sf_dir, "lineitem")
+    order = Window.partitionBy("series_id", "chain_id").orderBy(*LINE)
+    keyed = line.withColumns({"series_id": (F.col("l_suppkey") % 7).cast("string"), "chain_id": (F.col("l_suppkey") % 3).cast("int")})
+    alpha = F.array(F.array("l_tax", "l_discount"), F.array("l_quantity", F.col("l_extendedprice") / 1e4)).alias("alpha")
+    chain = keyed.select(
+        "series_id", "chain_id", F.row_number().over(order).alias("block"), (1 + F.col("l_quantity").cast("int") % 4).alias("count"), (1 - F.col("l_discount")).alias("weight"),
+        F.array("l_tax", F.col("l_extendedprice") / 1e4).alias("theta"), F.array(F.lit("theta_1"), F.lit("theta_2")).alias("names"), alpha,
+    )
+    return rounded(posterior.wide_states(chain, {"level": 0, "slope": 1}, [1, 2, 3]))
+
+
 UNIFORM = "((('0x' || substr(md5({key}), 1, 13))::bigint + 0.5) / 4503599627370496.0)"
 
 
