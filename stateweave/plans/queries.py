@@ -573,19 +573,62 @@ def _scaled(spark, sf_dir) -> DataFrame:
     return s.withColumn("y", F.col("y") / F.avg("y").over(Window.partitionBy("series_id")))
 
 
-@query()
+#: The extended filter of y ~ N(exp(x), s2), x' = 0.6 x + N(0, q2) by recursion: predictions (a, p), updates (att, ptt), log density of each time.
+EXTENDED = f"""
+    {MONTHLY}, scaled as (select series_id, t, y / avg(y) over (partition by series_id) as y from monthly),
+    f as (
+        select series_id, t, y, a, p, case when y is null then a else a + k * (y - exp(a)) end as att, case when y is null then p else pow(1 - k * exp(a), 2) * p + k * k * exp(-2.0) end as ptt
+            from (select *, p * exp(a) / (exp(2 * a) * p + exp(-2.0)) as k from (select *, 0.0::double as a, exp(-3.0) / 0.64 as p from scaled where t = 1))
+        union all
+        select series_id, t, y, a, p, case when y is null then a else a + k * (y - exp(a)) end as att, case when y is null then p else pow(1 - k * exp(a), 2) * p + k * k * exp(-2.0) end as ptt
+            from (select *, p * exp(a) / (exp(2 * a) * p + exp(-2.0)) as k from (select n.series_id, n.t, n.y, 0.6 * f.att as a, 0.36 * f.ptt + exp(-3.0) as p from f join scaled n on n.series_id = f.series_id and n.t = f.t + 1))
+    ),
+    ll as (select series_id, sum(case when y is null then 0.0 else -0.5 * (ln(2 * pi()) + ln(exp(2 * a) * p + exp(-2.0)) + pow(y - exp(a), 2) / (exp(2 * a) * p + exp(-2.0))) end) as loglik from f group by 1)
+"""
+#: The unscented one: three points, a million times their weights' sum, so a few digits cancel.
+UNSCENTED = f"""
+    {MONTHLY}, scaled as (select series_id, t, y / avg(y) over (partition by series_id) as y from monthly),
+    f as (
+        select series_id, t, y, s, e, case when y is null then a else a + c / s * e end as att, case when y is null then p else p - c * c / s end as ptt
+            from (select *, -999996.000001 * pow(exp(a) - z, 2) + 5e5 * pow(exp(a + d) - z, 2) + 5e5 * pow(exp(a - d) - z, 2) + exp(-2.0) as s, 5e5 * d * (exp(a + d) - exp(a - d)) as c, y - z as e
+                from (select *, -999999 * exp(a) + 5e5 * exp(a + d) + 5e5 * exp(a - d) as z from (select *, 0.001 * sqrt(p) as d from (select *, 0.0::double as a, exp(-3.0) / 0.64 as p from scaled where t = 1))))
+        union all
+        select series_id, t, y, s, e, case when y is null then a else a + c / s * e end as att, case when y is null then p else p - c * c / s end as ptt
+            from (select *, -999996.000001 * pow(exp(a) - z, 2) + 5e5 * pow(exp(a + d) - z, 2) + 5e5 * pow(exp(a - d) - z, 2) + exp(-2.0) as s, 5e5 * d * (exp(a + d) - exp(a - d)) as c, y - z as e
+                from (select *, -999999 * exp(a) + 5e5 * exp(a + d) + 5e5 * exp(a - d) as z from (select *, 0.001 * sqrt(p) as d
+                    from (select n.series_id, n.t, n.y, 0.6 * f.att as a, 0.36 * f.ptt + exp(-3.0) as p from f join scaled n on n.series_id = f.series_id and n.t = f.t + 1))))
+    ),
+    ll as (select series_id, sum(case when y is null then 0.0 else -0.5 * (ln(2 * pi()) + ln(s) + e * e / s) end) as loglik from f group by 1)
+"""
+AR_EXP = [0.0, 0.6, -1.5, -1.0]
+
+
+def _first_state(rows: DataFrame, digits: int = 6) -> DataFrame:
+    return rounded(rows.select("series_id", "t", F.col("mean")[0].alias("mean"), F.col("cov")[0].alias("cov"), "loglik"), digits)
+
+
+@query(f"with recursive {EXTENDED} select series_id, t, round(att, 6) + 0.0 as mean, round(ptt, 6) + 0.0 as cov, round(loglik, 6) + 0.0 as loglik from f join ll using (series_id)")
 def extended_filter(spark, sf_dir):
-    return nonlinear.filter_series(_scaled(spark, sf_dir), nonlinear.example("nlg_ar_exp"), [0.0, 0.6, -1.5, -1.0], "ekf")
+    return _first_state(nonlinear.filter_series(_scaled(spark, sf_dir), nonlinear.example("nlg_ar_exp"), AR_EXP, "ekf"))
 
 
-@query()
+@query(f"""
+    with recursive {EXTENDED},
+    b as (
+        select series_id, t, a, p, att as m, ptt as v from f where t = (select max(t) from f)
+        union all
+        select f.series_id, f.t, f.a, f.p, f.att + f.ptt * 0.6 / b.p * (b.m - b.a), f.ptt + pow(f.ptt * 0.6 / b.p, 2) * (b.v - b.p) from b join f on f.series_id = b.series_id and f.t = b.t - 1
+    )
+    select series_id, t, round(m, 6) + 0.0 as mean, round(v, 6) + 0.0 as cov, round(loglik, 6) + 0.0 as loglik from b join ll using (series_id)
+""")
 def extended_smoother(spark, sf_dir):
-    return nonlinear.filter_series(_scaled(spark, sf_dir), nonlinear.example("nlg_ar_exp"), [0.0, 0.6, -1.5, -1.0], "ekf", smoothed=True)
+    return _first_state(nonlinear.filter_series(_scaled(spark, sf_dir), nonlinear.example("nlg_ar_exp"), AR_EXP, "ekf", smoothed=True))
 
 
-@query()
+@query(f"with recursive {UNSCENTED} select series_id, t, round(att, 4) + 0.0 as mean, round(ptt, 4) + 0.0 as cov, round(loglik, 3) + 0.0 as loglik from f join ll using (series_id)")
 def unscented_filter(spark, sf_dir):
-    return nonlinear.filter_series(_scaled(spark, sf_dir), nonlinear.example("nlg_ar_exp"), [0.0, 0.6, -1.5, -1.0], "ukf")
+    rows = _first_state(nonlinear.filter_series(_scaled(spark, sf_dir), nonlinear.example("nlg_ar_exp"), AR_EXP, "ukf"), 4)
+    return rows.withColumn("loglik", F.round("loglik", 3) + 0.0)
 
 
 @query()
