@@ -45,7 +45,7 @@ class WordCodec:
     No match crosses ASCII white space. Plain Latin words are merged in padded matrices; any other chunk is left to the library.
     """
 
-    def __init__(self, path: str, memo: int = 600_000):
+    def __init__(self, path: str, memo: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
