@@ -249,8 +249,8 @@ def summarised(pf: dict, n: int, smoothed: bool) -> pd.DataFrame:
 def run_mcmc(series: DataFrame, spec: Spec, iterations: int, burnin: int | None = None, chains: int = 1, method: str = "is2", sampling: str = "psi", count: int = 10, seed: int = 1, target: float = 0.234, gamma: float = 2 / 3, adapt_after: bool = True, thin: int = 1, S: np.ndarray | None = None, local_approx: bool = True) -> DataFrame:
     """Jump chains (see ``posterior``) of adaptive Metropolis; every ``thin``-th iteration counts, ``S`` is the first proposal's factor.
 
-    Chains of one variable step together, ``BATCH`` chains to a task, unless each step needs particles; others have a task per
-    series and chain. Gaussian models use their likelihood. Others: ``approx`` (the approximation's), ``pm`` (pseudo-marginal),
+    Chains of one variable, or of several Gaussian ones, step together, ``BATCH`` chains to a task, unless each step needs particles;
+    others have a task per series and chain. Gaussian models use their likelihood. Others: ``approx`` (the approximation's), ``pm`` (pseudo-marginal),
     ``da`` (delayed acceptance), or ``is1``/``is2``/``is3`` (approximate chains whose blocks ``correct`` then weights in parallel).
     Blocks of the latter keep the signals' ``mode``, which everything after reads in place of a new search. Without ``local_approx``
     a series has one mode, that of the starting values. The chain is written to the shared folder once.
@@ -259,7 +259,8 @@ def run_mcmc(series: DataFrame, spec: Spec, iterations: int, burnin: int | None
     burn = iterations // 2 if burnin is None else burnin
     corrected = method in ("is1", "is2", "is3")
     first = spec.build(spec.start())
-    if kernels.batchable(first) and dict(series.dtypes)["y"] == "double" and (not first.dist or corrected or method == "approx"):
+    single = kernels.batchable(first) and dict(series.dtypes)["y"] == "double"
+    if single and (not first.dist or corrected or method == "approx") or not single and spec.betas is None and kernels.batchable_many(first):
         chain = written(_together(series, spec, iterations, burn, chains, seed, target, gamma, adapt_after, thin, S, local_approx, bool(first.dist) and corrected), "chain")
         return correct(chain, series, spec, count, sampling, method, seed) if first.dist and corrected else chain
 
@@ -325,7 +326,9 @@ def _together(series: DataFrame, spec: Spec, iterations: int, burn: int, chains:
             return _no_rows(c.split()[0] for c in schema.split(", "))
         keys = [(sid, c, k) for k, (sid, *_) in enumerate(groups) for c in range(1, chains + 1)]
         length = max(len(g[1]) for g in groups)
-        padded = lambda column, fill: np.stack([np.concatenate([g[column][:, 0], np.full(length - len(g[1]), fill)]) for g in groups])
+        several = groups[0][1].shape[1] > 1
+        cut = (slice(None),) if several else (slice(None), 0)
+        padded = lambda column, fill: np.stack([np.concatenate([v := g[column][cut], np.full((length - len(v), *v.shape[1:]), fill)]) for g in groups])
         of = np.array([k for _, _, k in keys])
         data, u = padded(1, np.nan)[of], padded(2, 1.0)[of]
         bound = [spec.bind(g[3]) for g in groups]
@@ -339,6 +342,7 @@ def _together(series: DataFrame, spec: Spec, iterations: int, burn: int, chains:
             x = x[of]
 
         fixed: list[np.ndarray] = []
+        near = np.full(data.shape, np.nan) if dist else None  # each chain's last mode, where its next search starts
 
         def log_target(theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             out = spec.log_priors(theta)
@@ -346,6 +350,14 @@ def _together(series: DataFrame, spec: Spec, iterations: int, burn: int, chains:
             ok = np.flatnonzero(np.isfinite(out))
             if len(ok):
                 with np.errstate(all="ignore"):
+                    if several:
+                        built = [bound[of[k]].build(theta[k]) for k in ok]
+                        try:
+                            out[ok] += kernels.forward_many(built, data[ok])
+                        except np.linalg.LinAlgError:  # of one model of the batch
+                            for k, b in zip(ok, built, strict=True):
+                                out[k] += kernels.kalman(b, data[k])["loglik"]
+                        return np.where(np.isnan(out), -np.inf, out), kept
                     if spec.stack is not None:
                         models = spec.stack(theta[ok])
                         D = np.zeros((len(ok), 1)) if x is None else (x[ok] @ np.array([spec.betas(theta[k]) for k in ok])[:, :, None])[:, :, 0]
@@ -353,10 +365,11 @@ def _together(series: DataFrame, spec: Spec, iterations: int, burn: int, chains:
                         built = [bound[of[k]].build(theta[k]) for k in ok]
                         models, D = kernels.stacked(built), kernels.offsets(built, length)
                     if dist:
-                        value, (mode, *_) = kernels.batched_approximate_loglik(models, dist, data[ok], u[ok], np.broadcast_to(D, data[ok].shape), None if local_approx or not fixed else fixed[0][ok])
+                        value, (mode, *_) = kernels.batched_approximate_loglik(models, dist, data[ok], u[ok], np.broadcast_to(D, data[ok].shape), None if local_approx or not fixed else fixed[0][ok], near[ok])
                         if not fixed and len(ok) == len(theta):
                             fixed.append(mode)
                         out[ok] += value
+                        near[ok] = mode
                         if modes:
                             kept[ok] = mode
                     else:

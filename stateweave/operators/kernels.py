@@ -417,6 +417,41 @@ def stacked(built: list[Matrices]) -> dict[str, np.ndarray]:
     }
 
 
+def batchable_many(model: Matrices) -> bool:
+    """Whether ``forward_many`` can take it: several Gaussian variables and no matrix but D over time."""
+    return not model.dist and model.Z.ndim == model.H.ndim == model.T.ndim == model.R.ndim == 2 and model.C.ndim == 1
+
+
+def forward_many(built: list[Matrices], data: np.ndarray) -> np.ndarray:
+    """Log-likelihoods of many series of several variables (rows x times x variables; NaN if missing or past their end), each under its own model."""
+    stack = lambda f: np.stack([f(x) for x in built])
+    Z, T, C, HH, RR = (stack(f) for f in (lambda x: x.Z, lambda x: x.T, lambda x: x.C, lambda x: x.H @ x.H.T, lambda x: x.R @ x.R.T))
+    a, P = stack(lambda x: x.a1), stack(lambda x: x.P1)
+    B, n, p = data.shape
+    D = np.zeros((B, n, p))
+    for k, x in enumerate(built):
+        D[k, : min(n, len(x.D)) if x.D.ndim == 2 else n] = x.D[:n] if x.D.ndim == 2 else x.D
+    seen = np.isfinite(data)
+    resid, eye = np.where(seen, data - D, 0.0), np.eye(p)
+    Tt, loglik = T.transpose(0, 2, 1), np.zeros(B)
+    for t in range(n):
+        whole = seen[:, t].all()
+        Zt = Z if whole else Z * seen[:, t, :, None]
+        F = Zt @ P @ Zt.transpose(0, 2, 1) + (HH if whole else np.where(seen[:, t, :, None] & seen[:, t, None, :], HH, eye))
+        fine = (np.diagonal(F, axis1=1, axis2=2) > TOLERANCE).all(1) & seen[:, t].any(1)
+        F = np.where(fine[:, None, None], F, eye)
+        v = np.where(fine[:, None], resid[:, t] - (Zt @ a[:, :, None])[:, :, 0], 0.0)
+        Fi = np.linalg.inv(F)
+        w = (Fi @ v[:, :, None])[:, :, 0]
+        loglik -= 0.5 * np.where(fine, seen[:, t].sum(1) * LOG_2PI + np.log(np.linalg.det(F)) + (v * w).sum(1), 0.0)
+        ZP = np.where(fine[:, None, None], Zt @ P, 0.0)
+        a = a + (ZP.transpose(0, 2, 1) @ w[:, :, None])[:, :, 0]
+        P = P - ZP.transpose(0, 2, 1) @ Fi @ ZP
+        a, P = C + (T @ a[:, :, None])[:, :, 0], T @ P @ Tt + RR
+        P = (P + P.transpose(0, 2, 1)) / 2
+    return loglik
+
+
 def offsets(built: list[Matrices], n: int) -> np.ndarray:
     """D of many models at n times; past the end of a shorter series it is 0."""
     out = np.zeros((len(built), n))
@@ -493,9 +528,26 @@ def signal_means(models: dict[str, np.ndarray], steps: list) -> np.ndarray:
     return out
 
 
-def find_modes(models: dict[str, np.ndarray], dist: str, y: np.ndarray, u: np.ndarray, D: np.ndarray, rounds: int = 100, tolerance: float = 1e-8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signals at the posterior modes of many series of one distribution (rows), with the pseudo-observations and variances there."""
+def find_modes(models: dict[str, np.ndarray], dist: str, y: np.ndarray, u: np.ndarray, D: np.ndarray, rounds: int = 100, tolerance: float = 1e-8, near: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signals at the posterior modes of many series of one distribution (rows), with the pseudo-observations and variances there.
+
+    Rows of ``near`` that are finite are where the search starts, if it ends there in a finite mode; a near start spares most rounds.
+    """
     s, phi = start_signal(dist, y, u), models["phi"][:, None]
+    if near is not None and (known := np.isfinite(near).all(1)).any():
+        s = np.where(known[:, None], near, s)
+        out, going = find_modes_from(models, dist, y, u, D, s, rounds, tolerance)
+        lost = np.flatnonzero(known & (going | ~np.isfinite(out[0]).all(1)))
+        if len(lost):
+            for x, z in zip(out, find_modes(some(models, lost), dist, y[lost], u[lost], D[lost], rounds, tolerance), strict=True):
+                x[lost] = z
+        return out
+    return find_modes_from(models, dist, y, u, D, s, rounds, tolerance)[0]
+
+
+def find_modes_from(models: dict[str, np.ndarray], dist: str, y: np.ndarray, u: np.ndarray, D: np.ndarray, s: np.ndarray, rounds: int, tolerance: float) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """The same from signals ``s``, and which rows hadn't ended after all rounds."""
+    phi = models["phi"][:, None]
     todo = np.arange(len(y))
     for _ in range(rounds):
         m = some(models, todo)
@@ -508,8 +560,10 @@ def find_modes(models: dict[str, np.ndarray], dist: str, y: np.ndarray, u: np.nd
         todo = todo[np.isfinite(change) & (change >= tolerance)]
         if not len(todo):
             break
+    going = np.zeros(len(y), bool)
+    going[todo] = True
     py, h = laplace_step(dist, y, s, u, phi)
-    return s, np.where(np.isfinite(y), py, np.nan), np.where(np.isfinite(h), h, 1.0)
+    return (s, np.where(np.isfinite(y), py, np.nan), np.where(np.isfinite(h), h, 1.0)), going
 
 
 def fixed_modes(dist: str, s: np.ndarray, y: np.ndarray, u: np.ndarray, phi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -518,10 +572,14 @@ def fixed_modes(dist: str, s: np.ndarray, y: np.ndarray, u: np.ndarray, phi: np.
     return s, np.where(np.isfinite(y), py, np.nan), np.where(np.isfinite(h), h, 1.0)
 
 
-def batched_approximate_loglik(models: dict[str, np.ndarray], dist: str, y: np.ndarray, u: np.ndarray, D: np.ndarray, modes: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
-    """``Approximation(...).loglik`` of many series, at their modes or at given ones; and modes, pseudo-observations, variances and log ratios at the modes."""
+#: Mean squared change at which batched searches end: small enough that a mode doesn't depend on where its search began.
+MODE_TOLERANCE = 1e-14
+
+
+def batched_approximate_loglik(models: dict[str, np.ndarray], dist: str, y: np.ndarray, u: np.ndarray, D: np.ndarray, modes: np.ndarray | None = None, near: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
+    """``Approximation(...).loglik`` of many series, at their modes (searched from ``near``) or at given ones; and modes, pseudo-observations, variances and log ratios at the modes."""
     phi, seen = models["phi"][:, None], np.isfinite(y)
-    s, py, h = find_modes(models, dist, y, u, D) if modes is None else fixed_modes(dist, modes, y, u, phi)
+    s, py, h = find_modes(models, dist, y, u, D, tolerance=MODE_TOLERANCE, near=near) if modes is None else fixed_modes(dist, modes, y, u, phi)
     g = forward(models, py - D, h)[0]
     full = np.where(seen, y, 1.0)
     const = np.stack([obs_const(dist, row, e, float(p)) for row, e, p in zip(full, u, models["phi"], strict=True)])
@@ -564,8 +622,9 @@ def batched_smoother(models: dict[str, np.ndarray], data: np.ndarray, h: np.ndar
 
 
 def batched_roots(V: np.ndarray) -> np.ndarray:
+    """Symmetric square roots: unlike factors of eigenvectors they change little if V does, so draws from them do too."""
     vals, vecs = np.linalg.eigh((V + V.swapaxes(-1, -2)) / 2)
-    return vecs * np.sqrt(np.maximum(vals, 0))[..., None, :]
+    return (vecs * np.sqrt(np.maximum(vals, 0))[..., None, :]) @ vecs.swapaxes(-1, -2)
 
 
 def batched_guided(models: dict[str, np.ndarray], dist: str, y: np.ndarray, u: np.ndarray, D: np.ndarray, count: int, rngs: list[np.random.Generator], modes: np.ndarray | None = None, paths: bool = False) -> tuple[np.ndarray, np.ndarray | None]:

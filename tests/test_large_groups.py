@@ -173,3 +173,42 @@ def test_wide_states_of_a_chain(counts):
     for r in wide.collect():
         block = firsts[r.series_id].index(r.iter) + 1
         assert all(abs(r[f"{n}[{t}]"] - long[r.series_id, block, t, k]) < 1e-12 for k, n in enumerate(("level", "slope")) for t in (1, 16))
+
+
+def test_several_variables_step_together(spark):
+    """Batched likelihoods of bivariate series with partly missing rows and different lengths, against the filter of one; and chains of them."""
+    rng = np.random.default_rng(12)
+    built, data = [], []
+    for k in range(5):
+        Z, T = rng.normal(size=(2, 3)), 0.5 * rng.normal(size=(3, 3))
+        built.append(models.Matrices(Z, T, rng.normal(size=(3, 2)), rng.normal(size=3), np.eye(3), rng.normal(size=(2, 2)) if k else np.zeros((2, 2)), rng.normal(size=(20, 2)) if k % 2 else None))
+        y = rng.normal(size=(20, 2))
+        y[3, 0] = y[7] = np.nan
+        y[15 + k :] = np.nan
+        data.append(y)
+    assert np.allclose(kernels.forward_many(built, np.array(data)), [kernels.kalman(b, y)["loglik"] for b, y in zip(built, data, strict=True)])
+    sds = {"level": pr.halfnormal(1, 5), "noise": pr.halfnormal(1, 5)}
+    spec = models.general(lambda th: models.Matrices(np.eye(2), np.eye(2), np.exp(th[0]) * np.eye(2), np.zeros(2), 9 * np.eye(2), np.exp(th[1]) * np.eye(2)), sds, tuple(sds))
+    y = np.cumsum(rng.normal(size=(25, 2)), 0)
+    rows = [(s, t + 1, [None if t == 4 else float(a), float(b)]) for s in "ab" for t, (a, b) in enumerate(y[: 25 if s == "a" else 18])]
+    series = spark.createDataFrame(rows, "series_id string, t int, y array<double>")
+    chain = inference.run_mcmc(series, spec, 60, 20, chains=2)
+    assert chain.groupBy("series_id", "chain_id").agg(F.sum("count")).count() == 4
+    for r in chain.limit(6).collect():
+        own = y[: 25 if r.series_id == "a" else 18].copy()
+        own[4, 0] = np.nan
+        theta = np.array(r.theta)
+        assert abs(r.approx - kernels.kalman(spec.build(theta), own)["loglik"]) < 1e-8
+
+
+def test_a_near_start_finds_the_same_modes():
+    rng = np.random.default_rng(13)
+    y, u = rng.poisson(4, (6, 30)).astype(float), np.ones((6, 30))
+    y[2, 5:9] = np.nan
+    m = kernels.stacked([SPEC.build(np.array([v])) for v in np.linspace(-3, 0, 6)])
+    D = np.zeros_like(y)
+    far = kernels.find_modes(m, "poisson", y, u, D)
+    near = np.where(np.arange(6)[:, None] == 4, np.nan, far[0] + 0.3)
+    near[1] = 1e6  # a start from which the search is lost
+    for a, b in zip(far, kernels.find_modes(m, "poisson", y, u, D, near=near), strict=True):
+        assert np.allclose(a, b, atol=1e-3, equal_nan=True)
