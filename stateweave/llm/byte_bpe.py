@@ -5,7 +5,8 @@ units come from a bounded memo. The pattern's matches in unknown units are encod
 length, in padded matrices. Each round every row merges its leftmost pair of least rank, looked up in a hashed pair table,
 and is compacted; rows without a pair leave. Matches over ``LONG`` bytes are merged by the same order with a heap.
 
-Defined results: null text is empty: no ids, hash of no bytes. Ids outside the vocabulary can't be decoded and raise.
+Defined results: null text is empty: no ids, hash of no bytes; a null doc_id is kept; repeated rows repeat; texts of any length are
+encoded whole; an empty table gives none. Ids outside the vocabulary can't be decoded and raise.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ zstandard frame, primed with a dictionary of identifiers and usual code words, g
 text around it. Candidates that cost at least ``MIN_COST`` of their length are incompressible and reported, unless a base
 span touches them. Offsets are code points, ends exclusive.
 
-Defined results: null and empty texts have no spans; repeated rows repeat; an empty table gives none.
+Defined results: null and empty texts have no spans; a null doc_id is kept; texts of any length are scanned whole; repeated rows
+repeat; an empty table gives none.
 """
 
 from __future__ import annotations
