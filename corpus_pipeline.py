@@ -7,6 +7,10 @@
 5. packing: the token sequences.
 
 All but the last return the columns of ``documents``.
+
+Defined results: null and empty texts have no words, so the quality rules reject them; documents with a null id take no part in
+near_dedup and substring_dedup and stay; of rows that repeat an id and text one stays; columns beyond those of ``documents`` are
+carried along, whatever their names; an empty table gives no piece.
 """
 
 from __future__ import annotations
