@@ -11,7 +11,7 @@ Below a root stands a tree of ``FAN`` children a node: a node holds the OR of it
 the most tokens that collide in a bitmap, and the range of the components they are known to be in. Two nodes are
 traversed together, from (root, root) down, unless no pair of their members can link: sizes too far apart, one component,
 or an overlap, at most the bits they share plus colliding tokens, below what the least sizes need. What is left at the
-leaves is confirmed on full sets of hashes. Roots of at most ``LEAF`` classes are traversed within a task. Larger ones are
+leaves is confirmed on full sets of hashes. Roots of at most ``LEAF`` classes and ``LEAF_TOKENS`` tokens are traversed within a task. Larger ones are
 compared with ``PIVOTS`` members first; if links then connect all, they are done, else their members form nodes of about ``BLOCK``
 and the pairs of nodes, except those within the main component, are rows that are pruned, then opened, over all tasks.
 
@@ -38,7 +38,8 @@ PERCENT = 90
 SPARE = 2
 #: Ranges whose roots are linked first; the others then skip roots whose members are connected.
 FIRST = 4
-LEAF = 1024
+LEAF = 256
+LEAF_TOKENS = 500_000
 FAN = 8
 PIVOTS = 2
 BLOCK = 256
@@ -391,17 +392,19 @@ def linked(docs: DataFrame, classes: DataFrame, width: int = WIDTH, percent: int
     """(id, component) of the classes with a link; components are those of all pairs of sets that link."""
     comps = None
     for column in ("early", "late"):
-        members = classes.select(F.explode(column).alias("root"), "id")
-        roots = materialize(members.groupBy("root").agg(F.count("*").alias("k"), F.min("id").alias("least"), F.max("id").alias("most")).where("k > 1"), "roots")
+        members = classes.select(F.explode(column).alias("root"), "id", "n")
+        roots = members.groupBy("root").agg(F.count("*").alias("k"), F.sum("n").alias("tokens"), F.min("id").alias("least"), F.max("id").alias("most")).where("k > 1")
+        roots = materialize(roots, "roots")
+        is_leaf = (F.col("k") <= LEAF) & (F.col("tokens") <= LEAF_TOKENS)
         twos = roots.where("k = 2").select(F.array("least", "most").alias("ids"))
-        more = materialize(members.join(small(materialize(roots.where("k > 2").select("root", "k"), "more-roots")), "root"), "more")
-        large = more.where(F.col("k") > LEAF).select("root", "id")
+        more = materialize(members.join(small(materialize(roots.where("k > 2").select("root", is_leaf.alias("leaf")), "more-roots")), "root"), "more")
+        large = more.where("not leaf").select("root", "id")
         if not large.isEmpty():
             comps = extended(comps, _confirmed(docs, classes, _pivot_pairs(large), width, percent))
             left = materialize(_mixed(_placed(large, comps), "root", "large"), "open")
             if not left.isEmpty():
                 comps = extended(comps, _confirmed(docs, classes, _block_pairs(classes, left, percent), width, percent))
-        groups = more.where(F.col("k") <= LEAF).groupBy("root").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids")
+        groups = more.where("leaf").groupBy("root").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids")
         comps = extended(comps, _leaf_links(docs, classes, twos.unionByName(groups), comps, width, percent))
     return comps
 
