@@ -17,6 +17,7 @@ empty table gives none.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .byte_bpe import Codec
 from .common import map_rows, materialize
 
 BYTE_LEVEL = "byte_bpe_50k.json"
@@ -60,9 +62,13 @@ def byte_letters() -> dict[str, int]:
 
 
 class Tokenizers:
-    """Both tokenizers with the bytes of their tokens."""
+    """Both tokenizers with the bytes of their tokens.
 
-    def __init__(self, byte_level: str = BYTE_LEVEL, pieces: str = PIECES):
+    A text goes to A in units cut at spaces after text, which none of A's matches crosses (see ``byte_bpe.Codec.split``); the ids of
+    known units come from a bounded memo.
+    """
+
+    def __init__(self, byte_level: str = BYTE_LEVEL, pieces: str = PIECES, memo: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         import sentencepiece
         import tokenizers
@@ -70,6 +76,8 @@ class Tokenizers:
         self.a = tokenizers.Tokenizer.from_file(public_tokenizers.path(byte_level))
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(pieces))
+        self.units: dict[str, bytes] = {}
+        self.limit = memo
         letters = byte_letters()
         entry = lambda i: bytes(letters[c] for c in self.a.id_to_token(i))
         self.bytes_a = Vocabulary([entry(i) for i in range(self.a.get_vocab_size())])
@@ -85,7 +93,7 @@ class Tokenizers:
         none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
         some = [k for k, t in enumerate(texts) if t]
         spaced = [" " + texts[k] for k in some]
-        left = [np.asarray(e.ids, np.int64) for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
+        left = self._left(spaced)
         right = [np.asarray(e, np.int64) for e in self.b.encode([texts[k] for k in some], num_threads=1)]
         out = [none] * len(texts)
         for k, text, x, y in zip(some, spaced, left, right, strict=True):
@@ -95,6 +103,21 @@ class Tokenizers:
         return out
 
 
+    def _left(self, texts: list[str]) -> list[np.ndarray]:
+        units = self.units
+        if len(units) > self.limit:
+            units.clear()
+        cut = []
+        for text in texts:
+            parts = Codec.split(text)
+            parts[1:] = [" " + p for p in parts[1:]]
+            cut.append(parts)
+        new = list(set().union(*cut).difference(units))
+        coded = self.a.encode_batch_fast(new, add_special_tokens=False)
+        units.update((u, np.array(e.ids, "<u4").tobytes()) for u, e in zip(new, coded, strict=True))
+        return [np.frombuffer(b"".join(map(units.__getitem__, parts)), "<u4").astype(np.int64) for parts in cut]
+
+
 def terminals(end_a: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each token of A and of B, given where they end over the same bytes: the terminal B token of its component."""
     n = len(end_a)
@@ -108,6 +131,12 @@ def terminals(end_a: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndar
         next_ = farther
 
 
+@functools.cache
+def worker_tokenizers(byte_level: str, pieces: str) -> Tokenizers:
+    """One pair of tokenizers, with its bounded memo, for all tasks of a Python worker."""
+    return Tokenizers(byte_level, pieces)
+
+
 def _decimals(n: int) -> tuple[np.ndarray, np.ndarray]:
     """ASCII digits of 0 to n - 1, a row each with room for a separator, and how many there are."""
     width = len(str(n))
@@ -159,7 +188,7 @@ def groups(docs: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str = PIECES)
     """doc_id, n_a, n_b, n_groups, n_links, groups_sha256 and ``links`` (A's id times 2^32 plus B's) of every row."""
 
     def make():
-        both = Tokenizers(byte_level, pieces)
+        both = worker_tokenizers(byte_level, pieces)
         table = _decimals(max(len(both.bytes_a.size), len(both.bytes_b.size)))
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:

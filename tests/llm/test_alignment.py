@@ -78,8 +78,8 @@ def test_on_documents(spark, both):
     assert sorted((tuple(r) for r in alignment.digest(docs).collect()), key=str) == brute(both, rows)
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.lists(st.lists(st.text(st.sampled_from("ab \né漢▁<s>0x"), max_size=40), min_size=1, max_size=5), min_size=1, max_size=1))
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.text(st.sampled_from("ab  \n\té漢▁<s>0x'.\x1c\x85\u00a0\u3000"), max_size=40), min_size=1, max_size=5), min_size=1, max_size=1))
 def test_any_texts(both, texts):
     texts = texts[0]
     coded = both.encode(texts)
