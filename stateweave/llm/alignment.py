@@ -17,7 +17,6 @@ empty table gives none.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import os
 
@@ -29,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import Codec
 from .common import map_rows, materialize
+from .worker import shared
 
 BYTE_LEVEL = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -131,10 +131,9 @@ def terminals(end_a: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndar
         next_ = farther
 
 
-@functools.cache
 def worker_tokenizers(byte_level: str, pieces: str) -> Tokenizers:
-    """One pair of tokenizers, with its bounded memo, for all tasks of a Python worker."""
-    return Tokenizers(byte_level, pieces)
+    """One pair of tokenizers, with its bounded memo, for all aligning tasks of a Python worker."""
+    return shared(Tokenizers, byte_level, pieces)
 
 
 def _decimals(n: int) -> tuple[np.ndarray, np.ndarray]:

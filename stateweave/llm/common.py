@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .worker import prepared, release
+
 SPACES = " \t\n\r\x0b\x0c"
 
 
@@ -91,7 +91,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
             yield batch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = make()
+        work = prepared(make)
         for batch in batches:
             for part in slices(batch):
                 out = work(part)
@@ -103,13 +103,6 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
     return df.mapInArrow(run, schema)
 
 
-def release() -> None:
-    """Give freed memory back to the system: workers outlive their tasks, and one task's peak would add to the next stage's."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def held_out(doc_id: str = "doc_id") -> Column:
     """Whether crc32 of the id as text leaves no remainder by 5; a null id counts as held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))

@@ -12,7 +12,6 @@ an empty table gives no piece.
 
 from __future__ import annotations
 
-import functools
 import itertools
 import json
 import math
@@ -29,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import Codec, PairTable
 from .common import map_rows, materialize
+from .worker import shared
 
 VOCABULARY = "word_bpe_49k.json"
 WINDOW = 2048
@@ -94,10 +94,9 @@ class WordCodec:
         return [b"".join(map(memo.__getitem__, chunks)) for chunks in cut]
 
 
-@functools.cache
 def word_codec(path: str) -> WordCodec:
-    """One codec, with its bounded memo, for all tasks of a Python worker."""
-    return WordCodec(path)
+    """One codec, with its bounded memo, for all packing tasks of a Python worker."""
+    return shared(WordCodec, path)
 
 
 PIECES = "part int, doc_id long, doc_tokens long, start long, length int, ids_crc32 long, rank long"
