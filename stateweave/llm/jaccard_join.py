@@ -38,7 +38,7 @@ PERCENT = 90
 SPARE = 2
 #: Ranges whose roots are linked first; the others then skip roots whose members are connected.
 FIRST = 4
-LEAF = 256
+LEAF = 512
 LEAF_TOKENS = 500_000
 FAN = 8
 PIVOTS = 2
