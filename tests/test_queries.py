@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from stateweave.plans import queries
 from stateweave.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -52,3 +53,12 @@ def test_chains_read_every_line(spark, tmp_path):
     spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/lineitem.parquet")
     assert sum(r.iterations for r in QUERIES["draws_acceptance"](spark, str(tmp_path)).collect()) == 2 * len(rows)
     assert QUERIES["draws_long"](spark, str(tmp_path)).count() == 2 * len(rows)
+
+
+def test_doubles_are_rounded_once(spark):
+    """-18.137454 is -18.137; by way of four digits it was -18.138."""
+    rows = spark.sql("select 'a' series_id, 1 t, array(0.12345D) mean, array(2.00005D) cov, -18.137454D loglik")
+    r = queries._first_state(rows, 4, loglik=3).first()
+    assert (r["mean"], r["cov"], r["loglik"]) == (0.1235, 2.0001, -18.137)
+    rows = QUERIES["unscented_filter"](spark, "/root/testdata/sf0.01").where("series_id = '2-HIGH'")
+    assert [x.loglik for x in rows.select("loglik").distinct().collect()] == [-18.137]
