@@ -56,7 +56,9 @@ def walk(start: Column, steps: Column, move) -> Column:
         x = move(acc["x"], k)
         return {"x": x}, x
 
-    return F.concat(F.array(start), fold_rows(steps, {"x": start}, "double", step))
+    # bound once: the fold mentions its steps and start several times
+    rows = lambda b: F.concat(F.array(b["start"]), fold_rows(b["steps"], {"x": b["start"]}, "double", step))
+    return F.transform(F.array(F.struct(start.alias("start"), steps.alias("steps"))), rows)[0]
 
 
 def scalar_filter(series: DataFrame, a1=0.0, p1=1.0, transition=1.0, sd_state=1.0, sd_y=1.0, constant=0.0) -> DataFrame:

@@ -51,7 +51,7 @@ def _arrays(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray | N
     return y, np.broadcast_to(u, y.shape), _matrix(frame["x"].tolist()) if "x" in frame else None
 
 
-def _dealt(df: DataFrame, *keys: str) -> DataFrame:
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` over all tasks by ``keys``: the work on a row is long and its bytes few, so partitions mustn't be merged by size."""
     spark = df.sparkSession
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
@@ -96,7 +96,7 @@ def per_series(series: DataFrame, work: Callable[..., pd.DataFrame], schema: str
         out.insert(0, "series_id", sid)
         return out[["series_id", *names]]
 
-    return _dealt(series, "series_id").groupBy("series_id").applyInPandas(run, f"series_id string, {schema}")
+    return dealt(series, "series_id").groupBy("series_id").applyInPandas(run, f"series_id string, {schema}")
 
 
 def left_out(series: DataFrame, spec: Spec, theta=None) -> DataFrame:
@@ -114,7 +114,7 @@ def left_out(series: DataFrame, spec: Spec, theta=None) -> DataFrame:
                 found = "start"
         return pd.DataFrame({"series_id": [frame["series_id"].iloc[0]], "problem": [found]}) if found else _no_rows(("series_id", "problem"))
 
-    return _dealt(series, "series_id").groupBy("series_id").applyInPandas(run, "series_id string, problem string")
+    return dealt(series, "series_id").groupBy("series_id").applyInPandas(run, "series_id string, problem string")
 
 
 def _gaussian(spec: Spec, theta: np.ndarray, y: np.ndarray, u: np.ndarray) -> tuple[Matrices, np.ndarray]:
@@ -312,7 +312,7 @@ def run_mcmc(series: DataFrame, spec: Spec, iterations: int, burnin: int | None
         })
 
     keyed = series.withColumn("chain_id", F.explode(F.array(*(F.lit(k) for k in range(1, chains + 1)))))
-    chain = written(_dealt(keyed, "series_id", "chain_id").groupBy("series_id", "chain_id").applyInPandas(run, CHAIN), "chain")
+    chain = written(dealt(keyed, "series_id", "chain_id").groupBy("series_id", "chain_id").applyInPandas(run, CHAIN), "chain")
     return correct(chain, series, spec, count, sampling, method, seed) if corrected else chain
 
 
@@ -425,7 +425,7 @@ def _per_slice(chain: DataFrame, series: DataFrame, work: Callable[..., list[dic
         return pd.DataFrame(out, dtype=None if out[keep[0]] else object)
 
     schema = ", ".join([f"{k} {types[k]}" for k in keep] + [columns])
-    left, right = (_dealt(df, "series_id", "slice").groupBy("series_id", "slice") for df in (blocks, copies))
+    left, right = (dealt(df, "series_id", "slice").groupBy("series_id", "slice") for df in (blocks, copies))
     return left.cogroup(right).applyInPandas(run, schema)
 
 

@@ -299,7 +299,7 @@ def run_mcmc(
 
     A series with infinite values, times that aren't 1 to n, or no finite posterior at the start gives no rows.
     """
-    from .inference import CHAIN, FAILURES, _arrays, _dealt, _fault, _no_rows
+    from .inference import CHAIN, FAILURES, _arrays, dealt, _fault, _no_rows
     from .scan import written
 
     burn = iterations // 2 if burnin is None else burnin
@@ -344,7 +344,7 @@ def run_mcmc(
         })
 
     keyed = series.withColumn("chain_id", F.explode(F.array(*(F.lit(k) for k in range(1, chains + 1)))))
-    return written(_dealt(keyed, "series_id", "chain_id").groupBy("series_id", "chain_id").applyInPandas(run, CHAIN), "chain")
+    return written(dealt(keyed, "series_id", "chain_id").groupBy("series_id", "chain_id").applyInPandas(run, CHAIN), "chain")
 
 
 def correct(chain: DataFrame, series: DataFrame, model: NonLinear | Diffusion, count: int = 50, sampling: str = "bsf", level: int = 4, seed: int = 1) -> DataFrame:
@@ -498,14 +498,17 @@ def predict(chain: DataFrame, series: DataFrame, model: NonLinear | Diffusion, h
 
 
 def milstein_column(x0: float, drift, diffusion, gradient, steps: Column, dt: float, seed: Column) -> Column:
-    """A Milstein path as a column fold: the state after each of ``steps`` steps, with hash random numbers."""
+    """A Milstein path as a column fold: the state after each of ``steps`` steps, with hash random numbers.
 
-    def move(x: Column, k: Column) -> Column:
-        db = math.sqrt(dt) * normal(seed, k)
+    The increments are drawn before the fold: within it every mention of one would draw it again.
+    """
+
+    def move(x: Column, db: Column) -> Column:
         s = diffusion(x)
         return x + drift(x) * dt + s * db + 0.5 * s * gradient(x) * (db * db - dt)
 
-    return folds.walk(F.lit(float(x0)), F.sequence(F.lit(1), steps), move)
+    increments = F.transform(F.sequence(F.lit(1), steps), lambda k: math.sqrt(dt) * normal(seed, k))
+    return folds.walk(F.lit(float(x0)), increments, move)
 
 
 def example(name: str):
