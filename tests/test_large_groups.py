@@ -212,3 +212,60 @@ def test_a_near_start_finds_the_same_modes():
     near[1] = 1e6  # a start from which the search is lost
     for a, b in zip(far, kernels.find_modes(m, "poisson", y, u, D, near=near), strict=True):
         assert np.allclose(a, b, atol=1e-3, equal_nan=True)
+
+
+def test_no_window_holds_a_chain(spark):
+    """Blocks were numbered, and halves found, by a window over each of a few chains."""
+    from stateweave.plans import queries
+
+    for name in ("draws_expand", "draws_long", "draws_wide_states"):
+        assert "row_number" not in queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString(), name
+    assert "ntile" not in queries.QUERIES["split_rhat"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
+def test_equal_values_are_added_up(spark, monkeypatch):
+    """No percentile gathers a group's values, and quantiles, moments and counts are those of numpy."""
+    rng = np.random.default_rng(3)
+    frame = pd.DataFrame({"variable": rng.choice(["a", "b"], 4000), "value": np.round(rng.normal(size=4000), 1)})
+    draws = spark.createDataFrame(frame)
+    found = posterior.summary(draws, ["variable"], (0.0, 0.1, 0.5, 1.0))
+    assert "percentile" not in found._jdf.queryExecution().toString()
+    for r in found.collect():
+        x = frame.value[frame.variable == r.variable].to_numpy()
+        assert np.allclose([r["mean"], r.sd, r.q0, r.q10, r.q50, r.q100], [x.mean(), x.std(ddof=1), *np.quantile(x, (0, 0.1, 0.5, 1))])
+    odd = spark.sql("select * from values ('one', 2.0D), ('none', null), ('mixed', null), ('mixed', 1.0D), ('mixed', 3.0D) t(variable, value)")
+    got = {r.variable: (r["mean"], r.sd, r.q50) for r in posterior.summary(odd, ["variable"], (0.5,)).collect()}
+    assert got == {"one": (2.0, None, 2.0), "none": (None, None, None), "mixed": (2.0, 2**0.5, 2.0)}
+
+
+def test_halves_of_ranges(spark, monkeypatch):
+    """Split R-hat from ranges of 64 iterations, with gaps, against whole chains."""
+    monkeypatch.setattr(posterior, "RANGE", 64)
+    rng = np.random.default_rng(4)
+    chains = {c: rng.normal(c, 1, n) for c, n in enumerate((1000, 777, 129))}
+    rows = [("v", c, 3 * i + 5, float(x)) for c, xs in chains.items() for i, x in enumerate(xs)]
+    got = posterior.rhat(spark.createDataFrame(rows, "variable string, chain_id int, iter long, value double").repartition(5), ["variable"]).first().rhat
+    halves = [h for x in chains.values() for h in (x[: -(len(x) // 2)], x[-(len(x) // 2) :])]
+    n, w, b = np.mean([len(h) for h in halves]), np.mean([h.var(ddof=1) for h in halves]), np.var([h.mean() for h in halves], ddof=1)
+    assert np.isclose(got, np.sqrt(((n - 1) / n * w + b) / w))
+
+
+def test_iterations_with_gaps_or_repeats(spark):
+    """Dense iterations are positions; others, also as many as their range with one there twice, are ranked."""
+    x = np.cumsum(np.random.default_rng(5).normal(size=3000)) * 0.05 + np.random.default_rng(6).normal(size=3000)
+    want = posterior.sokal_time(x)
+    dense, gaps, repeats = np.arange(7, 3007), 2 * np.arange(3000), np.arange(3000)
+    repeats[10] = 9
+    for places in (dense, gaps, repeats):
+        draws = spark.createDataFrame(pd.DataFrame({"variable": "v", "iter": places, "value": x})).repartition(7)
+        got = posterior.merged_iact(draws, ["variable"], chunk=256, lags=64).first()
+        assert got.n == 3000 and np.isclose(got.iact, want, rtol=0.05 if places is repeats else 1e-9)
+
+
+def test_increments_are_drawn_once(spark):
+    """The fold of a path mentions each increment several times; it drew it again each time."""
+    from stateweave.plans import queries
+
+    plan = queries.QUERIES["milstein_path"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5") == 2
+    assert "RepartitionByExpression" in plan
