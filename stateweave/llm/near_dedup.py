@@ -17,7 +17,7 @@ repeated rows form one class; an empty table gives none.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,8 @@ LEAF_SHINGLES = 2_000_000
 DEPTH = 5
 PIVOTS = 2
 BLOCK = 2048
+#: Hashes that this share (1 / ``COMMON``) of a leaf's members hold are kept as bits.
+COMMON = 16
 #: Sketches of a pair may show so much less than its similarity.
 SKETCH_SLACK = 20
 
@@ -162,22 +164,41 @@ def partners(sigs: np.ndarray, sizes: np.ndarray, parts: np.ndarray, percent: in
     return found
 
 
-def sketch(values: np.ndarray) -> np.ndarray:
-    """Least value of each of 128 ranges of the hashes; all ones where there is none."""
-    out = np.full(128, 2**64 - 1, np.uint64)
-    place, first = np.unique(values >> np.uint64(57), return_index=True)
-    out[place.astype(int)] = values[first]
-    return out
+def overlaps(sets: list[np.ndarray]) -> Callable[[int, np.ndarray], np.ndarray]:
+    """A function of a member and others: the exact sizes of their intersections.
+
+    Hashes that one in ``COMMON`` members or more hold are bits of a row for each member, at most ``COMMON`` bits for each
+    shingle of the leaf; the members that hold a rarer one are looked up.
+    """
+    n, size = len(sets), np.fromiter(map(len, sets), np.int64, len(sets))
+    token, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    owner, common = np.repeat(np.arange(n), size), held >= max(2, n / COMMON)
+    marks = np.zeros((n, -(-int(common.sum()) // 64) * 64), bool)
+    often = common[token]
+    marks[owner[often], (np.cumsum(common) - 1)[token[often]]] = True
+    bits = np.packbits(marks, 1).view(np.uint64)
+    seldom = ~often & (held[token] > 1)
+    mine, rare = owner[seldom], token[seldom]
+    first = np.searchsorted(mine, np.arange(n + 1))
+    order = np.argsort(rare, kind="stable")
+    holders, begin, end = mine[order], *(np.searchsorted(rare[order], rare, side) for side in ("left", "right"))
+
+    def both(i: int, others: np.ndarray) -> np.ndarray:
+        at, to = begin[first[i] : first[i + 1]], end[first[i] : first[i + 1]]
+        ends = np.cumsum(to - at)
+        found = holders[np.repeat(to - ends, to - at) + np.arange(ends[-1] if len(ends) else 0)]
+        return np.bitwise_count(bits[others] & bits[i]).sum(1, dtype=np.int64) + np.bincount(found, minlength=n)[others]
+
+    return both
 
 
 def link_leaf(ids: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links (id, least id of its group) that connect a leaf's classes as all its confirmed pairs would.
+    """Links (id, least id of its group) that connect a leaf's classes as all its similar pairs would.
 
-    ``parts`` are components known before. Sets of 400 and more are ranked by sketches; smaller ones are compared as they are.
+    ``parts`` are components known before. A class meets all later ones of other parts at once.
     """
     size = np.fromiter(map(len, sets), np.int64, len(sets))
-    s = np.array([sketch(x) for x in sets])
-    full = s != np.uint64(2**64 - 1)
+    both = overlaps(sets)
     part = np.unique(parts, return_inverse=True)[1]
     before = part.copy()
     for i in range(len(ids) - 1):
@@ -185,11 +206,11 @@ def link_leaf(ids: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], percen
         other = np.flatnonzero((part[i + 1 :] != part[i]) & (100 * np.minimum(rest, size[i]) >= percent * np.maximum(rest, size[i]))) + i + 1
         if not len(other):
             continue
-        share = ((s[other] == s[i]) & full[i]).sum(1) / np.maximum(1, (full[other] | full[i]).sum(1))
-        keep = (share >= sketch_limit(percent)) | (size[i] < 400)
-        for j in other[keep][np.argsort(-share[keep], kind="stable")]:
-            if part[i] != part[j] and similar(sets[i], sets[j], percent):
-                part[part == part[j]] = part[i]
+        common = both(i, other)
+        near = np.zeros(len(ids), bool)
+        near[part[other[100 * common >= percent * (size[i] + size[other] - common)]]] = True
+        if near.any():
+            part[near[part]] = part[i]
     least: dict[int, int] = {}
     for k, i in zip(part.tolist(), ids.tolist(), strict=True):
         least[k] = min(i, least.get(k, i))
@@ -200,7 +221,7 @@ def _leaf_links(docs: DataFrame, classes: DataFrame, members: DataFrame, comps:
     """Links within leaves; ``members`` has (path, id). Leaves of the same members, or of one component, are left out."""
     leaves = members.groupBy("path").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # at most LEAF each
     leaves = leaves.groupBy(F.xxhash64("ids").alias("leaf"), F.size("ids").alias("size")).agg(F.first("ids").alias("ids"))
-    inside = materialize(leaves.select("leaf", F.explode("ids").alias("id")), "leaves")
+    inside = leaves.select("leaf", F.explode("ids").alias("id"))
     if comps is None:
         inside = inside.withColumn("c", F.col("id"))
     else:
@@ -224,9 +245,9 @@ def _leaf_links(docs: DataFrame, classes: DataFrame, members: DataFrame, comps:
 
         return work
 
-    wanted = materialize(map_rows(groups, select, "leaf long, id long, c long, low long, high long", 64), "wanted")
+    wanted = map_rows(groups, select, "leaf long, id long, c long, low long, high long", 64)
     by_id = wanted.groupBy("id", "low", "high").agg(F.collect_list(F.struct("leaf", "c")).alias("at"))
-    full = _sets(docs, materialize(by_id, "wanted-ids"))
+    full = _sets(docs, materialize(by_id, "wanted"))
     full = full.select("id", "set", "at") if unique else full.groupBy("id").agg(F.first("set").alias("set"), F.first("at").alias("at"))
     full = full.select("id", "set", F.explode("at").alias("x")).select("x.leaf", F.struct("id", "x.c", "set").alias("m"))
 
@@ -240,7 +261,7 @@ def _leaf_links(docs: DataFrame, classes: DataFrame, members: DataFrame, comps:
 
         return work
 
-    return materialize(map_rows(full.groupBy("leaf").agg(F.collect_list("m").alias("g")).select("g"), make, "a long, b long", 64), "leaf-links")
+    return map_rows(full.groupBy("leaf").agg(F.collect_list("m").alias("g")).select("g"), make, "a long, b long", 64)
 
 
 def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
